@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lucidframe.llm import exact_dedup, mixing, pieces
+from lucidframe.llm import exact_dedup, minhash, mixing, pieces, sharding, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -40,7 +53,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_minhash": op3_minhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_warc_packages": op7_warc_packages,
+    "op8_shard_table": op8_shard_table,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
@@ -69,6 +85,18 @@ placed AS (
 SELECT doc_id, size, words AS source_size, target,
   CAST(size * (CAST(before + size / 2.0 < target AS INT) + CAST(before + size / 2.0 + words < target AS INT)) AS BIGINT) AS taken
 FROM placed""",
+    "op7_warc_packages": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+    array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+      lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) >> b) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY payload) AS keep
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM d""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lucidframe.llm import exact_dedup, minhash, mixing, pieces, sharding, warc_zip
+from lucidframe.llm import exact_dedup, html_extract, language_id, minhash, mixing, pieces, sharding, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -53,11 +62,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language_id": op2_language_id,
     "op3_minhash": op3_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc_packages": op7_warc_packages,
     "op8_shard_table": op8_shard_table,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {

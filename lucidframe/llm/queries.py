@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidframe.llm import exact_dedup, html_extract, language_id, minhash, mixing, pieces, sharding, warc_zip
+from lucidframe.llm import exact_dedup, html_extract, language_id, line_dedup, minhash, mixing, pieces, sharding, vectors, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.flag_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc_zip.round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_minhash": op3_minhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_vector_forest": op6_vector_forest,
     "op7_warc_packages": op7_warc_packages,
     "op8_shard_table": op8_shard_table,
     "op9_sentencepiece": op9_sentencepiece,
@@ -96,6 +106,26 @@ placed AS (
 SELECT doc_id, size, words AS source_size, target,
   CAST(size * (CAST(before + size / 2.0 < target AS INT) + CAST(before + size / 2.0 + words < target AS INT)) AS BIGINT) AS taken
 FROM placed""",
+    "op4_line_dedup": r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS place FROM cut),
+filled AS (
+  SELECT doc_id, place, t, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
+  FROM (SELECT doc_id, place, regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t FROM line) WHERE t <> ''),
+win AS (SELECT doc_id, i, t AS a, lead(t) OVER d AS b, lead(t, 2) OVER d AS c FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, CASE WHEN doc_id = fd THEN greatest(i, fi + 3) ELSE i END AS lo, i + 3 AS hi
+  FROM (SELECT doc_id, i, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM win WHERE c IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, i))
+  WHERE NOT (doc_id = fd AND i = fi)),
+gone AS (SELECT DISTINCT f.doc_id, f.place FROM filled f JOIN later l ON f.doc_id = l.doc_id AND f.i >= l.lo AND f.i < l.hi),
+kept AS (
+  SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.place) AS rest FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place
+  WHERE g.place IS NULL GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM filled GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT cut.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(rest, '')) AS clean_sha256, CAST(length(coalesce(rest, '')) AS BIGINT) AS clean_chars
+FROM cut LEFT JOIN kept ON cut.doc_id = kept.doc_id LEFT JOIN n ON cut.doc_id = n.doc_id LEFT JOIN r ON cut.doc_id = r.doc_id""",
     "op7_warc_packages": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (

@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_table": op8_shard_table,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_text": op10_html_text,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

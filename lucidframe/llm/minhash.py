@@ -38,7 +38,7 @@ WORDS, BANDS, ROWS, PERCENT = 5, 20, 4, 85
 #: Bytes of text that are hashed together; shingles of a text that are minimised together.
 SLICE, STRIP = 2 << 20, 1 << 13
 #: Members of a bucket's block in the search for links between components, and shingles that they hold together, about.
-BLOCK, HELD = 1024, 4 << 20
+BLOCK, HELD = 512, 4 << 20
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,6 +48,7 @@ _A = seeds64(BANDS * ROWS, 1, odd=True)
 _B = seeds64(BANDS * ROWS, 2)
 _KEYS = seeds64(WORDS, 3, odd=True)
 _BAND = seeds64(ROWS, 4, odd=True)
+_PLACE = seeds64(BANDS, 5)  # keys of different bands differ, so a key alone names a bucket
 
 
 def _word_hashes_slice(raw: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64((mix64(least.reshape(BANDS, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64))
+        return mix64((mix64(least.reshape(BANDS, ROWS)) * _BAND).sum(axis=1, dtype=np.uint64) + _PLACE)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,8 @@ def _hits(table: pa.Table, percent: int):
     n, comp, side = (table.column(c).to_numpy() for c in ("n", "component", "side"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
     bands = np.stack(table.column("bands").to_numpy(zero_copy_only=False)) if len(n) else np.empty((0, BANDS), np.int64)
-    here, need = int(table.column("band")[0].as_py()) if len(n) else 0, _least_match(percent)
+    need = _least_match(percent)
+    here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0]) if len(n) else 0
     one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(n)),) * 2
     for start in range(0, len(one), 64):
         rows = one[start : start + 64]
@@ -270,54 +272,60 @@ def _confirm(percent: int):
     return run
 
 
-_MEMBER = "band int, key bigint, first int, second int, side int, id bigint, n bigint, marks binary, bands array<bigint>, component bigint"
-_PAIR_OF_BLOCKS = ("band", "key", "first", "second")
+_MEMBER = "key bigint, first int, second int, side int, id bigint, n bigint, marks binary, bands array<bigint>, component bigint"
+_PAIR_OF_BLOCKS = ("key", "first", "second")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt into blocks and sent to every pair of blocks that needs them."""
-    mixed = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+def _blocks(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Members (key, id, n, component) of buckets with several components, dealt into blocks and sent to every pair of blocks that needs them."""
+    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     size = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("held") / HELD)).cast("int")
-    mixed = bounded_broadcast(materialize(mixed.where("lo < hi").select("band", "key", size.alias("blocks")), "mixed"))
-    rows = members.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mixed = materialize(mixed.select("key", size.alias("blocks"), (F.col("rows") * size).alias("sent")), "mixed")
+    sent = mixed.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
+    rows = members.select("key", "id", "component").join(mixed.drop("sent"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(own.select("id", "n", "marks", "bands"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select("band", "key", first.alias("first"), second.alias("second"), (F.col("own") != first).cast("int").alias("side"), "id", "n", "marks", "bands", "component")
+    dealt = rows.select("key", first.alias("first"), second.alias("second"), (F.col("own") != first).cast("int").alias("side"), "id", "n", "marks", "bands", "component")
+    # The comparisons of a row take far longer than its bytes suggest, so there are more tasks than its bytes ask for.
+    return dealt.repartition(max(2 * dealt.sparkSession.sparkContext.defaultParallelism, sent // 4096), *_PAIR_OF_BLOCKS)
 
 
 def similar_components(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """For (id, text) rows: (id, n, digest, low) of all rows, low its class, and (vertex, component) of linked classes."""
+    """For (id, text) rows: (id, n, low) of all rows, low the id of its class, and (vertex, component) of linked classes."""
     signed = materialize(texts.mapInArrow(_signatures, "id bigint, n bigint, digest binary, bands array<bigint>, marks binary"), "signatures")
-    # One class for each set: its smallest id. Only classes of several rows need a join.
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    several = bounded_broadcast(materialize(classes.where("rows > 1").drop("rows"), "classes"))
-    labelled = signed.join(several, "digest", "left")
-    own = labelled.where("n > 0 AND id IS NOT NULL AND (low IS NULL OR id = low)").drop("low")
-    spread = own.select("id", "n", "marks", "bands", F.posexplode("bands").alias("band", "key"))
-    crowded = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "n", "marks")).alias("first")).where("rows > 1")
-    crowded = materialize(crowded.select("band", "key", F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("first.marks").alias("am")), "buckets")
-    members = materialize(spread.join(bounded_broadcast(crowded), ["band", "key"]), "members")
-    stars = members.where("id <> a").select("a", F.col("id").alias("b"), "an", "am", F.col("n").alias("bn"), F.col("marks").alias("bm"))
-    pairs = materialize(_plausible(stars, percent).select("a", "b").distinct(), "pairs")
+    # One class for each set, named by its smallest id. Only classes of several rows need a join.
+    filled = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest")
+    classes = materialize(filled.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("n", "bands", "marks"), "id").alias("x")).select("id", "digest", "rows", "x.*"), "classes")
+    several = classes.where("rows > 1").select("digest", F.col("id").alias("low"))
+    labelled = signed.select("id", "n", "digest").join(several, "digest", "left").select("id", "n", F.coalesce("low", "id").alias("low"))
+    own = classes.select("id", "n", "marks", "bands")
+    # Buckets move ids only; sizes and signatures are fetched for what is left.
+    spread = own.select("id", F.explode("bands").alias("key"))
+    crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("a")).where("rows > 1").select("key", "a")
+    members = materialize(spread.join(materialize(crowded, "buckets"), "key"), "members")
+    stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    stars = stars.join(own.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("marks").alias("bm")), "b")
+    stars = stars.join(own.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("marks").alias("am")), "a")
+    pairs = materialize(_plausible(stars, percent).select("a", "b"), "pairs")
     links = materialize(_verify(pairs, texts, percent), "verified")
-    labels = bounded_broadcast(connected_components(links))
-    named = members.join(labels, F.col("id") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "id"))
-    flagged = materialize(_blocks(named).groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_flag(percent), _MEMBER), "flagged")
+    labels = connected_components(links)
+    named = members.select("key", "id").join(own.select("id", "n"), "id").join(labels, F.col("id") == F.col("vertex"), "left")
+    named = materialize(named.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "named")
+    flagged = materialize(_blocks(named, own).groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_flag(percent), _MEMBER), "flagged")
     if not flagged.isEmpty():
-        needed = flagged.select("id").distinct()
-        sets = _full_sets(texts, needed)
+        sets = _full_sets(texts, flagged.select("id").distinct())
         found = flagged.join(sets, "id").groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_confirm(percent), "u bigint, v bigint")
-        labels = bounded_broadcast(connected_components(materialize(links.unionByName(found), "verified")))
-    return labelled.select("id", "n", "digest", "low"), labels
+        labels = connected_components(materialize(links.unionByName(found), "verified"))
+    return labelled, labels
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept."""
     has_columns(df, id_col, text_col)
     rows, labels = similar_components(df.select(F.col(id_col).cast("long").alias("id"), empty_text(F.col(text_col)).alias("text")), percent)
-    low = F.coalesce("low", "id")
-    joined = rows.withColumn("__lf_low", low).join(labels, F.col("__lf_low") == F.col("vertex"), "left")
-    component = F.coalesce("component", "__lf_low")
+    joined = rows.join(labels, F.col("low") == F.col("vertex"), "left")
+    component = F.coalesce("component", "low")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

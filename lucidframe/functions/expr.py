@@ -60,7 +60,16 @@ def _equal(strata: Sequence[str], part: str) -> Column:
     return condition
 
 
-def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None, parts: int = 64) -> DataFrame:
+def cut_points(df: DataFrame, columns: Sequence[str], parts: int = 64) -> list[list[float]]:
+    """Approximate quantiles of some columns in one pass: they spread work and decide no result."""
+    if not columns:
+        return []
+    at = [i / parts for i in range(1, parts)]
+    row = df.agg(*[F.percentile_approx(F.when(~is_missing(df, c), col(c)), at, 1000).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [sorted(set(x or [])) for x in row]
+
+
+def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None, parts: int = 64, cuts: Sequence[float] | None = None) -> DataFrame:
     """One row for each distinct value: value, n, the sums, before (rows with smaller values) and mean_rank.
 
     Distinct values are cut into parts by approximate quantiles, which changes no result, so no task sees them all; the
@@ -68,7 +77,7 @@ def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
     """
     sums = sums or {}
     blocks = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    cuts = cut_points(df, [value], parts)[0] if cuts is None else cuts
     place = F.lit(0)
     for c in sorted(set(cuts)):
         place = place + (F.col(value) > F.lit(c)).cast("int")

@@ -29,17 +29,17 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def t_cdf(t: float, df: float) -> float:
-    """Student's distribution function through the incomplete beta function."""
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x in (0.0, 1.0):
-        tail = x
-    elif x < (a + 1.0) / (a + b + 2.0):
-        tail = front * _beta_fraction(a, b, x) / a
-    else:
-        tail = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-    return 1.0 - tail / 2.0 if t > 0 else tail / 2.0
+    """Student's distribution function through the incomplete beta function, from the side that loses no digits."""
+    a, b, outer = df / 2.0, 0.5, df / (df + t * t)
+    inner = t * t / (df + t * t)  # one less `outer`, exact near zero
+    if inner == 0.0 or outer == 0.0:
+        return 0.5 if inner == 0.0 else float(t > 0)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(outer) + b * math.log(inner))
+    if outer < (a + 1.0) / (a + b + 2.0):
+        tail = front * _beta_fraction(a, b, outer) / a
+        return 1.0 - tail / 2.0 if t > 0 else tail / 2.0
+    centre = front * _beta_fraction(b, a, inner) / b
+    return 0.5 + math.copysign(centre, t) / 2.0
 
 
 def t_quantile(p: float, df: float) -> float:

@@ -111,7 +111,7 @@ def importance_agreement(importance: dict[str, dict[str, float]], features: Sequ
     pairs = {(a, b): rank_correlation([importance[a][f] for f in features], [importance[b][f] for f in features]) for a, b in combinations(names, 2)}
     known = [v for v in pairs.values() if v is not None]
     ranges = [{"feature": f, "min_importance": min(importance[m][f] for m in names), "max_importance": max(importance[m][f] for m in names), "mean_importance": sum(importance[m][f] for m in names) / len(names)} for f in features]
-    return {"pairs": pairs, "mean_rank_correlation": sum(known) / len(known) if known else None, "ranges": ranges}
+    return {"models": names, "pairs": pairs, "mean_rank_correlation": sum(known) / len(known) if known else None, "ranges": ranges}
 
 
 def prediction_agreement(df: DataFrame, task: Task, models: Sequence[str]) -> dict:

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import HIGHER_IS_BETTER, ContractError, Task, predictor_kind
-from lucidframe.functions.expr import col, is_missing, rate, tie_blocks
+from lucidframe.functions.expr import col, cut_points, hash_key, hash_rank, is_missing, rate, tie_blocks
 from lucidframe.functions.stats import normal_quantile, t_quantile
 from lucidframe.operators.metrics import auc, delta, loss_aggregate
-from lucidframe.operators.split import permuted, reference_sample, strata_key
+from lucidframe.operators.split import reference_sample, strata_key
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -39,11 +39,12 @@ def _is_number(df: DataFrame, c: str) -> bool:
     return predictor_kind(df.schema[c].dataType) == "numeric"
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n and rho from mean ranks; null if either is constant."""
+def spearman(df: DataFrame, a: str, b: str, cuts: dict[str, list[float]] | None = None) -> DataFrame:
+    """One row: n and rho from mean ranks; null if either is constant. cuts: known cut points of the columns."""
     rows = df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
-    ra = tie_blocks(rows, "a").select("a", F.col("mean_rank").alias("x"))
-    rb = tie_blocks(rows, "b").select("b", F.col("mean_rank").alias("y"))
+    cuts = cuts or dict(zip((a, b), cut_points(rows, ["a", "b"])))
+    ra = tie_blocks(rows, "a", cuts=cuts[a]).select("a", F.col("mean_rank").alias("x"))
+    rb = tie_blocks(rows, "b", cuts=cuts[b]).select("b", F.col("mean_rank").alias("y"))
     pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).join(ra, "a").join(rb, "b")
     return _moments(pairs, F.col("x"), F.col("y"), F.col("w")).select("n", F.col("r").alias("rho"))
 
@@ -76,11 +77,11 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select("n", v.alias("v"))
 
 
-def association(df: DataFrame, a: str, b: str) -> DataFrame:
+def association(df: DataFrame, a: str, b: str, cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """One row (feature, other, n, association) on complete pairs; 0 for fewer than three rows or a constant."""
     both = _complete(df, a, b)
     if _is_number(df, a) and _is_number(df, b):
-        found, name = spearman(both, a, b), "rho"
+        found, name = spearman(both, a, b, cuts), "rho"
     elif _is_number(df, a) or _is_number(df, b):
         found, name = correlation_ratio(both, *((a, b) if _is_number(df, a) else (b, a))), "eta"
     else:
@@ -92,7 +93,9 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
 def associations(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """All unordered pairs of features."""
     names = list(features or df.columns)
-    pairs = [association(df, a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    numbers = [c for c in names if _is_number(df, c)]
+    cuts = dict(zip(numbers, cut_points(df, numbers)))  # of all columns in one pass
+    pairs = [association(df, a, b, cuts) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
         raise ContractError("associations need two features")
     return reduce(DataFrame.unionByName, pairs)
@@ -125,21 +128,24 @@ def _metric_by(scored: DataFrame, task: Task, metric: str, keys: Sequence[str])
 def permutation_scores(df: DataFrame, score: Score, task: Task, metric: str, groups: dict[str, Sequence[str]], repeats: int = 20, seed: int = 123, row_id: str = "row_id", within: Sequence[str] | str | None = None) -> DataFrame:
     """(feature, repeat, score, baseline, delta): the metric after the features' values are dealt anew, jointly in a group.
 
-    df: row_id, y and the features. All repeats of all groups are scored in one pass over their union.
+    df: row_id, y and the features. Rows get a place once; for every (feature, repeat) a fresh shuffle says whose values come
+    to a place. So there is one join and one scoring pass, whatever the number of features and repeats.
     """
+    strata: list[str] = []
     if within is not None:
-        df = df.withColumn("__stratum", strata_key(df, [within] if isinstance(within, str) else list(within)))
-    stratum = "__stratum" if within is not None else None
-    parts = []
-    for label, names in groups.items():
-        for r in range(1, repeats + 1):
-            new = permuted(df, row_id, list(names), label, r, seed, stratum)
-            renamed = new.select(F.col(row_id).alias("__id"), *[col(c).alias(f"__new_{i}") for i, c in enumerate(names)])
-            joined = df.join(renamed, F.col(row_id) == F.col("__id")).drop("__id").withColumns({c: F.col(f"__new_{i}") for i, c in enumerate(names)}).drop(*[f"__new_{i}" for i in range(len(names))])
-            parts.append(joined.withColumns({"feature": F.lit(label), "repeat": F.lit(r)}))
-    scored = score(reduce(DataFrame.unionByName, parts))
+        df, strata = df.withColumn("__stratum", strata_key(df, [within] if isinstance(within, str) else list(within))), ["__stratum"]
+    own = hash_rank(df.withColumn("__key", hash_key(seed, "place", col(row_id))), "__key", "__at", strata).drop("__key")
+    moved = sorted({c for names in groups.values() for c in names})
+    turns = F.explode(F.array(*[F.struct(F.lit(g).alias("feature"), F.lit(r).alias("repeat")) for g in groups for r in range(1, repeats + 1)]))
+    gives = df.select(col(row_id).alias("__id"), *[col(c).alias(f"__new_{i}") for i, c in enumerate(moved)], *strata, turns.alias("__turn"))
+    gives = gives.select("__id", *[f"__new_{i}" for i in range(len(moved))], *strata, "__turn.feature", "__turn.repeat")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("repeat").cast("string"), F.col("__id").cast("string")))
+    gives = hash_rank(gives.withColumn("__key", key), "__key", "__at", ["feature", "repeat", *strata]).drop("__key", "__id")
+    both = own.join(gives, ["__at", *strata])
+    dealt = {c: F.when(F.col("feature").isin(*[g for g, names in groups.items() if c in names]), F.col(f"__new_{i}")).otherwise(col(c)) for i, c in enumerate(moved)}
+    scored = score(both.withColumns(dealt).drop("__at", *strata, *[f"__new_{i}" for i in range(len(moved))]))
     values = _metric_by(scored, task, metric, ["feature", "repeat"])
-    base = _metric_by(score(df).withColumn("__all", F.lit(1)), task, metric, ["__all"]).select(F.col("value").alias("baseline"))
+    base = _metric_by(score(df.drop(*strata)).withColumn("__all", F.lit(1)), task, metric, ["__all"]).select(F.col("value").alias("baseline"))
     return values.crossJoin(F.broadcast(base)).select("feature", "repeat", F.col("value").alias("score"), "baseline", delta(metric, F.col("value"), F.col("baseline")).alias("delta"))
 
 
@@ -220,12 +226,12 @@ def partial_dependence(df: DataFrame, score: Score, task: Task, feature: str, po
     number = _is_number(df, feature)
     grid = list(grid) if grid is not None else numeric_grid(df, feature, points, quantiles) if number else categorical_grid(df, feature, points)
     kind = df.schema[feature].dataType
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("grid_index"), F.lit(v).alias("value")) for i, v in enumerate(grid)])).alias("g")
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("grid_index"), F.lit(v).alias("value")) for i, v in enumerate(grid)])).alias("__grid")
     # A value between integers would be cut by an integer column's type, so numeric features are scored as doubles.
-    set_to = F.col("g.value").cast("double") if number else F.col("g.value").cast(kind)
+    set_to = F.col("__grid.value").cast("double") if number else F.col("__grid.value").cast(kind)
     spread = rows.select("*", values).withColumn("__own", col(feature)).withColumn(feature, set_to)
     scored = score(spread).withColumn("__p", _target(task, klass))
-    curve = scored.groupBy("g.grid_index", "g.value").agg(F.count(F.lit(1)).alias("n"), F.avg("__p").alias("effect"), F.try_divide(F.stddev_samp("__p"), F.sqrt(F.count(F.lit(1)))).alias("se"), *([_near(grid)] if number else [F.avg((F.col("__own").cast("string") == F.col("g.value")).cast("double")).alias("share")]))
+    curve = scored.groupBy("__grid.grid_index", "__grid.value").agg(F.count(F.lit(1)).alias("n"), F.avg("__p").alias("effect"), F.try_divide(F.stddev_samp("__p"), F.sqrt(F.count(F.lit(1)))).alias("se"), *([_near(grid)] if number else [F.avg((F.col("__own").cast("string") == F.col("__grid.value")).cast("double")).alias("share")]))
     z = normal_quantile(0.975)
     curve = curve.withColumns({"conf_low": F.col("effect") - z * F.col("se"), "conf_high": F.col("effect") + z * F.col("se")})
     curve = curve.withColumn("support", F.coalesce(F.try_divide(F.col("share"), F.nullif(F.max("share").over(Window.partitionBy()), F.lit(0.0))), F.lit(0.0)))
@@ -236,7 +242,7 @@ def _near(grid: Sequence[float]) -> Column:
     """Share of rows within half a typical grid step of the grid value."""
     steps = sorted(b - a for a, b in zip(grid, grid[1:]))
     half = (float(np.median(steps)) if steps else 0.0) / 2
-    return F.avg((F.abs(F.col("__own").cast("double") - F.col("g.value")) <= half).cast("double")).alias("share")
+    return F.avg((F.abs(F.col("__own").cast("double") - F.col("__grid.value")) <= half).cast("double")).alias("share")
 
 
 def ale_boundaries(df: DataFrame, feature: str, points: int = 20) -> list[float]:

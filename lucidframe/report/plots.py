@@ -28,7 +28,7 @@ def aligned_curves(curves: DataFrame) -> DataFrame:
 
 def agreement_cells(agreement: dict) -> list[dict]:
     """Both halves of the rank-correlation matrix with its diagonal."""
-    names = sorted({m for pair in agreement["pairs"] for m in pair})
+    names = list(agreement["models"])
     known = agreement["pairs"] | {(b, a): v for (a, b), v in agreement["pairs"].items()} | {(m, m): 1.0 for m in names}
     return [{"model_a": a, "model_b": b, "correlation": known[a, b]} for a in names for b in names]
 

@@ -292,10 +292,10 @@ def subgroups_binary(spark, folder):
 
 def three_prices(spark, folder) -> DataFrame:
     rows = lines(spark, folder)
-    return rows.withColumns({"m1": price(col), "m2": F.col("l_quantity") * 1.45 + 2.0, "m3": F.col("l_quantity") * 1.5 - F.col("l_discount") * 40.0})
+    return rows.withColumns({"m1": price(col), "m2": F.col("l_quantity") * 1.4567891 + 2.0123, "m3": F.col("l_quantity") * 1.5123457 - F.col("l_discount") * 40.1234})
 
 
-THREE_SQL = f"three AS (SELECT *, {PRICE} AS m1, l_quantity * 1.45 + 2.0 AS m2, l_quantity * 1.5 - l_discount * 40.0 AS m3 FROM lines)"
+THREE_SQL = f"three AS (SELECT *, {PRICE} AS m1, l_quantity * 1.4567891 + 2.0123 AS m2, l_quantity * 1.5123457 - l_discount * 40.1234 AS m3 FROM lines)"
 
 
 @query("ambiguity_regression", f"""

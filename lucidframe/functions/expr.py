@@ -91,6 +91,6 @@ def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All floating columns rounded: what queries return, so that engines agree."""
+    """All floating columns rounded, minus zero made zero: what queries return, so that engines agree."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(col(c), digits).alias(c) if kinds[c] in ("double", "float") else col(c) for c in df.columns])
+    return df.select(*[(F.round(col(c), digits) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else col(c) for c in df.columns])

@@ -6,17 +6,19 @@ Fits are Spark ML estimators on an encoded vector, except for what Spark ML lack
 
 from __future__ import annotations
 
+import importlib
+import json
 import time
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
@@ -75,17 +77,24 @@ def baseline(df: DataFrame, task: Task, model_id: str = "baseline") -> Fitted:
 
 
 def _spark_ml(estimator, encoding: Encoding, task: Task, data: DataFrame):
-    """Fit on the vector column; score by transforming and dropping what isn't asked for."""
+    """Fit on the vector column."""
     model = estimator.fit(data)
+    return model, MlScorer(model, encoding, task)
 
-    def score(df: DataFrame) -> DataFrame:
+
+class MlScorer:
+    """Score by transforming, and drop what isn't asked for; it keeps what a save needs."""
+
+    def __init__(self, model, encoding: Encoding, task: Task):
+        self.model, self.encoding, self.task = model, encoding, task
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        model, encoding, task = self.model, self.encoding, self.task
         names = df.columns
         out = model.transform(encoding.assemble(df, "__features"))
         value = F.col("prediction") if task.kind == REGRESSION else _probabilities("probability", task)
         return out.select(*[col(c) for c in names if c != "score"], value.alias("score"))
 
-    return model, score
-
 
 def _vectors(df: DataFrame, encoding: Encoding, task: Task) -> DataFrame:
     return encoding.assemble(df.withColumn("__label", task.label().cast("double")), "__features").select("__features", "__label")
@@ -408,6 +417,33 @@ def fit_learner(df: DataFrame, task: Task, family: str, parameters: dict, featur
     return Fitted(model_id or f"{family}_model", family, task, tuple(features), scorer, parameters, details.pop("complexity", None), time.perf_counter() - started, notes, details)
 
 
+def save_fitted(fitted: Fitted, path: str) -> None:
+    """Write a Spark ML fit to a folder: the model, and as JSON what scoring it needs."""
+    held = fitted.scorer
+    if not isinstance(held, MlScorer):
+        raise ContractError(f"a {fitted.family} fit can't be saved")
+    held.model.write().overwrite().save(f"{path}/model")
+    about = {
+        "class": f"{type(held.model).__module__}.{type(held.model).__name__}", "encoding": asdict(held.encoding), "task": asdict(fitted.task),
+        "fitted": {"model_id": fitted.model_id, "family": fitted.family, "features": fitted.features, "parameters": fitted.parameters, "complexity": fitted.complexity},
+    }
+    SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_fitted(path: str) -> Fitted:
+    about = json.loads(SparkSession.active().read.schema("about string").json(f"{path}/about").first()[0])
+    module, _, name = about["class"].rpartition(".")
+    if not module.startswith("pyspark.ml."):
+        raise ContractError("not a saved fit")
+    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+    e = about["encoding"]
+    encoding = Encoding(tuple(e["features"]), e["kinds"], {k: tuple(v) for k, v in e["levels"].items()}, e["contrast"], e["centre"], e["scale"])
+    t = about["task"]
+    task = Task(t["kind"], t["target"], tuple(t["levels"]), t["positive"], tuple(t["notes"]))
+    f = about["fitted"]
+    return Fitted(f["model_id"], f["family"], task, tuple(f["features"]), MlScorer(model, encoding, task), f["parameters"], f["complexity"])
+
+
 def check_scores(df: DataFrame, task: Task, score: str = "score") -> None:
     """Scores must be there and finite, probabilities in [0, 1] and, for several classes, add up to one."""
     p = F.col(score)

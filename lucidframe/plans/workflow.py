@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -18,6 +19,8 @@ from lucidframe.operators import diagnostics, metrics, prep, split
 
 ROLES = ("auto", "test", "validation", "evaluation")
 ROW = "row_id"
+#: (training rows, task, features) -> fitted models, best first, and the engine's own leaderboard in any form.
+FitProvider = Callable[[DataFrame, Task, list[str]], tuple[list[Fitted], object]]
 
 
 @dataclass
@@ -177,11 +180,12 @@ def board(scores: DataFrame, task: Task, models: list[Fitted]) -> DataFrame:
 def guided_fit(
     df: DataFrame, target: str, *, test: DataFrame | None = None, test_fraction: float = 0.2, seed: int = 123, task: str = "auto", positive: str | None = None, model_set: str = "quick",
     portfolio_name: str = "recommended", learners: list[str] | None = None, max_models: int | None = None, folds: int = 5, rule: str = "one_se", control: TuningControl | None = None,
-    preprocess: bool = True, options: dict | None = None, role: str = "auto", overlap: str = "warn", row_order: list[str] | None = None,
+    preprocess: bool = True, options: dict | None = None, role: str = "auto", overlap: str = "warn", row_order: list[str] | None = None, provider: FitProvider | None = None,
 ) -> Result:
     """Check, split, learn a recipe from training rows, fit, and score all models on the same held-out rows.
 
     model_set: quick (a linear model and the baseline), comparison (two trees more) or tuned (a search over families).
+    provider: an outside engine that fits the models instead; its own leaderboard is kept apart, its first model is primary.
     """
     if model_set not in ("quick", "comparison", "tuned"):
         raise ContractError("model_set must be quick, comparison or tuned")
@@ -216,8 +220,11 @@ def guided_fit(
     if not features:
         raise ContractError("no predictor varies in the training rows")
     evaluation = _labelled(evaluation_rows, contract)
-    base, record = baseline(training, contract), None
-    if model_set == "tuned":
+    base, record, extra = baseline(training, contract), None, {}
+    if provider is not None:
+        models, extra["engine_leaderboard"] = provider(training, contract, features)
+        models = [replace(m, model_id="main_model" if i == 0 else m.model_id) for i, m in enumerate(models)] + [base]
+    elif model_set == "tuned":
         families = portfolio(portfolio_name, contract.kind, learners)
         record = tune(raw_training, contract, ROW, families, max_models or default_budget(portfolio_name, learners), folds=folds, rule=rule, seed=seed, control=control, options=settings)
         models = [*refit(record, training, contract, features), base]
@@ -241,7 +248,7 @@ def guided_fit(
     found += refit_notes(record) if record else []
     shift = diagnostics.missingness_shift(raw_training.drop(ROW), raw_evaluation.drop(ROW), target, used=features)
     provenance = {"created": datetime.now(timezone.utc).isoformat(), "seed": seed, "model_set": model_set, "split": "hash holdout" if test is None else "supplied", "test_fraction": test_fraction if test is None else None, "engine": "spark", "schema_version": 1}
-    return Result(contract, models, leaders, scores, training, evaluation, raw_training, raw_evaluation, recipe, evaluation_role, found, shift, provenance, record)
+    return Result(contract, models, leaders, scores, training, evaluation, raw_training, raw_evaluation, recipe, evaluation_role, found, shift, provenance, record, extra)
 
 
 def explain_model(model, df: DataFrame, target: str, task: str = "auto", positive: str | None = None, role: str = "unspecified") -> Explainer:

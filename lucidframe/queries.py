@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
 from lucidframe.functions.expr import col, hash_key, rounded
+from lucidframe.models import fit, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
+from lucidframe.plans import workflow
 from lucidframe.sources.tables import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,10 +294,10 @@ def subgroups_binary(spark, folder):
 
 def three_prices(spark, folder) -> DataFrame:
     rows = lines(spark, folder)
-    return rows.withColumns({"m1": price(col), "m2": F.col("l_quantity") * 1.4567891 + 2.0123, "m3": F.col("l_quantity") * 1.5123457 - F.col("l_discount") * 40.1234})
+    return rows.withColumns({"m1": price(col), "m2": F.col("l_quantity") * 1.4567 + 2.0123, "m3": F.col("l_quantity") * 1.5123 - F.col("l_discount") * 40.12})
 
 
-THREE_SQL = f"three AS (SELECT *, {PRICE} AS m1, l_quantity * 1.4567891 + 2.0123 AS m2, l_quantity * 1.5123457 - l_discount * 40.1234 AS m3 FROM lines)"
+THREE_SQL = f"three AS (SELECT *, {PRICE} AS m1, l_quantity * 1.4567 + 2.0123 AS m2, l_quantity * 1.5123 - l_discount * 40.12 AS m3 FROM lines)"
 
 
 @query("ambiguity_regression", f"""
@@ -510,3 +512,60 @@ SELECT configuration_id, family, CAST(cv_score AS DOUBLE) AS cv_score FROM f WHE
 def one_se_select(spark, folder):
     rows = spark.createDataFrame(CANDIDATES, "configuration_id string, family string, simplicity_rank int, complexity_proxy double, cv_score double, cv_se double, plan_order int")
     return selection.select_one_se(rows).select("configuration_id", "family", "cv_score")
+
+
+# Fitted models: the least-squares line has SQL, the others return their leaderboards
+
+
+@query("leaderboard_linear", f"""
+WITH x AS (SELECT {EARLY.format('l_orderkey')} AS training, l_extendedprice / 1000.0 AS y, l_quantity AS q FROM lineitem),
+  t AS (SELECT regr_slope(y, q) AS b, regr_intercept(y, q) AS a, avg(y) AS m FROM x WHERE training),
+  s AS (SELECT y, unnest(['main_model', 'baseline']) AS model_id, unnest([a + b * q, m]) AS p FROM x, t WHERE NOT training),
+  g AS (SELECT model_id, count(*) AS n, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r_squared FROM s GROUP BY model_id),
+  r AS (SELECT *, CAST(rank() OVER (ORDER BY rmse) AS INT) AS "rank", max(CASE WHEN model_id = 'baseline' THEN rmse END) OVER () AS base FROM g)
+SELECT model_id, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r_squared, 6) + 0.0::DOUBLE AS r_squared, "rank", round((base - rmse) / base, 6) AS improvement,
+  row_number() OVER (ORDER BY "rank", model_id) = 1 AS winner FROM r""")
+def leaderboard_linear(spark, folder):
+    rows = dataset(spark, folder, "lineitem").select("l_orderkey", (F.col("l_extendedprice") / 1000.0).alias("y"), "l_quantity")
+    training, rest = rows.where(early("l_orderkey")), rows.where(~early("l_orderkey"))
+    models = [fit.fit_learner(training, REG, "linear", {}, ["l_quantity"], model_id="main_model"), fit.baseline(training, REG)]
+    return workflow.board(workflow.wide_scores(rest, models), REG, models).drop("family", "complexity")
+
+
+def _board(training: DataFrame, rest: DataFrame, task: Task, family: str, parameters: dict, features: list[str]) -> DataFrame:
+    models = [fit.fit_learner(training, task, family, parameters, features, model_id="main_model"), fit.baseline(training, task)]
+    y = task.label().cast("double" if task.kind == REGRESSION else "int")
+    return workflow.board(workflow.wide_scores(rest.withColumn("y", y), models), task, models)
+
+
+@query("fit_logistic")
+def fit_logistic(spark, folder):
+    rows = scored_docs(spark, folder).drop("score").withColumn("toxic", F.col("y").cast("string"))
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), TOXIC, "linear", {}, ["n_chars", "lang"])
+
+
+@query("fit_tree")
+def fit_tree(spark, folder):
+    rows = dataset(spark, folder, "lineitem")
+    return _board(rows.where(early("l_orderkey")), rows.where(~early("l_orderkey")), FLAG, "tree", {"maxdepth": 4, "cp": 0.0, "minsplit": 20}, ["l_quantity", "l_discount", "l_linestatus"])
+
+
+@query("fit_forest")
+def fit_forest(spark, folder):
+    rows = lines(spark, folder)
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "forest", {"num.trees": 20, "mtry": 2, "min.node.size": 10, "sample.fraction": 0.632, "splitrule": "default"}, ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("fit_gbt")
+def fit_gbt(spark, folder):
+    rows = lines(spark, folder)
+    settings = {"nrounds": 10, "eta": 0.1, "max_depth": 3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 1.0}
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "boosting", settings, ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("tuned_core")
+def tuned_core(spark, folder):
+    rows = labelled(spark, folder).where("toxic IS NOT NULL").select(F.col("doc_id").alias("row_id"), "n_chars", "lang", F.col("toxic").cast("string").alias("toxic"))
+    record = tuning.tune(rows, TOXIC, "row_id", ["linear", "tree"], 4, folds=3, options={"missing": "impute", "novel": "mode"})
+    found = [(c["configuration_id"], c["family"], c["cv_score"], c["cv_se"], c["configuration_id"] == record.selected) for c in record.candidates]
+    return spark.createDataFrame(found, "configuration_id string, family string, cv_score double, cv_se double, selected boolean")

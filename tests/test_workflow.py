@@ -127,3 +127,21 @@ def test_structured_narratives():
         with pytest.raises(ContractError):
             narrative.resolve(**options)
     assert narrative.resolve("ollama").remote is False
+
+
+def test_fits_survive_a_round_trip(data, tmp_path):
+    from lucidframe.models.fit import load_fitted, save_fitted
+
+    df = data.select("x", "g", "y")
+    model = fit_learner(df, make_task(df, "y"), "tree", {"maxdepth": 3, "cp": 0.0, "minsplit": 4}, ["x", "g"])
+    save_fitted(model, str(tmp_path / "fit"))
+    again = load_fitted(str(tmp_path / "fit"))
+    assert [r.score for r in model.score(df).collect()] == [r.score for r in again.score(df).collect()] and again.task == model.task
+
+
+def test_an_outside_engine_keeps_its_own_leaderboard(data):
+    def provider(training, task, features):
+        return [fit_learner(training, task, "linear", {}, features, model_id="theirs")], ["theirs"]
+
+    r = workflow.guided_fit(data.drop("event"), "y", provider=provider)
+    assert [m.model_id for m in r.models] == ["main_model", "baseline"] and r.extra["engine_leaderboard"] == ["theirs"]

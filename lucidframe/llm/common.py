@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A side is broadcast only below these; both are counted on the written table first.
 BROADCAST_ROWS = 200_000
@@ -109,7 +108,3 @@ def has_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def as_schema(**kinds: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()])

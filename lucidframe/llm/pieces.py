@@ -7,7 +7,8 @@ is in the vocabulary; what is left and unknown becomes UTF-8 byte pieces.
 Merges never cross a place whose two characters stand side by side in no piece, so a text is cut there into segments
 and equal segments are encoded once. Short segments run through the agenda together as rows of numpy matrices, long ones
 through a heap. In each Arrow batch the ids of all its new segments are checked against the sentencepiece library; a
-difference raises an error. The segments known to a worker are bounded by `KNOWN`, in number and in characters.
+difference raises an error. The segments known to a worker are bounded by `KNOWN`, in number and in characters; tasks that
+follow each other in a worker share them.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; an empty table gives an
 empty result; white space, control characters and literal special strings are ordinary text. Whole texts are encoded,
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.llm.common import empty_text, has_columns
+from lucidframe.shipping import ship
 
 SPACE = "▁"
-#: Segments (and, times 16, their characters) that a worker remembers before it starts anew.
-KNOWN = 300_000
+#: Segments (and, times 16, their characters) of a generation of a worker's memory.
+KNOWN = 100_000
 #: Longest segment that runs in a matrix.
 WIDE = 48
 NONE = np.int32(-1)
@@ -212,24 +214,39 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes texts with a memory of segments: for each its number of ids, its ids as text and its decoded form."""
+    """Encodes texts with a memory of segments, in two generations: what is used moves to the young one, the old one goes.
+
+    Of a segment it knows the number of ids, the ids as text and, only where it isn't the segment itself, the decoded form.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known, self.held = vocabulary, {}, 0
+        self.vocabulary, self.known, self.old, self.held = vocabulary, {}, {}, 0
 
     def learn(self, cut: list[list[str]]) -> None:
+        """Afterwards all segments of the texts are known."""
         if len(self.known) > KNOWN or self.held > 16 * KNOWN:
-            self.known, self.held = {}, 0
-        new = list({s for segments in cut for s in segments if s not in self.known})
+            self.old, self.known, self.held = self.known, {}, 0
+        known, old, new = self.known, self.old, []
+        for s in {s for segments in cut for s in segments if s not in known}:
+            if (found := old.get(s)) is not None:
+                known[s] = found
+                self.held += len(s)
+            else:
+                new.append(s)
         ids = self.vocabulary.encode_segments(new)
         self.vocabulary.check(new, ids)
         self.held += sum(map(len, new))
         for s, own in zip(new, ids):
-            self.known[s] = (len(own), ",".join(map(str, own)), self.vocabulary._joined(own))
+            text = self.vocabulary._joined(own)
+            head = (len(own), ",".join(map(str, own)))
+            known[s] = head if text == s.replace(SPACE, " ") else (*head, text)
 
     def digests(self, text: str, segments: list[str]) -> tuple[int, str, str]:
         found = [self.known[s] for s in segments]
-        decoded = "".join([x[2] for x in found])
+        if any(len(x) > 2 for x in found):
+            decoded = "".join([x[2] if len(x) > 2 else s.replace(SPACE, " ") for s, x in zip(segments, found)])
+        else:
+            decoded = "".join(segments).replace(SPACE, " ")
         # The first segment starts with the added space, which decoding drops.
         return (
             sum([x[0] for x in found]),
@@ -241,8 +258,18 @@ class Coder:
         return [int(x) for s in segments for x in self.known[s][1].split(",")]
 
 
+_coders: dict[str, Coder] = {}
+
+
+def coder_for(model_file: str) -> Coder:
+    """The coder of this worker process: tasks that follow each other share its vocabulary and its memory."""
+    if model_file not in _coders:
+        _coders[model_file] = Coder(Vocabulary(model_file))
+    return _coders[model_file]
+
+
 #: Characters of the texts that are cut into segments together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -259,12 +286,13 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded of each row."""
     has_columns(df, id_col, text_col)
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(model_file))
-        for batch in batches:
+        coder = coder_for(model_file)
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in _parts(texts):
                 cut = [coder.vocabulary.segments(t) for t in texts[lo:hi]]

@@ -13,6 +13,9 @@ from lucidframe.llm import exact_dedup, language_id, minhash, mixing, pieces
 from lucidframe.llm.common import materialize
 from lucidframe.llm.queries import table, tokenizer_file
 
+#: Similarity in percent from which documents are near copies; op3_minhash has its own, 85.
+NEAR = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go."""
@@ -25,8 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near-duplicates the smallest id stays."""
-    return minhash.drop_near_duplicates(docs)
+    """Of a component of near-duplicates, linked from a similarity of NEAR percent on, the smallest id stays."""
+    return minhash.drop_near_duplicates(docs, percent=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,12 @@ If a page names its article, the article's blocks are its main text: a passage t
 not, the host decides. The token streams of its pages' plain and chrome blocks are put one after the other and a suffix
 array is built (prefix doubling, a bounded chunk of pages at a time); neighbouring suffixes with `RUN` tokens in common
 are a repeated substring, kept as a fingerprint with the number of pages it stands on, which adds up over the chunks of a
-host by partial sums, however large the host. Tokens of plain blocks that lie in a substring found on two distinct pages at
-least, and on a `SHARE` of the host's, are boilerplate and go, if they fill their block or make up a run of RUN tokens in it; unique runs stay. Pages with equal html count as one page, or copies would delete
-each other.
+host by partial sums, however large the host. The same counts are kept for a substring in one place of the template: in
+the nth block from the page's start, or from its end. Boilerplate is what stands on `PLACED` distinct pages in one place,
+however large the host, or on a `SHARE` of its pages without an article and on `PAGES` pages at least (both pages of a host
+of two). Tokens of plain blocks in it go, if they fill their block or make up a run of RUN tokens in it; unique runs stay,
+and so does what a second page copies. A passage that stories share in different places of their pages is no template.
+Pages with equal html count as one page, or copies would delete each other.
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
@@ -35,8 +38,9 @@ from lucidframe.shipping import ship
 
 #: Tokens of a repeated substring, and pages of a host whose suffixes are sorted together.
 RUN, CHUNK = 6, 512
-#: Part of a host's distinct pages that boilerplate stands on: a story copied to a few pages is none.
-SHARE = 0.2
+#: Distinct pages of a host that a repeat stands on to be boilerplate: in one place of the template, and anywhere, where it
+#: must also stand on a share of the host's pages without an article.
+PLACED, PAGES, SHARE = 10, 3, 0.2
 
 # Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template iframe head title svg math object embed applet canvas audio video map select datalist option optgroup textarea noembed noframes xmp".split())
@@ -187,6 +191,17 @@ def run_prints(codes: np.ndarray) -> np.ndarray:
     return mix64(total + np.uint64(n))
 
 
+def placed_prints(codes: np.ndarray) -> np.ndarray:
+    """The run_prints of a page, and each with its block's number from the start and from the end, as int64."""
+    prints = run_prints(codes)
+    ends = np.cumsum(codes == 0).astype(np.uint64)
+    block = np.concatenate((np.zeros(1, np.uint64), ends))[: len(prints)]
+    back = (ends[-1] if len(ends) else np.uint64(0)) - block
+    with np.errstate(over="ignore"):
+        places = [mix64(prints + mix64(np.uint64(2) * x + np.uint64(k))) for k, x in ((1, block), (2, back))]
+    return np.stack([prints, *places]).view(np.int64)
+
+
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order and, for the first RUN tokens, the ranks of equal beginnings (prefix doubling up to RUN)."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
@@ -230,8 +245,7 @@ def _kept(found: list[tuple[str, str]], known: set[int] | None) -> str:
         return " ".join(t for z, t in found if z == "plain")
     own = [x for x in found if x[0] in ("plain", "chrome")]
     codes, block = _tokens(own)
-    prints = run_prints(codes).view(np.int64)
-    hit = np.array([int(p) in known for p in prints], bool)
+    hit = np.array([[int(p) in known for p in row] for row in placed_prints(codes)], bool).any(axis=0)
     covered = np.zeros(len(codes) + 1, np.int64)
     width = min(RUN, len(codes))
     np.add.at(covered, np.flatnonzero(hit), 1)
@@ -269,14 +283,18 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(table: pa.Table) -> pa.Table:
     streams = [np.asarray(x, np.int64).view(np.uint64) for x in table.column("codes").to_numpy(zero_copy_only=False)]
-    prints, held = repeated(streams, table.column("page").to_numpy())
-    host = pa.array([table.column("host")[0].as_py()] * len(prints), pa.string())
-    return pa.table({"host": host, "print": pa.array(prints, pa.int64()), "held": pa.array(held, pa.int64())})
+    pages = table.column("page").to_numpy()
+    prints, held = repeated(streams, pages)
+    places = [np.unique(placed_prints(streams[k])[1:]) for k in np.unique(pages, return_index=True)[1]]
+    places, at = np.unique(np.concatenate(places), return_counts=True)
+    host = pa.array([table.column("host")[0].as_py()] * (len(prints) + len(places)), pa.string())
+    placed = np.arange(len(host)) >= len(prints)
+    return pa.table({"host": host, "print": pa.array(np.concatenate((prints, places)), pa.int64()), "placed": pa.array(placed), "held": pa.array(np.concatenate((held, at)), pa.int64())})
 
 
 def _open_runs(table: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
     for host, page, codes in zip(*(table.column(k).to_pylist() for k in range(3))):
-        for p in set(run_prints(np.array(codes, np.int64).view(np.uint64)).view(np.int64).tolist()):
+        for p in set(placed_prints(np.array(codes, np.int64).view(np.uint64)).ravel().tolist()):
             yield host, page, p
 
 
@@ -295,12 +313,13 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     """
     streams = materialize(pages.mapInArrow(_streams, "host string, page bigint, open boolean, codes array<bigint>").where(F.size("codes") > 0), "streams")
     # Only hosts that have pages without an article need their suffixes sorted. A page is in one chunk, so counts add up.
-    hosts = streams.groupBy("host").agg(F.max("open").alias("any"), F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("rows")).where("any")
-    hosts = bounded_broadcast(materialize(hosts.select("host", "pages", F.ceil(F.col("rows") / CHUNK).alias("chunks")), "hosts"))
-    dealt = streams.join(hosts.drop("pages"), "host").withColumn("chunk", F.pmod("page", "chunks"))
-    found = dealt.groupBy("host", "chunk").applyInArrow(_runs, "host string, print bigint, held bigint")
-    shared = found.groupBy("host", "print").agg(F.sum("held").alias("held")).where("held > 1")
-    shared = shared.join(hosts.drop("chunks"), "host").where(F.col("held") >= SHARE * F.col("pages")).select("host", "print")
+    hosts = streams.groupBy("host").agg(F.max("open").alias("any"), F.count_distinct("page").alias("pages"), F.count_distinct(F.when(F.col("open"), F.col("page"))).alias("opened"), F.count(F.lit(1)).alias("rows")).where("any")
+    hosts = bounded_broadcast(materialize(hosts.select("host", "pages", "opened", F.ceil(F.col("rows") / CHUNK).alias("chunks")), "hosts"))
+    dealt = streams.join(hosts.drop("pages", "opened"), "host").withColumn("chunk", F.pmod("page", "chunks"))
+    found = dealt.groupBy("host", "chunk").applyInArrow(_runs, "host string, print bigint, placed boolean, held bigint")
+    shared = found.groupBy("host", "print", "placed").agg(F.sum("held").alias("held")).where("held > 1")
+    least = F.greatest(F.least(F.lit(PAGES), F.col("pages")), SHARE * F.col("opened"))
+    shared = shared.join(hosts.drop("chunks"), "host").where(F.col("held") >= F.when(F.col("placed"), PLACED).otherwise(least)).select("host", "print").distinct()
     own = streams.where("open").select("host", "page", "codes").mapInArrow(_open_prints, "host string, page bigint, print bigint")
     return own.join(shared, ["host", "print"]).groupBy("page").agg(F.collect_set("print").alias("prints"))
 

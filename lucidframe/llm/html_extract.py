@@ -17,7 +17,7 @@ Pages with equal html count as one page, or copies would delete each other.
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
-parent; an unclosed tag, comment or script at the end of a cut-off page runs to its end. Whole pages are read, however
+parent, an unclosed head with the first thing that can't stand in one; an unclosed tag, comment or script at the end of a cut-off page runs to its end. Whole pages are read, however
 long. Only the three columns named are read.
 """
 
@@ -59,6 +59,8 @@ CHROME_NAMES = frozenset(
 #: A new one of these ends an open one with the same parent.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table".split())
+#: What can stand in a head; anything else ends an open one.
+HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|(?P<other>[!?/])[^>]*+>)""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -106,6 +108,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = len(page)
+        if stack[-1][0] == "head" and page[at:lt].strip():
+            stack.pop()
+            zone = stack[-1][1]
         if lt > at and zone:
             parts.append(page[at:lt])
         if lt == len(page):
@@ -138,6 +143,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 if name not in INLINE:
                     close()
             continue
+        if stack[-1][0] == "head" and name not in HEADED:
+            stack.pop()
+            zone = stack[-1][1]
         if name in RAW and not m["rest"].rstrip().endswith("/"):
             if name not in INLINE:
                 close()

@@ -42,3 +42,10 @@ def test_a_passage_that_stories_share_in_different_places_stays(spark):
             parts += [f"Then part {k} of story {i} came {i}y{k}" for k in range(i // 7)]
         want[i] = " ".join(parts), "".join(f"<p>{p}</p>" for p in parts)
     assert texts(spark, [(i, f"http://h/{i}", h + NOTICE) for i, (_, h) in want.items()]) == {i: t for i, (t, _) in want.items()}
+
+
+def test_a_head_without_an_end():
+    page = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><script>x</script>"
+    for rest in ("<body><p>one</p><div>two</div></body>", "<p>one</p><div>two</div>", "one<div>two</div>", "<body><xmp>x</xmp><p>one</p>two"):
+        assert html_extract.blocks(page + rest) == [("plain", "one"), ("plain", "two")]
+    assert html_extract.blocks("<head><template><p>no</p></template> <link rel=x></head><body>yes") == [("plain", "yes")]

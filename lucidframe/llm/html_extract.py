@@ -5,7 +5,7 @@ comments, by element, role, class or id), `article` (inside article, main or the
 heads and hidden parts are no text at all.
 
 If a page names its article, the article's blocks are its main text: a passage that other pages quote or copy stays. If
-not, the host decides. The token streams of its pages' plain and chrome blocks are put one after the other and a suffix
+not, or if its article blocks hold less than `TEASER` of its article and plain text, the host decides. The token streams of its pages' plain and chrome blocks are put one after the other and a suffix
 array is built (prefix doubling, a bounded chunk of pages at a time); neighbouring suffixes with `RUN` tokens in common
 are a repeated substring, kept as a fingerprint with the number of pages it stands on, which adds up over the chunks of a
 host by partial sums, however large the host. The same counts are kept for a substring in one place of the template: in
@@ -41,6 +41,8 @@ RUN, CHUNK = 6, 512
 #: Distinct pages of a host that a repeat stands on to be boilerplate: in one place of the template, and anywhere, where it
 #: must also stand on a share of the host's pages without an article.
 PLACED, PAGES, SHARE = 10, 3, 0.2
+#: Part of a page's article and plain text below which its article blocks are teasers, read like plain ones.
+TEASER = 0.2
 
 # Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template iframe head title svg math object embed applet canvas audio video map select datalist option optgroup textarea noembed noframes xmp".split())
@@ -174,6 +176,14 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def _opened(found: list[tuple[str, str]]) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether a page is open, without an article that holds its text, and its blocks, where teasers are plain ones."""
+    named, plain = (sum(len(t) for z, t in found if z == zone) for zone in ("article", "plain"))
+    if named and named >= TEASER * (named + plain):
+        return False, found
+    return True, [("plain" if z == "article" else z, t) for z, t in found]
+
+
 def _tokens(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Of the blocks: token fingerprints, a 0 for each block's end, and the block of each."""
     codes, block = [], []
@@ -247,7 +257,8 @@ def host_of(url: Column) -> Column:
 
 def _kept(found: list[tuple[str, str]], known: set[int] | None) -> str:
     """The main text of a page's blocks; known: fingerprints of the host's boilerplate, for pages without an article."""
-    if any(z == "article" for z, _ in found):
+    is_open, found = _opened(found)
+    if not is_open:
         return " ".join(t for z, t in found if z == "article")
     if not known:
         return " ".join(t for z, t in found if z == "plain")
@@ -283,9 +294,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, 512)
             codes, is_open = [], []
             for page in part.column(2).to_pylist():
-                found = blocks(page)
+                opened, found = _opened(blocks(page))
                 codes.append(_tokens([x for x in found if x[0] in ("plain", "chrome")])[0].view(np.int64))
-                is_open.append(not any(z == "article" for z, _ in found))
+                is_open.append(opened)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(is_open), pa.array(codes, pa.list_(pa.int64()))], ["host", "page", "open", "codes"])
 
 

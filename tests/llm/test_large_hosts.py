@@ -49,3 +49,11 @@ def test_a_head_without_an_end():
     for rest in ("<body><p>one</p><div>two</div></body>", "<p>one</p><div>two</div>", "one<div>two</div>", "<body><xmp>x</xmp><p>one</p>two"):
         assert html_extract.blocks(page + rest) == [("plain", "one"), ("plain", "two")]
     assert html_extract.blocks("<head><template><p>no</p></template> <link rel=x></head><body>yes") == [("plain", "yes")]
+
+
+def test_a_story_beside_an_article_teaser(spark):
+    tease = "<article>Read this next about the old town and its people</article>"
+    long = [" ".join(f"{w}{i}" for w in ("long", "story", "told", "here", "with", "many", "words", "and", "more", "of", "them", "still")) * 5 for i in range(6)]
+    rows = [(i, f"http://h/{i}", f"<div>{tease}</div><div>{long[i]}</div>{NOTICE}") for i in range(6)] + [(9, "http://one/", f"<p>{long[0]}</p>{tease}")]
+    want = {i: long[i] for i in range(6)} | {9: f"{long[0]} Read this next about the old town and its people"}
+    assert texts(spark, rows) == want

@@ -1,11 +1,12 @@
 """Repeated runs of lines, found by winnowing and deleted where they come again.
 
 A text is a sequence of lines; blank lines are kept and stand outside the sequence. A run of `RUN` equal lines that came
-earlier in the table (in a smaller id, or higher up in the same text) is deleted.
+earlier in the table (in a smaller id, or higher up in the same text) is deleted; so is a shorter run of more than `WORDS` words
+or `LETTERS` characters, such as a passage in one line. With long=False only runs of `RUN` lines are, as in op4's SQL.
 
 1. Every line gets a fingerprint. In each window of `RUN` lines the least fingerprint is selected (the rightmost of
    equals); any common run of `RUN` lines or more shares a selected fingerprint at the same place of the run. Texts
-   of fewer lines have no window and lose nothing.
+   of fewer lines have no such window. Long runs of fewer lines are windows of their own, all of them looked up (3).
 2. Places are joined by their selected fingerprint, by counting it with map-side sums: one that stands in a single place
    starts no match.
 3. Around each shared place every window that contains it is a possible match, and the windows on both sides extend it line
@@ -24,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize
+from lucidframe.llm.common import WORD, bounded_broadcast, empty_text, has_columns, materialize
 
 #: Lines of a run, and of the window from which a fingerprint is selected.
 RUN = 3
+#: A run of fewer lines counts if it has more words, or more characters that aren't white space, than these.
+WORDS, LETTERS = 50, 300
 BLANK = r"^\s*$"
 
 
@@ -35,12 +38,32 @@ def _lines(text: Column) -> Column:
     return F.split(empty_text(text), "\n", -1)
 
 
-def _filled(text: Column) -> Column:
-    """(place, print) of the lines that aren't blank, as an array of structs: place is the line's index."""
-    at = F.transform(_lines(text), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("print"), F.length(F.regexp_replace(x, r"\s+", "")).alias("n")))
+def _filled(text: Column, count_words: bool) -> Column:
+    """(place, print, n) of the lines that aren't blank, and their words if asked for, as an array of structs: place is the line's index."""
+    at = F.transform(_lines(text), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("print"), F.length(F.regexp_replace(x, r"\s+", "")).alias("n"), *([F.regexp_count(x, F.lit(WORD)).alias("words")] if count_words else [])))
     return F.filter(at, lambda x: x["n"] > 0)
 
 
+def _later(windows: DataFrame, run: int) -> DataFrame:
+    """(row, begin, end) of the windows of (row, ord, start, window) that came earlier."""
+    windows = materialize(windows, "windows")
+    firsts = windows.groupBy("window").agg(F.min(F.struct("ord", "start", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = bounded_broadcast(materialize(firsts.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first-windows"))
+    later = windows.join(firsts, "window").where("NOT (row = first_row AND start = first_start)")
+    begin = F.when(F.col("row") == F.col("first_row"), F.greatest("start", F.col("first_start") + run)).otherwise(F.col("start"))
+    return later.select("row", begin.alias("begin"), (F.col("start") + run).alias("end")).where("begin < end")
+
+
+def long_windows(rows: DataFrame, run: int) -> DataFrame:
+    """(row, begin, end) of later windows of `run` lines that are long in words or letters: arrays beside prints."""
+    def total(sizes: str, i: Column) -> Column:
+        return sum((F.get(sizes, i + k) for k in range(run)), F.lit(0))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("prints") - run), lambda i: (total("words", i) > WORDS) | (total("letters", i) > LETTERS))
+    found = rows.where(F.size("prints") >= run).select("row", "ord", "prints", F.explode(starts).alias("start"))
+    return _later(found.select("row", "ord", "start", F.xxhash64(F.slice("prints", F.col("start") + 1, run)).alias("window")), run)
+
+
 def repeated_windows(rows: DataFrame, run: int = RUN) -> DataFrame:
     """(row, starts) for (row, ord, prints) rows: where in each text a window begins that came earlier, and from which line on it goes.
 
@@ -63,49 +86,48 @@ def repeated_windows(rows: DataFrame, run: int = RUN) -> DataFrame:
     # Windows that contain a shared place: they extend a match to both sides.
     near = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - (run - 1)), F.least(p, F.size("prints") - run)))))
     windows = found.select("row", "ord", "prints", F.explode(near).alias("start")).select("row", "ord", "start", F.xxhash64(F.slice("prints", F.col("start") + 1, run)).alias("window"))
-    windows = materialize(windows, "windows")
-    firsts = windows.groupBy("window").agg(F.min(F.struct("ord", "start", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = bounded_broadcast(materialize(firsts.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first-windows"))
-    later = windows.join(firsts, "window").where("NOT (row = first_row AND start = first_start)")
-    begin = F.when(F.col("row") == F.col("first_row"), F.greatest("start", F.col("first_start") + run)).otherwise(F.col("start"))
-    return later.select("row", begin.alias("begin"), (F.col("start") + run).alias("end")).where("begin < end")
+    return _later(windows, run)
 
 
-def _marked(df: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+def _marked(df: DataFrame, id_col: str, text_col: str, run: int, long: bool) -> DataFrame:
     """(row key, gone: indexes of deleted lines) for the rows that lose lines."""
     text = F.col(text_col)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(empty_text(text)).alias("code"))
-    rows = df.select(F.xxhash64(id_col, empty_text(text)).alias("row"), key.alias("ord"), _filled(text).alias("filled"))
-    rows = rows.select("row", "ord", F.transform("filled", lambda x: x["print"]).alias("prints"), F.transform("filled", lambda x: x["place"]).alias("places"))
+    rows = df.select(F.xxhash64(id_col, empty_text(text)).alias("row"), key.alias("ord"), _filled(text, long).alias("filled"))
+    sizes = [F.transform("filled", lambda x: x["words"]).alias("words"), F.transform("filled", lambda x: x["n"]).alias("letters")] if long else []
+    rows = rows.select("row", "ord", F.transform("filled", lambda x: x["print"]).alias("prints"), F.transform("filled", lambda x: x["place"]).alias("places"), *sizes)
     rows = materialize(rows.dropDuplicates(["row"]), "lines")
-    spans = repeated_windows(rows, run).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    later = repeated_windows(rows, run)
+    for fewer in range(1, run) if long else ():
+        later = later.unionByName(long_windows(rows, fewer))
+    spans = later.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     inside = F.filter(
         F.transform("places", lambda p, i: F.when(F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"])), p)), lambda p: p.isNotNull()
     )
     return materialize(rows.join(spans, "row").select(F.col("row").alias("__lf_row"), inside.alias("__lf_gone")), "repeated")
 
 
-def _cleaned(df: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+def _cleaned(df: DataFrame, id_col: str, text_col: str, run: int, long: bool) -> DataFrame:
     """All rows with __lf_gone (null if nothing goes) and __lf_clean, the text without its repeated runs."""
-    gone = bounded_broadcast(_marked(df, id_col, text_col, run))
+    gone = bounded_broadcast(_marked(df, id_col, text_col, run, long))
     joined = df.withColumn("__lf_key", F.xxhash64(id_col, empty_text(F.col(text_col)))).join(gone, F.col("__lf_key") == F.col("__lf_row"), "left")
     kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains("__lf_gone", i))
     return joined.withColumn("__lf_clean", F.when(F.col("__lf_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 
 
-def mark_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def mark_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: bool = True) -> DataFrame:
     """One row for each input row: id, n_lines (filled ones), n_removed, clean_sha256, clean_chars."""
     has_columns(df, id_col, text_col)
-    rows = _cleaned(df.select(id_col, F.col(text_col).cast("string").alias(text_col)), id_col, text_col, run)
+    rows = _cleaned(df.select(id_col, F.col(text_col).cast("string").alias(text_col)), id_col, text_col, run, long)
     clean = empty_text(F.col("__lf_clean"))
     filled = F.size(F.filter(_lines(F.col(text_col)), lambda x: F.length(F.regexp_replace(x, r"\s+", "")) > 0))
     return rows.select(id_col, filled.cast("long").alias("n_lines"), F.coalesce(F.size("__lf_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(clean, 256).alias("clean_sha256"), F.length(clean).cast("long").alias("clean_chars"))
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: bool = True) -> DataFrame:
     """All rows and columns, the text without its later repeated runs."""
     has_columns(df, id_col, text_col)
-    rows = _cleaned(df, id_col, text_col, run)
+    rows = _cleaned(df, id_col, text_col, run, long)
     return rows.select(*[(F.col("__lf_clean").alias(c) if c == text_col else F.col(f"`{c}`")) for c in df.columns])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
 from lucidframe.functions.expr import col, hash_key, rounded
-from lucidframe.models import fit, tuning
+from lucidframe.models import fit, registry, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
 from lucidframe.plans import workflow
 from lucidframe.sources.tables import dataset
@@ -566,6 +566,6 @@ def fit_gbt(spark, folder):
 @query("tuned_core")
 def tuned_core(spark, folder):
     rows = labelled(spark, folder).where("toxic IS NOT NULL").select(F.col("doc_id").alias("row_id"), "n_chars", "lang", F.col("toxic").cast("string").alias("toxic"))
-    record = tuning.tune(rows, TOXIC, "row_id", ["linear", "tree"], 4, folds=3, options={"missing": "impute", "novel": "mode"})
+    record = tuning.tune(rows, TOXIC, "row_id", registry.portfolio("core", TOXIC.kind), registry.BUDGETS["core"], options={"missing": "impute", "novel": "mode"})
     found = [(c["configuration_id"], c["family"], c["cv_score"], c["cv_se"], c["configuration_id"] == record.selected) for c in record.candidates]
     return spark.createDataFrame(found, "configuration_id string, family string, cv_score double, cv_se double, selected boolean")

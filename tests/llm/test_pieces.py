@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,8 +18,9 @@ TEXTS = ["", " ", "a", " a  b\n\nc", "x▁y ▁▁ z", "é😀 \t\r\0 <s> <0x41>
 
 
 def whole(vocabulary, text):
-    segments = vocabulary.segments(text)
-    return [i for ids in vocabulary.encode_segments(segments) for i in ids]
+    """The ids of a text, by the coder."""
+    coder = pieces.Coder(vocabulary)
+    return [i for group in coder.parts([text]) for ids in coder.encode([x[2] for x in group]) for i in ids]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -37,13 +39,55 @@ def test_random_texts(vocabulary, text):
 
 
 def test_matrix_and_heap_agree(vocabulary):
-    words = ["▁international", "▁thhaedin", "zzzz", "▁▁▁▁x", "ß"]
-    assert vocabulary._matrix(words) == [vocabulary._heap(w) for w in words]
+    words = ["▁international", "▁thhaedin", "zzzz", "▁▁▁▁x", "ß", "中", "x" * pieces.WIDE]
+    ids, counts = vocabulary._matrix(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [vocabulary._heap(w) for w in words]
 
 
 def test_a_wrong_id_is_noticed(vocabulary):
+    with pytest.raises(ValueError, match="word"):
+        vocabulary.check(["▁word"], np.array([1, 2, 3], np.int32), np.array([3]))
+
+
+def test_a_wrong_text_is_noticed(vocabulary, monkeypatch):
+    coder = pieces.Coder(vocabulary)
+    monkeypatch.setattr(vocabulary, "decode", lambda ids: "other")
     with pytest.raises(ValueError):
-        vocabulary.check(["▁word"], [[1, 2, 3]])
+        coder.decode(vocabulary.library.encode("word"), True)
+
+
+def test_every_kind_of_character_is_cut_where_no_piece_joins(vocabulary):
+    text = "".join(chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000)
+    mixed = " ".join(a + b for a in "aéж中7.▁ę" for b in text[:2000:7])
+    for t in (text, mixed):
+        assert whole(vocabulary, t) == vocabulary.library.encode(t)
+
+
+def test_memory_is_bounded_and_changes_no_id(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN", 50)
+    coder = pieces.Coder(vocabulary)
+    for k in range(40):
+        text = " ".join(f"w{chr(97 + (k * j) % 26)}{'xyz'[j % 3] * (j % 7)}q" for j in range(60)) + " the same words"
+        assert [i for g in coder.parts([text]) for ids in coder.encode([x[2] for x in g]) for i in ids] == vocabulary.library.encode(text)
+        assert len(coder.number) <= 50 + 200
+
+
+@pytest.mark.parametrize("text", ["the cat\n" * 5000, "  é😀 x" * 4000, "a" * 30_000, "▁ " * 20_000, "7" * 9000])
+def test_long_texts_in_parts(vocabulary, monkeypatch, text):
+    monkeypatch.setattr(pieces, "TOGETHER", 1000)
+    n, ids, decoded, own, back = (x[0] for x in pieces._coded(pieces.Coder(vocabulary), [text], True))
+    theirs = vocabulary.library.encode(text)
+    assert (n, own, back) == (len(theirs), theirs, vocabulary.library.decode(theirs))
+    assert ids == hashlib.sha256(",".join(map(str, theirs)).encode()).hexdigest()
+    assert decoded == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_other_columns_may_have_any_name(spark, vocabulary):
+    df = spark.createDataFrame([(1, "a b", "k", 5), (1, "a b", "k", 5)], "doc_id long, text string, __lf_text string, n_tokens int")
+    got = pieces.encode(df, tokenizer_file()).collect()
+    assert [r.n_tokens for r in got] == [len(vocabulary.library.encode("a b"))] * 2
+    odd = pieces.encode(df.withColumnRenamed("doc_id", "__lf_id").withColumnRenamed("text", "__lf_t"), tokenizer_file(), "__lf_id", "__lf_t")
+    assert odd.columns[0] == "__lf_id" and odd.count() == 2
 
 
 def test_frame(spark, vocabulary):

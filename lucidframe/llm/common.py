@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +22,18 @@ _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir or setCheckpointDir; one of our own only where neither is set and all runs in one process, as in tests."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context._jsc.sc().getCheckpointDir().get()
     if not root:
-        app = spark.sparkContext.applicationId
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
         if app not in _roots:
             _roots[app] = tempfile.mkdtemp(prefix="lucidframe-")
-            spark.sparkContext.setCheckpointDir(_roots[app])
+            atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
         root = _roots[app]
     return root.rstrip("/")
 
@@ -104,6 +110,14 @@ def seeds64(n: int, seed: int, odd: bool = False) -> np.ndarray:
     return x | np.uint64(1) if odd else x
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -10,20 +10,24 @@
 4. Candidate pairs are verified on their full sets: 100 * |A and B| >= percent * |A or B|.
 5. Verified links are contracted by large-star and small-star. Buckets that then hold more than one component are
    searched block against block: signatures are compared within a task, and members with a plausible partner in
-   another component are compared there on their full sets; a spanning forest of what holds comes out. So no link is
-   lost by the stars, no group is expanded into all its pairs, and no task holds more than two blocks of a bucket.
+   another component are compared there on their full sets; a spanning forest of what holds comes out. Blocks hold members
+   of one class of set sizes, and only classes whose sizes allow the threshold meet. So no link is lost by the
+   stars, no group is expanded into all its pairs, and no task holds more than two blocks of a bucket.
 
 A pair at the threshold of 0.85 misses all bands with probability (1 - 0.85 ** 4) ** 20 = 4e-7, one at 0.8 with 3e-5.
 
 Defined results: null or empty texts, and texts of white space only, have the empty set and are linked with nothing; a
-text of fewer than five words has one shingle, all its words; repeated rows fall into one class; a null id is never a
-representative and gets the component of its class, or null; an empty table gives an empty result. Only the id and text
-columns are read by `near_duplicates`; `drop_near_duplicates` returns all columns of the rows that stay.
+text of fewer than five words has one shingle, all its words; repeated rows fall into one class; an empty table gives an
+empty result. Ids that are null, repeated or no whole numbers are no trouble, as rows are then numbered: a component is
+named by its smallest id that isn't null, or by null. `near_duplicates` reads only the id and text columns and returns the
+id under its name; `drop_near_duplicates` returns all columns, whatever they are called, of exactly one row of each
+component, the one with the smallest id (null ids last; any of equal ones), and of all rows without shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64, unused
 from lucidframe.llm.components import connected_components
 from lucidframe.shipping import ship
 
 WORDS, BANDS, ROWS, PERCENT = 5, 20, 4, 85
 #: Bytes of text that are hashed together; shingles of a text that are minimised together.
-SLICE, STRIP = 2 << 20, 1 << 13
+SLICE, STRIP = 1 << 17, 1 << 10
 #: Members of a bucket's block in the search for links between components, and shingles that they hold together, about.
 BLOCK, HELD = 512, 4 << 20
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -216,7 +220,8 @@ def _hits(table: pa.Table, percent: int):
     bands = np.stack(table.column("bands").to_numpy(zero_copy_only=False)) if len(n) else np.empty((0, BANDS), np.int64)
     need = _least_match(percent)
     here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0]) if len(n) else 0
-    one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(n)),) * 2
+    alone = len(n) and table.column("first")[0] == table.column("second")[0]
+    one, two = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for start in range(0, len(one), 64):
         rows = one[start : start + 64]
         same = np.zeros((len(rows), len(two)), np.int16)
@@ -273,19 +278,28 @@ def _confirm(percent: int):
     return run
 
 
-_MEMBER = "key bigint, first int, second int, side int, id bigint, n bigint, marks binary, bands array<bigint>, component bigint"
+_MEMBER = "key bigint, first bigint, second bigint, side int, id bigint, n bigint, marks binary, bands array<bigint>, component bigint"
 _PAIR_OF_BLOCKS = ("key", "first", "second")
 
 
-def _blocks(members: DataFrame, own: DataFrame) -> DataFrame:
-    """Members (key, id, n, component) of buckets with several components, dealt into blocks and sent to every pair of blocks that needs them."""
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    size = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("held") / HELD)).cast("int")
-    mixed = materialize(mixed.select("key", size.alias("blocks"), (F.col("rows") * size).alias("sent")), "mixed")
-    sent = mixed.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
-    rows = members.select("key", "id", "component").join(mixed.drop("sent"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Members (key, id, n, component) of buckets with several components, dealt into blocks and sent to every pair of blocks that needs them.
+
+    A block is a number of its class of sizes and of its place in it. Sizes of a pair that can hold fall into one class or neighbours.
+    """
+    ratio = max(math.log(100 / percent) * 1.0001, 1e-9)
+    members = members.withColumn("class", F.floor(F.log("n") / ratio))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / HELD)).cast("long").alias("blocks"))
+    sizes = materialize(sizes.join(mixed, "key", "left_semi"), "mixed")
+    near = sizes.select("key", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("near"), F.col("blocks").alias("held"))
+    meets = materialize(sizes.join(near, ["key", "class"]), "meetings")
+    sent = meets.agg(F.coalesce(F.sum(F.col("rows") * F.col("held")), F.lit(0))).first()[0]
+    rows = members.select("key", "class", "id", "component").join(meets.drop("rows"), ["key", "class"])
+    number = lambda kind, place: F.shiftleft(kind.cast("long"), 24) + place
+    rows = rows.withColumn("own", number(F.col("class"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
     rows = rows.join(own.select("id", "n", "marks", "bands"), "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1))).withColumn("other", number(F.col("near"), F.col("place")))
     first, second = F.least("own", "other"), F.greatest("own", "other")
     dealt = rows.select("key", first.alias("first"), second.alias("second"), (F.col("own") != first).cast("int").alias("side"), "id", "n", "marks", "bands", "component")
     # The comparisons of a row take far longer than its bytes suggest, so there are more tasks than its bytes ask for.
@@ -293,10 +307,12 @@ def _blocks(members: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def similar_components(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """For (id, text) rows: (id, n, low) of all rows, low the id of its class, and (vertex, component) of linked classes."""
+    """For (id, text) rows, ids unique and not null: (id, n, low) of all rows, low the id of its class, and (vertex, component) of linked classes."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     signed = materialize(texts.mapInArrow(_signatures, "id bigint, n bigint, digest binary, bands array<bigint>, marks binary"), "signatures")
     # One class for each set, named by its smallest id. Only classes of several rows need a join.
-    filled = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest")
+    filled = signed.where("n > 0").groupBy("digest")
     classes = materialize(filled.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("n", "bands", "marks"), "id").alias("x")).select("id", "digest", "rows", "x.*"), "classes")
     several = classes.where("rows > 1").select("digest", F.col("id").alias("low"))
     labelled = signed.select("id", "n", "digest").join(several, "digest", "left").select("id", "n", F.coalesce("low", "id").alias("low"))
@@ -313,7 +329,7 @@ def similar_components(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFr
     labels = connected_components(links)
     named = members.select("key", "id").join(own.select("id", "n"), "id").join(labels, F.col("id") == F.col("vertex"), "left")
     named = materialize(named.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "named")
-    flagged = materialize(_blocks(named, own).groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_flag(percent), _MEMBER), "flagged")
+    flagged = materialize(_blocks(named, own, percent).groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_flag(percent), _MEMBER), "flagged")
     if not flagged.isEmpty():
         sets = _full_sets(texts, flagged.select("id").distinct())
         found = flagged.join(sets, "id").groupBy(*_PAIR_OF_BLOCKS).applyInArrow(_confirm(percent), "u bigint, v bigint")
@@ -321,18 +337,62 @@ def similar_components(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFr
     return labelled, labels
 
 
+def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The frame and the column that numbers its rows: the ids, if they are unique whole numbers; else numbers written with the rows."""
+    ids = F.col(f"`{id_col}`")
+    if df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        counts = df.select(ids.cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        if counts.where("n > 1 OR id IS NULL").isEmpty():
+            return df, id_col
+    name = unused(df, "__lf_row")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _labelled(df: DataFrame, number: str, text_col: str, percent: int) -> DataFrame:
+    """(number, n, component) of all rows."""
+    rows, labels = similar_components(df.select(F.col(f"`{number}`").cast("long").alias("id"), empty_text(F.col(f"`{text_col}`")).alias("text")), percent)
+    joined = rows.join(labels, F.col("low") == F.col("vertex"), "left")
+    return joined.select(F.col("id").alias("number"), "n", F.coalesce("component", "low").alias("component"))
+
+
+def _first_rows(df: DataFrame, number: str, id_col: str, labelled: DataFrame) -> DataFrame:
+    """(component, first: its row with the smallest id, none: whether that is null) of the components of several rows."""
+    ids = df.select(F.col(f"`{number}`").alias("number"), F.col(f"`{id_col}`").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "number")
+    found = labelled.join(ids, "number").groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return bounded_broadcast(materialize(found.select(F.col("component").alias("of"), F.col("first.number").alias("first"), F.col("first.id").alias("name")), "components"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
-    rows, labels = similar_components(df.select(F.col(id_col).cast("long").alias("id"), empty_text(F.col(text_col)).alias("text")), percent)
-    joined = rows.join(labels, F.col("low") == F.col("vertex"), "left")
-    component = F.coalesce("component", "low")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    narrow, number = _numbered(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col)
+    labelled = _labelled(narrow, number, text_col, percent)
+    if number == id_col:
+        name, component = F.col("number").cast(df.schema[id_col].dataType), F.col("component").cast(df.schema[id_col].dataType)
+    else:
+        labelled = materialize(labelled, "labelled")
+        first = _first_rows(narrow, number, id_col, labelled)
+        ids = narrow.select(F.col(f"`{number}`").alias("number"), F.col(f"`{id_col}`").alias("id"))
+        labelled = labelled.join(ids, "number").join(first, F.col("component") == F.col("of"), "left")
+        name, component = F.col("id"), F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("name"))
+    return labelled.select(name.alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), name.eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows that stay, with all their columns: one for each component (the smallest id), and all without shingles."""
-    flags = near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("__lf_gone")).where("__lf_gone IS NOT NULL").distinct()
-    gone = bounded_broadcast(materialize(flags, "dropped"))
-    return df.join(gone, F.col(id_col) == F.col("__lf_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows that stay, with all their columns: one for each component, and all without shingles."""
+    has_columns(df, id_col, text_col)
+    ship(df.sparkSession)
+    columns = df.columns
+    df, number = _numbered(df, id_col)
+    labelled = _labelled(df, number, text_col, percent)
+    if number == id_col:
+        gone = labelled.where("number <> component").select("number")
+    else:
+        labelled = materialize(labelled, "labelled")
+        first = _first_rows(df, number, id_col, labelled)
+        gone = labelled.join(first, F.col("component") == F.col("of")).where("number <> first").select("number")
+    name = unused(df, "__lf_gone")
+    gone = bounded_broadcast(materialize(gone.withColumnRenamed("number", name), "dropped"))
+    return df.join(gone, F.col(f"`{number}`") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in columns])

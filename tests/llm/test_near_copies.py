@@ -80,11 +80,48 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_hubs_are_split_in_components(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 20)
+    rng = random.Random(9)
+    links = [(1, i) for i in range(2, 150)] + [(500, i) for i in range(300, 420)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(150)] + [(149, 300)]
+    got = {r.vertex: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = groups({x for e in links for x in e}, links)
+    assert all(got.get(n, n) == c for n, c in want.items())
+
+
 def test_minhash_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (9, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (None, 1, False), (None, None, True), (9, 9, True)], key=str)
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.drop_near_duplicates(df.limit(0)).count() == 0
+    assert sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()), key=str) == sorted([(1, "a b c d e f"), (None, "q"), (9, None)], key=str)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    same, other = "a b c d e f g h", "quite another text that has words of its own"
+    rows = [(1, same, 1), (5, same, 2), (5, other, 3), (None, same, 4), (None, "", 5), (None, "", 6), (5, "third text here", 7)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __lf_row int")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r["__lf_row"] for r in kept.collect()) == [1, 3, 5, 6, 7]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, 1, False), (None, None, True), (None, None, True), (5, 5, True)], key=str)
+
+
+def test_ids_may_be_texts(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e f"), ("c", "q r s")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df).collect()) == [("a", 2, "a", True), ("b", 2, "a", False), ("c", 1, "c", True)]
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(df).collect()) == ["a", "c"]
+
+
+def test_sizes_at_the_threshold_meet(spark):
+    """Sets of 17 and 20 of which one holds the other: similarity 0.85, in whatever size classes they fall."""
+    rows = []
+    for k, (small, large) in enumerate([(17, 20), (34, 40), (85, 100), (170, 200)]):
+        words = [f"g{k}w{i}" for i in range(large + 4)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[: small + 4]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * k + 1] == 10 * k for k in range(4))
 
 
 def test_long_texts_are_hashed_in_slices(monkeypatch):

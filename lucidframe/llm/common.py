@@ -69,15 +69,31 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else df
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """0-based rank in a total order without one task seeing all rows: range partitions, then offsets for each."""
-    part, count = "__lf_part", "__lf_before"
+def running_sum(df: DataFrame, order: list[Column], size: Column, name: str) -> DataFrame:
+    """The sum of `size` up to each row in a total order, without one task seeing all rows: range partitions, then an offset for each."""
+    part, held = unused(df, "__lf_part"), unused(df, "__lf_held")
     ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(count))  # a row for each range partition
-    offsets = offsets.withColumn(count, F.coalesce(F.sum(count).over(ahead), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
-    return ranged.withColumn(name, within.cast("long")).join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col(count)).drop(part, count)
+    offsets = ranged.groupBy(part).agg(F.sum(size).alias(held))  # a row for each range partition
+    offsets = offsets.withColumn(held, F.coalesce(F.sum(held).over(ahead), F.lit(0)))
+    within = F.sum(size).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, within).join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col(held)).drop(part, held)
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """0-based rank in a total order."""
+    return running_sum(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
+
+
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The frame and the column that numbers its rows: the ids, if they are unique whole numbers; else numbers written with the rows."""
+    ids = F.col(f"`{id_col}`")
+    if df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        counts = df.select(ids.cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        if counts.where("n > 1 OR id IS NULL").isEmpty():
+            return df, id_col
+    name = unused(df, "__lf_row")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def shuffled_unit(seed: str, *columns: Column) -> Column:

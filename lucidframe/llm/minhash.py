@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64, unused
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, numbered, seeds64, unused
 from lucidframe.llm.components import connected_components
 from lucidframe.shipping import ship
 
@@ -337,17 +337,6 @@ def similar_components(texts: DataFrame, percent: int = PERCENT) -> tuple[DataFr
     return labelled, labels
 
 
-def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """The frame and the column that numbers its rows: the ids, if they are unique whole numbers; else numbers written with the rows."""
-    ids = F.col(f"`{id_col}`")
-    if df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        counts = df.select(ids.cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        if counts.where("n > 1 OR id IS NULL").isEmpty():
-            return df, id_col
-    name = unused(df, "__lf_row")
-    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
 def _labelled(df: DataFrame, number: str, text_col: str, percent: int) -> DataFrame:
     """(number, n, component) of all rows."""
     rows, labels = similar_components(df.select(F.col(f"`{number}`").cast("long").alias("id"), empty_text(F.col(f"`{text_col}`")).alias("text")), percent)
@@ -367,7 +356,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each input row: id, n_shingles, component_id, kept."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
-    narrow, number = _numbered(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col)
+    narrow, number = numbered(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col)
     labelled = _labelled(narrow, number, text_col, percent)
     if number == id_col:
         name, component = F.col("number").cast(df.schema[id_col].dataType), F.col("component").cast(df.schema[id_col].dataType)
@@ -385,7 +374,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
     columns = df.columns
-    df, number = _numbered(df, id_col)
+    df, number = numbered(df, id_col)
     labelled = _labelled(df, number, text_col, percent)
     if number == id_col:
         gone = labelled.where("number <> component").select("number")

@@ -101,12 +101,16 @@ level AS (
   WHERE ((SELECT sum(words) FROM src)::DOUBLE * 1.5::DOUBLE - held) / free <= 2.0 * words / weight ORDER BY i LIMIT 1),
 targets AS (SELECT source, words, least(2.0::DOUBLE * words, (SELECT l FROM level) * weight) AS target FROM src),
 placed AS (
-  SELECT doc_id, size, words, target,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT doc_id, size, words, target, r,
+    size + coalesce(sum(size) OVER (PARTITION BY r ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e
+  FROM docs d JOIN (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM targets) t ON d.source IS NOT DISTINCT FROM t.source),
+queue AS (
+  SELECT r, e + c * words AS e, sum(size) OVER (ORDER BY CAST(e + c * words AS DOUBLE) / target, r, e + c * words ROWS UNBOUNDED PRECEDING) AS served
+  FROM placed, (VALUES (0), (1)) AS copies(c) WHERE size > 0),
+cut AS (SELECT r, max(e) AS last FROM queue WHERE served <= (SELECT sum(words) FROM src)::DOUBLE * 1.5::DOUBLE GROUP BY r)
 SELECT doc_id, size, words AS source_size, target,
-  CAST(size * (CAST(before + size / 2.0 < target AS INT) + CAST(before + size / 2.0 + words < target AS INT)) AS BIGINT) AS taken
-FROM placed""",
+  CAST(CASE WHEN size > 0 THEN size * (CAST(coalesce(e <= last, false) AS INT) + CAST(coalesce(e + words <= last, false) AS INT)) ELSE 0 END AS BIGINT) AS taken
+FROM placed LEFT JOIN cut ON placed.r = cut.r""",
     "op4_line_dedup": r"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS place FROM cut),

@@ -7,8 +7,9 @@ digests take one ordinary shuffle.
 
 Defined results: a null text counts as empty, so null and empty texts form one group; the row with the largest id
 stays; rows with a null id lose to any other and, among themselves, all count as the one that stays (`flag_copies`)
-or one of them stays (`drop_copies`); repeated rows are counted each. An empty table gives an empty result. Only the
-id and text columns are read by `flag_copies`; `drop_copies` returns all columns, whatever they are called.
+or one of them stays (`drop_copies`); repeated rows are counted each, and one of them stays. An empty table gives an empty
+result. Only the id and text columns are read by `flag_copies`; `drop_copies` returns all columns, whatever they are called.
+It moves digests and row numbers only: the losers among frequent digests go by the broadcast winners, the others in one anti-join.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import empty_text, has_columns, materialize
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, numbered, unused
 
 #: Digests that may be handled as frequent, and counters of the sketch. A digest with more than
 #: rows / (0.75 * TRACKED) rows can't be missed by the sketch.
@@ -34,8 +35,8 @@ def heavy_winners(keyed: DataFrame, key: str, id_col: str) -> DataFrame:
 def flag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256."""
     has_columns(df, id_col, text_col)
-    digest = F.sha2(empty_text(F.col(text_col)), 256).alias("text_sha256")
-    keyed = materialize(df.select(F.col(id_col).alias("doc_id"), digest), "digests")
+    digest = F.sha2(empty_text(F.col(f"`{text_col}`")), 256).alias("text_sha256")
+    keyed = materialize(df.select(F.col(f"`{id_col}`").alias("doc_id"), digest), "digests")
     heavy = heavy_winners(keyed, "text_sha256", "doc_id")
     frequent = keyed.join(F.broadcast(heavy), "text_sha256")
     same = Window.partitionBy("text_sha256")
@@ -48,12 +49,18 @@ def flag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Whole rows are shuffled once, without the frequent digests' losers."""
+    """The rows that stay, with all their columns. Texts are read twice, for their digests, and shuffled only if the losers are too many to broadcast."""
     has_columns(df, id_col, text_col)
-    key, keep, size, place = "__lf_digest", "__lf_keep", "__lf_size", "__lf_place"
-    keyed = df.withColumn(key, F.sha2(empty_text(F.col(text_col)), 256))
-    narrow = materialize(keyed.select(F.col(id_col).alias("__lf_id"), key), "digests")
-    heavy = heavy_winners(narrow, key, "__lf_id").select(key, F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    left = keyed.join(F.broadcast(heavy), key, "left").where(F.col(size).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(id_col).desc_nulls_last()))
-    return left.withColumn(place, first).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = df.columns
+    df, number = numbered(df, id_col)
+    digest = F.sha2(empty_text(F.col(f"`{text_col}`")), 256)
+    place = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{number}`").alias("number"))  # a null id is less than any other
+    narrow = materialize(df.select(digest.alias("digest"), place.alias("place")), "digests")
+    heavy = heavy_winners(narrow, "digest", "place").select("digest", F.col("keep_id.number").alias("stays"))
+    rest = narrow.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    winners = rest.groupBy("digest").agg(F.max("place").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    losers = rest.join(winners, "digest").where("place.number <> best.number").select("place.number")
+    key, stays, gone = unused(df, "__lf_digest"), unused(df, "__lf_stays"), unused(df, "__lf_gone")
+    left = df.withColumn(key, digest).join(F.broadcast(heavy.toDF(key, stays)), key, "left").where(F.col(stays).isNull() | (F.col(stays) == F.col(f"`{number}`")))
+    losers = bounded_broadcast(materialize(losers.toDF(gone), "losers"))
+    return left.join(losers, F.col(f"`{number}`") == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in columns])

@@ -6,7 +6,8 @@ first slot of its order that is still free, until the table is full. The table,
 is broadcast, and a row's place is one look at slot `md5(id) mod size`. If a shard comes or goes, few other slots move.
 
 Defined results: a null id is placed like an empty string; equal ids share a shard; an empty table gives an empty
-result; `place` reads only the id column, `assign` keeps all columns and adds `slot` and `shard` under given names.
+result; `place` reads only the id column, `assign` keeps all columns, whatever they are called, and adds `slot` and `shard`;
+if the rows have columns of these names it raises an error, and other names must be given.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import has_columns
+from lucidframe.llm.common import has_columns, unused
 
 #: Size of the table, a prime far above the number of shards.
 SLOTS = 65_537
@@ -65,20 +66,24 @@ def table_frame(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int
 def assign(df: DataFrame, id_col: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS, weights=None, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     """All rows with their slot and shard."""
     has_columns(df, id_col)
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    table = table_frame(df.sparkSession, shards, slots, weights)
-    names = [c for c in df.columns if c not in (slot_name, shard_name)]
-    placed = df.withColumn("__lf_at", F.pmod(key, F.lit(slots))).join(F.broadcast(table), F.col("__lf_at") == F.col("__lf_slot"))
-    return placed.select(*[F.col(f"`{c}`") for c in names], F.col("__lf_slot").alias(slot_name), F.col("__lf_shard").alias(shard_name))
+    clash = {slot_name.lower(), shard_name.lower()} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"the rows have columns called {', '.join(sorted(clash))}; give slot_name and shard_name")
+    key = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    at, slot, shard = (unused(df, n) for n in ("__lf_at", "__lf_slot", "__lf_shard"))
+    table = table_frame(df.sparkSession, shards, slots, weights).toDF(slot, shard)
+    placed = df.withColumn(at, F.pmod(key, F.lit(slots))).join(F.broadcast(table), F.col(at) == F.col(slot))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.col(slot).alias(slot_name), F.col(shard).alias(shard_name))
 
 
 def place(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """id, slot and shard of each row."""
-    return assign(df.select(id_col), id_col, **how)
+    return assign(df.select(F.col(f"`{id_col}`")), id_col, **how)
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", files: int = 1, **how) -> None:
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", files: int = 1, shard_name: str = "shard", **how) -> None:
     """Parquet folders by shard, each written by `files` tasks; rows within a file stand in id order."""
-    rows = assign(df, id_col, **how).withColumn("__lf_file", F.pmod(F.xxhash64(id_col), F.lit(files)))
-    rows = rows.repartition("shard", "__lf_file").sortWithinPartitions("shard", id_col)
-    rows.drop("__lf_file", "slot").write.partitionBy("shard").parquet(path)
+    slot, file = unused(df, "__lf_slot_of"), unused(df, "__lf_file")
+    rows = assign(df, id_col, slot_name=slot, shard_name=shard_name, **how).withColumn(file, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(files)))
+    rows = rows.repartition(shard_name, file).sortWithinPartitions(shard_name, F.col(f"`{id_col}`"))
+    rows.drop(file, slot).write.partitionBy(shard_name).parquet(path)

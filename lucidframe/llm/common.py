@@ -61,6 +61,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most 1,024 rows, unless the session asks for other ones: 10,000 long texts don't fit beside a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1024")
+
+
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Mark a written frame for broadcast if its counted rows and bytes are small; else leave the join to shuffle."""
     flexible = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]

@@ -1,19 +1,21 @@
-"""Main text of web pages: markup zones, and a suffix array over each host for what the markup leaves open.
+"""Main text of web pages: markup as evidence of a page's parts, and a suffix array over each host for what it repeats.
 
 A page is read into blocks with a zone: `chrome` (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, by element, role, class or id), `article` (inside article, main or their role) or `plain`. Scripts, styles,
-heads and hidden parts are no text at all.
-
-If a page names its article, the article's blocks are its main text: a passage that other pages quote or copy stays. If
-not, or if its article blocks hold less than `TEASER` of its article and plain text, the host decides. The token streams of its pages' plain and chrome blocks are put one after the other and a suffix
-array is built (prefix doubling, a bounded chunk of pages at a time); neighbouring suffixes with `RUN` tokens in common
-are a repeated substring, kept as a fingerprint with the number of pages it stands on, which adds up over the chunks of a
-host by partial sums, however large the host. The same counts are kept for a substring in one place of the template: in
-the nth block from the page's start, or from its end. Boilerplate is what stands on `PLACED` distinct pages in one place,
-however large the host, or on a `SHARE` of its pages without an article and on `PAGES` pages at least (both pages of a host
-of two). Tokens of plain blocks in it go, if they fill their block or make up a run of RUN tokens in it; unique runs stay,
-and so does what a second page copies. A passage that stories share in different places of their pages is no template.
-Pages with equal html count as one page, or copies would delete each other.
+comments, by element or role, or by a class or id all of whose words say so), `article` (inside article, main or their
+role) or `plain`. Scripts, styles, heads and hidden parts are no text at all. Candidates for the main text are the article blocks
+of a page that names its article, and the plain blocks of any other, of which article blocks that hold less than
+`TEASER` of the article and plain text are part.
+
+Which tokens of the candidates are boilerplate is decided for every page by its host. Candidates are cut into units: a
+block of RUN tokens or more, or neighbouring shorter blocks together. The token streams of a host's pages are put one after
+the other and the suffixes that begin in units of the same place of the template (the nth unit from the page's nearer end) are
+sorted; neighbours with RUN tokens in common are a repeated substring. One that stands on `PLACED` distinct pages of its
+kind (all of a smaller host's, two at least) is boilerplate, and its tokens go; unique runs stay, and so does a passage that stories
+share in different places or on fewer pages. Pages with equal candidates count as one, or copies would delete each other; an
+article more than half of which is repeated is a copy of other articles, not template, and stays whole.
+
+The work is bounded by `CHUNK`: a host with more html than that is dealt out by places, and a place with more tokens than that by
+pages, whose counts then add up by fingerprints of the substrings, so results don't depend on the dealing.
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
@@ -33,14 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64, small_batches
 from lucidframe.shipping import ship
 
-#: Tokens of a repeated substring, and pages of a host whose suffixes are sorted together.
-RUN, CHUNK = 6, 512
-#: Distinct pages of a host that a repeat stands on to be boilerplate: in one place of the template, and anywhere, where it
-#: must also stand on a share of the host's pages without an article.
-PLACED, PAGES, SHARE = 10, 3, 0.2
+#: Tokens of a repeated substring; bytes of html, or three times the tokens, that one task takes together.
+RUN, CHUNK = 6, 16 << 20
+#: Suffixes that are sorted together.
+SORTED = 1 << 20
+#: Distinct pages of a host on which a substring stands in one place of the template to be boilerplate.
+PLACED = 5
 #: Part of a page's article and plain text below which its article blocks are teasers, read like plain ones.
 TEASER = 0.2
 
@@ -58,6 +61,8 @@ CHROME_NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies disqus respond "
     "pagination pager toolbar header skip".split()
 )
+#: Words beside them that say nothing of what a part holds.
+NEUTRAL_NAMES = frozenset("area articles bar block bottom box button buttons column container form group inner item items left links list outer posts right section sections site slot stories top wrap wrapper".split())
 #: A new one of these ends an open one with the same parent.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table".split())
@@ -86,8 +91,8 @@ def _zone(name: str, rest: str, outer: str) -> str:
     article = name in ARTICLE or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
     if name not in ("html", "body") and not (article and outer == "plain" and name == "main"):
         for label in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-            words = _NAME.findall(label)
-            if CHROME_NAMES.intersection(words) and not {"has", "no", "with", "without"}.intersection(words):
+            words = [w for w in _NAME.findall(label) if not w.isdigit()]
+            if CHROME_NAMES.intersection(words) and CHROME_NAMES.union(NEUTRAL_NAMES).issuperset(words):
                 return "chrome"
     return "article" if article else outer
 
@@ -97,8 +102,14 @@ def blocks(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = [("", "plain")]
+    open_: dict[str, int] = {}  # how many of each element the stack holds
     at, zone = 0, "plain"
 
+    def cut(k: int) -> None:
+        for name, _ in stack[k:]:
+            open_[name] -= 1
+        del stack[k:]
+
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
@@ -111,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if lt < 0:
             lt = len(page)
         if stack[-1][0] == "head" and page[at:lt].strip():
-            stack.pop()
+            cut(len(stack) - 1)
             zone = stack[-1][1]
         if lt > at and zone:
             parts.append(page[at:lt])
@@ -134,19 +145,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         name = m["name"].lower()
         if m["end"]:
+            if not open_.get(name):  # nothing to end
+                if name not in INLINE:
+                    close()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     if name not in INLINE or stack[k][1] != stack[k - 1][1]:
                         close()
-                    del stack[k:]
+                    cut(k)
                     zone = stack[-1][1]
                     break
-            else:
-                if name not in INLINE:
-                    close()
             continue
         if stack[-1][0] == "head" and name not in HEADED:
-            stack.pop()
+            cut(len(stack) - 1)
             zone = stack[-1][1]
         if name in RAW and not m["rest"].rstrip().endswith("/"):
             if name not in INLINE:
@@ -164,190 +176,277 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if name not in INLINE:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ENDS.get(name, ()) or stack[k][0] == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
             zone = stack[-1][1]
             inner = _zone(name, m["rest"], zone)
         stack.append((name, inner))
+        open_[name] = open_.get(name, 0) + 1
         zone = inner
     close()
     return out
 
 
-def _opened(found: list[tuple[str, str]]) -> tuple[bool, list[tuple[str, str]]]:
-    """Whether a page is open, without an article that holds its text, and its blocks, where teasers are plain ones."""
+def candidates(found: list[tuple[str, str]]) -> tuple[bool, list[list[str]]]:
+    """Whether a page names its article, and the words of the blocks that may be its main text."""
     named, plain = (sum(len(t) for z, t in found if z == zone) for zone in ("article", "plain"))
-    if named and named >= TEASER * (named + plain):
-        return False, found
-    return True, [("plain" if z == "article" else z, t) for z, t in found]
-
-
-def _tokens(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the blocks: token fingerprints, a 0 for each block's end, and the block of each."""
-    codes, block = [], []
-    for b, (_, text) in enumerate(found):
-        words = text.split(" ")
-        codes += [xxhash.xxh64_intdigest(w) | 1 for w in words] + [0]
-        block += [b] * (len(words) + 1)
-    return np.array(codes, np.uint64), np.array(block, np.int64)
+    article = bool(named) and named >= TEASER * (named + plain)
+    return article, [t.split(" ") for z, t in found if z == "article" or z == "plain" and not article]
+
+
+def stream(blocks_: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token codes of a page's blocks, a 0 behind each; where its units begin, and their places: 2n or, from the end, 2n + 1."""
+    code = xxhash.xxh32_intdigest
+    codes, starts, short = [], [], False
+    for words in blocks_:
+        if len(words) >= RUN or not short:
+            starts.append(len(codes))
+        short = len(words) < RUN
+        codes += [(code(w) & 0xFFFFFE) + 1 for w in words]
+        codes.append(0)
+    unit = np.arange(len(starts))
+    back = unit[::-1]
+    return np.array(codes, np.uint32), np.array(starts, np.int64), np.where(unit <= back, 2 * unit, 2 * back + 1)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """24 bits for each token."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
+def suffix_order(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at some places, sorted by their first RUN tokens, and which of them differ from the one before in these."""
+    keys = []
+    for k in range(0, RUN, 2):  # two tokens of 24 bits in a number
+        keys.append(codes[at + k].astype(np.uint64) << np.uint64(24) | (codes[at + k + 1] if k + 1 < RUN else np.uint64(0)))
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(at), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order, new
+
+
+class Streams:
+    """The streams of rows put one after the other, and the suffixes of RUN tokens that begin in each place."""
+
+    def __init__(self, table: pa.Table):
+        parts = [_unpacked(x) for x in table.column("codes").to_pylist()]
+        self.codes = np.concatenate(parts)
+        self.begin = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        self.rows = len(parts)
+        starts = [np.frombuffer(x, np.int32) for x in table.column("starts").to_pylist()]
+        self.unit_row = np.repeat(np.arange(self.rows), [len(x) for x in starts])
+        # Units stand one after the other; a unit's tokens end where the next one's begin.
+        self.unit_at = np.concatenate(starts).astype(np.int64) + self.begin[self.unit_row]
+        self.unit_end = np.append(self.unit_at[1:], len(self.codes))
+        self.unit_place = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()])
+        same = table.column("same").to_numpy()
+        self.same, first = np.unique(same, return_index=True)
+        self.first = np.zeros(self.rows, bool)  # pages with equal candidates count once
+        self.first[first] = True
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffixes, their units) of about SORTED suffixes, each place whole in one."""
+        count = np.maximum(self.unit_end - self.unit_at - RUN, 0)  # the last token of a unit is the mark behind its last block
+        order = np.argsort(self.unit_place, kind="stable")
+        total = np.cumsum(count[order])
+        ends = np.flatnonzero(np.append(self.unit_place[order][1:] != self.unit_place[order][:-1], True)) + 1
+        at = 0
+        while at < len(order):
+            enough = np.searchsorted(total, (total[at - 1] if at else 0) + SORTED)
+            end = ends[min(np.searchsorted(ends, max(enough, at + 1)), len(ends) - 1)]
+            units = order[at:end]
+            n = count[units]
+            unit = np.repeat(units, n)
+            yield self.unit_at[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n), unit
+            at = end
+
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(suffixes, the number of the substring in its place of each, distinct pages of each number, one suffix of each number)."""
+        for at, unit in self.slices():
+            if not len(at):
+                continue
+            order, new = suffix_order(self.codes, at)
+            number = np.empty(len(at), np.int64)
+            number[order] = np.cumsum(new) - 1
+            number = np.unique(number * (int(self.unit_place.max()) + 1) + self.unit_place[unit], return_inverse=True)[1]
+            row = self.unit_row[unit]
+            held = np.unique(number[self.first[row]] * self.rows + row[self.first[row]]) // self.rows
+            one = np.empty(int(number.max()) + 1, np.int64)
+            one[number] = np.arange(len(at))
+            yield at, number, np.bincount(held, minlength=len(one)), one
+
+    def prints(self, at: np.ndarray, unit_place: np.ndarray) -> np.ndarray:
+        """A fingerprint of the substrings at some suffixes and their places."""
+        total = mix64(unit_place.astype(np.uint64) + np.uint64(1))
+        for k in range(RUN):
+            total = mix64(total ^ (self.codes[at + k].astype(np.uint64) + _WEIGHTS[k]))
+        return total
+
+    def spans(self, hits: np.ndarray) -> list[np.ndarray]:
+        """For each row, the stretches of its tokens that the substrings at some suffixes cover, as begin, end, begin, end ..."""
+        edge = np.zeros(len(self.codes) + 1, np.int32)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + RUN, -1)
+        covered = (np.cumsum(edge[:-1]) > 0).view(np.int8)
+        turn = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
+        row = np.searchsorted(self.begin, turn[::2], side="right") - 1
+        pairs = np.column_stack((turn[::2] - self.begin[row], turn[1::2] - self.begin[row])).astype(np.int32)
+        return np.split(pairs.ravel(), 2 * np.searchsorted(row, np.arange(1, self.rows)))
 
 
 _WEIGHTS = seeds64(RUN, 9, odd=True)
 
 
-def run_prints(codes: np.ndarray) -> np.ndarray:
-    """A fingerprint of the RUN tokens from each place on, or of all where there are fewer."""
-    if not len(codes):
-        return codes
-    n = min(RUN, len(codes))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(codes) - n + 1, np.uint64)
-        for k in range(n):
-            total += mix64(codes[k : len(codes) - n + 1 + k] + _WEIGHTS[k]) * _WEIGHTS[k]
-    return mix64(total + np.uint64(n))
-
-
-def placed_prints(codes: np.ndarray) -> np.ndarray:
-    """The run_prints of a page, and each with its block's number from the start and from the end, as int64."""
-    prints = run_prints(codes)
-    ends = np.cumsum(codes == 0).astype(np.uint64)
-    block = np.concatenate((np.zeros(1, np.uint64), ends))[: len(prints)]
-    back = (ends[-1] if len(ends) else np.uint64(0)) - block
-    with np.errstate(over="ignore"):
-        places = [mix64(prints + mix64(np.uint64(2) * x + np.uint64(k))) for k, x in ((1, block), (2, back))]
-    return np.stack([prints, *places]).view(np.int64)
-
-
-def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and, for the first RUN tokens, the ranks of equal beginnings (prefix doubling up to RUN)."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < RUN:
-        step = min(width, RUN - width)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        width += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def repeated(streams: list[np.ndarray], pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each substring of RUN tokens of a chunk of pages: its fingerprint and how many pages hold it, from the suffix array."""
-    ends = [np.array([(1 << 63) | (i << 1)], np.uint64) for i in range(len(streams))]  # unique: no substring crosses pages
-    joined = np.concatenate([x for s, e in zip(streams, ends) for x in (s, e)])
-    owner = np.repeat(np.unique(pages, return_inverse=True)[1], [len(s) + 1 for s in streams])
-    prints = np.concatenate([np.concatenate((p := run_prints(s), np.zeros(len(s) + 1 - len(p), np.uint64))) for s in streams])
-    real = np.concatenate([np.arange(len(s) + 1) < max(0, len(s) - min(RUN, len(s)) + 1) * (len(s) > 0) for s in streams])
-    order = suffix_array(joined)[0]
-    order = order[real[order]]
-    if not len(order):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    # Neighbouring suffixes whose common prefix reaches RUN tokens (or the page's all) make up a run.
-    new = np.concatenate(([True], prints[order][1:] != prints[order][:-1]))
-    held = np.unique((np.cumsum(new) - 1) * (len(streams) + 1) + owner[order]) // (len(streams) + 1)
-    return prints[order[new]].view(np.int64), np.bincount(held, minlength=int(new.sum()))
-
-
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.lower(url.cast("string")), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.when(host != "", host)
 
 
-def _kept(found: list[tuple[str, str]], known: set[int] | None) -> str:
-    """The main text of a page's blocks; known: fingerprints of the host's boilerplate, for pages without an article."""
-    is_open, found = _opened(found)
-    if not is_open:
-        return " ".join(t for z, t in found if z == "article")
-    if not known:
-        return " ".join(t for z, t in found if z == "plain")
-    own = [x for x in found if x[0] in ("plain", "chrome")]
-    codes, block = _tokens(own)
-    hit = np.array([[int(p) in known for p in row] for row in placed_prints(codes)], bool).any(axis=0)
-    covered = np.zeros(len(codes) + 1, np.int64)
-    width = min(RUN, len(codes))
-    np.add.at(covered, np.flatnonzero(hit), 1)
-    np.add.at(covered, np.flatnonzero(hit) + width, -1)
-    covered = np.cumsum(covered)[:-1] > 0
-    out = []
-    for b, (z, text) in enumerate(own):
-        if z != "plain":
-            continue
-        words = text.split(" ")
-        gone = covered[block == b][: len(words)]
-        if gone.all():
+def main_words(article: bool, found: list[list[str]], spans: np.ndarray | None) -> list[str]:
+    """The words of candidate blocks without the stretches that the host repeats."""
+    total = sum(map(len, found))
+    if spans is None or not len(spans):
+        return [w for words in found for w in words]
+    gone = np.zeros(total + len(found) + 1, np.int8)
+    for lo, hi in spans.reshape(-1, 2):
+        gone[lo:hi] = 1
+    out, at = [], 0
+    for words in found:
+        own = gone[at : at + len(words)].astype(bool)
+        at += len(words) + 1
+        if own.all():
             continue
         # A few tokens beside boilerplate that only happen to follow it everywhere are no run of their own.
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
         for lo, hi in zip(edge[::2], edge[1::2]):
             if hi - lo < RUN:
-                gone[lo:hi] = False
-        out += [w for w, g in zip(words, gone) if not g]
-    return " ".join(out)
+                own[lo:hi] = False
+        out += [w for w, g in zip(words, own) if not g]
+    if article and 2 * len(out) < total:
+        return [w for words in found for w in words]
+    return out
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token streams of the blocks outside articles, and whether the page is open: without an article."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            codes, is_open = [], []
-            for page in part.column(2).to_pylist():
-                opened, found = _opened(blocks(page))
-                codes.append(_tokens([x for x in found if x[0] in ("plain", "chrome")])[0].view(np.int64))
-                is_open.append(opened)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(is_open), pa.array(codes, pa.list_(pa.int64()))], ["host", "page", "open", "codes"])
+def _streams(by_place: bool):
+    """(host, article, place, page, same, starts, places, codes) of each page's units: all together, or a row for each place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = []
+                for host, page, text in zip(*(batch.slice(at, 512).column(k).to_pylist() for k in range(3))):
+                    article, found = candidates(blocks(text))
+                    codes, starts, places = stream(found)
+                    if len(codes) <= RUN:
+                        continue
+                    same = xxhash.xxh64_intdigest(codes.tobytes()) - (1 << 63)
+                    if not by_place:
+                        rows.append((host, article, 0, page, same, 0, starts.astype(np.int32).tobytes(), places.astype(np.int32).tobytes(), _packed(codes)))
+                        continue
+                    ends = np.append(starts[1:], len(codes))
+                    for lo, hi, place in zip(starts.tolist(), ends.tolist(), places.tolist()):
+                        if hi - lo > RUN:
+                            rows.append((host, article, place, page, same, lo, b"\0" * 4, np.int32(place).tobytes(), _packed(codes[lo:hi])))
+                columns = zip(*rows) if rows else [[]] * len(_STREAM)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _STREAM.values())], list(_STREAM))
 
-def _runs(table: pa.Table) -> pa.Table:
-    streams = [np.asarray(x, np.int64).view(np.uint64) for x in table.column("codes").to_numpy(zero_copy_only=False)]
-    pages = table.column("page").to_numpy()
-    prints, held = repeated(streams, pages)
-    places = [np.unique(placed_prints(streams[k])[1:]) for k in np.unique(pages, return_index=True)[1]]
-    places, at = np.unique(np.concatenate(places), return_counts=True)
-    host = pa.array([table.column("host")[0].as_py()] * (len(prints) + len(places)), pa.string())
-    placed = np.arange(len(host)) >= len(prints)
-    return pa.table({"host": host, "print": pa.array(np.concatenate((prints, places)), pa.int64()), "placed": pa.array(placed), "held": pa.array(np.concatenate((held, at)), pa.int64())})
+    return run
 
 
-def _open_runs(table: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
-    for host, page, codes in zip(*(table.column(k).to_pylist() for k in range(3))):
-        for p in set(placed_prints(np.array(codes, np.int64).view(np.uint64)).ravel().tolist()):
-            yield host, page, p
+_STREAM = {"host": pa.int64(), "article": pa.bool_(), "place": pa.int64(), "page": pa.int64(), "same": pa.int64(), "from": pa.int64(), "starts": pa.binary(), "places": pa.binary(), "codes": pa.binary()}
+_STREAM_SQL = "host bigint, article boolean, place bigint, page bigint, same bigint, `from` bigint, starts binary, places binary, codes binary"
+_SPANS_SQL = "page bigint, `from` bigint, spans binary"
 
 
-def _open_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            rows = list(_open_runs(batch.slice(start, 256)))
-            columns = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "page", "print"])
+def _spans_table(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
+    kept = pa.array([k for k, x in enumerate(spans) if len(x)], pa.int64())
+    return pa.table({"page": table.column("page").take(kept), "from": table.column("from").take(kept), "spans": pa.array([x.tobytes() for x in spans if len(x)], pa.binary())})
+
+
+def _decide(table: pa.Table) -> pa.Table:
+    """The boilerplate of rows that hold all of their host's places, or of one place."""
+    streams = Streams(table)
+    least = min(PLACED, max(2, len(streams.same)))
+    hits = [at[held[number] >= least] for at, number, held, _ in streams.runs()]
+    return _spans_table(table, streams.spans(np.concatenate(hits) if hits else np.empty(0, np.int64)))
+
+
+def _tellings(parts: int):
+    """Of a part of a place's pages: its substrings' fingerprints and on how many pages each stands, PLACED at most, dealt by fingerprint."""
+
+    def run(table: pa.Table) -> pa.Table:
+        streams = Streams(table)
+        found = [(streams.prints(at[one], np.full(len(one), table.column("place")[0].as_py())), np.minimum(held, PLACED).astype(np.uint8)) for at, _, held, one in streams.runs()]
+        prints, held = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), np.empty(0, np.uint8))
+        bucket = prints % np.uint64(parts)
+        chosen = [np.flatnonzero(bucket == k) for k in np.unique(bucket)]
+        n = len(chosen)
+        first = {c: [table.column(c)[0].as_py()] * n for c in ("host", "article", "place", "part")}
+        return pa.table({**{c: pa.array(x, pa.bool_() if c == "article" else pa.int64()) for c, x in first.items()}, "bucket": pa.array([int(bucket[x[0]]) for x in chosen], pa.int64()), "prints": pa.array([prints[x].tobytes() for x in chosen], pa.binary()), "held": pa.array([held[x].tobytes() for x in chosen], pa.binary())})
+
+    return run
+
+
+def _tally(table: pa.Table) -> pa.Table:
+    """The fingerprints that stand on PLACED pages of all parts together, for each part that has them."""
+    prints = [np.frombuffer(x, np.uint64) for x in table.column("prints").to_pylist()]
+    name, which = np.unique(np.concatenate(prints), return_inverse=True)
+    known = name[np.bincount(which, np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("held").to_pylist()])) >= PLACED]
+    own = [x[np.isin(x, known)] for x in prints]
+    return table.select(["host", "article", "place", "part"]).append_column("known", pa.array([x.tobytes() for x in own], pa.binary()))
+
+
+def _apply(table: pa.Table, known: pa.Table) -> pa.Table:
+    """The boilerplate of a part, from the fingerprints that are known of it."""
+    if not table.num_rows or not known.num_rows:
+        return _spans_table(table.slice(0, 0), [])
+    streams = Streams(table)
+    names = np.frombuffer(b"".join(known.column("known").to_pylist()), np.uint64)
+    hits = [at[np.isin(streams.prints(at, streams.unit_place[unit]), names)] for at, unit in streams.slices()]
+    return _spans_table(table, streams.spans(np.concatenate(hits)))
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """(page, prints) for pages without an article: the fingerprints of their runs that other pages of the host share.
-
-    pages: (host, page, html) with page a fingerprint of the html.
-    """
-    streams = materialize(pages.mapInArrow(_streams, "host string, page bigint, open boolean, codes array<bigint>").where(F.size("codes") > 0), "streams")
-    # Only hosts that have pages without an article need their suffixes sorted. A page is in one chunk, so counts add up.
-    hosts = streams.groupBy("host").agg(F.max("open").alias("any"), F.count_distinct("page").alias("pages"), F.count_distinct(F.when(F.col("open"), F.col("page"))).alias("opened"), F.count(F.lit(1)).alias("rows")).where("any")
-    hosts = bounded_broadcast(materialize(hosts.select("host", "pages", "opened", F.ceil(F.col("rows") / CHUNK).alias("chunks")), "hosts"))
-    dealt = streams.join(hosts.drop("pages", "opened"), "host").withColumn("chunk", F.pmod("page", "chunks"))
-    found = dealt.groupBy("host", "chunk").applyInArrow(_runs, "host string, print bigint, placed boolean, held bigint")
-    shared = found.groupBy("host", "print", "placed").agg(F.sum("held").alias("held")).where("held > 1")
-    least = F.greatest(F.least(F.lit(PAGES), F.col("pages")), SHARE * F.col("opened"))
-    shared = shared.join(hosts.drop("chunks"), "host").where(F.col("held") >= F.when(F.col("placed"), PLACED).otherwise(least)).select("host", "print").distinct()
-    own = streams.where("open").select("host", "page", "codes").mapInArrow(_open_prints, "host string, page bigint, print bigint")
-    return own.join(shared, ["host", "print"]).groupBy("page").agg(F.collect_set("print").alias("prints"))
+    """(page, spans: [{from, spans}]) for (host, page, html) rows: the stretches of a page's candidate tokens that its host repeats. host, page: fingerprints."""
+    hosts = pages.groupBy("host").agg(F.sum(F.length("html").cast("long")).alias("size"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    hosts = bounded_broadcast(materialize(hosts.select("host", (F.col("size") > CHUNK).alias("big")), "hosts"))
+    marked = pages.join(hosts, "host")  # a page alone on its host repeats nothing
+    key = ["host", "article"]
+    small = marked.where("NOT big").select("host", "page", "html").mapInArrow(_streams(False), _STREAM_SQL).groupBy(*key).applyInArrow(_decide, _SPANS_SQL)
+    big = materialize(marked.where("big").select("host", "page", "html").mapInArrow(_streams(True), _STREAM_SQL), "streams")
+    key.append("place")
+    sizes = big.groupBy(*key).agg(F.ceil(F.sum(F.length("codes")) / CHUNK).alias("parts"))
+    sizes = bounded_broadcast(materialize(sizes, "places"))
+    dealt = big.join(sizes, key).withColumn("part", F.pmod(F.col("same"), F.col("parts")))
+    whole = dealt.where("parts = 1").drop("parts", "part").groupBy(*key).applyInArrow(_decide, _SPANS_SQL)
+    found = small.unionByName(whole)
+    most = sizes.agg(F.max("parts")).first()[0]
+    if (most or 1) > 1:
+        several = dealt.where("parts > 1").drop("parts")
+        told = several.groupBy(*key, "part").applyInArrow(_tellings(most), "host bigint, article boolean, place bigint, part bigint, bucket bigint, prints binary, held binary")
+        known = told.groupBy(*key, "bucket").applyInArrow(_tally, "host bigint, article boolean, place bigint, part bigint, known binary")
+        found = found.unionByName(several.groupBy(*key, "part").cogroup(known.groupBy(*key, "part")).applyInArrow(_apply, _SPANS_SQL))
+    return found.groupBy("page").agg(F.collect_list(F.struct("from", "spans")).alias("spans"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            texts = [_kept(blocks(p), set(k) if k else None) for p, k in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            texts = []
+            for page, known in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                spans = np.concatenate([np.frombuffer(x["spans"], np.int32) + x["from"] for x in known]) if known else None
+                texts.append(" ".join(main_words(*candidates(blocks(page)), spans)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
@@ -357,14 +456,14 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """One row for each page: id, url, text, n_chars."""
     has_columns(df, id_col, url_col, html_col)
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), empty_text(F.col(html_col)).alias("html"))
-    host = F.coalesce(host_of(F.col("url")), F.lit(""))
-    prints = boilerplate(rows.select(host.alias("host"), F.xxhash64(host, "html").alias("page"), "html"))
-    prints = materialize(prints, "boilerplate")
-    marked = rows.withColumn("page", F.xxhash64(host, "html"))
-    if prints.isEmpty():
-        joined = marked.withColumn("prints", F.lit(None).cast("array<bigint>"))
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), empty_text(F.col(f"`{html_col}`")).alias("html"))
+    host = F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit("")))
+    page = F.xxhash64(host, "html")
+    spans = materialize(boilerplate(rows.select(host.alias("host"), page.alias("page"), "html")), "boilerplate")
+    if spans.isEmpty():
+        joined = rows.withColumn("spans", F.lit(None).cast("array<struct<from:bigint,spans:binary>>"))
     else:
-        joined = marked.join(prints, "page", "left")
-    found = joined.select("page_id", "url", "html", "prints").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+        joined = rows.withColumn("page", page).join(spans, "page", "left")
+    found = joined.select("page_id", "url", "html", "spans").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

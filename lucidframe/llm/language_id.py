@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, shuffled_unit
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, shuffled_unit, small_batches
 from lucidframe.shipping import ship
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -198,6 +198,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     """
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     model = fit_model(df, id_col, text_col, label_col, languages, sample) if label_col else fit_model(df.limit(0).withColumn("__lf_label", F.lit("")), id_col, text_col, "__lf_label", languages)
     declared = F.lit(None).cast("string") if declared is None else declared.cast("string")
     rows = _with_evidence(df, declared, host, _log_text(df, text_col, model), languages)
@@ -210,6 +211,7 @@ def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows whose language is found, with all their columns. Texts are read twice rather than shuffled."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     model = fit_model(df, id_col, text_col, label_col, languages, sample) if label_col else fit_model(df.limit(0).withColumn("__lf_label", F.lit("")), id_col, text_col, "__lf_label", languages)
     rows = _with_evidence(df, declared, host, _log_text(df, text_col, model), languages)
     narrow = materialize(rows.select("__lf_host", "__lf_suffix", "__lf_log"), "evidence")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, numbered, seeds64, unused
+from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, numbered, seeds64, small_batches, unused
 from lucidframe.llm.components import connected_components
 from lucidframe.shipping import ship
 
@@ -356,6 +356,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each input row: id, n_shingles, component_id, kept."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     narrow, number = numbered(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col)
     labelled = _labelled(narrow, number, text_col, percent)
     if number == id_col:
@@ -373,6 +374,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows that stay, with all their columns: one for each component, and all without shingles."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     columns = df.columns
     df, number = numbered(df, id_col)
     labelled = _labelled(df, number, text_col, percent)

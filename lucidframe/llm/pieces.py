@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import empty_text, has_columns
+from lucidframe.llm.common import empty_text, has_columns, small_batches
 from lucidframe.shipping import ship
 
 SPACE = "▁"
@@ -370,6 +370,7 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded of each row."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     fields = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

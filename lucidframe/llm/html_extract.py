@@ -9,13 +9,16 @@ of a page that names its article, and the plain blocks of any other, of which ar
 Which tokens of the candidates are boilerplate is decided for every page by its host. Candidates are cut into units: a
 block of RUN tokens or more, or neighbouring shorter blocks together. The token streams of a host's pages are put one after
 the other and the suffixes that begin in units of the same place of the template (the nth unit from the page's nearer end) are
-sorted; neighbours with RUN tokens in common are a repeated substring. One that stands on `PLACED` distinct pages of its
-kind (all of a smaller host's, two at least) is boilerplate, and its tokens go; unique runs stay, and so does a passage that stories
-share in different places or on fewer pages. Pages with equal candidates count as one, or copies would delete each other; an
-article more than half of which is repeated is a copy of other articles, not template, and stays whole.
+sorted; neighbours with RUN tokens in common are a repeated substring, and the distinct pages it stands on are counted among the
+host's pages of its kind, with an article or without. Outside articles one is boilerplate on `PLACED` pages (all of a smaller
+host's, two at least). Inside articles, where the markup speaks for it and stories quote each other, it must be the host's
+template: on `PLACED` pages and more than half of them. Its tokens go; unique runs stay, and so does a passage that stories share in
+different places or on fewer pages. Pages with equal candidates count as one, or copies would delete each other; an article of
+whose tokens more than half are repeated is a copy of other articles, not template, and stays whole.
 
-The work is bounded by `CHUNK`: a host with more html than that is dealt out by places, and a place with more tokens than that by
-pages, whose counts then add up by fingerprints of the substrings, so results don't depend on the dealing.
+A host with more html than `HOST` is dealt out by places, and a place with more tokens than `CHUNK` by pages, whose counts then
+add up by fingerprints of the substrings, so results don't depend on the dealing. Suffixes whose fingerprint is alone are not
+sorted. If few pages lose anything, what they lose is broadcast and no html is shuffled.
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
@@ -35,11 +38,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64, small_batches
+from lucidframe.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, bounded_broadcast, empty_text, has_columns, materialize, mix64, seeds64, small_batches
 from lucidframe.shipping import ship
 
-#: Tokens of a repeated substring; bytes of html, or three times the tokens, that one task takes together.
-RUN, CHUNK = 6, 16 << 20
+#: Tokens of a repeated substring; bytes of a host's html, and of a place's tokens at three bytes, that one task takes together.
+RUN, HOST, CHUNK = 6, 4 << 20, 16 << 20
 #: Suffixes that are sorted together.
 SORTED = 1 << 20
 #: Distinct pages of a host on which a substring stands in one place of the template to be boilerplate.
@@ -270,9 +273,16 @@ class Streams:
             yield self.unit_at[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n), unit
             at = end
 
-    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(suffixes, the number of the substring in its place of each, distinct pages of each number, one suffix of each number)."""
+    def runs(self, alone: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(suffixes, the number of the substring in its place of each, distinct pages of each number, one suffix of each number).
+
+        alone: with the substrings that can only stand once, too.
+        """
         for at, unit in self.slices():
+            if len(at) and not alone:
+                slot = (self.prints(at, self.unit_place[unit]) >> np.uint64(42)).astype(np.int64)
+                often = np.bincount(slot)[slot] > 1
+                at, unit = at[often], unit[often]
             if not len(at):
                 continue
             order, new = suffix_order(self.codes, at)
@@ -312,12 +322,11 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def main_words(article: bool, found: list[list[str]], spans: np.ndarray | None) -> list[str]:
+def main_words(found: list[list[str]], spans: np.ndarray | None) -> list[str]:
     """The words of candidate blocks without the stretches that the host repeats."""
-    total = sum(map(len, found))
     if spans is None or not len(spans):
         return [w for words in found for w in words]
-    gone = np.zeros(total + len(found) + 1, np.int8)
+    gone = np.zeros(sum(map(len, found)) + len(found), np.int8)
     for lo, hi in spans.reshape(-1, 2):
         gone[lo:hi] = 1
     out, at = [], 0
@@ -332,13 +341,11 @@ def main_words(article: bool, found: list[list[str]], spans: np.ndarray | None)
             if hi - lo < RUN:
                 own[lo:hi] = False
         out += [w for w, g in zip(words, own) if not g]
-    if article and 2 * len(out) < total:
-        return [w for words in found for w in words]
     return out
 
 
 def _streams(by_place: bool):
-    """(host, article, place, page, same, starts, places, codes) of each page's units: all together, or a row for each place."""
+    """(host, article, place, page, same, total, from, starts, places, codes) of each page's units: all together, or a row for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,57 +358,64 @@ def _streams(by_place: bool):
                         continue
                     same = xxhash.xxh64_intdigest(codes.tobytes()) - (1 << 63)
                     if not by_place:
-                        rows.append((host, article, 0, page, same, 0, starts.astype(np.int32).tobytes(), places.astype(np.int32).tobytes(), _packed(codes)))
+                        rows.append((host, article, 0, page, same, len(codes), 0, starts.astype(np.int32).tobytes(), places.astype(np.int32).tobytes(), _packed(codes)))
                         continue
                     ends = np.append(starts[1:], len(codes))
                     for lo, hi, place in zip(starts.tolist(), ends.tolist(), places.tolist()):
                         if hi - lo > RUN:
-                            rows.append((host, article, place, page, same, lo, b"\0" * 4, np.int32(place).tobytes(), _packed(codes[lo:hi])))
+                            rows.append((host, article, place, page, same, len(codes), lo, b"\0" * 4, np.int32(place).tobytes(), _packed(codes[lo:hi])))
                 columns = zip(*rows) if rows else [[]] * len(_STREAM)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _STREAM.values())], list(_STREAM))
 
     return run
 
 
-_STREAM = {"host": pa.int64(), "article": pa.bool_(), "place": pa.int64(), "page": pa.int64(), "same": pa.int64(), "from": pa.int64(), "starts": pa.binary(), "places": pa.binary(), "codes": pa.binary()}
-_STREAM_SQL = "host bigint, article boolean, place bigint, page bigint, same bigint, `from` bigint, starts binary, places binary, codes binary"
-_SPANS_SQL = "page bigint, `from` bigint, spans binary"
+_STREAM = {"host": pa.int64(), "article": pa.bool_(), "place": pa.int64(), "page": pa.int64(), "same": pa.int64(), "total": pa.int64(), "from": pa.int64(), "starts": pa.binary(), "places": pa.binary(), "codes": pa.binary()}
+_STREAM_SQL = "host bigint, article boolean, place bigint, page bigint, same bigint, total bigint, `from` bigint, starts binary, places binary, codes binary"
+_SPANS_SQL = "page bigint, article boolean, total bigint, `from` bigint, covered bigint, spans binary"
 
 
 def _spans_table(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
     kept = pa.array([k for k, x in enumerate(spans) if len(x)], pa.int64())
-    return pa.table({"page": table.column("page").take(kept), "from": table.column("from").take(kept), "spans": pa.array([x.tobytes() for x in spans if len(x)], pa.binary())})
+    covered = pa.array([int((x[1::2] - x[::2]).sum()) for x in spans if len(x)], pa.int64())
+    return pa.table({**{c: table.column(c).take(kept) for c in ("page", "article", "total", "from")}, "covered": covered, "spans": pa.array([x.tobytes() for x in spans if len(x)], pa.binary())})
+
+
+def _least(article: bool, pages: int) -> int:
+    """On how many of a host's distinct pages of a kind a substring is boilerplate."""
+    return max(PLACED, pages // 2 + 1) if article else min(PLACED, max(2, pages))
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """The boilerplate of rows that hold all of their host's places, or of one place."""
+    """The boilerplate of rows that hold all places of their host's pages of a kind, or of one place, with the number of such pages."""
     streams = Streams(table)
-    least = min(PLACED, max(2, len(streams.same)))
+    least = _least(table.column("article")[0].as_py(), table.column("pages")[0].as_py() if "pages" in table.column_names else len(streams.same))
     hits = [at[held[number] >= least] for at, number, held, _ in streams.runs()]
     return _spans_table(table, streams.spans(np.concatenate(hits) if hits else np.empty(0, np.int64)))
 
 
 def _tellings(parts: int):
-    """Of a part of a place's pages: its substrings' fingerprints and on how many pages each stands, PLACED at most, dealt by fingerprint."""
+    """Of a part of a place's pages: its substrings' fingerprints and on how many pages each stands, dealt by fingerprint."""
 
     def run(table: pa.Table) -> pa.Table:
         streams = Streams(table)
-        found = [(streams.prints(at[one], np.full(len(one), table.column("place")[0].as_py())), np.minimum(held, PLACED).astype(np.uint8)) for at, _, held, one in streams.runs()]
-        prints, held = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), np.empty(0, np.uint8))
+        found = [(streams.prints(at[one], np.full(len(one), table.column("place")[0].as_py())), held.astype(np.uint32)) for at, _, held, one in streams.runs(alone=True)]
+        prints, held = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), np.empty(0, np.uint32))
         bucket = prints % np.uint64(parts)
         chosen = [np.flatnonzero(bucket == k) for k in np.unique(bucket)]
         n = len(chosen)
-        first = {c: [table.column(c)[0].as_py()] * n for c in ("host", "article", "place", "part")}
+        first = {c: [table.column(c)[0].as_py()] * n for c in ("host", "article", "place", "part", "pages")}
         return pa.table({**{c: pa.array(x, pa.bool_() if c == "article" else pa.int64()) for c, x in first.items()}, "bucket": pa.array([int(bucket[x[0]]) for x in chosen], pa.int64()), "prints": pa.array([prints[x].tobytes() for x in chosen], pa.binary()), "held": pa.array([held[x].tobytes() for x in chosen], pa.binary())})
 
     return run
 
 
 def _tally(table: pa.Table) -> pa.Table:
-    """The fingerprints that stand on PLACED pages of all parts together, for each part that has them."""
+    """The fingerprints of what is boilerplate by all parts together, for each part that has them."""
+    least = _least(table.column("article")[0].as_py(), table.column("pages")[0].as_py())
     prints = [np.frombuffer(x, np.uint64) for x in table.column("prints").to_pylist()]
     name, which = np.unique(np.concatenate(prints), return_inverse=True)
-    known = name[np.bincount(which, np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("held").to_pylist()])) >= PLACED]
+    known = name[np.bincount(which, np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("held").to_pylist()])) >= least]
     own = [x[np.isin(x, known)] for x in prints]
     return table.select(["host", "article", "place", "part"]).append_column("known", pa.array([x.tobytes() for x in own], pa.binary()))
 
@@ -417,15 +431,16 @@ def _apply(table: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """(page, spans: [{from, spans}]) for (host, page, html) rows: the stretches of a page's candidate tokens that its host repeats. host, page: fingerprints."""
+    """(page, spans: [{from, spans}], bytes) for (host, page, html) rows: the stretches of a page's candidate tokens that its host repeats. host, page: fingerprints."""
     hosts = pages.groupBy("host").agg(F.sum(F.length("html").cast("long")).alias("size"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    hosts = bounded_broadcast(materialize(hosts.select("host", (F.col("size") > CHUNK).alias("big")), "hosts"))
+    hosts = bounded_broadcast(materialize(hosts.select("host", (F.col("size") > HOST).alias("big")), "hosts"))
     marked = pages.join(hosts, "host")  # a page alone on its host repeats nothing
     key = ["host", "article"]
     small = marked.where("NOT big").select("host", "page", "html").mapInArrow(_streams(False), _STREAM_SQL).groupBy(*key).applyInArrow(_decide, _SPANS_SQL)
     big = materialize(marked.where("big").select("host", "page", "html").mapInArrow(_streams(True), _STREAM_SQL), "streams")
+    kinds = big.groupBy(*key).agg(F.count_distinct("same").alias("pages"))
     key.append("place")
-    sizes = big.groupBy(*key).agg(F.ceil(F.sum(F.length("codes")) / CHUNK).alias("parts"))
+    sizes = big.groupBy(*key).agg(F.ceil(F.sum(F.length("codes")) / CHUNK).alias("parts")).join(kinds, ["host", "article"])
     sizes = bounded_broadcast(materialize(sizes, "places"))
     dealt = big.join(sizes, key).withColumn("part", F.pmod(F.col("same"), F.col("parts")))
     whole = dealt.where("parts = 1").drop("parts", "part").groupBy(*key).applyInArrow(_decide, _SPANS_SQL)
@@ -433,10 +448,11 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     most = sizes.agg(F.max("parts")).first()[0]
     if (most or 1) > 1:
         several = dealt.where("parts > 1").drop("parts")
-        told = several.groupBy(*key, "part").applyInArrow(_tellings(most), "host bigint, article boolean, place bigint, part bigint, bucket bigint, prints binary, held binary")
+        told = several.groupBy(*key, "part").applyInArrow(_tellings(most), "host bigint, article boolean, place bigint, part bigint, pages bigint, bucket bigint, prints binary, held binary")
         known = told.groupBy(*key, "bucket").applyInArrow(_tally, "host bigint, article boolean, place bigint, part bigint, known binary")
         found = found.unionByName(several.groupBy(*key, "part").cogroup(known.groupBy(*key, "part")).applyInArrow(_apply, _SPANS_SQL))
-    return found.groupBy("page").agg(F.collect_list(F.struct("from", "spans")).alias("spans"))
+    held = found.groupBy("page").agg(F.collect_list(F.struct("from", "spans")).alias("spans"), F.sum("covered").alias("covered"), F.max("total").alias("total"), F.max("article").alias("article"))
+    return held.where("NOT article OR 2 * covered <= total").select("page", "spans", (8 * F.size("spans") + F.expr("aggregate(spans, 0, (n, x) -> n + octet_length(x.spans))")).alias("bytes"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +462,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for page, known in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 spans = np.concatenate([np.frombuffer(x["spans"], np.int32) + x["from"] for x in known]) if known else None
-                texts.append(" ".join(main_words(*candidates(blocks(page)), spans)))
+                texts.append(" ".join(main_words(candidates(blocks(page))[1], spans)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
@@ -461,9 +477,11 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     host = F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit("")))
     page = F.xxhash64(host, "html")
     spans = materialize(boilerplate(rows.select(host.alias("host"), page.alias("page"), "html")), "boilerplate")
-    if spans.isEmpty():
+    lost, size = spans.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    if not lost:
         joined = rows.withColumn("spans", F.lit(None).cast("array<struct<from:bigint,spans:binary>>"))
     else:
-        joined = rows.withColumn("page", page).join(spans, "page", "left")
+        spans = spans.drop("bytes")
+        joined = rows.withColumn("page", page).join(F.broadcast(spans) if lost <= BROADCAST_ROWS and size <= BROADCAST_BYTES else spans, "page", "left")
     found = joined.select("page_id", "url", "html", "spans").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -37,7 +37,7 @@ def brute(pages):
                 for at in range(len(u) - H.RUN + 1):
                     held[place, tuple(w for _, _, w in u[at : at + H.RUN])].add(key)
         enough = sum(1 for f in distinct.values() if sum(len(w) + 1 for w in f) > H.RUN)
-        known[article] = {x for x, who in held.items() if len(who) >= min(H.PLACED, max(2, enough))}
+        known[article] = {x for x, who in held.items() if len(who) >= (max(5, enough // 2 + 1) if article else min(5, max(2, enough)))}
     texts = []
     for article, found in read:
         gone, own = set(), units(found)
@@ -58,8 +58,8 @@ def brute(pages):
                     end += 1
                 kept += words[k:end] if not flags[k] or end - k < H.RUN else []
                 k = end
-        total = sum(map(len, found))
-        texts.append(" ".join(w for words in found for w in words) if article and 2 * len(kept) < total else " ".join(kept))
+        copied = article and 2 * len(gone) > sum(len(words) + 1 for words in found)
+        texts.append(" ".join(w for words in found for w in words) if copied else " ".join(kept))
     return texts
 
 
@@ -88,6 +88,7 @@ def site(rng, n):
 
 @pytest.mark.parametrize("chunk", [H.CHUNK, 6000, 300])
 def test_decisions_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(H, "HOST", chunk)
     monkeypatch.setattr(H, "CHUNK", chunk)  # one suffix array for a host, one for a place, several for a place
     rng = random.Random(7)
     hosts = {f"h{n}.example": site(rng, n) for n in (1, 2, 3, 4, 9, 60)}
@@ -132,6 +133,13 @@ def test_places_are_sorted_in_slices(monkeypatch):
     assert all(not a & b for k, a in enumerate(place) for b in place[k + 1 :])
 
 
+def test_a_passage_that_many_articles_share_stays(spark):
+    shared = " ".join(f"passage{k}" for k in range(60))
+    rows = [(i, f"http://h/{i}", f"<article><h1>Story {i}</h1><p>{shared if i % 3 == 0 else ''}</p><p>{' '.join(f'w{i}x{k}' for k in range(80))}</p></article>") for i in range(90)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all((shared in got[i]) == (i % 3 == 0) for i in range(90))
+
+
 def test_copies_of_an_article_stay_whole(spark):
     story = " ".join(f"word{k}" for k in range(200))
     rows = [(i, f"http://h/{i}", f"<article><h1>Title</h1><p>{story} edit{i}</p></article>") for i in range(40)]

@@ -81,6 +81,7 @@ def test_extraction_by_markup(spark):
 
 
 def test_extraction_by_repeats(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "HOST", 400)
     monkeypatch.setattr(html_extract, "CHUNK", 400)  # several suffix arrays for a host
     menu = "<div><p>Home News Sport Weather Contact Login Help</p></div>"
     rows = [(i, "http://h/" + str(i), f"<body>{menu}<div><p>Story {i} tells of things that happened {i} days ago</p></div><div>All rights reserved by us, forever and ever</div></body>") for i in range(30)]

@@ -1,4 +1,5 @@
 import random
+import time
 
 from lucidframe.llm import line_dedup
 
@@ -31,3 +32,28 @@ def test_long_runs_of_fewer_lines_go(spark):
     assert want[90] == want[92] == "" and {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()} == want
     few = {r.doc_id: r.text for r in line_dedup.drop_lines(df, long=False).collect()}
     assert few[90] == pool[0] and few[92] == rows[-2][1]
+
+
+def test_texts_of_many_lines_take_time_in_proportion(spark):
+    took = {}
+    for n in (1000, 50_000, 200_000):
+        text = "\n".join(f"line {k} of many" for k in range(n))
+        df = spark.createDataFrame([(1, text), (2, text + "\nlast"), (3, "own")], "doc_id long, text string")
+        started = time.perf_counter()
+        got = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
+        took[n] = time.perf_counter() - started
+        assert got == {1: text, 2: "last", 3: "own"}
+    assert took[200_000] < 10 * took[50_000]
+
+
+def test_repeated_and_null_ids_and_any_column_names(spark):
+    text = "a\nb\nc\nd"
+    rows = [(1, text, 1, "x"), (1, text, 2, "x"), (None, text, 3, "x"), (None, "own\nb", 4, "x"), (1, "p\nq\nr\n" + text, 5, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, row int, __lf_gone string")
+    cleaned = line_dedup.drop_lines(df)
+    assert cleaned.columns == df.columns
+    got = {r.row: r.text for r in cleaned.collect()}
+    assert got[3] == "" and got[4] == "own\nb"  # a null id comes after all others
+    whole = [t for k, t in got.items() if k in (1, 2, 5) and t.endswith(text)]
+    assert len(whole) == 1 and got[5].startswith("p\nq\nr")  # one row with the id keeps the run
+    assert line_dedup.mark_lines(df).count() == 5

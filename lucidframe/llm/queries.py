@@ -34,7 +34,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.mark_lines(table(spark, sf_dir, "documents"), long=False)  # its SQL deletes runs of three lines only
+    return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +115,18 @@ FROM placed LEFT JOIN cut ON placed.r = cut.r""",
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS place FROM cut),
 filled AS (
-  SELECT doc_id, place, t, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
-  FROM (SELECT doc_id, place, regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t FROM line) WHERE t <> ''),
-win AS (SELECT doc_id, i, t AS a, lead(t) OVER d AS b, lead(t, 2) OVER d AS c FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT doc_id, place, t, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w, length(regexp_replace(x, '[ \t\n\v\f\r]+', '', 'g')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i
+  FROM (SELECT doc_id, place, x, regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t FROM line) WHERE t <> ''),
+win AS (
+  SELECT doc_id, i, t AS a, lead(t) OVER d AS b, lead(t, 2) OVER d AS c, w > 50 OR n > 300 AS long1, w + lead(w) OVER d > 50 OR n + lead(n) OVER d > 300 AS long2
+  FROM filled WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT 3 AS run, doc_id, i, a, b, c FROM win WHERE c IS NOT NULL
+  UNION ALL SELECT 2, doc_id, i, a, b, NULL FROM win WHERE b IS NOT NULL AND long2
+  UNION ALL SELECT 1, doc_id, i, a, NULL, NULL FROM win WHERE long1),
 later AS (
-  SELECT doc_id, CASE WHEN doc_id = fd THEN greatest(i, fi + 3) ELSE i END AS lo, i + 3 AS hi
-  FROM (SELECT doc_id, i, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM win WHERE c IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, i))
+  SELECT doc_id, CASE WHEN doc_id = fd THEN greatest(i, fi + run) ELSE i END AS lo, i + run AS hi
+  FROM (SELECT run, doc_id, i, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM runs WINDOW w AS (PARTITION BY run, a, b, c ORDER BY doc_id, i))
   WHERE NOT (doc_id = fd AND i = fi)),
 gone AS (SELECT DISTINCT f.doc_id, f.place FROM filled f JOIN later l ON f.doc_id = l.doc_id AND f.i >= l.lo AND f.i < l.hi),
 kept AS (

@@ -111,6 +111,19 @@ cut AS (SELECT r, max(e) AS last FROM queue WHERE served <= (SELECT sum(words) F
 SELECT doc_id, size, words AS source_size, target,
   CAST(CASE WHEN size > 0 THEN size * (CAST(coalesce(e <= last, false) AS INT) + CAST(coalesce(e + words <= last, false) AS INT)) ELSE 0 END AS BIGINT) AS taken
 FROM placed LEFT JOIN cut ON placed.r = cut.r""",
+    "op3_minhash": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM docs WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, v FROM reach JOIN links ON b = u),
+label AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN label ON a = d.doc_id""",
     "op4_line_dedup": r"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS place FROM cut),
@@ -137,6 +150,16 @@ r AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT cut.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
   sha256(coalesce(rest, '')) AS clean_sha256, CAST(length(coalesce(rest, '')) AS BIGINT) AS clean_chars
 FROM cut LEFT JOIN kept ON cut.doc_id = kept.doc_id LEFT JOIN n ON cut.doc_id = n.doc_id LEFT JOIN r ON cut.doc_id = r.doc_id""",
+    "op6_vector_forest": """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9::DOUBLE),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT a, v FROM reach JOIN links ON b = u),
+label AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN label ON a = vec_id LEFT JOIN degree ON u = vec_id""",
     "op7_warc_packages": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (

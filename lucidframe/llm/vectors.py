@@ -5,6 +5,9 @@ driver from a bounded sample of about `SAMPLE` classes: a node splits its vector
 on a random direction, and what lies within `SPILL` of the median goes down both sides; a node that is small
 (`LEAF`, in terms of the whole table, but not below `LEAST` of the sample), deep, or that a split would hardly thin out,
 stays a leaf. The trees, whose size the sample bounds, are broadcast and every class is dropped down every tree.
+A leaf with more than `CROWDED` classes grows a tree of its own from about `SAMPLE` of its classes, in a task of its own, and
+its classes are dropped down that, dealt out to tasks of about `SAMPLE`; again, until no leaf is crowded that can be split. So
+leaves stay as small however large the table, and a vector is compared with as many others.
 Classes of a leaf are compared by matrix products in tasks of at most two blocks of `BLOCK` classes, so an overfull leaf is
 compared exactly, never cut. A pair that shares several leaves counts in the first. Of each task only counts of links and a
 spanning forest come out; components are contracted by large-star and small-star.
@@ -21,6 +24,7 @@ id and vector columns are read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, has_columns, materialize, shuffled_unit
+from lucidframe.llm.common import bounded_broadcast, has_columns, materialize, mix64, shuffled_unit
 from lucidframe.llm.components import connected_components
 from lucidframe.shipping import ship
 
 COSINE = 0.9
 TREES, LEAF, LEAST, DEPTH, BLOCK = 4, 1024, 16, 24, 1024
+#: Classes of a leaf from which it is split again.
+CROWDED = 4 * LEAF
 #: Half the width of the spill, in standard deviations of a random projection of random vectors.
 SPILL = 0.2
 #: Classes from which the trees are grown, about, and the most bytes of them that reach the driver.
@@ -42,11 +48,11 @@ SEED = 20_260
 
 
 class Tree:
-    """Nodes in arrays: direction, threshold, the children; a leaf has its number in `leaf`."""
+    """Nodes in arrays: direction, threshold, the children; a leaf has its number in `leaf`. share: the sample's part of all vectors."""
 
-    def __init__(self, sample: np.ndarray, share: float, rng: np.random.Generator, first_leaf: int):
+    def __init__(self, sample: np.ndarray, share: float, rng: np.random.Generator, first_leaf: int, size: int | None = None):
         self.direction, self.cut, self.left, self.right, self.leaf = [], [], [], [], []
-        self.next_leaf = first_leaf
+        self.next_leaf, self.size = first_leaf, size or LEAF
         self.spill = SPILL / np.sqrt(max(1, sample.shape[1]))
         self._grow(sample, np.arange(len(sample)), share, rng, 0)
         self.direction = np.array(self.direction, np.float32).reshape(len(self.leaf), -1)
@@ -57,7 +63,7 @@ class Tree:
         direction /= max(float(np.linalg.norm(direction)), 1e-30)
         for held, value in ((self.direction, direction), (self.cut, 0.0), (self.left, -1), (self.right, -1), (self.leaf, -1)):
             held.append(value)
-        if len(rows) / max(share, 1e-30) > LEAF and len(rows) > LEAST and depth < DEPTH:
+        if len(rows) / max(share, 1e-30) > self.size and len(rows) > LEAST and depth < DEPTH:
             seen = sample[rows] @ direction
             cut = float(np.median(seen))
             low, high = rows[seen <= cut + self.spill], rows[seen >= cut - self.spill]
@@ -100,15 +106,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _classes(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, code) of all rows, code null where a vector can't be linked; and (code, low, copies, unit, dim) of the classes."""
-    vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    fine = F.col(vector_col).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
+    vector = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+    fine = F.col(f"`{vector_col}`").isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [None if x is None else (np.array(x, np.float64) + 0.0).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "vector"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(fine, vector).alias("vector")).mapInArrow(pack, "id bigint, vector binary")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(fine, vector).alias("vector")).mapInArrow(pack, "id bigint, vector binary")
     rows = materialize(rows.withColumn("code", F.sha2("vector", 256)), "vectors")
     grouped = rows.where("code IS NOT NULL").groupBy("code").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("vector").alias("vector"))
 
@@ -132,7 +138,8 @@ def _compare(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         units, copies, side = _matrix(table.column("unit")), table.column("copies").to_numpy(), table.column("side").to_numpy()
         here = table.column("leaf")[0].as_py()
-        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)),) * 2
+        alone = table.column("first")[0] == table.column("second")[0]
+        one, two = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         # A pair counts in the first leaf that both are in: leaves before this one, as a matrix of members.
         before = [[x for x in leaves if x < here] for leaves in table.column("leaves").to_pylist()]
         place = {x: k for k, x in enumerate(sorted({x for leaves in before for x in leaves}))}
@@ -200,8 +207,62 @@ def _dropped(forest) -> callable:
     return run
 
 
-def _links(classes: DataFrame, cosine: float, trees: int) -> DataFrame:
-    """(code, links, other) over all leaves of the classes of one length."""
+def _leaf_tree(size: int, per_leaf: int):
+    """The tree of a crowded leaf, from its sampled classes, as bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leaf, rows = table.column("leaf")[0].as_py(), table.column("rows")[0].as_py()
+        sample = _matrix(table.column("unit")).astype(np.float32)
+        sample = sample[np.lexsort(sample.T[:4])]  # whatever order the rows come in
+        tree = Tree(sample, len(sample) / rows, np.random.default_rng([SEED, leaf & 0xFFFFFFFF]), 0, size)
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "part": pa.array([list(range(-(-rows // per_leaf)))], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _drop_again(table: pa.Table, trees: pa.Table) -> pa.Table:
+    """Classes of a crowded leaf once for each leaf of its tree that they reach; the number of such leaves tells a leaf that can't be split."""
+    out = {"code": [], "copies": [], "unit": [], "leaf": [], "fixed": []}
+    if table.num_rows and trees.num_rows:
+        tree = pickle.loads(trees.column("tree")[0].as_py())
+        parent = np.uint64(table.column("leaf")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        for leaf, rows in tree.drop(_matrix(table.column("unit")).astype(np.float32)):
+            named = int(mix64(mix64(np.array([parent])) + np.uint64(leaf + 1)).view(np.int64)[0])
+            took = table.take(pa.array(rows))
+            for c in ("code", "copies", "unit"):
+                out[c] += took.column(c).to_pylist()
+            out["leaf"] += [named] * len(rows)
+            out["fixed"] += [tree.next_leaf == 1] * len(rows)
+    return pa.table({c: pa.array(x, kind) for (c, x), kind in zip(out.items(), (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()))})
+
+
+def _split_crowded(dropped: DataFrame) -> DataFrame:
+    """(code, copies, unit, leaf, leaves) rows whose leaves are split until none is crowded that can be."""
+    kind = "code string, copies bigint, unit binary, leaf bigint, fixed boolean"
+    now, again = dropped.select("code", "copies", "unit", "leaf", F.lit(False).alias("fixed")), False
+    while True:
+        sizes = now.where("NOT fixed").groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWDED)
+        sizes = materialize(sizes, "crowded")
+        if sizes.isEmpty():
+            break
+        again = True
+        sizes = bounded_broadcast(sizes)
+        crowded = now.where("NOT fixed").join(sizes, "leaf")
+        sampled = crowded.where(shuffled_unit("leaf", F.col("code")) * F.col("rows") < SAMPLE)
+        trees = sampled.select("leaf", "rows", "unit").groupBy("leaf").applyInArrow(_leaf_tree(LEAF, SAMPLE), "leaf bigint, tree binary, part array<bigint>")
+        trees = trees.withColumn("part", F.explode("part"))
+        dealt = crowded.withColumn("part", F.pmod(F.xxhash64("code"), F.ceil(F.col("rows") / SAMPLE)))
+        split = dealt.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(_drop_again, kind)
+        rest = now.where("fixed").unionByName(now.where("NOT fixed").join(sizes.select("leaf"), "leaf", "left_anti").select(*now.columns))
+        now = materialize(rest.unionByName(split), "leaves")
+    if not again:
+        return dropped
+    leaves = now.groupBy("code").agg(F.collect_list("leaf").alias("leaves"))  # some for each tree
+    return materialize(now.drop("fixed").join(leaves, "code"), "leaves")
+
+
+def leaves_of(classes: DataFrame, trees: int) -> DataFrame:
+    """(code, copies, unit, leaf, leaves): the classes of one length once for each leaf that they reach."""
     spark = classes.sparkSession
     total, width = classes.agg(F.count(F.lit(1)), F.max(F.octet_length("unit"))).first()
     size = min(SAMPLE, SAMPLE_BYTES // max(1, width))
@@ -209,7 +270,12 @@ def _links(classes: DataFrame, cosine: float, trees: int) -> DataFrame:
     sample = _matrix(chosen.column("unit")).astype(np.float32) if chosen.num_rows else np.zeros((0, width // 8), np.float32)
     forest = spark.sparkContext.broadcast(grow_forest(sample, len(sample) / max(1, total), trees))
     dropped = classes.select("code", "copies", "unit").mapInArrow(_dropped(forest), "code string, copies bigint, unit binary, leaf bigint, leaves array<bigint>")
-    dropped = materialize(dropped, "leaves")
+    return _split_crowded(materialize(dropped, "leaves"))
+
+
+def _links(classes: DataFrame, cosine: float, trees: int) -> DataFrame:
+    """(code, links, other) over all leaves of the classes of one length."""
+    dropped = leaves_of(classes, trees)
     counts = dropped.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     counts = bounded_broadcast(materialize(counts, "leaf-sizes"))
     dealt = dropped.join(counts, "leaf").withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))

@@ -159,6 +159,36 @@ def test_vector_forest_recall(spark, monkeypatch):
     assert all(got[i].n_links <= count[i] for i in got)
 
 
+def scattered(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(n // 2)]
+    return rows + [(n // 2 + i, (np.array(rows[i][1]) + rng.standard_normal(16) * 0.25).tolist()) for i in range(n // 2)]
+
+
+def test_leaves_stay_small_as_the_table_grows(spark, monkeypatch):
+    """Trees of a small sample alone would compare a vector with four times as many others on four times the rows."""
+    for name, value in (("SAMPLE", 150), ("LEAF", 60), ("CROWDED", 120)):
+        monkeypatch.setattr(vectors, name, value)
+    compared, recall = {}, {}
+    for n in (1000, 4000):
+        rows = scattered(n, n)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        classes = vectors._classes(df, "vec_id", "embedding")[1]
+        sizes = [r[0] for r in vectors.leaves_of(classes, vectors.TREES).groupBy("leaf").count().select("count").collect()]
+        compared[n] = sum(x * x for x in sizes) / n
+        links, count, _ = brute_vectors(rows)
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+        assert all(got[i] <= count[i] for i in got)
+        recall[n] = sum(got.values()) / (2 * len(links))
+    assert compared[4000] < 1.5 * compared[1000], compared
+    assert min(recall.values()) > 0.9, recall
+
+
+def test_vector_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x", 2), (2, [1.0, 0.0], "y", 3)], "vec_id long, embedding array<double>, code string, low int")
+    assert {r.vec_id: r.component_id for r in vectors.near_duplicates(df).collect()} == {1: 1, 2: 1}
+
+
 def test_vectors_without_links(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0]), (12, [1e200, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}

@@ -10,15 +10,17 @@ Four sources of evidence are added as logarithms:
   and smoothed towards the address suffix's languages, which are smoothed towards the whole table's.
 
 The trigram models start from the short word lists below and are fitted on a bounded sample of labelled rows: each row
-whose shuffled place falls below SAMPLE / labelled rows, so about `SAMPLE` rows whatever the table's size. All else
-(host counts, decisions) covers every row and whole texts. Only the models (languages x 65,536 numbers) and the host
-priors, if they are few, are broadcast.
+whose shuffled place falls below SAMPLE / labelled rows, so about `SAMPLE` rows whatever the table's size. The labels must not be
+the declarations that are fused: documents are identified by models of pages, labelled by their markup (`sample_pages`), and pages by
+models of documents. All else (host counts, decisions) covers every row and whole texts. Only the models (languages x 65,536
+numbers) and the host priors, if they are few, are broadcast.
 
 A text is rejected if it holds no letter, if noise explains it best, or if no language reaches `SURE`.
 
 Defined results: a null or empty text is rejected, language null and confidence 0; a null declaration or host is no
-evidence; a declaration outside the languages is none either; rows without any label leave the word lists as the models;
-repeated rows each get a result; an empty table gives an empty result.
+evidence; a declaration outside the languages is none either; of languages that are equally likely the first stands; rows without any
+label leave the word lists as the models; repeated rows each get a result; an empty table gives an empty result. Columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, shuffled_unit, small_batches
+from lucidframe.llm.html_extract import blocks, candidates, host_of, main_text
 from lucidframe.shipping import ship
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -85,12 +88,41 @@ def prepared(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(empty_text(text)), r"[\s\d\p{Punct}]+", " "), F.lit(" "))
 
 
-def fit_model(df: DataFrame, id_col: str, text_col: str, label_col: str, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
-    """Log probabilities by cell, a column for each language and the last for noise."""
-    labelled = df.where(F.lower(F.col(label_col)).isin(*languages))
+def plain_language(declared: Column) -> Column:
+    """The language of a declaration such as es-MX."""
+    return F.lower(F.substring_index(F.substring_index(F.trim(declared.cast("string")), "-", 1), "_", 1))
+
+
+def markup_language(html: Column) -> Column:
+    """What the html element of a page declares, or null."""
+    found = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3}(?:[-_][a-z0-9]+)*)""", 1)
+    return F.when(found != "", found)
+
+
+def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+    """(id, text, label) of about `sample` pages: the candidates for their main text and the language that their markup declares."""
+    has_columns(pages, id_col, html_col)
+    ship(pages.sparkSession)
+    html = F.col(f"`{html_col}`")
+    labelled = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), html.alias("html"), plain_language(markup_language(html)).alias("label")).where(F.col("label").isin(*languages))
+    rows = labelled.count()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [" ".join(w for words in candidates(blocks(x))[1] for w in words) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["id", "text", "label"])
+
+    chosen = labelled.where(shuffled_unit("pages", F.col("id")) < sample / max(rows, 1))
+    return materialize(chosen.mapInArrow(read, "id string, text string, label string"), "labelled")
+
+
+def fit_model(df: DataFrame | None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
+    """Log probabilities by cell, a column for each language and the last for noise, from about `sample` of (id, text, label) rows; from the word lists alone without any."""
+    if df is None:
+        return _log_model(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), languages)
+    labelled = df.select("id", "text", plain_language(F.col("label")).alias("label")).where(F.col("label").isin(*languages))
     rows = labelled.count()
-    chosen = labelled.where(shuffled_unit("language", F.col(id_col)) < sample / max(rows, 1))
-    chosen = chosen.select(F.lower(F.col(label_col)).alias("label"), prepared(F.col(text_col)).alias("text"))
+    chosen = labelled.where(shuffled_unit("language", F.col("id")) < sample / max(rows, 1)).select("label", prepared(F.col("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -106,13 +138,17 @@ def fit_model(df: DataFrame, id_col: str, text_col: str, label_col: str, languag
 
     # At most languages x CELLS rows reach the driver.
     counted = chosen.mapInArrow(count, "label string, cell bigint, n bigint").groupBy("label", "cell").agg(F.sum("n").alias("n")).toArrow()
-    model = np.full((CELLS, len(languages) + 1), PSEUDO)
     place = {x: k for k, x in enumerate(languages)}
+    label = np.array([place[x] for x in counted.column("label").to_pylist()], np.int64)
+    return _log_model(counted.column("cell").to_numpy(), label, counted.column("n").to_numpy(), languages)
+
+
+def _log_model(cell: np.ndarray, label: np.ndarray, n: np.ndarray, languages: Sequence[str]) -> np.ndarray:
+    model = np.full((CELLS, len(languages) + 1), PSEUDO)
     for k, x in enumerate(languages):
         words = f" {SEEDS.get(x, '')} ".encode()
         model[:, k] += np.bincount(cells(np.frombuffer(words, np.uint8)), minlength=CELLS) if len(words) > 2 else 0
-    label = np.array([place[x] for x in counted.column("label").to_pylist()], np.int64)
-    np.add.at(model, (counted.column("cell").to_numpy(), label), counted.column("n").to_numpy())
+    np.add.at(model, (cell, label), n)
     model[:, -1] = 1.0
     return np.log(model / model.sum(axis=0))
 
@@ -135,23 +171,21 @@ def address_suffix(host: Column) -> Column:
     return F.when(suffix != "", suffix)
 
 
-def _with_evidence(df: DataFrame, declared: Column | None, host: Column | None, log_text: Column, languages: Sequence[str]) -> DataFrame:
-    """Adds __lf_host, __lf_suffix and __lf_log: the log evidence without the host's prior."""
+def _with_evidence(df: DataFrame, model: np.ndarray, languages: Sequence[str]) -> DataFrame:
+    """(row, said, text, host) rows as (row, said, host, suffix, log): the log evidence without the host's prior."""
     k = len(languages)
-    host = F.lit(None).cast("string") if host is None else host.cast("string")
-    declared = F.lit(None).cast("string") if declared is None else F.lower(F.substring_index(F.substring_index(declared.cast("string"), "-", 1), "_", 1))
-    df = df.withColumns({"__lf_host": host, "__lf_suffix": address_suffix(host), "__lf_text": log_text, "__lf_declared": F.when(declared.isin(*languages), declared)})
+    said = plain_language(F.col("said"))
+    df = df.select("row", "said", "host", address_suffix(F.col("host")).alias("suffix"), _log_text(df, "text", model).alias("text"), F.when(said.isin(*languages), said).alias("declared"))
     usual = {s: x for s, x in SUFFIXES.items() if x in languages}
-    meant = F.create_map(*[F.lit(v) for s, x in usual.items() for v in (s, x)])[F.col("__lf_suffix")] if usual else F.lit(None).cast("string")
-    df = df.withColumn("__lf_meant", meant)
+    df = df.withColumn("meant", F.create_map(*[F.lit(v) for s, x in usual.items() for v in (s, x)])[F.col("suffix")] if usual else F.lit(None).cast("string"))
 
     def hint(column: str, trust: float, language: str) -> Column:
         other = np.log((1 - trust) / max(1, k - 1))
         return F.when(F.col(column).isNull(), 0.0).when(F.col(column) == language, float(np.log(trust))).otherwise(float(other))
 
-    parts = [F.col("__lf_text")[i] + hint("__lf_declared", DECLARED, x) + hint("__lf_meant", SUFFIX, x) for i, x in enumerate(languages)]
-    noise = F.col("__lf_text")[k] + float(np.log(1 / k)) * (F.col("__lf_declared").isNotNull().cast("int") + F.col("__lf_meant").isNotNull().cast("int"))
-    return df.withColumn("__lf_log", F.when(F.col("__lf_text").isNotNull(), F.array(*parts, noise))).drop("__lf_text", "__lf_declared", "__lf_meant")
+    parts = [F.col("text")[i] + hint("declared", DECLARED, x) + hint("meant", SUFFIX, x) for i, x in enumerate(languages)]
+    noise = F.col("text")[k] + float(np.log(1 / k)) * (F.col("declared").isNotNull().cast("int") + F.col("meant").isNotNull().cast("int"))
+    return df.select("row", "said", "host", "suffix", F.when(F.col("text").isNotNull(), F.array(*parts, noise)).alias("log"))
 
 
 def _posterior(log: Column) -> Column:
@@ -161,59 +195,76 @@ def _posterior(log: Column) -> Column:
 
 
 def host_priors(evidence: DataFrame, languages: Sequence[str] = LANGUAGES) -> tuple[DataFrame, list[float]]:
-    """(host, prior: log probabilities by language) for (__lf_host, __lf_suffix, __lf_log) rows, and the table's own prior."""
+    """(name, prior: log probabilities by language) for (host, suffix, log) rows, and the table's own prior."""
     k = len(languages)
-    known = evidence.where("__lf_log IS NOT NULL").withColumn("p", _posterior(F.col("__lf_log")))
+    known = evidence.where("log IS NOT NULL").withColumn("p", _posterior(F.col("log")))
     sums = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(k)]
-    hosts = materialize(known.groupBy("__lf_host", "__lf_suffix").agg(*sums), "host-counts")
+    hosts = materialize(known.groupBy("host", "suffix").agg(*sums), "host-counts")
     total = [x or 0.0 for x in hosts.agg(*[F.sum(f"n{i}") for i in range(k)]).first()]
     table = [(x + LEAN / k) / (sum(total) + LEAN) for x in total]
-    suffixes = hosts.groupBy("__lf_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(k)]).withColumnRenamed("__lf_suffix", "suffix")
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(k)]).withColumnRenamed("suffix", "of")
     all_s = sum((F.col(f"s{i}") for i in range(k)), F.lit(0.0))
     # A host without a suffix leans on the whole table.
-    leans = suffixes.select("suffix", *[F.when(F.col("suffix").isNull(), table[i]).otherwise((F.col(f"s{i}") + LEAN * table[i]) / (all_s + LEAN)).alias(f"q{i}") for i in range(k)])
-    joined = hosts.join(leans, F.col("__lf_suffix").eqNullSafe(F.col("suffix"))).where("__lf_host IS NOT NULL")
+    leans = suffixes.select("of", *[F.when(F.col("of").isNull(), table[i]).otherwise((F.col(f"s{i}") + LEAN * table[i]) / (all_s + LEAN)).alias(f"q{i}") for i in range(k)])
+    joined = hosts.join(leans, F.col("suffix").eqNullSafe(F.col("of"))).where("host IS NOT NULL")
     all_n = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
     prior = F.array(*[F.log((F.col(f"n{i}") + LEAN * F.col(f"q{i}")) / (all_n + LEAN)) for i in range(k)])
-    return materialize(joined.select(F.col("__lf_host").alias("__lf_name"), prior.alias("__lf_prior")), "host-priors"), [float(np.log(x)) for x in table]
+    return materialize(joined.select(F.col("host").alias("name"), prior.alias("prior")), "host-priors"), [float(np.log(x)) for x in table]
 
 
 def _decide(evidence: DataFrame, priors: DataFrame, table: list[float], languages: Sequence[str]) -> DataFrame:
-    """Adds __lf_language (null if rejected) and __lf_sure."""
+    """(row, said, language: null if rejected, sure)."""
     k = len(languages)
-    joined = evidence.join(bounded_broadcast(priors), F.col("__lf_host") == F.col("__lf_name"), "left").drop("__lf_name")
-    prior = F.coalesce("__lf_prior", F.array(*[F.lit(x) for x in table]))
-    noise = F.col("__lf_log")[k] + float(np.log(1 / k))
-    joined = joined.withColumn("__lf_p", _posterior(F.array(*[F.col("__lf_log")[i] + prior[i] for i in range(k)], noise)))
-    best = F.array_max("__lf_p")
-    named = F.element_at(F.array(*[F.lit(x) for x in languages], F.lit(None).cast("string")), F.array_position("__lf_p", best).cast("int"))
-    joined = joined.withColumns({"__lf_sure": F.coalesce(best, F.lit(0.0)), "__lf_language": F.when(best >= SURE, named)})
-    return joined.drop("__lf_p", "__lf_prior", "__lf_log", "__lf_host", "__lf_suffix")
+    joined = evidence.join(bounded_broadcast(priors), F.col("host") == F.col("name"), "left")
+    prior = F.coalesce("prior", F.array(*[F.lit(x) for x in table]))
+    noise = F.col("log")[k] + float(np.log(1 / k))
+    joined = joined.select("row", "said", _posterior(F.array(*[F.col("log")[i] + prior[i] for i in range(k)], noise)).alias("p"))
+    best = F.array_max("p")
+    named = F.element_at(F.array(*[F.lit(x) for x in languages], F.lit(None).cast("string")), F.array_position("p", best).cast("int"))
+    return joined.select("row", "said", F.when(best >= SURE, named).alias("language"), F.coalesce(best, F.lit(0.0)).alias("sure"))
+
+
+def _rows(df: DataFrame, row: Column, text_col: str, declared: Column | None, host: Column | None) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    text = F.col(f"`{text_col}`")
+    return df.select(row.alias("row"), text.alias("text"), (nothing if declared is None else declared.cast("string")).alias("said"), (nothing if host is None else host.cast("string")).alias("host"))
+
+
+def _labels(df: DataFrame, id_col: str, text_col: str, label_col: str | None, labelled: DataFrame | None) -> DataFrame | None:
+    return labelled if label_col is None else df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, label_col: str | None = None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, labelled: DataFrame | None = None, label_col: str | None = None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
     """One row for each input row: id, declared, language (null if rejected), confidence, kept.
 
-    declared: the declared language; host: the host or source; label_col: the column that labels the fitting sample.
+    declared: the declared language; host: the host or source; labelled: (id, text, label) rows that fit the models, or label_col: a
+    column of df that does, which then must not be the declared one.
     """
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
     small_batches(df.sparkSession)
-    model = fit_model(df, id_col, text_col, label_col, languages, sample) if label_col else fit_model(df.limit(0).withColumn("__lf_label", F.lit("")), id_col, text_col, "__lf_label", languages)
-    declared = F.lit(None).cast("string") if declared is None else declared.cast("string")
-    rows = _with_evidence(df, declared, host, _log_text(df, text_col, model), languages)
-    rows = materialize(rows.select(F.col(id_col).alias("__lf_id"), declared.alias("__lf_said"), "__lf_host", "__lf_suffix", "__lf_log"), "evidence")
-    found = _decide(rows, *host_priors(rows, languages), languages)
-    return found.select(F.col("__lf_id").alias(id_col), F.col("__lf_said").alias("declared"), F.col("__lf_language").alias("language"), F.round("__lf_sure", 6).alias("confidence"), F.col("__lf_language").isNotNull().alias("kept"))
+    model = fit_model(_labels(df, id_col, text_col, label_col, labelled), languages, sample)
+    evidence = materialize(_with_evidence(_rows(df, F.col(f"`{id_col}`"), text_col, declared, host), model, languages), "evidence")
+    found = _decide(evidence, *host_priors(evidence, languages), languages)
+    return found.select(F.col("row").alias(id_col), F.col("said").alias("declared"), "language", F.round("sure", 6).alias("confidence"), F.col("language").isNotNull().alias("kept"))
 
 
-def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, label_col: str | None = None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, labelled: DataFrame | None = None, label_col: str | None = None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
     """The rows whose language is found, with all their columns. Texts are read twice rather than shuffled."""
     has_columns(df, id_col, text_col)
     ship(df.sparkSession)
     small_batches(df.sparkSession)
-    model = fit_model(df, id_col, text_col, label_col, languages, sample) if label_col else fit_model(df.limit(0).withColumn("__lf_label", F.lit("")), id_col, text_col, "__lf_label", languages)
-    rows = _with_evidence(df, declared, host, _log_text(df, text_col, model), languages)
-    narrow = materialize(rows.select("__lf_host", "__lf_suffix", "__lf_log"), "evidence")
-    found = _decide(rows, *host_priors(narrow, languages), languages)
-    return found.where("__lf_language IS NOT NULL").select(*[F.col(f"`{c}`") for c in df.columns])
+    model = fit_model(_labels(df, id_col, text_col, label_col, labelled), languages, sample)
+    evidence = _with_evidence(_rows(df, F.struct(*[F.col(f"`{c}`") for c in df.columns]), text_col, declared, host), model, languages)
+    narrow = materialize(evidence.select("host", "suffix", "log"), "evidence")
+    return _decide(evidence, *host_priors(narrow, languages), languages).where("language IS NOT NULL").select("row.*")
+
+
+def identify_pages(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+    """One row for each page, by its main text, the language that its markup declares, its address's suffix and its host. labelled: (id, text, label) rows that fit the models."""
+    has_columns(pages, id_col, url_col, html_col)
+    markup = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    declared = markup.select("page_id", markup_language(F.col("html")).alias("said")).dropDuplicates(["page_id"])
+    texts = main_text(markup).join(declared, "page_id")
+    found = identify(texts, "page_id", "text", F.col("said"), host_of(F.col("url")), labelled, None, languages, sample)
+    return found.withColumnRenamed("page_id", id_col)

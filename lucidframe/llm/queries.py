@@ -26,7 +26,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    labelled = language_id.sample_pages(table(spark, sf_dir, "pages"))
+    return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), labelled=labelled)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

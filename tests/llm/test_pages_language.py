@@ -106,13 +106,14 @@ def test_languages_held_out(spark):
     for i in range(400):
         lang = ("en", "de", "fr", "es")[i % 4]
         words = TEXT[lang].split()
-        rows.append((i, " ".join(rng.choice(words, 12)), lang if i < 300 else None, "hot" if i % 3 else f"site{i % 4}.example"))
+        rows.append((i, " ".join(rng.choice(words, 12)), None, "hot" if i % 3 else f"site{i % 4}.example"))
     rows += [(900, None, "en", "hot"), (901, "", "en", "hot"), (902, "12 34 !!", "en", "hot"), (903, "the", None, None), (904, "zxqj vkwx qqzx wvkj xxqz kzvw qjxk zzkq " * 40, None, None), (905, "the house " * 100_000, "xx", "hot")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, language int")
-    options = dict(declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, host int")
+    known = [(f"p{i}", " ".join(rng.choice(TEXT[x].split(), 12)), x) for i in range(100) for x in TEXT]
+    options = dict(declared=F.col("lang"), host=F.col("source"), labelled=spark.createDataFrame(known, "id string, text string, label string"))
     got = {r.doc_id: r for r in language_id.identify(df, **options).collect()}
     assert len(got) == len(rows)
-    assert np.mean([got[i].language == ("en", "de", "fr", "es")[i % 4] for i in range(300, 400)]) > 0.95
+    assert np.mean([got[i].language == ("en", "de", "fr", "es")[i % 4] for i in range(400)]) > 0.95
     assert all(not got[i].kept and got[i].language is None for i in (900, 901, 902, 904))
     assert got[903].language == "en" and got[905].language == "en"
     kept = language_id.drop_unidentified(df, **options)
@@ -131,3 +132,35 @@ def test_declaration_and_host_decide_short_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.language for r in language_id.identify(df, declared=F.col("lang"), host=F.col("source")).collect()}
     assert got[100] == "fr" and got[101] == "es" and got[102] == "es"
+
+
+def page(i, lang, host, text):
+    return (i, f"http://{host}/{i}", f"<html{f' lang={lang}' if lang else ''}><body><article><p>{text}</p></article></body></html>")
+
+
+def test_each_evidence_changes_a_decision(spark):
+    """Pages whose text says nothing by itself, with one kind of evidence each; without it the decision is another."""
+    vague = "la"  # Spanish and French alike
+    rows = [page(i, "fr", "site.fr", "le chat et la maison") for i in range(30)] + [page(100 + i, "es", "blog.org", "el gato y la casa") for i in range(30)]
+    rows += [page(200 + i, "en", "big.com", "the house of the king") for i in range(200)]
+    cases = {900: ("es", "other.net"), 901: ("fr", "other.net"), 902: (None, "new.fr"), 903: (None, "new.mx"), 904: (None, "blog.org"), 905: (None, "site.fr")}
+    rows += [page(i, lang, host, vague) for i, (lang, host) in cases.items()]
+    got = {r.page_id: r.language for r in language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert (got[900], got[901]) == ("es", "fr")  # the markup's declaration alone
+    assert (got[902], got[903]) == ("fr", "es")  # the address suffix alone
+    assert (got[904], got[905]) == ("es", "fr")  # the host's prior; blog.org's suffix means no language
+    words = language_id.identify(spark.createDataFrame([(1, "the house and the king"), (2, "el hombre que estaba con los gatos y las casas del pueblo en la ciudad")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.language for r in words} == {1: "en", 2: "es"}  # the text alone
+
+
+def test_markup_declarations(spark):
+    cases = {'<!DOCTYPE html><html lang="de-AT">': "de-AT", "<HTML class=x LANG=fr>": "fr", "<html\n xml:lang='en' lang='es'>": "en", "<html><p lang=en>": None, "": None, None: None}
+    df = spark.createDataFrame([(h,) for h in cases], "html string")
+    assert [r[0] for r in df.select(language_id.markup_language(F.col("html"))).collect()] == list(cases.values())
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = [(1, "la", None), (1, "la", None), (2, "la", None), (None, "the house", "en")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), declared=F.col("lang")).collect()
+    assert len(got) == 4 and len({(r.language, r.confidence) for r in got if r.doc_id in (1, 2)}) == 1

@@ -18,8 +18,9 @@ NEAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
-    return language_id.drop_unidentified(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    """Documents without a language go; the models are fitted on pages."""
+    labelled = language_id.sample_pages(table(spark, sf_dir, "pages"))
+    return language_id.drop_unidentified(docs, declared=F.col("lang"), host=F.col("source"), labelled=labelled)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

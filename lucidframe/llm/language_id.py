@@ -44,7 +44,7 @@ EVIDENCE, DECLARED, SUFFIX, SURE = 200.0, 0.9, 0.7, 0.5
 LEAN = 20.0
 #: Trigrams are told apart up to a hash of so many values; each has PSEUDO counts from the start.
 CELLS, PSEUDO = 1 << 16, 0.05
-SLICE = 4 << 20
+SLICE = 1 << 18
 
 # Frequent words, and address suffixes by their usual language.
 SEEDS = {

@@ -90,6 +90,90 @@ def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
     return out.withColumn("mean_rank", F.col("before") + (F.col("n") + 1) / 2.0).drop("__part", "__offset")
 
 
+#: Rows of a bracket that order statistics are picked from; the relative error of the sketch that makes brackets.
+PICKED, SKETCH = 1_000_000, 10_000
+
+
+def order_statistics(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles (at p * (n - 1) from 0) of some columns, null and NaN left out; none for a column without values.
+
+    A sketch brackets each order statistic, one pass counts what lies below a bracket and on its ends and collects what lies
+    between, a fraction of 4 / SKETCH of the rows; a bracket that still holds more than PICKED rows is sketched again. No
+    task holds all distinct values, and all columns share their passes.
+    """
+    values = {}
+    for k, c in columns.items():
+        c = c.cast("double")
+        values[k] = F.when(~F.isnan(c), c)
+    names = list(values)
+    df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    margin = 2.0 / SKETCH
+    near = sorted({min(max(x, 0.0), 1.0) for p in probs for x in (p - margin, p + margin)})
+    first = df.agg(*[x for i in range(len(names)) for x in (F.count(f"v{i}"), F.percentile_approx(f"v{i}", near, SKETCH), F.min(f"v{i}"), F.max(f"v{i}"))]).first() if names else ()
+    found: dict[str, list[float | None]] = {}
+    wanted: dict[tuple[int, int], tuple[float, float]] = {}
+    counts = []
+    for i in range(len(names)):
+        n, sketch, least, most = first[4 * i : 4 * i + 4]
+        counts.append(n)
+        for p in probs if n else ():
+            for rank in {int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1)}:
+                low, high = (sketch[near.index(min(max(x, 0.0), 1.0))] for x in (p - margin, p + margin))
+                wanted[i, rank] = (least if p <= margin else low, most if p >= 1 - margin else high)
+    got: dict[tuple[int, int], float] = {}
+    while wanted:
+        keys = list(wanted)
+        aggregates = []
+        for i, rank in keys:
+            low, high = wanted[i, rank]
+            x = F.col(f"v{i}")
+            aggregates += [F.count(F.when(x < low, 1)), F.count(F.when(x == low, 1)), F.count(F.when((x > low) & (x < high), 1)), F.count(F.when(x == high, 1))]
+        many = any(4 * counts[i] / SKETCH > PICKED for i, _ in keys)
+        if not many:  # the brackets' insides are small
+            aggregates += [F.collect_list(F.when((F.col(f"v{i}") > wanted[i, r][0]) & (F.col(f"v{i}") < wanted[i, r][1]), F.col(f"v{i}"))) for i, r in keys]
+        row = df.agg(*aggregates).first()
+        again: dict[tuple[int, int], tuple[float, float]] = {}
+        inside: list[tuple[int, int, int]] = []
+        for k, (i, rank) in enumerate(keys):
+            below, on_low, between, on_high = row[4 * k : 4 * k + 4]
+            low, high = wanted[i, rank]
+            at = rank - below
+            if at < 0 or (low != high and at >= on_low + between + on_high):  # the sketch was off: widen to that side
+                again[i, rank] = (first[4 * i + 2], low) if at < 0 else (high, first[4 * i + 3])
+            elif at < on_low or low == high:
+                got[i, rank] = low
+            elif at >= on_low + between:
+                got[i, rank] = high
+            elif many:
+                inside.append((i, rank, at - on_low))
+            else:
+                got[i, rank] = sorted(row[4 * len(keys) + k])[at - on_low]
+        for i, rank, at in inside:  # one sketch within a bracket at a time; each thins it out by SKETCH / 4
+            low, high = wanted[i, rank]
+            x = F.col(f"v{i}")
+            part = df.where((x > low) & (x < high))
+            n = part.count()
+            p = at / max(n - 1, 1)
+            a, b = part.agg(F.percentile_approx(x, [max(0.0, p - margin), min(1.0, p + margin)], SKETCH)).first()[0]
+            c, d = part.agg(F.min(x), F.max(x)).first()
+            if 4 * n / SKETCH <= 1 or (a, b) == (c, d):
+                got[i, rank] = part.select(x).orderBy(x).offset(at).first()[0]
+            else:
+                again[i, rank] = (c if p <= margin else a, d if p >= 1 - margin else b)
+        wanted = again
+    for i, name in enumerate(names):
+        n, out = counts[i], []
+        for p in probs:
+            if not n:
+                out.append(None)
+                continue
+            at = p * (n - 1)
+            low, high = got[i, int(at)], got[i, min(int(at) + 1, n - 1)]
+            out.append(low + (high - low) * (at - int(at)))
+        found[name] = out
+    return found
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All floating columns rounded, minus zero made zero: what queries return, so that engines agree."""
     kinds = dict(df.dtypes)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
-from lucidframe.functions.expr import col, hash_key
+from lucidframe.functions.expr import col, hash_key, order_statistics
 from lucidframe.models.registry import FAMILIES, check_parameters
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
@@ -178,8 +178,8 @@ def _boosting(df, task, encoding, q, seed):
 
 
 def _knots(df: DataFrame, name: str, count: int) -> list[float]:
-    cuts = df.agg(F.percentile(col(name).cast("double"), [(i + 1) / (count + 1) for i in range(count)])).first()[0] or []
-    return sorted(set(cuts))
+    cuts = order_statistics(df, {name: col(name)}, [(i + 1) / (count + 1) for i in range(count)])[name]
+    return sorted({c for c in cuts if c is not None})
 
 
 def _basis_fit(df: DataFrame, task: Task, basis: Column | list[Column], penalty: float) -> Callable[[DataFrame], DataFrame]:

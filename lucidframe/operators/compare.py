@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task
-from lucidframe.operators.explain import spearman
+from lucidframe.functions.expr import order_statistics
+from lucidframe.operators.explain import rank_correlations
 from lucidframe.operators.metrics import first_argmax
 
 #: Changes below this are no direction.
@@ -39,27 +39,27 @@ def hard_disagreement(task: Task, a: Column, b: Column) -> Column:
 
 
 def prediction_pairs(df: DataFrame, task: Task, models: Sequence[str]) -> DataFrame:
-    """Distances of every unordered pair of models' predictions, and their rank correlation.
-
-    The pairs' distances come from one pass over the wide scores; rank correlations take their own aggregations.
-    """
+    """Distances of every unordered pair of models' predictions, and their rank correlation: a row for each pair, from passes that all pairs share."""
     if len(models) < 2:
         raise ContractError("pairs need two models")
-    items = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), distance(task, F.col(a), F.col(b)).alias("d"), hard_disagreement(task, F.col(a), F.col(b)).alias("h")) for a, b in combinations(models, 2)]
-    pairs = df.select(F.explode(F.array(*items)).alias("p")).select("p.*").groupBy("model_a", "model_b").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("h").alias("class_disagreement_rate"), F.avg("d").alias("mean_prediction_distance"), F.percentile("d", 0.5).alias("median_prediction_distance"),
-        F.percentile("d", 0.9).alias("p90_prediction_distance"), F.max("d").alias("max_prediction_distance"),
-    )
-    ranks = []
-    for a, b in combinations(models, 2):
-        if task.kind == MULTICLASS:
-            classes = [spearman(df.select(F.get(F.col(a), F.lit(i)).alias("a"), F.get(F.col(b), F.lit(i)).alias("b")), "a", "b") for i in range(len(task.levels))]
-            found = reduce(DataFrame.unionByName, classes).agg(F.avg("rho").alias("rho"))
-        else:
-            found = spearman(df, a, b)
-        ranks.append(found.select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col("rho").alias("prediction_rank_correlation")))
-    joined = pairs.join(F.broadcast(reduce(DataFrame.unionByName, ranks)), ["model_a", "model_b"])
-    return joined.orderBy(F.desc("mean_prediction_distance"), "model_a", "model_b")
+    pairs = list(combinations(models, 2))
+    distances = {f"{i}": distance(task, F.col(a), F.col(b)) for i, (a, b) in enumerate(pairs)}
+    middle = order_statistics(df, distances, (0.5, 0.9))
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, (a, b) in enumerate(pairs):
+        aggregates += [F.avg(hard_disagreement(task, F.col(a), F.col(b))).alias(f"h{i}"), F.avg(distances[f"{i}"]).alias(f"m{i}"), F.max(distances[f"{i}"]).alias(f"x{i}")]
+    row = df.agg(*aggregates).first()
+    if task.kind == MULTICLASS:
+        each = [rank_correlations(df.select(*[F.get(F.col(m), F.lit(k)).alias(m) for m in models]), models) for k in range(len(task.levels))]
+        rho = {}
+        for p in pairs:
+            known = [e[p][1] for e in each if e[p][1] is not None]
+            rho[p] = sum(known) / len(known) if known else None
+    else:
+        rho = {p: r for p, (_, r) in rank_correlations(df, models).items()}
+    table = [(a, b, row["n"], row[f"h{i}"], row[f"m{i}"], *middle[f"{i}"], row[f"x{i}"], rho[a, b]) for i, (a, b) in enumerate(pairs)]
+    names = "model_a string, model_b string, n bigint, class_disagreement_rate double, mean_prediction_distance double, median_prediction_distance double, p90_prediction_distance double, max_prediction_distance double, prediction_rank_correlation double"
+    return df.sparkSession.createDataFrame(table, names).orderBy(F.desc("mean_prediction_distance"), "model_a", "model_b")
 
 
 def effect_pairs(curves: DataFrame, min_support: float = 0.1) -> DataFrame:
@@ -111,6 +111,7 @@ def importance_agreement(importance: dict[str, dict[str, float]], features: Sequ
     pairs = {(a, b): rank_correlation([importance[a][f] for f in features], [importance[b][f] for f in features]) for a, b in combinations(names, 2)}
     known = [v for v in pairs.values() if v is not None]
     ranges = [{"feature": f, "min_importance": min(importance[m][f] for m in names), "max_importance": max(importance[m][f] for m in names), "mean_importance": sum(importance[m][f] for m in names) / len(names)} for f in features]
+    ranges = sorted((r | {"importance_range": r["max_importance"] - r["min_importance"]} for r in ranges), key=lambda r: (-r["importance_range"], r["feature"]))
     return {"models": names, "pairs": pairs, "mean_rank_correlation": sum(known) / len(known) if known else None, "ranges": ranges}
 
 
@@ -122,8 +123,7 @@ def prediction_agreement(df: DataFrame, task: Task, models: Sequence[str]) -> di
         labels = F.array(*[first_argmax(F.col(m)) for m in models])
         ambiguity = df.agg(F.avg((F.size(F.array_distinct(labels)) > 1).cast("double"))).first()[0]
         return {"score": 1 - ambiguity, "ambiguity": ambiguity}
-    ranks = [spearman(df, a, b).first()["rho"] for a, b in combinations(models, 2)]
-    known = [r for r in ranks if r is not None]
+    known = [r for _, r in rank_correlations(df, models).values() if r is not None]
     all_ = F.array(*[F.col(m).cast("double") for m in models])
     if task.kind == BINARY:
         ambiguity = df.agg(F.avg((F.size(F.array_distinct(F.transform(all_, lambda x: x >= 0.5))) > 1).cast("double"))).first()[0]

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, HIGHER_IS_BETTER, REGRESSION, ContractError, Task
-from lucidframe.functions.expr import col, is_missing, rate, tie_blocks
+from lucidframe.functions.expr import col, is_missing, order_statistics, rate, tie_blocks
 from lucidframe.functions.stats import pareto
-from lucidframe.operators.metrics import evaluate, first_argmax, multiclass_aggregates, regression_aggregates
+from lucidframe.operators.explain import metric_by
+from lucidframe.operators.metrics import binary_aggregates, first_argmax, multiclass_aggregates, regression_aggregates
 from lucidframe.operators.prep import profile
 
 SCOPE = "Descriptive of these evaluation rows; no guarantee for others."
@@ -95,15 +96,11 @@ def subgroups(df: DataFrame, task: Task, by: str, y: str = "y", score: str = "sc
         raise ContractError("subgroups need between 2 and 20 groups")
     actual, p = F.col(y), F.col(score)
     total = F.sum("n").over(Window.partitionBy())
-    if task.kind == BINARY:
-        # Grouped AUCs come from pairs of equal scores within groups.
-        parts = [evaluate(named.where(F.col("group") == r["group"]), task, y, score).withColumn("group", F.lit(r["group"])) for r in found]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-    else:
-        aggregates = regression_aggregates(actual, p) if task.kind == REGRESSION else multiclass_aggregates(actual, p, len(task.levels))
-        out = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+    aggregates = {REGRESSION: lambda: regression_aggregates(actual, p), BINARY: lambda: binary_aggregates(actual, p)}.get(task.kind, lambda: multiclass_aggregates(actual, p, len(task.levels)))()
+    out = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+    if task.kind == BINARY:  # all groups' areas in one pass
+        areas = metric_by(named.select("group", actual.alias("y"), p.alias("score")), task, "auc", ["group"])
+        out = out.join(F.broadcast(areas.withColumnRenamed("value", "roc_auc")), "group")
     sign = -1.0 if task.primary in HIGHER_IS_BETTER else 1.0
     enough = F.col("n") >= min_rows
     best = F.min(F.when(enough, F.col(task.primary) * sign)).over(Window.partitionBy()) * sign
@@ -153,7 +150,8 @@ def class_ambiguity(df: DataFrame, models: Sequence[str], levels: Sequence[str],
 
 def ambiguity_summary(rows: DataFrame, regression: bool) -> DataFrame:
     if regression:
-        return rows.agg(F.count(F.lit(1)).alias("n"), F.percentile("range", 0.5).alias("median_range"), F.percentile("range", 0.9).alias("p90_range"), F.max("range").alias("max_range"))
+        middle, high = order_statistics(rows, {"range": F.col("range")}, (0.5, 0.9))["range"]
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(middle).cast("double").alias("median_range"), F.lit(high).cast("double").alias("p90_range"), F.max("range").alias("max_range"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n_classes") > 1).cast("double")).alias("disagreement_rate"), F.avg("max_distance").alias("mean_distance"), F.max("max_distance").alias("max_distance"))
 
 

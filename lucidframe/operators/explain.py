@@ -6,6 +6,7 @@ multiclass: an array of probabilities), so models and plain expressions are expl
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import HIGHER_IS_BETTER, ContractError, Task, predictor_kind
-from lucidframe.functions.expr import col, cut_points, hash_key, hash_rank, is_missing, rate, tie_blocks
+from lucidframe.functions.expr import col, cut_points, hash_key, is_missing, order_statistics, rate, tie_blocks
 from lucidframe.functions.stats import normal_quantile, t_quantile
 from lucidframe.operators.metrics import auc, delta, loss_aggregate
 from lucidframe.operators.split import reference_sample, strata_key
@@ -39,6 +40,29 @@ def _is_number(df: DataFrame, c: str) -> bool:
     return predictor_kind(df.schema[c].dataType) == "numeric"
 
 
+def rank_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """Spearman's rho of every pair of columns without nulls, by mean ranks; none if either is constant.
+
+    Every column is ranked once, and all pairs come from one aggregation.
+    """
+    rows = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    cuts = cut_points(rows, rows.columns)
+    for i in range(len(columns)):
+        rows = rows.join(tie_blocks(rows.select(f"v{i}"), f"v{i}", cuts=cuts[i]).select(f"v{i}", F.col("mean_rank").alias(f"r{i}")), f"v{i}")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = rows.agg(F.count(F.lit(1)), *[F.sum(F.col(f"r{i}") * F.col(f"r{j}")) for i, j in pairs]).first()
+    n = row[0]
+    # Mean ranks have the mean (n + 1) / 2, so products need no centring pass.
+    moment = {k: (row[1 + at] or 0.0) - n * ((n + 1) / 2) ** 2 for at, k in enumerate(pairs)}
+    out = {}
+    for i, j in pairs:
+        if i != j:
+            scale = max(moment[i, i], 0.0) ** 0.5 * max(moment[j, j], 0.0) ** 0.5
+            constant = min(moment[i, i], moment[j, j]) <= 1e-9 * n * max(n, 1) ** 2 / 12
+            out[columns[i], columns[j]] = (n, None if n < 2 or constant else moment[i, j] / scale)
+    return out
+
+
 def spearman(df: DataFrame, a: str, b: str, cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """One row: n and rho from mean ranks; null if either is constant. cuts: known cut points of the columns."""
     rows = df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
@@ -114,7 +138,7 @@ def dependence(df: DataFrame, features: Sequence[str], threshold: float = 0.7) -
 # Permutation importance
 
 
-def _metric_by(scored: DataFrame, task: Task, metric: str, keys: Sequence[str]) -> DataFrame:
+def metric_by(scored: DataFrame, task: Task, metric: str, keys: Sequence[str]) -> DataFrame:
     if metric != "auc":
         return scored.groupBy(*keys).agg(loss_aggregate(task, metric, F.col("y"), F.col("score")).alias("value"))
     # Grouped AUC: mean ranks of distinct scores within each (feature, repeat).
@@ -125,30 +149,51 @@ def _metric_by(scored: DataFrame, task: Task, metric: str, keys: Sequence[str])
     return sums.select(*keys, rate(F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0, F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("value"))
 
 
+#: Rows of a random block, within which values are dealt anew.
+DEALT = 512
+
+
 def permutation_scores(df: DataFrame, score: Score, task: Task, metric: str, groups: dict[str, Sequence[str]], repeats: int = 20, seed: int = 123, row_id: str = "row_id", within: Sequence[str] | str | None = None) -> DataFrame:
     """(feature, repeat, score, baseline, delta): the metric after the features' values are dealt anew, jointly in a group.
 
-    df: row_id, y and the features. Rows get a place once; for every (feature, repeat) a fresh shuffle says whose values come
-    to a place. So there is one join and one scoring pass, whatever the number of features and repeats.
+    df: row_id, y and the features. Rows are shuffled once, into random blocks of about DEALT rows (of one stratum) in hash order. In
+    a block, every (feature, repeat) turns the order by an amount of its own, so a row gets the values of another random row of the
+    table, nobody its own, and each value goes to one row. All turns are scored where the block lies; only sums leave it.
     """
     strata: list[str] = []
+    columns = df.columns
     if within is not None:
         df, strata = df.withColumn("__stratum", strata_key(df, [within] if isinstance(within, str) else list(within))), ["__stratum"]
-    own = hash_rank(df.withColumn("__key", hash_key(seed, "place", col(row_id))), "__key", "__at", strata).drop("__key")
-    moved = sorted({c for names in groups.values() for c in names})
-    turns = F.explode(F.array(*[F.struct(F.lit(g).alias("feature"), F.lit(r).alias("repeat")) for g in groups for r in range(1, repeats + 1)]))
-    gives = df.select(col(row_id).alias("__id"), *[col(c).alias(f"__new_{i}") for i, c in enumerate(moved)], *strata, turns.alias("__turn"))
-    gives = gives.select("__id", *[f"__new_{i}" for i in range(len(moved))], *strata, "__turn.feature", "__turn.repeat")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature"), F.col("repeat").cast("string"), F.col("__id").cast("string")))
-    gives = hash_rank(gives.withColumn("__key", key), "__key", "__at", ["feature", "repeat", *strata]).drop("__key", "__id")
-    both = own.join(gives, ["__at", *strata])
-    dealt = {c: F.when(F.col("feature").isin(*[g for g, names in groups.items() if c in names]), F.col(f"__new_{i}")).otherwise(col(c)) for i, c in enumerate(moved)}
-    scored = score(both.withColumns(dealt).drop("__at", *strata, *[f"__new_{i}" for i in range(len(moved))]))
-    values = _metric_by(scored, task, metric, ["feature", "repeat"])
-    base = _metric_by(score(df.drop(*strata)).withColumn("__all", F.lit(1)), task, metric, ["__all"]).select(F.col("value").alias("baseline"))
+    sizes = df.groupBy(*strata).agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("__blocks"))
+    keyed = df.withColumn("__key", hash_key(seed, "place", col(row_id)))
+    if strata:
+        keyed = keyed.join(sizes.withColumnRenamed("__stratum", "__of"), F.col("__stratum").eqNullSafe(F.col("__of")))
+    else:
+        keyed = keyed.withColumn("__blocks", F.lit(max(1, sizes.first()[0])))
+    block = F.pmod(F.conv(F.substring("__key", 1, 15), 16, 10).cast("long"), F.col("__blocks")).alias("__block")
+    packed = keyed.select(*strata, block, F.struct("__key", *[col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
+    packed = packed.groupBy(*strata, "__block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    names = list(groups)
+    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("group"), F.lit(r).alias("repeat"), F.lit(turn_of(seed, g, r)).cast("long").alias("by")) for k, g in enumerate(names) for r in range(1, repeats + 1)]))
+    size = F.size("rows")
+    shift = F.when(size > 1, (1 + F.pmod("turn.by", F.greatest(size - 1, F.lit(1)))).cast("int")).otherwise(0)
+    dealt = packed.select("rows", turns.alias("turn")).select("rows", "turn", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"), shift.alias("shift"))
+    dealt = dealt.select("turn", F.get("rows", F.col("at")).alias("own"), F.get("rows", F.pmod(F.col("at") + F.col("shift"), size)).alias("other"))
+    place = {c: i for i, c in enumerate(columns)}
+    moved = {c: [k for k, g in enumerate(names) if c in groups[g]] for c in columns}
+    value = lambda c: F.when(F.col("turn.group").isin(*moved[c]), F.col(f"other.c{place[c]}")).otherwise(F.col(f"own.c{place[c]}")) if moved[c] else F.col(f"own.c{place[c]}")
+    scored = score(dealt.select("turn", *[value(c).alias(c) for c in columns]))
+    values = metric_by(scored.withColumns({"__group": F.col("turn.group"), "__repeat": F.col("turn.repeat")}), task, metric, ["__group", "__repeat"])
+    values = values.select(F.element_at(F.array(*[F.lit(g) for g in names]), F.col("__group") + 1).alias("feature"), F.col("__repeat").alias("repeat"), "value")
+    base = metric_by(score(df.drop(*strata)).withColumn("__all", F.lit(1)), task, metric, ["__all"]).select(F.col("value").alias("baseline"))
     return values.crossJoin(F.broadcast(base)).select("feature", "repeat", F.col("value").alias("score"), "baseline", delta(metric, F.col("value"), F.col("baseline")).alias("delta"))
 
 
+def turn_of(seed: int, group: str, repeat: int) -> int:
+    """By how much a block's order is turned, before it is cut down to the block's size."""
+    return int(hashlib.md5(f"{seed}|{group}|{repeat}".encode()).hexdigest()[:8], 16)
+
+
 def importance_summary(scores: DataFrame, order: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Per feature: mean delta, its error and t interval (null for one repeat), sign stability, mean permuted score."""
     d = F.col("delta")
@@ -206,7 +251,7 @@ def _target(task: Task, klass: str | None) -> Column:
 def numeric_grid(df: DataFrame, feature: str, points: int = 20, quantiles: tuple[float, float] = (0.05, 0.95)) -> list[float]:
     """Equally spaced values between two quantiles; the distinct values if the two are equal."""
     x = F.when(~is_missing(df, feature), col(feature).cast("double"))
-    low, high = df.agg(F.percentile(x, list(quantiles))).first()[0] or (None, None)
+    low, high = order_statistics(df, {"x": x}, quantiles)["x"]
     if low is None:
         raise ContractError(f"{feature} has no values")
     if low == high:
@@ -248,8 +293,7 @@ def _near(grid: Sequence[float]) -> Column:
 def ale_boundaries(df: DataFrame, feature: str, points: int = 20) -> list[float]:
     """Distinct interpolated quantiles, one more than there are bins."""
     x = F.when(~is_missing(df, feature), col(feature).cast("double"))
-    cuts = df.agg(F.percentile(x, [i / points for i in range(points + 1)])).first()[0]
-    return sorted(set(cuts or []))
+    return sorted({c for c in order_statistics(df, {"x": x}, [i / points for i in range(points + 1)])["x"] if c is not None})
 
 
 def ale(df: DataFrame, score: Score, task: Task, feature: str, points: int = 20, sample_size: int | None = None, seed: int = 123, row_id: str = "row_id", klass: str | None = None) -> Effect:
@@ -267,20 +311,23 @@ def ale(df: DataFrame, score: Score, task: Task, feature: str, points: int = 20,
         place = place + (col(feature).cast("double") >= F.lit(b)).cast("int")
     edges = F.array(*[F.lit(c) for c in cuts])
     placed = rows.withColumn("bin", place)
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.get(edges, F.col("bin") - 1).alias("at")), F.struct(F.lit(1).alias("side"), F.get(edges, F.col("bin")).alias("at"))))
-    both = score(placed.withColumn("__end", ends).withColumn(feature, F.col("__end.at"))).withColumn("__p", _target(task, klass))
-    local = both.groupBy(row_id, "bin").agg((F.max(F.when(F.col("__end.side") == 1, F.col("__p"))) - F.max(F.when(F.col("__end.side") == 0, F.col("__p")))).alias("d"))
-    found = local.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("local"), F.try_divide(F.stddev_samp("d"), F.sqrt(F.count(F.lit(1)))).alias("se"))
-    every = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("bin"), F.lit(cuts[i]).alias("lower"), F.lit(cuts[i + 1]).alias("upper")) for i in range(bins)]))
-    grid = df.sparkSession.range(1).select(every.alias("b")).select("b.*").join(F.broadcast(found), "bin", "left")
-    grid = grid.withColumns({"n": F.coalesce("n", F.lit(0)), "local": F.coalesce("local", F.lit(0.0))})
-    all_ = Window.partitionBy()
-    grid = grid.withColumn("weight", rate(F.col("n"), F.sum("n").over(all_)))
-    grid = grid.withColumn("summed", F.sum("local").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    grid = grid.withColumn("effect", F.col("summed") - F.sum(F.col("summed") * F.col("weight")).over(all_))
-    grid = grid.withColumn("value", (F.col("lower") + F.col("upper")) / 2)
-    grid = grid.withColumn("support", F.col("n") / F.max("n").over(all_))
-    return Effect(grid.select("bin", "value", "lower", "upper", "n", "weight", "local", "se", "effect", "support").orderBy("bin"), feature, "ale", 0, notes={"cuts": cuts})
+    # Both ends are scored side by side, so a row's difference needs no shuffle.
+    low = score(placed.withColumn(feature, F.get(edges, F.col("bin") - 1))).withColumn("__low", _target(task, klass))
+    both = score(low.withColumn(feature, F.get(edges, F.col("bin")))).withColumn("d", _target(task, klass) - F.col("__low"))
+    found = {r["bin"]: r for r in both.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("local"), F.try_divide(F.stddev_samp("d"), F.sqrt(F.count(F.lit(1)))).alias("se")).collect()}  # a row for each bin
+    counts = [found[k]["n"] if k in found else 0 for k in range(1, bins + 1)]
+    local = [found[k]["local"] if k in found else 0.0 for k in range(1, bins + 1)]
+    own = [found[k]["se"] if k in found else None for k in range(1, bins + 1)]
+    weight = [n / sum(counts) for n in counts]
+    summed = np.cumsum(local)
+    effect = summed - float(np.dot(summed, weight))
+    z = normal_quantile(0.975)
+    table = []
+    for k, se in enumerate(ale_errors(own, weight)):
+        e = float(effect[k])
+        table.append((k + 1, (cuts[k] + cuts[k + 1]) / 2, cuts[k], cuts[k + 1], counts[k], weight[k], float(local[k]), own[k], e, se, None if se is None else e - z * se, None if se is None else e + z * se, counts[k] / max(counts)))
+    names = "bin int, value double, lower double, upper double, n bigint, weight double, local double, local_se double, effect double, se double, conf_low double, conf_high double, support double"
+    return Effect(df.sparkSession.createDataFrame(table, names), feature, "ale", sum(counts), notes={"cuts": cuts, "interval": "bands show variation within bins, not uncertainty of the fit"})
 
 
 def ale_errors(se: Sequence[float | None], weight: Sequence[float]) -> list[float | None]:

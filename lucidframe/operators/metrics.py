@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, HIGHER_IS_BETTER, METRICS, REGRESSION, Task
-from lucidframe.functions.expr import clamp, rate, tie_blocks
+from lucidframe.functions.expr import clamp, order_statistics, rate, tie_blocks
 
 # What each metric says.
 DEFINITIONS = {
@@ -134,7 +134,8 @@ def confusion(df: DataFrame, observed: str, predicted: str) -> DataFrame:
 
 def error_summary(df: DataFrame, y: str, score: str) -> DataFrame:
     error = F.col(score) - F.col(y)
-    return df.agg(F.avg(error).alias("mean_error"), F.percentile(F.abs(error), 0.5).alias("median_absolute_error"), F.percentile(F.abs(error), 0.9).alias("p90_absolute_error"))
+    middle, high = order_statistics(df, {"e": F.abs(error)}, (0.5, 0.9))["e"]
+    return df.agg(F.avg(error).alias("mean_error"), F.lit(middle).cast("double").alias("median_absolute_error"), F.lit(high).cast("double").alias("p90_absolute_error"))
 
 
 def prediction_table(df: DataFrame, task: Task, row_id: str = "row_id", y: str = "y", score: str = "score") -> DataFrame:

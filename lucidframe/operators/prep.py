@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import ContractError, predictor_kind
-from lucidframe.functions.expr import col, is_missing, rate
+from lucidframe.functions.expr import col, is_missing, order_statistics, rate
 
 # Names of identifier columns, numeric-like levels, and other names of the strategies.
 ID_NAMES = (r"^id$", r"^id_", r"_id$", r"^identifier$", r"^row_?id$", r"^index$")
@@ -47,10 +47,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians (linear interpolation); missing values left out."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.percentile(F.when(~is_missing(df, c), col(c).cast("double")), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    return {c: m[0] for c, m in order_statistics(df, {c: col(c) for c in columns}, (0.5,)).items()}
 
 
 def levels_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:

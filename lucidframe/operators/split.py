@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import ContractError
-from lucidframe.functions.expr import col, hash_key, hash_rank, is_missing
+from lucidframe.functions.expr import col, hash_key, hash_rank, is_missing, order_statistics
 
 SALT = "split"
 
@@ -107,7 +107,7 @@ def strata_key(df: DataFrame, columns: Sequence[str]) -> Column:
     parts = []
     for c in columns:
         if dict(df.dtypes)[c] not in ("string", "boolean") and df.select(col(c)).distinct().limit(11).count() > 10:
-            cuts = sorted(set(df.agg(F.percentile(col(c), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])).first()[0]))
+            cuts = sorted(set(order_statistics(df, {c: col(c)}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])[c]))
             inner, bin_ = cuts[1:-1], F.lit(1)
             for b in inner:
                 bin_ = bin_ + (col(c) > F.lit(b)).cast("int")

@@ -381,21 +381,22 @@ def dependence(spark, folder):
 
 
 def _shuffle_sql(label: str, columns: tuple[str, ...], repeats: int, stratum: str | None = None) -> list[str]:
-    """The rows with columns dealt anew: the row at a place gets the values of the row that a fresh shuffle puts there."""
-    part = f"PARTITION BY {stratum} " if stratum else ""
+    """The rows with columns dealt anew: the row at a place of a block gets the values of the row that stands some places on."""
     out = []
     for r in range(1, repeats + 1):
-        kept = ", ".join(c for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag") if c not in columns)
-        given = ", ".join(columns)
-        out.append(f"""SELECT '{label}' AS feature, {r} AS repeat, a.y, {', '.join('b.' + c for c in columns)}, {', '.join('a.' + c.strip() for c in kept.split(','))}
-  FROM (SELECT *, row_number() OVER ({part}ORDER BY md5('123|place|' || row_id)) AS i FROM lines) a
-  JOIN (SELECT {given}{', ' + stratum + ' AS s' if stratum else ''}, row_number() OVER ({part}ORDER BY md5('123|{label}|{r}|' || row_id)) AS i FROM lines) b ON a.i = b.i{f' AND a.{stratum} = b.s' if stratum else ''}""")
+        kept = [c for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag") if c not in columns]
+        out.append(f"""SELECT '{label}' AS feature, {r} AS repeat, a.y, {', '.join('b.' + c for c in columns)}, {', '.join('a.' + c for c in kept)}
+  FROM placed a JOIN placed b ON a.block = b.block{f' AND a.{stratum} = b.{stratum}' if stratum else ''} AND b.at = (a.at + CASE WHEN a.m > 1 THEN 1 + {explain.turn_of(123, label, r)} % (a.m - 1) ELSE 0 END) % a.m""")
     return out
 
 
-def _importance_sql(parts: list[str]) -> str:
+def _importance_sql(parts: list[str], stratum: str = "") -> str:
+    part = f"{stratum}, " if stratum else ""
     return f"""
-WITH {LINES_SQL}, u AS ({' UNION ALL BY NAME '.join(parts)}), base AS (SELECT sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS b FROM lines),
+WITH {LINES_SQL}, keyed AS (
+  SELECT *, md5('123|place|' || row_id) AS k, CAST('0x' || substr(md5('123|place|' || row_id), 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER ({f'PARTITION BY {stratum}' if stratum else ''}) / {explain.DEALT}.0) AS BIGINT) AS block FROM lines),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY {part}block ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY {part}block) AS m FROM keyed),
+  u AS ({' UNION ALL BY NAME '.join(parts)}), base AS (SELECT sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS b FROM lines),
   s AS (SELECT feature, repeat, sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS score FROM u GROUP BY feature, repeat)
 SELECT feature, count(*) AS repeats, round(avg(score - b), 6) AS importance, round(avg(score), 6) AS permuted_score, round(max(b), 6) AS baseline_score,
   round(greatest(avg(CAST(score >= b AS DOUBLE)), avg(CAST(score <= b AS DOUBLE))), 6) AS sign_stability, round(stddev_samp(score - b) / sqrt(count(*)), 6) AS se,
@@ -417,7 +418,7 @@ def importance_grouped(spark, folder):
     return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity", "l_discount", "l_tax"], repeats=3, groups={"money": ["l_discount", "l_tax"]})
 
 
-@query("importance_blocked", _importance_sql(_shuffle_sql("l_quantity", ("l_quantity",), 3, "l_returnflag")))
+@query("importance_blocked", _importance_sql(_shuffle_sql("l_quantity", ("l_quantity",), 3, "l_returnflag"), "l_returnflag"))
 def importance_blocked(spark, folder):
     return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity"], repeats=3, within="l_returnflag")
 
@@ -459,9 +460,11 @@ WITH {LINES_SQL}, c AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity,
   a AS (SELECT bin, count(*) AS n, avg(d) AS local, stddev_samp(d) / sqrt(count(*)) AS se FROM d GROUP BY bin),
   e AS (SELECT i AS bin, cuts[i] AS lower, cuts[i + 1] AS upper FROM c, range(1, 6) t(i) WHERE i < len(cuts)),
   f AS (SELECT e.bin, lower, upper, coalesce(n, 0) AS n, coalesce(local, 0) AS local, se FROM e LEFT JOIN a ON e.bin = a.bin),
-  s AS (SELECT *, n / sum(n) OVER ()::DOUBLE AS weight, sum(local) OVER (ORDER BY bin) AS summed FROM f)
-SELECT CAST(bin AS INT) AS bin, round((lower + upper) / 2, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper, n, round(weight, 6) AS weight, round(local, 6) AS local, round(se, 6) AS se,
-  round(summed - sum(summed * weight) OVER (), 6) AS effect, round(n / max(n) OVER ()::DOUBLE, 6) AS support FROM s""")
+  s AS (SELECT *, n / sum(n) OVER ()::DOUBLE AS weight, sum(local) OVER (ORDER BY bin) AS summed FROM f),
+  r AS (SELECT *, sum(weight) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind, summed - sum(summed * weight) OVER () AS effect FROM s),
+  v AS (SELECT a.bin, CASE WHEN count(*) = count(b.se) THEN sqrt(sum(power((CAST(b.bin <= a.bin AS DOUBLE) - b.behind) * b.se, 2))) END AS e FROM r a, r b GROUP BY a.bin)
+SELECT CAST(r.bin AS INT) AS bin, round((lower + upper) / 2, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper, n, round(weight, 6) AS weight, round(local, 6) AS local, round(se, 6) AS local_se,
+  round(effect, 6) AS effect, round(e, 6) AS se, round(effect - 1.959963984540054 * e, 6) AS conf_low, round(effect + 1.959963984540054 * e, 6) AS conf_high, round(n / max(n) OVER ()::DOUBLE, 6) AS support FROM r JOIN v ON r.bin = v.bin""")
 def ale(spark, folder):
     return explain.ale(lines(spark, folder), explain.expression_scorer(curve), REG, "l_quantity", points=5).frame
 

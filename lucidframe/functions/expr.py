@@ -78,10 +78,8 @@ def tie_blocks(df: DataFrame, value: str, sums: dict[str, Column] | None = None,
     sums = sums or {}
     blocks = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     cuts = cut_points(df, [value], parts)[0] if cuts is None else cuts
-    place = F.lit(0)
-    for c in sorted(set(cuts)):
-        place = place + (F.col(value) > F.lit(c)).cast("int")
-    blocks = blocks.withColumn("__part", place)
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    blocks = blocks.withColumn("__part", F.size(F.filter(edges, lambda c: c < F.col(value))))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocks.groupBy("__part").agg(F.sum("n").alias("__n"))
     totals = totals.withColumn("__offset", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")

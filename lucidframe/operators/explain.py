@@ -46,9 +46,9 @@ def rank_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     Every column is ranked once, and all pairs come from one aggregation.
     """
     rows = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    cuts = cut_points(rows, rows.columns)
+    base, cuts = rows, cut_points(rows, rows.columns)
     for i in range(len(columns)):
-        rows = rows.join(tie_blocks(rows.select(f"v{i}"), f"v{i}", cuts=cuts[i]).select(f"v{i}", F.col("mean_rank").alias(f"r{i}")), f"v{i}")
+        rows = rows.join(tie_blocks(base.select(f"v{i}"), f"v{i}", cuts=cuts[i]).select(f"v{i}", F.col("mean_rank").alias(f"r{i}")), f"v{i}")
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = rows.agg(F.count(F.lit(1)), *[F.sum(F.col(f"r{i}") * F.col(f"r{j}")) for i, j in pairs]).first()
     n = row[0]
@@ -67,19 +67,13 @@ def spearman(df: DataFrame, a: str, b: str, cuts: dict[str, list[float]] | None
     """One row: n and rho from mean ranks; null if either is constant. cuts: known cut points of the columns."""
     rows = df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
     cuts = cuts or dict(zip((a, b), cut_points(rows, ["a", "b"])))
-    ra = tie_blocks(rows, "a", cuts=cuts[a]).select("a", F.col("mean_rank").alias("x"))
-    rb = tie_blocks(rows, "b", cuts=cuts[b]).select("b", F.col("mean_rank").alias("y"))
-    pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).join(ra, "a").join(rb, "b")
-    return _moments(pairs, F.col("x"), F.col("y"), F.col("w")).select("n", F.col("r").alias("rho"))
-
-
-def _moments(df: DataFrame, x: Column, y: Column, w: Column) -> DataFrame:
-    """Pearson correlation of weighted rows, centred first; null where a deviation is zero."""
-    mean = df.agg(F.sum(w).alias("n"), rate(F.sum(x * w), F.sum(w)).alias("mx"), rate(F.sum(y * w), F.sum(w)).alias("my"))
-    centred = df.crossJoin(F.broadcast(mean))
-    dx, dy = x - F.col("mx"), y - F.col("my")
-    sums = centred.agg(F.max("n").alias("n"), F.sum(dx * dy * w).alias("xy"), F.sum(dx * dx * w).alias("xx"), F.sum(dy * dy * w).alias("yy"))
-    return sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.col("xy"), F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("r"))
+    ra = tie_blocks(rows.select("a"), "a", cuts=cuts[a]).select("a", F.col("mean_rank").alias("x"))
+    rb = tie_blocks(rows.select("b"), "b", cuts=cuts[b]).select("b", F.col("mean_rank").alias("y"))
+    middle = (F.count(F.lit(1)) + 1) / 2.0  # of mean ranks, so products need no centring pass
+    sums = rows.join(ra, "a").join(rb, "b").agg(F.count(F.lit(1)).alias("n"), middle.alias("m"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    moment = {k: F.col(k) - F.col("n") * F.col("m") * F.col("m") for k in ("xy", "xx", "yy")}
+    constant = F.least(moment["xx"], moment["yy"]) <= 1e-9 * F.col("n") * F.col("n") * F.col("n") / 12
+    return sums.select("n", F.when((F.col("n") >= 2) & ~constant, moment["xy"] / (F.sqrt(moment["xx"]) * F.sqrt(moment["yy"]))).alias("rho"))
 
 
 def correlation_ratio(df: DataFrame, number: str, category: str) -> DataFrame:

@@ -413,6 +413,9 @@ def fit_learner(df: DataFrame, task: Task, family: str, parameters: dict, featur
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
         scorer, details = _FITS[family](df, task, encoding, parameters, int(seed % (2**31 - 1)))
+    if not isinstance(scorer, MlScorer):  # which guards itself
+        inner = scorer
+        scorer = lambda d: inner(encoding.guard(d))
     notes = (*details.pop("notes", ()), *[str(w.message) for w in caught if issubclass(w.category, (RuntimeWarning, UserWarning))])
     return Fitted(model_id or f"{family}_model", family, task, tuple(features), scorer, parameters, details.pop("complexity", None), time.perf_counter() - started, notes, details)
 

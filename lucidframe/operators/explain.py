@@ -349,5 +349,17 @@ def explain_effect(df: DataFrame, score: Score, task: Task, feature: str, method
     return effect
 
 
+def partial_dependences(df: DataFrame, score: Score, task: Task, features: Sequence[str], **options) -> dict[str, Effect]:
+    """Partial dependence of several features, by name in the order given."""
+    repeated = [f for i, f in enumerate(features) if f in features[:i]]
+    if not features or repeated:
+        raise ContractError("name each feature once, and one at least")
+    return {f: partial_dependence(df, score, task, f, **options) for f in features}
+
+
+#: Other names of the effects.
+pdp, ale_effect = partial_dependence, ale
+
+
 def better(metric: str) -> int:
     return -1 if metric in HIGHER_IS_BETTER else 1

@@ -191,6 +191,10 @@ def prepare(df: DataFrame, target: str, **options) -> tuple[DataFrame, Recipe]:
     return recipe.apply(df), recipe
 
 
+#: The same rules serve an outside engine: nothing is prepared differently for it.
+prepare_for_engine = prepare
+
+
 @dataclass(frozen=True)
 class Encoding:
     """A dense numeric encoding: names, expressions' parts, centres and scales."""
@@ -217,7 +221,8 @@ class Encoding:
                 out.append((f, (raw - self.centre[f]) / self.scale[f] if f in self.centre else raw))
         return out
 
-    def check(self, df: DataFrame) -> None:
+    def check_types(self, df: DataFrame) -> None:
+        """Columns that are there and of the kinds learned, from the schema alone."""
         absent = [f for f in self.features if f not in df.columns]
         if absent:
             raise ContractError(f"missing columns: {', '.join(absent)}")
@@ -225,6 +230,18 @@ class Encoding:
             kind = predictor_kind(df.schema[f].dataType)
             if kind != self.kinds[f]:
                 raise ContractError(f"{f} was {self.kinds[f]} and is {kind}")
+
+    def guard(self, df: DataFrame) -> DataFrame:
+        """The rows, of which reading a level that wasn't learned fails the query: no pass of its own is needed."""
+        self.check_types(df)
+        for f in self.features:
+            if self.kinds[f] == "categorical":
+                new = col(f).isNotNull() & ~col(f).cast("string").isin(*self.levels[f])
+                df = df.withColumn(f, F.when(new, F.raise_error(F.lit(f"levels that weren't learned in: {f}")).cast(df.schema[f].dataType)).otherwise(col(f)))
+        return df
+
+    def check(self, df: DataFrame) -> None:
+        self.check_types(df)
         names = [f for f in self.features if self.kinds[f] == "categorical"]
         if names:
             row = df.agg(*[F.count(F.when(col(f).isNotNull() & ~col(f).cast("string").isin(*self.levels[f]), 1)).alias(f"n{i}") for i, f in enumerate(names)]).first()
@@ -238,7 +255,7 @@ class Encoding:
     def assemble(self, df: DataFrame, output: str = "features") -> DataFrame:
         """All columns and one vector column."""
         parts = [f"__x{i}" for i in range(len(self.names))]
-        wide = df.withColumns({p: c for p, (_, c) in zip(parts, self.columns())})
+        wide = self.guard(df).withColumns({p: c for p, (_, c) in zip(parts, self.columns())})
         return VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="error").transform(wide).drop(*parts)
 
     def array(self) -> Column:

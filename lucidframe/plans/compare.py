@@ -30,13 +30,14 @@ def compare_behavior(result, models: list[str] | None = None, tolerance: float |
     if len(names) < 2:
         raise ContractError("behaviour needs two models")
     board = {r["model_id"]: r.asDict() for r in result.leaderboard.collect()}
-    primary = result.task.primary
+    primary = result.metric
     best = min(board[n][primary] for n in names)
     trade = {t["model_id"]: t["pareto"] for t in result.tradeoffs(include_baseline=True)}
     rows = []
     for n in names:
-        family = FAMILIES[result.model(n).family]
-        rows.append({"model_id": n, "family": family.name, "rank": board[n]["rank"], primary: board[n][primary], "relative_gap": abs(board[n][primary] - best) / max(abs(best), compare.ROOT_EPSILON), "complexity": board[n]["complexity"], "pareto": trade.get(n), "nonlinearity": family.nonlinearity, "interactions": family.interactions})
+        name = result.model(n).family  # a baseline or a model of the user's has no card
+        family = FAMILIES.get(name)
+        rows.append({"model_id": n, "family": name, "rank": board[n]["rank"], primary: board[n][primary], "relative_gap": abs(board[n][primary] - best) / max(abs(best), compare.ROOT_EPSILON), "complexity": board[n]["complexity"], "pareto": trade.get(n), "nonlinearity": family.nonlinearity if family else "not described", "interactions": family.interactions if family else "not described"})
     reliance = None
     if audit is not None:
         by = {n: {r["feature"]: r["importance"] for r in audit.importance if r["model_id"] == n} for n in names}

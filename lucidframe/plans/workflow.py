@@ -61,6 +61,11 @@ class Result:
     tuning: TuningRecord | None = None
     extra: dict = field(default_factory=dict)
 
+    @property
+    def metric(self) -> str:
+        """What models are ranked and compared by: the tuned metric, or the task's primary one."""
+        return self.tuning.metric if self.tuning else self.task.primary
+
     def model(self, which: str | int | None = None) -> Fitted:
         """A model by id or place; the primary one by default."""
         if which is None:
@@ -115,8 +120,8 @@ class Result:
         """The compared models: the named ones, or all but the baseline; near the best if a tolerance is given."""
         names = models or [m.model_id for m in self.models if m.family != "baseline"]
         if tolerance is not None:
-            board = {r["model_id"]: r[self.task.primary] for r in self.leaderboard.collect() if r["model_id"] in names}
-            near = diagnostics.near_best(board, self.task.primary, tolerance)
+            board = {r["model_id"]: r[self.metric] for r in self.leaderboard.collect() if r["model_id"] in names}
+            near = diagnostics.near_best(board, self.metric, tolerance)
             names = [n for n in names if n in near]
         return names
 
@@ -136,7 +141,7 @@ class Result:
     def tradeoffs(self, performance: str | None = None, secondary: str = "complexity", include_baseline: bool = False) -> list[dict]:
         rows = [r.asDict() for r in self.leaderboard.collect()]
         rows = [r for r in rows if include_baseline or r["family"] != "baseline"]
-        return diagnostics.tradeoffs(rows, performance or self.task.primary, secondary)
+        return diagnostics.tradeoffs(rows, performance or self.metric, secondary)
 
     def metadata(self) -> list[dict]:
         """Rank, family, time, complexity and parameters of each model."""
@@ -169,12 +174,12 @@ def wide_scores(evaluation: DataFrame, models: list[Fitted]) -> DataFrame:
     return out.persist()
 
 
-def board(scores: DataFrame, task: Task, models: list[Fitted]) -> DataFrame:
-    """The leaderboard: metrics of every model on the same rows, rank, winner and improvement over the baseline."""
+def board(scores: DataFrame, task: Task, models: list[Fitted], metric: str | None = None) -> DataFrame:
+    """The leaderboard: metrics of every model on the same rows, and by one, the task's primary or the tuned one, rank, winner and improvement over the baseline."""
     rows = [metrics.evaluate(scores.withColumn("score", F.col(m.model_id)), task).select(F.lit(m.model_id).alias("model_id"), F.lit(m.family).alias("family"), F.lit(float(m.complexity or 0.0)).alias("complexity"), "*") for m in models]
     found = reduce(DataFrame.unionByName, rows).collect()
     frame = scores.sparkSession.createDataFrame(found, rows[0].schema)
-    return metrics.leaderboard(frame, task.primary)
+    return metrics.leaderboard(frame, metric or task.primary)
 
 
 def guided_fit(
@@ -189,15 +194,29 @@ def guided_fit(
     """
     if model_set not in ("quick", "comparison", "tuned"):
         raise ContractError("model_set must be quick, comparison or tuned")
-    validate_inputs(df, target, test)
+    if control is not None and model_set != "tuned":
+        raise ContractError("a tuning control needs the tuned model set")
+    labels = None
+    if control is not None and control.fold_column:
+        if test is None:
+            raise ContractError("supplied folds need supplied test rows: a split of one's own would cut through them")
+        if control.fold_column not in df.columns or control.fold_column == target:
+            raise ContractError("the fold column must be a column of the training rows other than the target")
+        if folds != 5:
+            raise ContractError("supplied folds set their own number")
+        # Fold labels are no predictor: they stand beside the rows until the search.
+        df = split.with_row_id(df, ROW, row_order)
+        labels, row_order = df.select(ROW, col(control.fold_column)), None
+        df, test = df.drop(control.fold_column), test.drop(control.fold_column)
+    validate_inputs(df.drop(ROW) if labels is not None else df, target, test)
     contract = make_task(df, target, task, positive)
-    wrong = unsupported_predictors(df, target)
+    wrong = unsupported_predictors(df.drop(ROW) if labels is not None else df, target)
     if wrong:
         raise ContractError(f"types that can't be predictors: {', '.join(wrong)}")
     empty = prep.wholly_missing(df, target)
     if empty:
         raise ContractError(f"wholly missing predictors: {', '.join(empty)}")
-    rows = split.with_row_id(df, ROW, row_order).persist()
+    rows = (df if labels is not None else split.with_row_id(df, ROW, row_order)).persist()
     stratum = target if contract.kind != REGRESSION else None
     if test is None:
         dealt = split.holdout(rows, ROW, test_fraction, seed, stratum)
@@ -226,7 +245,8 @@ def guided_fit(
         models = [replace(m, model_id="main_model" if i == 0 else m.model_id) for i, m in enumerate(models)] + [base]
     elif model_set == "tuned":
         families = portfolio(portfolio_name, contract.kind, learners)
-        record = tune(raw_training, contract, ROW, families, max_models or default_budget(portfolio_name, learners), folds=folds, rule=rule, seed=seed, control=control, options=settings)
+        searched = raw_training if labels is None else raw_training.join(labels, ROW)
+        record = tune(searched, contract, ROW, families, max_models or default_budget(portfolio_name, learners), folds=folds, rule=rule, seed=seed, control=control, options=settings)
         models = [*refit(record, training, contract, features), base]
     else:
         models = [fit_learner(training, contract, "linear", {}, features, seed, "main_model")]
@@ -238,7 +258,7 @@ def guided_fit(
     scores = wide_scores(evaluation, models)
     for m in models:
         check_scores(scores, contract, m.model_id)
-    leaders = board(scores, contract, models)
+    leaders = board(scores, contract, models, record.metric if record else None)
     main = next(r for r in leaders.collect() if r["model_id"] == "main_model")
     counts = {} if contract.kind == REGRESSION else {r[0]: r[1] for r in evaluation_rows.groupBy(col(target).cast("string")).count().collect()}
     evaluation_role = _role(test is not None, role)

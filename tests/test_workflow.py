@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import json
 
 import numpy as np
@@ -145,3 +146,74 @@ def test_an_outside_engine_keeps_its_own_leaderboard(data):
 
     r = workflow.guided_fit(data.drop("event"), "y", provider=provider)
     assert [m.model_id for m in r.models] == ["main_model", "baseline"] and r.extra["engine_leaderboard"] == ["theirs"]
+
+
+def test_scoring_refuses_new_levels_and_changed_types(spark):
+    from lucidframe.contract import BINARY, REGRESSION, ContractError, Task
+    from lucidframe.models import fit
+
+    rows = spark.createDataFrame([(float(i), "ab"[i % 2], 2.0 * i + (i % 2)) for i in range(40)], "x double, g string, y double")
+    for family, parameters in (("linear", {}), ("tree", {"maxdepth": 3, "cp": 0.0, "minsplit": 4}), ("kernel", {"cost": 1.0, "gamma_multiplier": 1.0, "epsilon": 0.1})):
+        model = fit.fit_learner(rows, Task(REGRESSION, "y"), family, parameters, ["x", "g"])
+        assert model.score(rows).count() == 40
+        new = spark.createDataFrame([(1.0, "zzz", 0.0)], "x double, g string, y double")
+        with pytest.raises(Exception, match="weren't learned"):
+            model.score(new).select("score").collect()
+        with pytest.raises(ContractError, match="categorical"):
+            model.score(spark.createDataFrame([(1.0, 3.0, 0.0)], "x double, g double, y double")).select("score").collect()
+
+
+def test_supplied_folds_are_no_predictor_and_the_tuned_metric_ranks(spark):
+    from lucidframe.contract import ContractError
+    from lucidframe.models.tuning import TuningControl
+    from lucidframe.plans import compare, workflow
+
+    make = lambda lo, n: spark.createDataFrame([(i, float(i % 17), "ab"[i % 2], 3.0 * (i % 17) + (i % 2) + (i % 5) / 10, i % 3) for i in range(lo, lo + n)], "k int, x double, g string, y double, part int")
+    control = TuningControl(fold_column="part", metric="mae")
+    training, test = make(0, 90).drop("k"), make(1000, 40).drop("k", "part").withColumn("x", F.col("x") + 0.01)
+    result = workflow.guided_fit(training, "y", test=test, model_set="tuned", learners=["linear", "tree"], max_models=3, control=control)
+    assert "part" not in result.model().features and "part" not in result.recipe.columns and result.tuning.folds == 3
+    assert result.metric == "mae"
+    board = result.leaderboard.collect()
+    assert [r["mae"] for r in board] == sorted(r["mae"] for r in board) and board[0]["rank"] == 1
+    behavior = compare.compare_behavior(result, ["main_model", "baseline"])
+    assert {m["family"] for m in behavior.models} >= {"baseline"} and all("mae" in m for m in behavior.models)
+    with pytest.raises(ContractError, match="test rows"):
+        workflow.guided_fit(training, "y", model_set="tuned", learners=["linear"], control=control)
+    with pytest.raises(ContractError, match="tuned"):
+        workflow.guided_fit(training, "y", test=test, control=control)
+
+
+def test_effects_of_several_features_and_their_errors(spark):
+    from lucidframe.contract import REGRESSION, Task
+    from lucidframe.operators import explain
+
+    rows = spark.createDataFrame([(str(i), float(i), float(i % 2), 0.0) for i in range(1, 7)], "row_id string, x double, z double, y double")
+    score = explain.expression_scorer(lambda c: 2 * c("x") + c("z"))
+    effect = explain.ale(rows, score, Task(REGRESSION, "y"), "x", points=5)
+    assert all(r["se"] is None and r["conf_low"] is None for r in effect.frame.collect())  # a bin of one row has no error
+    found = explain.partial_dependences(rows, score, Task(REGRESSION, "y"), ["z", "x"], points=3)
+    assert list(found) == ["z", "x"]
+    wide = spark.createDataFrame([(str(i), float(i % 50), float(i % 7), 0.0) for i in range(400)], "row_id string, x double, z double, y double")
+    bands = explain.ale(wide, explain.expression_scorer(lambda c: c("x") * c("z")), Task(REGRESSION, "y"), "x", points=4).frame.collect()
+    assert all(r["conf_low"] < r["effect"] < r["conf_high"] for r in bands)
+
+
+def test_order_statistics_are_exact(spark):
+    import numpy as np
+
+    from lucidframe.functions import expr
+
+    rng = np.random.default_rng(3)
+    columns = {"flat": [1.0] * 3000, "ties": rng.integers(0, 4, 3000).astype(float).tolist(), "fine": rng.standard_normal(3000).tolist(), "none": [None] * 3000, "holes": [None if i % 3 else float(i) for i in range(3000)]}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for picked in (1_000_000, 0):  # in one pass, or by brackets within brackets
+        expr.PICKED, kept = picked, expr.PICKED
+        try:
+            got = expr.order_statistics(df, {c: F.col(c) for c in columns}, probs)
+        finally:
+            expr.PICKED = kept
+        assert got["none"] == [None] * len(probs)
+        for c in ("flat", "ties", "fine", "holes"):
+            assert np.allclose(got[c], np.quantile([x for x in columns[c] if x is not None], probs))

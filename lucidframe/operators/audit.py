@@ -118,24 +118,24 @@ def findings(importance, dependence, performance, agreement, prediction, repeats
 
     high = [d for d in dependence if d["high_dependence"]]
     if high:
-        add("warning", "feature_dependence", f"{len(high)} features depend on others beyond the threshold.", f"Greatest association {max(d['max_association'] for d in high):.3g}.", "Prefer accumulated local effects; read permutation importance as the model's reliance.")
+        add("warning", "feature_dependence", f"Associated at {threshold:g} or more: {', '.join(d['feature'] for d in high)}.", f"Maximum {max(d['max_association'] for d in high):.3g}.", "Shuffled values make rows that don't occur; use accumulated effects or groups.")
     limited = [r for r in importance if r["evidence_grade"] in "CD"]
     if limited:
         crosses = sum(r["conf_low"] is None or not (r["conf_low"] > 0 or r["conf_high"] < 0) for r in limited)
         unstable, dependent = sum(r["sign_stability"] < 0.8 for r in limited), sum(r["max_association"] >= threshold for r in limited)
-        add("warning", "limited_importance_evidence", f"{len(limited)} claims about a model's feature are qualified or unsupported.", f"{crosses} intervals include zero, {unstable} signs are unstable, {dependent} features depend on others.", "Look at the repeats, use more evaluation rows, and don't rank unsupported features.")
+        add("warning", "limited_importance_evidence", f"Graded C or D: {len(limited)} of {len(importance)} model-feature rows.", f"Interval over zero: {crosses}; sign stability under 0.8: {unstable}; associated: {dependent}.", "Raise repeats or rows before ordering these features.")
     several = sum(p["near_optimal"] for p in performance) > 1
     rank = agreement["mean_rank_correlation"]
     if several and rank is not None and rank < 0.7:
-        add("critical", "rashomon_disagreement", "Models that fit about as well rank features differently.", f"Mean rank correlation {rank:.3g}.", "Report ranges over these models instead of one ranking.")
+        add("critical", "rashomon_disagreement", "Near-optimal models order the features differently.", f"Rank correlation {rank:.3g} on average, under 0.7.", "Give each feature's range over the models.")
     if several and prediction["ambiguity"] is not None and prediction["ambiguity"] > 0.1:
-        add("warning", "predictive_multiplicity", "Models that fit about as well predict differently.", f"Ambiguity {prediction['ambiguity']:.3g}.", "Look at the rows they disagree on, and write down how the model was chosen.")
+        add("warning", "predictive_multiplicity", "Near-optimal models score the same rows differently.", f"Ambiguity {prediction['ambiguity']:.3g}, over 0.1.", "List the rows in question and the rule that chose the model.")
     if repeats < 20:
-        add("note", "low_monte_carlo_budget", "Few repeats: enough for a smoke test, not for a report.", f"{repeats} repeats for each feature.", "Use 20 or more.")
+        add("note", "low_monte_carlo_budget", f"{repeats} shuffles of each feature, under 20.", "Intervals have few degrees of freedom.", "Run 20 for a result to keep.")
     if "unspecified" in roles:
-        add("note", "evaluation_role_unspecified", "It isn't known whether the explained rows were held out.", "An explainer has no evaluation role.", "Explain on held-out rows and say so.")
+        add("note", "evaluation_role_unspecified", "An explainer doesn't say where its rows come from.", "role = unspecified.", "Give the role; training rows flatter a model.")
     if not out:
-        add("note", "no_automatic_red_flags", "No threshold was crossed.", "All diagnostics stayed within their limits.", "Go on with domain review and external validation.")
+        add("note", "no_automatic_red_flags", "None of the rules above applied.", f"{len(importance)} rows looked at.", "Rules don't see the meaning of columns; someone who knows them should.")
     return out
 
 

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from lucidframe.contract import BINARY, HIGHER_IS_BETTER, METRICS, REGRESSION, Task
 from lucidframe.functions.expr import clamp, order_statistics, rate, tie_blocks
 
-# What each metric says.
+#: The formula of each metric, over evaluation rows with outcome y and score p, and which way is better.
 DEFINITIONS = {
-    "rmse": "Typical prediction error, larger mistakes counting more; lower is better.",
-    "mae": "Average absolute prediction error in the outcome's units; lower is better.",
-    "r_squared": "Share of the evaluation rows' variation explained beyond predicting their mean; higher is better.",
-    "log_loss": "Probability error that penalises confident wrong answers; lower is better.",
-    "brier_score": "Mean squared probability error: 0 to 1 for two classes, the sum over classes, 0 to 2, for more; lower is better.",
-    "calibration_error": "Average absolute gap between grouped probabilities and observed frequencies; lower is better.",
-    "accuracy": "Share of evaluation rows given their class; higher is better.",
-    "balanced_accuracy": "Average recall of the two classes, undefined if one is absent; higher is better.",
-    "roc_auc": "Chance that a positive row scores above a negative one; higher is better.",
-    "macro_recall": "Recall averaged over classes, undefined if a trained class is absent; higher is better.",
+    "rmse": "sqrt(mean((p - y)^2)); less is better.",
+    "mae": "mean(|p - y|); less is better.",
+    "r_squared": "1 - sum((p - y)^2) / sum((y - mean(y))^2); more is better, 0 is the mean's.",
+    "log_loss": "mean(-log(p of the class that came)), p kept 1e-15 from 0 and 1; less is better.",
+    "brier_score": "mean((p - y)^2) for two classes, summed over classes for more; less is better.",
+    "calibration_error": "mean over groups of |mean p - share of positives|, weighted by rows; less is better.",
+    "accuracy": "share of rows whose called class came; more is better.",
+    "balanced_accuracy": "mean of both classes' shares called right, null without one of them; more is better.",
+    "roc_auc": "share of positive-negative pairs in which the positive has the higher p, ties half; more is better.",
+    "macro_recall": "mean of all classes' shares called right, null without one of them; more is better.",
 }
 
 
@@ -160,18 +160,18 @@ def notes(task: Task, n_training: int, n_features: int, n_evaluation: int, class
         out.append({"severity": severity, "code": code, "message": message, "recommendation": recommendation})
 
     if n_evaluation < 50:
-        add("caution", "small_evaluation_set", f"{n_evaluation} rows were scored as {role}.", "Treat the scores as preliminary; validate on more rows.")
+        add("caution", "small_evaluation_set", f"{role}: {n_evaluation} rows, under 50.", "Score more rows; one row moves these figures.")
     if constants:
-        add("note", "constant_inputs_removed", f"Inputs that don't vary in training were removed: {', '.join(constants)}.", "Check the export or the sampling of the data.")
+        add("note", "constant_inputs_removed", f"One value in all training rows: {', '.join(constants)}.", "Left out of the fit; compare with the source table.")
     if warned:
-        add("warning", "model_fit_warning", f"Fitting gave numerical warnings for: {', '.join(warned)}.", "Look for separation or missing convergence before trusting probabilities.")
+        add("warning", "model_fit_warning", f"The solver warned while fitting {', '.join(warned)}.", "Read the fit's notes; probabilities near 0 or 1 may be artefacts.")
     if n_training / max(1, n_features) < 10:
-        add("caution", "few_rows_per_feature", f"{n_training} training rows for {n_features} inputs.", "Use fewer inputs or more rows; expect unstable coefficients.")
+        add("caution", "few_rows_per_feature", f"{n_training} rows train {n_features} features, under 10 for each.", "Drop features or add rows.")
     scarce = [c for c, n in class_counts.items() if n < 5]
     if task.kind != REGRESSION and scarce:
-        add("caution", "few_rows_in_class", f"Fewer than five evaluation rows of: {', '.join(scarce)}.", "Collect more rows of each class before trusting its metrics.")
+        add("caution", "few_rows_in_class", f"Under 5 scored rows: {', '.join(scarce)}.", "Class metrics of these rest on single rows.")
     if beats is False:
-        add("warning", "baseline_not_beaten", "The primary model is no better than the intercept-only baseline.", "Revisit data and assumptions before reading anything into the fit.")
+        add("warning", "baseline_not_beaten", f"The constant prediction has the same {task.primary} or a better one.", "Nothing was learned that holds out of sample.")
     if task.kind == REGRESSION and r_squared is not None and r_squared < 0:
-        add("warning", "negative_heldout_r_squared", "Held-out R-squared is negative: the evaluation mean would predict better.", "Don't rely on this model without much better validation.")
+        add("warning", "negative_heldout_r_squared", f"R-squared is {r_squared:.3g} on the scored rows.", "Their own mean predicts them better than the model.")
     return out

@@ -517,6 +517,146 @@ def one_se_select(spark, folder):
     return selection.select_one_se(rows).select("configuration_id", "family", "cv_score")
 
 
+# More of preparation, partitions and selection, over whole tables
+
+
+@query("identifiers", """
+SELECT * FROM (VALUES ('event_id', true), ('user_id', true), ('event_type', false), ('value', false), ('props', false)) AS t(name, removed)""")
+def identifiers(spark, folder):
+    rows = dataset(spark, folder, "events").drop("ts")
+    gone = prep.id_columns(rows, "target")
+    return spark.createDataFrame([(c, c in gone) for c in rows.columns], "name string, removed boolean")
+
+
+@query("drop_missing_rows", f"""
+WITH {LABELLED_SQL} SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(quality AS DOUBLE) AS quality, lang, toxic FROM labelled WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL""")
+def drop_missing_rows(spark, folder):
+    rows = labelled(spark, folder).select("doc_id", "n_chars", "quality", "lang", "toxic")
+    return prep.learn_recipe(rows, "toxic", missing="remove_rows", skip=("doc_id",)).apply(rows, keep=("doc_id",))
+
+
+@query("drop_missing_columns", f"""
+WITH {LABELLED_SQL} SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, lang, source FROM labelled""")
+def drop_missing_columns(spark, folder):
+    rows = labelled(spark, folder).select("doc_id", "n_chars", "quality", "toxic", "lang", "source")
+    return prep.learn_recipe(rows, "source", missing="drop_columns", threshold=0.5, skip=("doc_id",)).apply(rows, keep=("doc_id",))
+
+
+@query("supplied_folds", """
+WITH f AS (SELECT o_orderpriority AS label, row_number() OVER (ORDER BY min(o_orderkey)) AS fold FROM orders GROUP BY 1)
+SELECT o_orderkey, CAST(fold AS INT) AS fold FROM orders JOIN f ON label = o_orderpriority""")
+def supplied_folds(spark, folder):
+    return split.supplied_folds(dataset(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey").select("o_orderkey", "fold")
+
+
+@query("quintile_strata", """
+WITH q AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS c FROM orders)
+SELECT o_orderkey, concat_ws('|', CAST(1 + len(list_filter(c, lambda x: o_totalprice > x)) AS VARCHAR), o_orderstatus) AS stratum FROM orders, q""")
+def quintile_strata(spark, folder):
+    rows = dataset(spark, folder, "orders")
+    return rows.select("o_orderkey", split.strata_key(rows, ["o_totalprice", "o_orderstatus"]).alias("stratum"))
+
+
+@query("calibration_error", f"""
+WITH {DOCS_SQL}, r AS (SELECT y, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r, count(*) OVER () AS n FROM docs),
+  g AS (SELECT count(*) AS n, abs(avg(score) - avg(y)) AS gap FROM r GROUP BY least(5, ceil(r / n * 5)))
+SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, round(sum(n * gap) / sum(n), 6) AS calibration_error, round(max(gap), 6) AS max_gap FROM g""")
+def calibration_error(spark, folder):
+    return diagnostics.calibration_error(diagnostics.calibration(scored_docs(spark, folder), TOXIC))
+
+
+@query("ambiguity_summary", f"""
+WITH {LINES_SQL}, {THREE_SQL}, r AS (SELECT greatest(m1, m2, m3) - least(m1, m2, m3) AS d FROM three)
+SELECT count(*) AS n, round(quantile_cont(d, 0.5), 6) AS median_range, round(quantile_cont(d, 0.9), 6) AS p90_range, round(max(d), 6) AS max_range FROM r""")
+def ambiguity_summary(spark, folder):
+    return diagnostics.ambiguity_summary(diagnostics.regression_ambiguity(three_prices(spark, folder), ["m1", "m2", "m3"]), True)
+
+
+@query("ambiguous_classes", f"""
+WITH {LINES_SQL}, {SOFTMAX_SQL}, b AS (SELECT *, exp({LOGITS['R']} + 0.6) AS er2 FROM m),
+  c AS (SELECT *, ea / (ea + en + er2) AS qa, en / (ea + en + er2) AS qn, er2 / (ea + en + er2) AS qr FROM b),
+  d AS (SELECT CASE WHEN qa >= qn AND qa >= qr THEN 'A' WHEN qn >= qr THEN 'N' ELSE 'R' END <> said AS differ, (abs(pa - qa) + abs(pn - qn) + abs(pr - qr)) / 2 AS d FROM c)
+SELECT count(*) AS n, round(avg(CAST(differ AS DOUBLE)), 6) AS disagreement_rate, round(avg(d), 6) AS mean_distance, round(max(d), 6) AS max_distance FROM d""")
+def ambiguous_classes(spark, folder):
+    return diagnostics.ambiguity_summary(ambiguity_class(spark, folder), False)
+
+
+@query("prediction_agreement", f"""
+WITH {LINES_SQL}, {THREE_SQL}, r AS (SELECT {', '.join(f"{_mean_rank(m)} AS r{m}, {m}" for m in ('m1', 'm2', 'm3'))} FROM three),
+  p AS (SELECT unnest([m1, m2, m3]) AS p FROM three)
+SELECT round((corr(rm1, rm2) + corr(rm1, rm3) + corr(rm2, rm3)) / 3, 6) AS score, round(avg(greatest(m1, m2, m3) - least(m1, m2, m3)) / (SELECT stddev_samp(p) FROM p), 6) AS ambiguity FROM r""")
+def prediction_agreement(spark, folder):
+    found = compare.prediction_agreement(three_prices(spark, folder), REG, ["m1", "m2", "m3"])
+    return spark.createDataFrame([(found["score"], found["ambiguity"])], "score double, ambiguity double")
+
+
+@query("prediction_rows", f"""
+WITH {DOCS_SQL} SELECT row_id, CASE WHEN y = 1 THEN '1' ELSE '0' END AS observed, CASE WHEN score >= 0.5 THEN '1' ELSE '0' END AS predicted, round(score, 6) AS probability, (score >= 0.5) = (y = 1) AS correct FROM docs""")
+def prediction_rows(spark, folder):
+    return metrics.prediction_table(scored_docs(spark, folder), TOXIC)
+
+
+@query("pareto_products", """
+WITH m AS (SELECT p_brand AS model_id, avg(p_retailprice) AS rmse, CAST(max(p_size) AS DOUBLE) AS complexity FROM part GROUP BY 1)
+SELECT model_id, round(rmse, 6) AS rmse, complexity, NOT EXISTS (SELECT 1 FROM m q WHERE q.rmse <= m.rmse AND q.complexity <= m.complexity AND (q.rmse < m.rmse OR q.complexity < m.complexity)) AS pareto FROM m""")
+def pareto_products(spark, folder):
+    rows = dataset(spark, folder, "part").groupBy(F.col("p_brand").alias("model_id")).agg(F.avg("p_retailprice").alias("rmse"), F.max("p_size").cast("double").alias("complexity"))
+    return diagnostics.pareto_frame(rows, "rmse", "complexity")
+
+
+def _priority_folds(spark, folder) -> DataFrame:
+    rows = dataset(spark, folder, "orders")
+    return rows.groupBy(F.col("o_orderstatus").alias("configuration_id"), F.dayofmonth("o_orderdate").alias("fold")).agg(F.stddev_pop(F.col("o_totalprice") / 1000).alias("score"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("fold_uncertainty_orders", """
+WITH s AS (SELECT o_orderstatus AS configuration_id, day(o_orderdate) AS fold, stddev_pop(o_totalprice / 1000) AS score, count(*) AS rows FROM orders GROUP BY 1, 2),
+  w AS (SELECT *, rows / sum(rows) OVER (PARTITION BY configuration_id)::DOUBLE AS w FROM s),
+  m AS (SELECT configuration_id, count(*) AS folds, sum(w * score * score)::DOUBLE AS m, sum(w * w) AS ww FROM w GROUP BY 1),
+  v AS (SELECT m.configuration_id, any_value(folds) AS folds, any_value(m) AS m, any_value(ww) AS ww, sum(w * (score * score - m) * (score * score - m)) / (1 - any_value(ww)) AS v FROM m JOIN w ON m.configuration_id = w.configuration_id GROUP BY 1)
+SELECT configuration_id, folds, round(sqrt(m), 6) AS cv_score, round(sqrt(v) / (2 * sqrt(m)), 6) AS cv_sd, round(sqrt(v) * sqrt(ww) / (2 * sqrt(m)), 6) AS cv_se FROM v""")
+def fold_uncertainty_orders(spark, folder):
+    return selection.fold_uncertainty(_priority_folds(spark, folder), "rmse")
+
+
+@query("baseline_classes", f"""
+WITH t AS (SELECT l_returnflag AS f, count(*) / sum(count(*)) OVER ()::DOUBLE AS p FROM lineitem WHERE {EARLY.format('l_orderkey')} GROUP BY 1)
+SELECT count(*) AS n, round(avg(-ln(p)), 6) AS log_loss, round(avg((SELECT sum(p * p) FROM t) - p * p + (1 - p) * (1 - p)), 6) AS brier_score,
+  round(avg(CAST(l_returnflag = (SELECT f FROM t ORDER BY p DESC, f LIMIT 1) AS DOUBLE)), 6) AS accuracy, round(1 / 3.0::DOUBLE, 6) AS macro_recall
+FROM lineitem JOIN t ON f = l_returnflag WHERE NOT ({EARLY.format('l_orderkey')})""")
+def baseline_classes(spark, folder):
+    rows = dataset(spark, folder, "lineitem")
+    model = fit.baseline(rows.where(early("l_orderkey")), FLAG)
+    return metrics.evaluate(model.score(rows.where(~early("l_orderkey"))).withColumn("y", FLAG.label()), FLAG)
+
+
+@query("importance_logloss", f"""
+WITH {DOCS_SQL}, keyed AS (
+  SELECT *, md5('123|place|' || row_id) AS k, CAST('0x' || substr(md5('123|place|' || row_id), 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER () / {explain.DEALT}.0) AS BIGINT) AS block FROM docs),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY block) AS m FROM keyed),
+  u AS ({' UNION ALL '.join(f"SELECT 'lang' AS feature, {r} AS repeat, a.y, a.n_chars, b.lang FROM placed a JOIN placed b ON a.block = b.block AND b.at = (a.at + CASE WHEN a.m > 1 THEN 1 + {explain.turn_of(123, 'lang', r)} % (a.m - 1) ELSE 0 END) % a.m" for r in (1, 2, 3))}),
+  p AS (SELECT repeat, y, 1.0 / (1.0 + exp(-(-2.0 + n_chars / 5000.0 - CASE WHEN lang = 'en' THEN 0.5 ELSE 0.0 END))) AS score FROM u),
+  s AS (SELECT repeat, avg(-(y * ln({CLAMPED}) + (1 - y) * ln(1 - {CLAMPED}))) AS score FROM p GROUP BY repeat),
+  base AS (SELECT avg(-(y * ln({CLAMPED}) + (1 - y) * ln(1 - {CLAMPED}))) AS b FROM docs)
+SELECT 'lang' AS feature, CAST(repeat AS INT) AS repeat, round(score, 6) AS score, round(b, 6) AS baseline, round(score - b, 6) AS delta FROM s, base""")
+def importance_logloss(spark, folder):
+    rows = scored_docs(spark, folder).drop("score")
+    chance = lambda c: 1.0 / (1.0 + F.exp(-(F.lit(-2.0) + c("n_chars") / 5000.0 - F.when(c("lang") == "en", 0.5).otherwise(0.0))))
+    return explain.permutation_scores(rows, explain.expression_scorer(chance), TOXIC, "logloss", {"lang": ["lang"]}, repeats=3)
+
+
+@query("effects_of_two", f"""
+WITH {LINES_SQL}, {SAMPLE_SQL}, g AS (SELECT 'l_linestatus' AS feature, row_number() OVER (ORDER BY count(*) DESC, l_linestatus) - 1 AS grid_index, l_linestatus AS value FROM sampled GROUP BY l_linestatus
+  UNION ALL SELECT 'l_returnflag', row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1, l_returnflag FROM sampled GROUP BY l_returnflag),
+  s AS (SELECT feature, grid_index, value, {CURVE.format(q='l_quantity', f="CASE WHEN feature = 'l_returnflag' THEN value ELSE l_returnflag END")} AS p FROM sampled, g)
+SELECT feature, CAST(grid_index AS INT) AS grid_index, value, round(avg(p), 6) AS effect FROM s GROUP BY ALL""")
+def effects_of_two(spark, folder):
+    rows = split.reference_sample(lines(spark, folder), "row_id", 1000)
+    found = explain.partial_dependences(rows, explain.expression_scorer(curve), REG, ["l_returnflag", "l_linestatus"])
+    parts = [e.frame.select(F.lit(f).alias("feature"), "grid_index", "value", "effect") for f, e in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # Fitted models: the least-squares line has SQL, the others return their leaderboards
 
 

@@ -86,36 +86,36 @@ def model_report_html(result, data: dict | None = None, memo: str | None = None)
     from lucidframe.report.plots import line_svg, scatter_svg, tradeoff_points
 
     board = [r.asDict() for r in result.leaderboard.collect()]
-    parts = [section("overview", "The modelling question", f"<p>A {escape(result.task.kind)} task: predict <code>{escape(result.task.target)}</code> from {len(result.model().features)} features. {escape(result.role)} rows were scored once, after fitting.</p>")]
-    parts.append(section("evaluation", "How well did the model do?", table(board, [c for c in board[0] if c != "winner"]), findings_html(result.notes)))
+    parts = [section("overview", "Task and target", f"<p>A {escape(result.task.kind)} task: predict <code>{escape(result.task.target)}</code> from {len(result.model().features)} features. {escape(result.role)} rows were scored once, after fitting.</p>")]
+    parts.append(section("evaluation", "Scores on the held rows", table(board, [c for c in board[0] if c != "winner"]), findings_html(result.notes)))
     if result.task.kind != REGRESSION:
-        parts.append(section("calibration", "Can the probabilities be taken literally?", table([r.asDict() for r in result.calibration().collect()])))
+        parts.append(section("calibration", "Calibration by group", table([r.asDict() for r in result.calibration().collect()])))
     if result.tuning:
         rows = [{k: c[k] for k in ("configuration_id", "hyperparameters", "cv_score", "cv_se", "complexity_proxy")} for c in sorted(result.tuning.candidates, key=lambda c: (c["cv_score"] is None, c["cv_score"] or 0))]
-        parts.append(section("tuning", "How was the primary model selected?", f"<p>By {escape(result.tuning.metric)} on {result.tuning.folds} folds of the training rows; {escape(result.tuning.rule)} selected {escape(result.tuning.selected)}.</p>", table(rows)))
+        parts.append(section("tuning", "The search and its choice", f"<p>By {escape(result.tuning.metric)} on {result.tuning.folds} folds of the training rows; {escape(result.tuning.rule)} selected {escape(result.tuning.selected)}.</p>", table(rows)))
     try:
         trade = result.tradeoffs(include_baseline=True)
-        parts.append(section("models", "What trade-offs did the candidates make?", scatter_svg(tradeoff_points(trade, result.task.primary, "complexity"), "complexity", result.task.primary), table(trade, ["model_id", "family", result.task.primary, "complexity", "pareto"])))
+        parts.append(section("models", "Loss against complexity", scatter_svg(tradeoff_points(trade, result.task.primary, "complexity"), "complexity", result.task.primary), table(trade, ["model_id", "family", result.task.primary, "complexity", "pareto"])))
     except ValueError:
         pass
     if data:
         curves = "".join(line_svg([(r["value"], r["effect"]) for r in e["rows"]], f"{e['feature']} ({e['method']})") for e in data["effects"])
-        parts.append(section("patterns", "Patterns used for prediction", table(data["audit"].importance, ["model_id", "feature", "importance", "conf_low", "conf_high", "evidence_grade"]), curves))
-        parts.append(section("reliability", "Explanation reliability", f"<p>Evidence grade <strong>{escape(data['audit'].summary['grade'])}</strong>, a heuristic.</p>", findings_html(data["audit"].findings)))
+        parts.append(section("patterns", "Importance and curves", table(data["audit"].importance, ["model_id", "feature", "importance", "conf_low", "conf_high", "evidence_grade"]), curves))
+        parts.append(section("reliability", "Findings of the audit", f"<p>Evidence grade <strong>{escape(data['audit'].summary['grade'])}</strong>, a heuristic.</p>", findings_html(data["audit"].findings)))
     if memo:
-        parts.append(section("narrative", "Plain-language memo", f"<p>{escape(DISCLOSURE)}</p>", markdown(memo)))
-    parts.append(section("limits", "What this analysis does not establish", *[f"<p>{escape(x)}</p>" for x in LIMITS]))
-    parts.append(section("provenance", "How this result was produced", table([{"item": k, "value": v} for k, v in result.provenance.items()])))
+        parts.append(section("narrative", "Memo", f"<p>{escape(DISCLOSURE)}</p>", markdown(memo)))
+    parts.append(section("limits", "Limits", *[f"<p>{escape(x)}</p>" for x in LIMITS]))
+    parts.append(section("provenance", "Settings of the run", table([{"item": k, "value": v} for k, v in result.provenance.items()])))
     return page(f"Model report: {result.task.target}", *parts)
 
 
 def evidence_report_html(audit, memo: str | None = None) -> str:
     s = audit.summary
-    parts = [section("summary", "Evidence at a glance", table([s]))] + ([section("narrative", "Narrative", markdown(memo))] if memo else [])
+    parts = [section("summary", "Grade and counts", table([s]))] + ([section("narrative", "Narrative", markdown(memo))] if memo else [])
     parts += [
-        section("findings", "Findings and actions", findings_html(audit.findings)), section("performance", "Supplied model set", table(audit.performance)),
-        section("importance", "Permutation importance claims", table(audit.importance, ["model_id", "feature", "importance", "conf_low", "conf_high", "sign_stability", "max_association", "evidence_grade", "claim"])),
-        section("dependence", "Feature dependence", table(audit.dependence)), section("method", "What this report can and cannot say", f"<p>{escape(audit.scope)}</p>"), section("provenance", "Audit provenance", f"<p>Metric: {escape(audit.metric)}</p>"),
+        section("findings", "Findings", findings_html(audit.findings)), section("performance", "Audited models", table(audit.performance)),
+        section("importance", "Importance by model and feature", table(audit.importance, ["model_id", "feature", "importance", "conf_low", "conf_high", "sign_stability", "max_association", "evidence_grade", "claim"])),
+        section("dependence", "Associations between features", table(audit.dependence)), section("method", "Scope", f"<p>{escape(audit.scope)}</p>"), section("provenance", "Metric", f"<p>Metric: {escape(audit.metric)}</p>"),
     ]
     return page("Explanation evidence", *parts)
 

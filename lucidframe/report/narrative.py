@@ -19,22 +19,22 @@ from lucidframe.operators.metrics import DEFINITIONS
 
 # Providers, their default models, keys and wire formats.
 PROVIDERS = [
-    {"provider": "local", "remote": False, "model": None, "key": None, "endpoint": None, "structured": False, "privacy": "nothing is sent", "reproducibility": "deterministic"},
-    {"provider": "gemini", "remote": True, "model": "gemini-3.5-flash", "key": "GEMINI_API_KEY", "endpoint": "https://generativelanguage.googleapis.com/v1beta/interactions", "structured": True, "privacy": "aggregates are sent; free-tier terms apply", "reproducibility": "model pinned"},
-    {"provider": "groq", "remote": True, "model": "openai/gpt-oss-120b", "key": "GROQ_API_KEY", "endpoint": "https://api.groq.com/openai/v1/chat/completions", "structured": True, "privacy": "aggregates are sent", "reproducibility": "model pinned"},
-    {"provider": "cloudflare", "remote": True, "model": "@cf/openai/gpt-oss-120b", "key": "CLOUDFLARE_API_TOKEN", "endpoint": "https://api.cloudflare.com/client/v4/accounts/{account}/ai/v1/chat/completions", "structured": False, "privacy": "aggregates are sent", "reproducibility": "model pinned"},
-    {"provider": "ollama", "remote": False, "model": "gemma3:4b", "key": None, "endpoint": "http://localhost:11434/v1/chat/completions", "structured": True, "privacy": "data stay on this machine", "reproducibility": "local model pinned"},
-    {"provider": "openrouter", "remote": True, "model": "openrouter/free", "key": "OPENROUTER_API_KEY", "endpoint": "https://openrouter.ai/api/v1/chat/completions", "structured": True, "privacy": "aggregates may be routed to third parties", "reproducibility": "the router may choose different models"},
-    {"provider": "custom", "remote": True, "model": None, "key": None, "endpoint": None, "structured": False, "privacy": "depends on the endpoint", "reproducibility": "depends on the endpoint"},
+    {"provider": "local", "remote": False, "model": None, "key": None, "endpoint": None, "structured": False, "privacy": "no request is made", "reproducibility": "equal figures give equal text"},
+    {"provider": "gemini", "remote": True, "model": "gemini-3.5-flash", "key": "GEMINI_API_KEY", "endpoint": "https://generativelanguage.googleapis.com/v1beta/interactions", "structured": True, "privacy": "the context of aggregates goes out; the account's terms decide on its use", "reproducibility": "one named model, sampled"},
+    {"provider": "groq", "remote": True, "model": "openai/gpt-oss-120b", "key": "GROQ_API_KEY", "endpoint": "https://api.groq.com/openai/v1/chat/completions", "structured": True, "privacy": "the context of aggregates goes out", "reproducibility": "one named model, sampled"},
+    {"provider": "cloudflare", "remote": True, "model": "@cf/openai/gpt-oss-120b", "key": "CLOUDFLARE_API_TOKEN", "endpoint": "https://api.cloudflare.com/client/v4/accounts/{account}/ai/v1/chat/completions", "structured": False, "privacy": "the context of aggregates goes out", "reproducibility": "one named model, sampled"},
+    {"provider": "ollama", "remote": False, "model": "gemma3:4b", "key": None, "endpoint": "http://localhost:11434/v1/chat/completions", "structured": True, "privacy": "the request goes to a port of this machine", "reproducibility": "one named local model, sampled"},
+    {"provider": "openrouter", "remote": True, "model": "openrouter/free", "key": "OPENROUTER_API_KEY", "endpoint": "https://openrouter.ai/api/v1/chat/completions", "structured": True, "privacy": "the context of aggregates goes to whichever host is picked", "reproducibility": "each call may meet another model"},
+    {"provider": "custom", "remote": True, "model": None, "key": None, "endpoint": None, "structured": False, "privacy": "whatever the given address does", "reproducibility": "whatever the given address does"},
 ]
 FIELDS = ("headline", "performance", "patterns", "cautions", "next_steps")
 MOST_WORDS, MOST_ITEMS = 500, 3
 LIMITS = (
-    "Permutation repeats show the variation of a computation, not of a population.",
-    "Explanations establish neither cause nor fairness, safety or readiness for use.",
-    "Use held-out data, domain review and external validation.",
+    "Intervals of importance come from shuffles of the same rows; other rows vary more.",
+    "A feature that a model relies on need not cause the outcome, and nothing here tests fairness or safety.",
+    "Rows from elsewhere, and someone who knows the columns, have to confirm a use.",
 )
-DISCLOSURE = "Aggregates only; no rows were used for this text."
+DISCLOSURE = "Made from aggregates; it quotes no row."
 
 
 @dataclass(frozen=True)
@@ -187,38 +187,38 @@ def audit_context(audit) -> dict:
 def local_memo(context: dict) -> str:
     """The same aggregates give the same text."""
     audit = context["kind"] == "audit"
-    out = ["# Explanation evidence" if audit else "# Model fit and evaluation", "", "## Scope"]
-    out.append(f"{context['models']} models and {context['features']} features" + ("." if audit else f" for a {context['task']} task on `{context['target']}`.") + " Everything here describes the data at hand.")
+    out = ["# Audit of explanations" if audit else "# Fit and scores", "", "## Data"]
+    out.append(f"{context['models']} models and {context['features']} features" + ("." if audit else f" for a {context['task']} task on `{context['target']}`.") + " All figures are of these rows.")
     if not audit:
-        out += ["", "## Did the model improve on a simple baseline?", f"The {context['model']} was scored on {context['rows']} {context['role']} rows: **{context['metric']}** {_number(context['score'])}."]
+        out += ["", "## Against the constant prediction", f"The {context['model']} was scored on {context['rows']} {context['role']} rows: **{context['metric']}** {_number(context['score'])}."]
         better = context["improvement"] is not None and context["improvement"] > 0
-        out.append(f"That is {_percent(context['improvement'])} better than the intercept-only baseline ({_number(context['baseline'])})." if better else f"It did not improve on the intercept-only baseline ({_number(context['baseline'])}); treat fitted patterns as exploratory.")
-        out += ["", "## What the main metric means", f"**{context['metric']}:** {context['definition']}"]
+        out.append(f"That is {_percent(context['improvement'])} better than the intercept-only baseline ({_number(context['baseline'])})." if better else f"It did not improve on the intercept-only baseline ({_number(context['baseline'])}); its patterns are leads at most.")
+        out += ["", "## The metric", f"**{context['metric']}:** {context['definition']}"]
     if "calibration" in context:
         c = context["calibration"]
-        out += ["", "## Can the probabilities be taken literally?", f"Over {c['groups']} groups the average gap between probability and frequency was {_percent(c['gap'])}; the mean probability was {_percent(c['mean'])}, the observed frequency {_percent(c['observed'])}.", "The figure depends on these rows and groups."]
+        out += ["", "## Calibration", f"Over {c['groups']} groups the average gap between probability and frequency was {_percent(c['gap'])}; the mean probability was {_percent(c['mean'])}, the observed frequency {_percent(c['observed'])}.", "Other group counts give other gaps."]
     if context.get("notes"):
-        out += ["", "## Score cautions", *[f"- **{n['severity']}:** {n['message']} {n['recommendation']}" for n in context["notes"]]]
+        out += ["", "## Notes", *[f"- **{n['severity']}:** {n['message']} {n['recommendation']}" for n in context["notes"]]]
     if "tuning" in context:
         t = context["tuning"]
-        out += ["", "## How automatic tuning selected the model", f"{t['configurations']} configurations of {t['families']} families were compared on {t['folds']} folds of the training rows by {t['metric']}.", f"The {t['rule']} rule selected `{t['selected']}` ({t['settings']}), resampled {t['metric']} {_number(t['score'], 5)}; `{t['final']}` was fitted{' as a fallback' if t['fallback'] else ''}.", "The resampled score chose a configuration; only the held-out score estimates performance."]
+        out += ["", "## The search", f"{t['configurations']} configurations of {t['families']} families were compared on {t['folds']} folds of the training rows by {t['metric']}.", f"The {t['rule']} rule selected `{t['selected']}` ({t['settings']}), resampled {t['metric']} {_number(t['score'], 5)}; `{t['final']}` was fitted{' as a fallback' if t['fallback'] else ''}.", "Folds chose; the held rows above measure."]
     if context.get("retained"):
-        out += ["", "## What kinds of models were retained?", "What a family can represent, not what these fits were shown to use:", *[f"- `{m['model_id']}`: {m['family']}; curves: {m['nonlinearity']}; interactions: {m['interactions']}." for m in context["retained"]]]
+        out += ["", "## Models kept", "By the learners' cards, not by these fits:", *[f"- `{m['model_id']}`: {m['family']}; curves: {m['nonlinearity']}; interactions: {m['interactions']}." for m in context["retained"]]]
     if "grade" in context:
-        out += ["", "## Reliability first", f"The heuristic evidence grade is **{context['grade']}**, a diagnostic and no certificate. {_percent(context['stable'])} of the claims are stable."]
+        out += ["", "## Grade", f"The heuristic evidence grade is **{context['grade']}**, from the rules of the audit. {_percent(context['stable'])} of the claims are stable."]
     if context.get("findings"):
         out += ["", "## Findings", *[f"- **{f['severity']} - {f['code']}:** {f['message']} {f['recommendation']}" for f in context["findings"]]]
     if context.get("top"):
-        out += ["", "## Computed feature evidence", f"Permutation importance is led by {', '.join(context['top'])}: reliance of the models on these rows, no causal effect."]
-    out += ["", "## What to do next", "Look at the held-out errors and the evidence, check that the data stand for the intended use, and validate on new data.", "", "## Required limitations", *LIMITS, "", f"Data disclosure: {DISCLOSURE}"]
+        out += ["", "## Leading features", f"Permutation importance is led by {', '.join(context['top'])}: what shuffling them costs the models on these rows."]
+    out += ["", "## Next", "Read the largest errors row by row, then score rows from another period or place.", "", "## Limits", *LIMITS, "", DISCLOSURE]
     return "\n".join(out)
 
 
 def render(narrative: dict) -> str:
-    out = [f"# {narrative['headline']}", "", "## Held-out performance", narrative["performance"]]
-    for title, name in (("Patterns used by the model", "patterns"), ("Cautions", "cautions"), ("Practical next steps", "next_steps")):
+    out = [f"# {narrative['headline']}", "", "## Scores", narrative["performance"]]
+    for title, name in (("Patterns", "patterns"), ("Cautions", "cautions"), ("Next", "next_steps")):
         out += ["", f"## {title}", *[f"- {x}" for x in narrative[name]]]
-    return "\n".join([*out, "", "## Required interpretation boundaries", *LIMITS])
+    return "\n".join([*out, "", "## Limits", *LIMITS])
 
 
 def prompt_for(context: dict) -> str:

@@ -54,7 +54,7 @@ def test_audit_report_and_memo(result, tmp_path):
     assert memo == narrative.narrate(result) and "## Did the model improve on a simple baseline?" in memo and "Required limitations" in memo
     path = html.model_report(result, str(tmp_path / "deep" / "report.html"), {"audit": found, "effects": []}, memo)
     text = open(path).read()
-    assert text.startswith("<!doctype html>") and "How well did the model do?" in text and "<script" not in text
+    assert text.startswith("<!doctype html>") and "Scores on the held rows" in text and "<script" not in text
     assert "Findings and actions" in html.evidence_report_html(found, narrative.narrate(found)) and "main_model" in html.metadata_report_html(result)
     assert plots.agreement_cells(found.agreement)
 

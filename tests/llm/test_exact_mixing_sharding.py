@@ -124,3 +124,29 @@ def test_placement(spark, tmp_path):
     assert len(got) == len(rows) and sharding.place(docs(spark, [])).count() == 0
     sharding.write_shards(docs(spark, rows), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_columns_of_any_name_survive(spark):
+    names = "doc_id long, text string, source string, __lf_key string, __lf_size int, __lf_row int, __lf_number int, __lf_turn int, __lf_gone int, number int, rank int"
+    rows = [(i % 30, f"w{i} " * (i % 7), "ab"[i % 2], "keep", i, i, i, i, i, i, i) for i in range(40)]  # repeated ids too
+    df = spark.createDataFrame(rows, names)
+    for out in (mixing.mix(df), exact_dedup.drop_copies(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(tuple(r) in set(rows) for r in got)
+    kept = exact_dedup.drop_copies(df).collect()
+    assert Counter(r.text for r in kept) == Counter({t: 1 for t in {r[1] for r in rows}})
+    placed = sharding.assign(df.withColumnRenamed("rank", "slot"), slot_name="own_slot")
+    assert placed.columns == [*names.replace(" long", "").replace(" string", "").replace(" int", "").replace("rank", "slot").split(", "), "own_slot", "shard"]
+    assert {(r["__lf_row"], r.slot) for r in placed.collect()} == {(r[5], r[10]) for r in rows}
+    with pytest.raises(ValueError, match="slot"):
+        sharding.assign(df.withColumnRenamed("rank", "slot"))
+
+
+def test_mixing_of_a_very_long_text_and_repeated_rows(spark):
+    rows = [(1, "w " * 300_000, "a")] + [(i, "w " * 3000, "a") for i in range(2, 200)] + [(5, "w " * 3000, "a")] * 2 + [(i, "x y", "b") for i in range(300, 320)]
+    got = mixing.schedule(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    for source, ids in (("a", range(0, 300)), ("b", range(300, 320))):
+        mine = [r for r in got if r.doc_id in ids]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)

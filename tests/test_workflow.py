@@ -51,7 +51,7 @@ def test_audit_report_and_memo(result, tmp_path):
     top = [r for r in found.importance if r["feature"] == "x"]
     assert all(r["evidence_grade"] in "AB" for r in top) and "low_monte_carlo_budget" in {f["code"] for f in found.findings}
     memo = narrative.narrate(result)
-    assert memo == narrative.narrate(result) and "## Did the model improve on a simple baseline?" in memo and "Required limitations" in memo
+    assert memo == narrative.narrate(result) and "## Against the constant prediction" in memo and "## Limits" in memo
     path = html.model_report(result, str(tmp_path / "deep" / "report.html"), {"audit": found, "effects": []}, memo)
     text = open(path).read()
     assert text.startswith("<!doctype html>") and "Scores on the held rows" in text and "<script" not in text
@@ -123,7 +123,7 @@ def test_structured_narratives():
         return {"choices": [{"message": {"content": json.dumps(GOOD)}}]}
 
     out = narrative.narrate({"kind": "audit", "models": 1}, "groq", transport, key="k")
-    assert "## Practical next steps" in out and seen[0]["headers"]["Authorization"] == "Bearer k" and seen[0]["body"]["response_format"]["type"] == "json_schema"
+    assert "## Next" in out and seen[0]["headers"]["Authorization"] == "Bearer k" and seen[0]["body"]["response_format"]["type"] == "json_schema"
     for options in ({"name": "custom", "endpoint": "http://example.org", "model": "m"}, {"name": "groq", "key": ""}, {"name": "who"}):
         with pytest.raises(ContractError):
             narrative.resolve(**options)

@@ -55,7 +55,7 @@ def test_audit_report_and_memo(result, tmp_path):
     path = html.model_report(result, str(tmp_path / "deep" / "report.html"), {"audit": found, "effects": []}, memo)
     text = open(path).read()
     assert text.startswith("<!doctype html>") and "Scores on the held rows" in text and "<script" not in text
-    assert "Findings and actions" in html.evidence_report_html(found, narrative.narrate(found)) and "main_model" in html.metadata_report_html(result)
+    assert "Grade and counts" in html.evidence_report_html(found, narrative.narrate(found)) and "main_model" in html.metadata_report_html(result)
     assert plots.agreement_cells(found.agreement)
 
 

@@ -55,10 +55,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: computed once, lineage cut, safe to lose executors."""
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, and the folder, for tables that are discarded once a later one holds their content."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that no frame needs any more."""
+    _remove(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidframe.llm import exact_dedup, html_extract, language_id, line_dedup, minhash, mixing, pieces, sharding, vectors, warc_zip
+from lucidframe.llm import centroids, credentials, exact_dedup, fill_middle, html_extract, language_id, line_dedup, minhash, mixing, pieces, sharding, vectors, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summarise(centroids.cluster(table(spark, sf_dir, "embeddings")), "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,9 +92,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_table": op8_shard_table,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_text": op10_html_text,
+    "op11_credentials": op11_credentials,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
+
+def clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every distance in every round, in whole numbers."""
+    square = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    floor = "(s - ((s % n) + n) % n) // n"
+    parts = [f"""WITH fine AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: CAST(floor(256 * e) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS (SELECT row_number() OVER () AS r, vec_id, x FROM fine),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS INT) AS j, x AS c FROM v QUALIFY j < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, x, min({{'d': d, 'j': j}}) AS best FROM (SELECT r, vec_id, x, j, CAST({square} AS BIGINT) AS d FROM v, c{i}) GROUP BY r, vec_id, x)")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT best.j AS j, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT best, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT j, list(CAST({floor} AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY j) m ON o.j = m.j)""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, best.j AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON j = best.j"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": r"""
 WITH docs AS (
@@ -173,6 +209,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM d""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+p AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM p),
+x AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x""",
+    "op13_centroids": clustering_sql(),
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -6,7 +6,6 @@ multiclass: an array of probabilities), so models and plain expressions are expl
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -145,61 +144,81 @@ def metric_by(scored: DataFrame, task: Task, metric: str, keys: Sequence[str]) -
 
 #: Rows of a random block, within which values are dealt anew.
 DEALT = 512
+#: A prime that leaves 2 when divided by 3, so that cubing is a bijection of the numbers below it.
+PRIME = 2_147_483_579
+ROUNDS = 3
+
+
+def turn_key(seed: int, group: str, repeat: int) -> str:
+    """What a block's number (and stratum) is put behind to make the key of its order."""
+    return f"{seed}|{group}|{repeat}|"
+
+
+def dealt_order(size: Column, keys: Sequence[Column]) -> Column:
+    """The places 0, 1, ... of `size` rows in the order of a keyed bijection: each round adds a key and cubes, modulo PRIME."""
+    start, *later = keys
+    x = F.sequence(start, start + size - 1)
+    for key in (*later, F.lit(0)):
+        x = F.transform(x, lambda v: (v * v % PRIME) * v % PRIME + key)
+    spread = F.lit(1 << 20)  # more than a block can hold
+    return F.transform(F.sort_array(F.transform(x, lambda v, at: v * spread + at)), lambda v: (v % spread).cast("int"))
 
 
 def permutation_scores(df: DataFrame, score: Score, task: Task, metric: str, groups: dict[str, Sequence[str]], repeats: int = 20, seed: int = 123, row_id: str = "row_id", within: Sequence[str] | str | None = None) -> DataFrame:
     """(feature, repeat, score, baseline, delta): the metric after the features' values are dealt anew, jointly in a group.
 
     df: row_id, y and the features. Rows are shuffled once, into random blocks of about DEALT rows (of one stratum) in hash order. In
-    a block, every (feature, repeat) turns the order by an amount of its own, so a row gets the values of another random row of the
-    table, nobody its own, and each value goes to one row. All turns are scored where the block lies; only sums leave it.
+    a block, every (feature, repeat) has a permutation of its own, all permutations being equally likely, so each value goes to one row, repeats
+    are independent and a row may keep its own value, as often as chance has it. A stratum of up to DEALT rows is one block, so it is
+    permuted as a whole; larger ones within random parts. All are scored where the block lies; only sums leave it.
     """
     strata: list[str] = []
     columns = df.columns
     if within is not None:
         df, strata = df.withColumn("__stratum", strata_key(df, [within] if isinstance(within, str) else list(within))), ["__stratum"]
-    sizes = df.groupBy(*strata).agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("__blocks"))
-    keyed = df.withColumn("__key", hash_key(seed, "place", col(row_id)))
-    if strata:
-        keyed = keyed.join(sizes.withColumnRenamed("__stratum", "__of"), F.col("__stratum").eqNullSafe(F.col("__of")))
-    else:
-        keyed = keyed.withColumn("__blocks", F.lit(max(1, sizes.first()[0])))
-    block = F.pmod(F.conv(F.substring("__key", 1, 15), 16, 10).cast("long"), F.col("__blocks")).alias("__block")
-    packed = keyed.select(*strata, block, F.struct("__key", *[col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
-    packed = packed.groupBy(*strata, "__block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    packed = random_blocks(df, columns, strata, seed, row_id)
     names = list(groups)
-    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("group"), F.lit(r).alias("repeat"), F.lit(turn_of(seed, g, r)).cast("long").alias("by")) for k, g in enumerate(names) for r in range(1, repeats + 1)]))
-    size = F.size("rows")
-    shift = F.when(size > 1, (1 + F.pmod("turn.by", F.greatest(size - 1, F.lit(1)))).cast("int")).otherwise(0)
-    dealt = packed.select("rows", turns.alias("turn")).select("rows", "turn", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"), shift.alias("shift"))
-    dealt = dealt.select("turn", F.get("rows", F.col("at")).alias("own"), F.get("rows", F.pmod(F.col("at") + F.col("shift"), size)).alias("other"))
+    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("group"), F.lit(r).alias("repeat"), F.lit(turn_key(seed, g, r)).alias("key")) for k, g in enumerate(names) for r in range(1, repeats + 1)]))
+    digest = F.md5(F.concat_ws("|", F.concat(F.col("turn.key"), F.col("__stratum") if strata else F.lit("")), F.col("__block")))
+    part = lambda k: F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long").alias(f"k{k}")
+    # An exploded struct is worked out once for each order, not once a row.
+    dealt = packed.select("rows", *strata, "__block", turns.alias("turn")).select("rows", "turn", F.explode(F.array(F.struct(*[part(k) for k in range(ROUNDS)]))).alias("keys"))
+    order = dealt_order(F.size("rows").cast("long"), [F.col(f"keys.k{i}") for i in range(ROUNDS)])
+    # Each order makes its pairs of rows in one array, so that nothing of the block is carried along behind them.
+    pairs = F.transform(order, lambda giver, at: F.struct(F.get("rows", at).alias("own"), F.get("rows", giver).alias("other")))
+    dealt = dealt.select("turn.group", "turn.repeat", F.inline(pairs))
     place = {c: i for i, c in enumerate(columns)}
     moved = {c: [k for k, g in enumerate(names) if c in groups[g]] for c in columns}
-    value = lambda c: F.when(F.col("turn.group").isin(*moved[c]), F.col(f"other.c{place[c]}")).otherwise(F.col(f"own.c{place[c]}")) if moved[c] else F.col(f"own.c{place[c]}")
-    scored = score(dealt.select("turn", *[value(c).alias(c) for c in columns]))
-    values = metric_by(scored.withColumns({"__group": F.col("turn.group"), "__repeat": F.col("turn.repeat")}), task, metric, ["__group", "__repeat"])
+    value = lambda c: F.when(F.col("group").isin(*moved[c]), F.col(f"other.c{place[c]}")).otherwise(F.col(f"own.c{place[c]}")) if moved[c] else F.col(f"own.c{place[c]}")
+    scored = score(dealt.select(F.col("group").alias("__group"), F.col("repeat").alias("__repeat"), *[value(c).alias(c) for c in columns]))
+    values = metric_by(scored, task, metric, ["__group", "__repeat"])
     values = values.select(F.element_at(F.array(*[F.lit(g) for g in names]), F.col("__group") + 1).alias("feature"), F.col("__repeat").alias("repeat"), "value")
     base = metric_by(score(df.drop(*strata)).withColumn("__all", F.lit(1)), task, metric, ["__all"]).select(F.col("value").alias("baseline"))
     return values.crossJoin(F.broadcast(base)).select("feature", "repeat", F.col("value").alias("score"), "baseline", delta(metric, F.col("value"), F.col("baseline")).alias("delta"))
 
 
-def turn_of(seed: int, group: str, repeat: int) -> int:
-    """By how much a block's order is turned, before it is cut down to the block's size."""
-    return int(hashlib.md5(f"{seed}|{group}|{repeat}".encode()).hexdigest()[:8], 16)
+def random_blocks(df: DataFrame, columns: Sequence[str], strata: Sequence[str], seed: int, row_id: str) -> DataFrame:
+    """(strata, __block, rows): rows as structs c0, c1, ... in hash order, in random blocks of about DEALT rows of a stratum."""
+    sizes = df.groupBy(*strata).agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("__blocks"))
+    keyed = df.withColumn("__key", hash_key(seed, "place", col(row_id)))
+    if strata:
+        keyed = keyed.join(sizes.withColumnRenamed("__stratum", "__of"), F.col("__stratum").eqNullSafe(F.col("__of")))
+    else:
+        keyed = keyed.withColumn("__blocks", F.lit(max(1, sizes.first()[0])))
+    block = F.pmod(F.conv(F.substring("__key", 1, 15), 16, 10).cast("long"), F.col("__blocks")).alias("__block")
+    packed = keyed.select(*strata, block, F.struct("__key", *[col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
+    return packed.groupBy(*strata, "__block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-def importance_summary(scores: DataFrame, order: Sequence[str], confidence: float = 0.95) -> DataFrame:
-    """Per feature: mean delta, its error and t interval (null for one repeat), sign stability, mean permuted score."""
+def importance_summary(scores: DataFrame, order: Sequence[str], confidence: float = 0.95, repeats: int = 100) -> DataFrame:
+    """Per feature: mean delta, its error and t interval (null for one repeat), sign stability, mean permuted score. repeats: at most so many."""
     d = F.col("delta")
     found = scores.groupBy("feature").agg(
         F.count(F.lit(1)).alias("repeats"), F.avg(d).alias("importance"), F.stddev_samp(d).alias("sd"), F.avg("score").alias("permuted_score"), F.max("baseline").alias("baseline_score"),
         F.greatest(F.avg((d >= 0).cast("double")), F.avg((d <= 0).cast("double"))).alias("sign_stability"),
     )
-    counts = sorted({r[0] for r in found.select("repeats").distinct().collect()})
-    half = F.lit(None).cast("double")
-    for n in counts:
-        if n > 1:
-            half = F.when(F.col("repeats") == n, t_quantile(0.5 + confidence / 2, n - 1)).otherwise(half)
+    wide = F.create_map(*[F.lit(x) for n in range(2, repeats + 1) for x in (n, t_quantile(0.5 + confidence / 2, n - 1))]) if repeats > 1 else F.create_map(F.lit(0), F.lit(0.0))
+    half = wide[F.col("repeats").cast("int")]
     se = F.col("sd") / F.sqrt("repeats")
     place = F.create_map(*[x for i, f in enumerate(order) for x in (F.lit(f), F.lit(i))])
     out = found.withColumn("se", se).withColumn("conf_low", F.col("importance") - half * F.col("se")).withColumn("conf_high", F.col("importance") + half * F.col("se")).drop("sd")
@@ -215,7 +234,7 @@ def permutation_importance(df: DataFrame, score: Score, task: Task, metric: str,
     named = {f: [f] for f in features if f not in inside} | groups
     if metric == "auc":
         auc(score(df), "y", "score", strict=True)
-    return importance_summary(permutation_scores(df, score, task, metric, named, repeats, seed, row_id, within), list(named), confidence)
+    return importance_summary(permutation_scores(df, score, task, metric, named, repeats, seed, row_id, within), list(named), confidence, repeats)
 
 
 # Effects

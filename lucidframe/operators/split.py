@@ -115,19 +115,3 @@ def strata_key(df: DataFrame, columns: Sequence[str]) -> Column:
         else:
             parts.append(F.coalesce(col(c).cast("string"), F.lit("NA")))
     return F.concat_ws("|", *parts)
-
-
-def permuted(df: DataFrame, row_id: str, columns: Sequence[str], label: str, repeat: int, seed: int = 123, stratum: str | None = None) -> DataFrame:
-    """(row_id, the columns) with the columns' values dealt anew, together, within strata: a bijection of rows."""
-    strata = [stratum] if stratum else []
-    base = df.select(col(row_id).alias("__id"), *[col(c) for c in columns], *[col(s).alias("__s") for s in strata])
-    names = ["__s"] if stratum else []
-    own = hash_rank(base.withColumn("__key", hash_key(seed, "place", F.col("__id"))), "__key", "__at", names).select("__id", "__at", *names)
-    gives = hash_rank(base.withColumn("__key", hash_key(seed, f"{label}|{repeat}", F.col("__id"))), "__key", "__at", names).drop("__id", "__key")
-    on = ["__at", *names]
-    return own.join(gives, on).select(F.col("__id").alias(row_id), *[col(c) for c in columns])
-
-
-def single_row_number(order: list[Column]) -> Column:
-    """A row number over a small frame, such as one of models or features."""
-    return F.row_number().over(Window.orderBy(*order))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
 from lucidframe.functions.expr import col, hash_key, rounded
+from lucidframe.functions.stats import t_quantile
 from lucidframe.models import fit, registry, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
 from lucidframe.plans import workflow
@@ -380,47 +381,56 @@ def dependence(spark, folder):
 # Importance and effects
 
 
-def _shuffle_sql(label: str, columns: tuple[str, ...], repeats: int, stratum: str | None = None) -> list[str]:
-    """The rows with columns dealt anew: the row at a place of a block gets the values of the row that stands some places on."""
-    out = []
-    for r in range(1, repeats + 1):
-        kept = [c for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag") if c not in columns]
-        out.append(f"""SELECT '{label}' AS feature, {r} AS repeat, a.y, {', '.join('b.' + c for c in columns)}, {', '.join('a.' + c for c in kept)}
-  FROM placed a JOIN placed b ON a.block = b.block{f' AND a.{stratum} = b.{stratum}' if stratum else ''} AND b.at = (a.at + CASE WHEN a.m > 1 THEN 1 + {explain.turn_of(123, label, r)} % (a.m - 1) ELSE 0 END) % a.m""")
-    return out
-
-
-def _importance_sql(parts: list[str], stratum: str = "") -> str:
+def _dealt_sql(groups: dict[str, tuple[str, ...]], repeats: int, stratum: str | None = None, source: str = "lines") -> str:
+    """Tables that deal columns anew: placed (the rows in their blocks), dealt (which row gives to which, for each feature and repeat)."""
     part = f"{stratum}, " if stratum else ""
+    key = f"feature || '|' || repeat || '|' || {f'coalesce(CAST({stratum} AS VARCHAR), {chr(39)}NA{chr(39)})' if stratum else chr(39) * 2} || '|' || block"
+    cubes = "pos + CAST('0x' || substr(h, 1, 7) AS BIGINT)"
+    stages = []
+    for k in range(explain.ROUNDS):
+        more = f"CAST('0x' || substr(h, {8 + 7 * k}, 7) AS BIGINT)" if k + 1 < explain.ROUNDS else "0"
+        stages.append(f"v{k + 1} AS (SELECT *, (v{k} * v{k} % {explain.PRIME}) * v{k} % {explain.PRIME} + {more} AS v{k + 1} FROM v{k})")
+    return f"""keyed AS (
+  SELECT *, md5('123|place|' || row_id) AS k, CAST('0x' || substr(md5('123|place|' || row_id), 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER ({f'PARTITION BY {stratum}' if stratum else ''}) / {explain.DEALT}.0) AS BIGINT) AS block FROM {source}),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY {part}block ORDER BY k) - 1 AS pos FROM keyed),
+  turn AS (SELECT unnest([{', '.join(repr(g) for g in groups)}]) AS feature), turns AS (SELECT feature, unnest(range(1, {repeats + 1})) AS repeat FROM turn),
+  keys AS (SELECT {part}block, feature, repeat, md5('123|' || {key}) AS h FROM (SELECT DISTINCT {part}block FROM placed), turns),
+  v0 AS (SELECT {part}block, feature, repeat, pos, {cubes} AS v0, h FROM placed JOIN keys USING ({part}block)), {', '.join(stages)},
+  dealt AS (SELECT {part}block, feature, repeat, pos AS giver, row_number() OVER (PARTITION BY {part}block, feature, repeat ORDER BY v{explain.ROUNDS}) - 1 AS pos FROM v{explain.ROUNDS})"""
+
+
+def _importance_sql(groups: dict[str, tuple[str, ...]], repeats: int = 20, stratum: str | None = None) -> str:
+    moved = lambda c: f"CASE WHEN feature IN ({', '.join(repr(g) for g, names in groups.items() if c in names)}) THEN b.{c} ELSE a.{c} END AS {c}" if any(c in n for n in groups.values()) else f"a.{c}"
+    same = f" AND a.{stratum} IS NOT DISTINCT FROM d.{stratum} AND b.{stratum} IS NOT DISTINCT FROM d.{stratum}" if stratum else ""
+    t = t_quantile(0.975, repeats - 1)
     return f"""
-WITH {LINES_SQL}, keyed AS (
-  SELECT *, md5('123|place|' || row_id) AS k, CAST('0x' || substr(md5('123|place|' || row_id), 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER ({f'PARTITION BY {stratum}' if stratum else ''}) / {explain.DEALT}.0) AS BIGINT) AS block FROM lines),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY {part}block ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY {part}block) AS m FROM keyed),
-  u AS ({' UNION ALL BY NAME '.join(parts)}), base AS (SELECT sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS b FROM lines),
+WITH {LINES_SQL}, {_dealt_sql(groups, repeats, stratum)},
+  u AS (SELECT feature, repeat, a.y, {', '.join(moved(c) for c in ('l_quantity', 'l_discount', 'l_tax', 'l_returnflag'))}
+    FROM dealt d JOIN placed a ON a.block = d.block AND a.pos = d.pos JOIN placed b ON b.block = d.block AND b.pos = d.giver{' WHERE true' + same if same else ''}),
+  base AS (SELECT sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS b FROM lines),
   s AS (SELECT feature, repeat, sqrt(avg(({PRICE} - y) * ({PRICE} - y))) AS score FROM u GROUP BY feature, repeat)
 SELECT feature, count(*) AS repeats, round(avg(score - b), 6) AS importance, round(avg(score), 6) AS permuted_score, round(max(b), 6) AS baseline_score,
   round(greatest(avg(CAST(score >= b AS DOUBLE)), avg(CAST(score <= b AS DOUBLE))), 6) AS sign_stability, round(stddev_samp(score - b) / sqrt(count(*)), 6) AS se,
-  round(avg(score - b) - {T3} * stddev_samp(score - b) / sqrt(count(*)), 6) AS conf_low, round(avg(score - b) + {T3} * stddev_samp(score - b) / sqrt(count(*)), 6) AS conf_high
+  round(avg(score - b) - {t} * stddev_samp(score - b) / sqrt(count(*)), 6) AS conf_low, round(avg(score - b) + {t} * stddev_samp(score - b) / sqrt(count(*)), 6) AS conf_high
 FROM s, base GROUP BY feature"""
 
 
-#: The 97.5 % point of Student's t with two degrees of freedom.
-T3 = "4.302652729911275"
+FOUR = ("l_quantity", "l_discount", "l_tax", "l_returnflag")
 
 
-@query("permutation_importance", _importance_sql([x for c in ("l_quantity", "l_discount", "l_tax") for x in _shuffle_sql(c, (c,), 3)]))
+@query("permutation_importance", _importance_sql({c: (c,) for c in FOUR}))
 def permutation_importance(spark, folder):
-    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity", "l_discount", "l_tax"], repeats=3)
+    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", FOUR)
 
 
-@query("importance_grouped", _importance_sql(_shuffle_sql("money", ("l_discount", "l_tax"), 3) + _shuffle_sql("l_quantity", ("l_quantity",), 3)))
+@query("importance_grouped", _importance_sql({"money": ("l_discount", "l_tax"), "l_quantity": ("l_quantity",)}))
 def importance_grouped(spark, folder):
-    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity", "l_discount", "l_tax"], repeats=3, groups={"money": ["l_discount", "l_tax"]})
+    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity", "l_discount", "l_tax"], groups={"money": ["l_discount", "l_tax"]})
 
 
-@query("importance_blocked", _importance_sql(_shuffle_sql("l_quantity", ("l_quantity",), 3, "l_returnflag"), "l_returnflag"))
+@query("importance_blocked", _importance_sql({"l_quantity": ("l_quantity",)}, stratum="l_returnflag"))
 def importance_blocked(spark, folder):
-    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity"], repeats=3, within="l_returnflag")
+    return explain.permutation_importance(lines(spark, folder), price_scorer, REG, "rmse", ["l_quantity"], within="l_returnflag")
 
 
 def curve(c: Callable[[str], Column]) -> Column:
@@ -631,10 +641,8 @@ def baseline_classes(spark, folder):
 
 
 @query("importance_logloss", f"""
-WITH {DOCS_SQL}, keyed AS (
-  SELECT *, md5('123|place|' || row_id) AS k, CAST('0x' || substr(md5('123|place|' || row_id), 1, 15) AS BIGINT) % CAST(ceil(count(*) OVER () / {explain.DEALT}.0) AS BIGINT) AS block FROM docs),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY block) AS m FROM keyed),
-  u AS ({' UNION ALL '.join(f"SELECT 'lang' AS feature, {r} AS repeat, a.y, a.n_chars, b.lang FROM placed a JOIN placed b ON a.block = b.block AND b.at = (a.at + CASE WHEN a.m > 1 THEN 1 + {explain.turn_of(123, 'lang', r)} % (a.m - 1) ELSE 0 END) % a.m" for r in (1, 2, 3))}),
+WITH {DOCS_SQL}, {_dealt_sql({"lang": ("lang",)}, 20, source="docs")},
+  u AS (SELECT repeat, a.y, a.n_chars, b.lang FROM dealt d JOIN placed a ON a.block = d.block AND a.pos = d.pos JOIN placed b ON b.block = d.block AND b.pos = d.giver),
   p AS (SELECT repeat, y, 1.0 / (1.0 + exp(-(-2.0 + n_chars / 5000.0 - CASE WHEN lang = 'en' THEN 0.5 ELSE 0.0 END))) AS score FROM u),
   s AS (SELECT repeat, avg(-(y * ln({CLAMPED}) + (1 - y) * ln(1 - {CLAMPED}))) AS score FROM p GROUP BY repeat),
   base AS (SELECT avg(-(y * ln({CLAMPED}) + (1 - y) * ln(1 - {CLAMPED}))) AS b FROM docs)
@@ -642,7 +650,7 @@ SELECT 'lang' AS feature, CAST(repeat AS INT) AS repeat, round(score, 6) AS scor
 def importance_logloss(spark, folder):
     rows = scored_docs(spark, folder).drop("score")
     chance = lambda c: 1.0 / (1.0 + F.exp(-(F.lit(-2.0) + c("n_chars") / 5000.0 - F.when(c("lang") == "en", 0.5).otherwise(0.0))))
-    return explain.permutation_scores(rows, explain.expression_scorer(chance), TOXIC, "logloss", {"lang": ["lang"]}, repeats=3)
+    return explain.permutation_scores(rows, explain.expression_scorer(chance), TOXIC, "logloss", {"lang": ["lang"]})
 
 
 @query("effects_of_two", f"""

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -75,11 +76,54 @@ def test_overlap_counts_missing_as_equal(spark):
         split.check_overlap(a, b, "error")
 
 
-def test_permutation_keeps_rows_and_strata(spark):
-    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"), (F.col("id") % 4).alias("s"))
-    new = split.permuted(df, "row_id", ["x"], "x", 1, stratum="s").collect()
-    assert sorted(r.x for r in new) == list(range(0, 400, 2)) and any(r.x != 2 * r.row_id for r in new)
-    assert all((r.x // 2) % 4 == r.row_id % 4 for r in new)
+def permutations_of(spark, df, repeats, within="s"):
+    """Which row gave its value to which, for each repeat and stratum, as the scorer sees it."""
+    seen = []
+
+    def score(d):
+        seen.append(d)
+        return d.withColumn("score", F.col("x"))
+
+    explain.permutation_scores(df, score, REG, "rmse", {"x": ["x"]}, repeats, within=within).collect()
+    found = {}
+    for r in seen[0].select("__repeat", "row_id", "x", "s").collect():
+        found.setdefault((r["__repeat"], r.s), {})[r.row_id] = int(r.x)
+    return found
+
+
+def test_permutations_are_bijections_and_all_equally_likely(spark):
+    rows = [(i, float(i), f"{size}-{i // size}") for size in (2, 3, 4, 5) for i in range(100_000 * size, 100_000 * size + 240 * size)]
+    df = spark.createDataFrame(rows, "row_id long, x double, s string").withColumn("y", F.lit(0.0))
+    seen = {}
+    for (_, stratum), gave in permutations_of(spark, df, 20).items():
+        ids = sorted(gave)
+        assert sorted(gave.values()) == ids  # within the stratum, each value once
+        seen.setdefault(len(ids), []).append(tuple(ids.index(gave[i]) for i in ids))
+    for size, found in seen.items():
+        every = list(itertools.permutations(range(size)))
+        expected = len(found) / len(every)
+        chi = sum((found.count(p) - expected) ** 2 / expected for p in every)
+        freedom = len(every) - 1
+        assert chi < freedom + 4 * (2 * freedom) ** 0.5, (size, chi)
+        assert sum(p[0] == 0 for p in found) == pytest.approx(len(found) / size, rel=0.1)  # own values are kept as often as chance has it
+
+
+def test_large_strata_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(explain, "DEALT", 50)
+    df = spark.range(1000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("s"), F.lit(0.0).alias("y"))
+    found = permutations_of(spark, df, 3)
+    assert len(found) == 6 and len({tuple(sorted(m.items())) for m in found.values()}) == 6
+    for (_, s), gave in found.items():
+        assert sorted(gave.values()) == sorted(gave) == [i for i in range(1000) if str(i % 2) == s]
+        assert sum(k == v for k, v in gave.items()) < 50
+    again = permutations_of(spark, df.repartition(7), 3)
+    assert again == found
+
+
+def test_small_strata_have_an_honest_spread(spark):
+    df = spark.range(40).select(F.col("id").alias("row_id"), F.sin("id").alias("x"), (F.col("id") / 2).cast("int").cast("string").alias("s")).withColumn("y", F.col("x"))
+    r = explain.permutation_importance(df, explain.expression_scorer(lambda c: c("x")), REG, "rmse", ["x"], within="s").first()
+    assert r.repeats == 20 and r.se > 0 and r.conf_low < r.importance < r.conf_high
 
 
 # Preparation

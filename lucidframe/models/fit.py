@@ -6,12 +6,14 @@ Fits are Spark ML estimators on an encoded vector, except for what Spark ML lack
 
 from __future__ import annotations
 
+import contextlib
 import importlib
 import json
+import threading
 import time
 import warnings
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,13 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
-from lucidframe.functions.expr import col, hash_key, order_statistics
+from lucidframe.functions.expr import col, order_statistics
+from lucidframe.models import cells, grams, mars, neural
 from lucidframe.models.registry import FAMILIES, check_parameters
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
 
-#: Rows from which the learners without a distributed solver are fitted, in hash order; rows of a block of neighbours.
-SAMPLE, BLOCK = 20_000, 4096
 
 
 @dataclass
@@ -46,6 +47,11 @@ class Fitted:
     notes: tuple[str, ...] = ()
     details: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Let go of what the scorer keeps in the executors' memory; it can't score any more."""
+        if isinstance(self.scorer, NeighborScorer):
+            self.scorer.cells.blocks.unpersist()
+
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         out = self.scorer(df)
         return out if name == "score" else out.withColumnRenamed("score", name)
@@ -70,10 +76,63 @@ def baseline(df: DataFrame, task: Task, model_id: str = "baseline") -> Fitted:
     if task.kind == MULTICLASS:
         counts = {r[0]: r[1] for r in df.groupBy(y.alias("y")).count().collect()}
         total = sum(counts.values())
-        score = F.array(*[F.lit(counts.get(i, 0) / total) for i in range(len(task.levels))])
+        value: float | list[float] = [counts.get(i, 0) / total for i in range(len(task.levels))]
     else:
-        score = F.lit(float(df.agg(F.avg(y)).first()[0]))
-    return Fitted(model_id, "baseline", task, (), lambda d: d.withColumn("score", score), complexity=1.0)
+        value = float(df.agg(F.avg(y)).first()[0])
+    return Fitted(model_id, "baseline", task, (), Formula("constant", None, task, {"value": value}), complexity=1.0)
+
+
+@dataclass
+class Formula:
+    """A score that is one expression of the columns, from numbers that can be written down."""
+
+    form: str
+    encoding: Encoding | None
+    task: Task
+    numbers: dict
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        value = getattr(self, f"_{self.form}")([c for _, c in self.encoding.columns()] if self.encoding else [])
+        out = self.encoding.guard(df) if self.encoding else df
+        if self.form != "constant" and self.task.kind == BINARY:
+            value = 1 / (1 + F.exp(-value))
+        return out.withColumn("score", value)
+
+    def _constant(self, x: list[Column]) -> Column:
+        value = self.numbers["value"]
+        return F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+
+    def _linear(self, x: list[Column]) -> Column:
+        return sum((c * float(b) for c, b in zip(x, self.numbers["coefficients"]) if b), F.lit(float(self.numbers["intercept"])))
+
+    def _splines(self, x: list[Column]) -> Column:
+        total = F.lit(float(self.numbers["intercept"]))
+        for smooth, weights in zip(self.numbers["smooths"], self.numbers["weights"]):
+            term = grams.Smooth(*smooth)
+            total = total + term.expression(x[term.at], np.asarray(weights))
+        return sum((x[j] * float(b) for j, b in zip(self.numbers["straight"], self.numbers["coefficients"])), total)
+
+    def _hinges(self, x: list[Column]) -> Column:
+        low, width = self.numbers["low"], self.numbers["width"]
+        unit = [(c - F.lit(float(a))) / F.lit(float(w)) for c, a, w in zip(x, low, width)]
+        terms = [tuple(tuple(f) for f in t) for t in self.numbers["terms"]]
+        return sum((mars.expression(t, unit) * float(b) for t, b in zip(terms, self.numbers["coefficients"])), F.lit(0.0))
+
+    def state(self) -> dict:
+        return {"form": self.form, "numbers": self.numbers}
+
+
+def shared_of(shared: dict | None, key, make: Callable):
+    """What fits of the same rows have in common, made once."""
+    if shared is None:
+        return make()
+    if key not in shared:
+        shared[key] = make()
+    return shared[key]
+
+
+def _gram(df: DataFrame, task: Task, encoding: Encoding, shared: dict | None) -> grams.Gram:
+    return shared_of(shared, ("gram", encoding.contrast), lambda: grams.grams(df, encoding.array(), task.label())[0])
 
 
 def _spark_ml(estimator, encoding: Encoding, task: Task, data: DataFrame):
@@ -104,43 +163,39 @@ def _common(estimator, **extra):
     return estimator(featuresCol="__features", labelCol="__label", predictionCol="prediction", **extra)
 
 
-def _linear(df, task, encoding, q, seed):
-    data = _vectors(df, encoding, task)
+def _linear(df, task, encoding, q, seed, shared=None):
     if task.kind == REGRESSION:
-        model, score = _spark_ml(_common(R.LinearRegression, solver="normal", regParam=0.0), encoding, task, data)
-        return score, {"complexity": float(np.count_nonzero(model.coefficients.toArray()) + 1), "coefficients": model.coefficients.toArray().tolist(), "intercept": model.intercept}
+        intercept, beta = grams.least_squares(_gram(df, task, encoding, shared))
+        numbers = {"intercept": intercept, "coefficients": beta.tolist()}
+        return Formula("linear", encoding, task, numbers), {"complexity": float(np.count_nonzero(beta) + 1)} | numbers
+    data = _vectors(df, encoding, task)
     model, score = _spark_ml(_common(C.LogisticRegression, regParam=0.0, maxIter=200, family="binomial" if task.kind == BINARY else "multinomial"), encoding, task, data)
     notes = ("the iteration cap was reached",) if model.summary.totalIterations >= 200 else ()
     return score, {"complexity": float(model.coefficientMatrix.toArray().size + model.interceptVector.size), "notes": notes}
 
 
 def _largest_penalty(df: DataFrame, encoding: Encoding, task: Task, alpha: float) -> float:
-    """The penalty at which all coefficients are zero: the greatest scaled covariance with the outcome, in one pass."""
+    """The penalty at which all coefficients are zero: the greatest scaled covariance with a class, in one pass."""
     y = task.label().cast("double")
-    targets = [y] if task.kind != MULTICLASS else [(y == k).cast("double") for k in range(len(task.levels))]
+    targets = [y] if task.kind == BINARY else [(y == k).cast("double") for k in range(len(task.levels))]
     parts = [(F.covar_pop(x, t) / F.nullif(F.stddev_pop(x), F.lit(0.0))) for _, x in encoding.columns() for t in targets]
     row = df.agg(*[F.abs(c).alias(f"c{i}") for i, c in enumerate(parts)]).first()
-    scale = (df.agg(F.stddev_pop(y)).first()[0] or 1.0) if task.kind == REGRESSION else 1.0
-    return max((x for x in row if x is not None), default=1.0) / scale / max(alpha, 1e-3)
+    return max((x for x in row if x is not None), default=1.0) / max(alpha, 1e-3)
 
 
-def _regularized(df, task, encoding, q, seed):
-    top = _largest_penalty(df, encoding, task, q["alpha"])
-    length = 80
-    index = round(1 + q["path_fraction"] * (length - 1))
-    penalty = top * (1e-3) ** ((index - 1) / (length - 1))
-    data = _vectors(df, encoding, task)
+def _regularized(df, task, encoding, q, seed, shared=None):
+    step = round(q["path_fraction"] * (grams.PATH - 1))
     if task.kind == REGRESSION:
-        scale = df.agg(F.stddev_pop(task.label())).first()[0] or 1.0
-        model, score = _spark_ml(_common(R.LinearRegression, regParam=float(penalty * scale), elasticNetParam=q["alpha"], maxIter=200), encoding, task, data)
-        used = np.count_nonzero(model.coefficients.toArray())
-    else:
-        model, score = _spark_ml(_common(C.LogisticRegression, regParam=float(penalty), elasticNetParam=q["alpha"], maxIter=200), encoding, task, data)
-        used = np.count_nonzero(model.coefficientMatrix.toArray())
-    return score, {"complexity": float(used + 1), "lambda": penalty}
+        path = shared_of(shared, ("path", q["alpha"]), lambda: grams.elastic_net_path(_gram(df, task, encoding, shared), q["alpha"]))
+        penalty, intercept, beta = path[step]
+        numbers = {"intercept": intercept, "coefficients": beta.tolist()}
+        return Formula("linear", encoding, task, numbers), {"complexity": float(np.count_nonzero(beta) + 1), "lambda": penalty} | numbers
+    penalty = _largest_penalty(df, encoding, task, q["alpha"]) * grams.LEAST ** (step / (grams.PATH - 1))
+    model, score = _spark_ml(_common(C.LogisticRegression, regParam=float(penalty), elasticNetParam=q["alpha"], maxIter=200), encoding, task, _vectors(df, encoding, task))
+    return score, {"complexity": float(np.count_nonzero(model.coefficientMatrix.toArray()) + 1), "lambda": penalty}
 
 
-def _tree(df, task, encoding, q, seed):
+def _tree(df, task, encoding, q, seed, shared=None):
     kind = R.DecisionTreeRegressor if task.kind == REGRESSION else C.DecisionTreeClassifier
     leaf = max(1, q["minsplit"] // 3)
     gain = q["cp"] * (df.agg(F.var_pop(task.label())).first()[0] or 0.0) if task.kind == REGRESSION else q["cp"] * 0.5
@@ -148,14 +203,14 @@ def _tree(df, task, encoding, q, seed):
     return score, {"complexity": float((model.numNodes + 1) // 2)}
 
 
-def _forest(df, task, encoding, q, seed, trees=None):
+def _forest(df, task, encoding, q, seed, shared=None, trees=None):
     kind = R.RandomForestRegressor if task.kind == REGRESSION else C.RandomForestClassifier
     share = min(1.0, q["mtry"] / max(1, len(encoding.names)))
     model, score = _spark_ml(_common(kind, numTrees=trees or q["num.trees"], maxDepth=12, featureSubsetStrategy=str(max(share, 1e-6)) if share < 1 else "all", minInstancesPerNode=q["min.node.size"], subsamplingRate=q["sample.fraction"], seed=seed), encoding, task, _vectors(df, encoding, task))
     return score, {"complexity": float(model.totalNumNodes)}
 
 
-def _boosting(df, task, encoding, q, seed):
+def _boosting(df, task, encoding, q, seed, shared=None):
     settings = {"maxIter": q["nrounds"], "stepSize": q["eta"], "maxDepth": min(q["max_depth"], 30), "minInstancesPerNode": max(1, round(q["min_child_weight"])), "subsamplingRate": q["subsample"], "seed": seed}
     data = _vectors(df, encoding, task)
     if task.kind != MULTICLASS:
@@ -177,11 +232,6 @@ def _boosting(df, task, encoding, q, seed):
 # Learners on driver-made bases
 
 
-def _knots(df: DataFrame, name: str, count: int) -> list[float]:
-    cuts = order_statistics(df, {name: col(name)}, [(i + 1) / (count + 1) for i in range(count)])[name]
-    return sorted({c for c in cuts if c is not None})
-
-
 def _basis_fit(df: DataFrame, task: Task, basis: Column | list[Column], penalty: float) -> Callable[[DataFrame], DataFrame]:
     """A penalised linear or logistic fit on expression columns, or on one array column."""
     basis = F.array(*basis) if isinstance(basis, list) else basis
@@ -198,81 +248,106 @@ def _basis_fit(df: DataFrame, task: Task, basis: Column | list[Column], penalty:
     return score
 
 
-def _spline(name: str, knots: list[float], low: float, high: float) -> list[Column]:
-    """A cubic truncated-power basis on the unit scale."""
-    width = (high - low) or 1.0
-    x = (col(name).cast("double") - low) / width
-    return [x, x * x, x * x * x, *[F.pow(F.greatest(x - (k - low) / width, F.lit(0.0)), F.lit(3.0)) for k in knots]]
-
-
-def _additive(df, task, encoding, q, seed):
-    columns: list[Column] = []
-    for f in encoding.features:
-        if encoding.kinds[f] == "numeric" and df.select(col(f)).distinct().limit(4).count() >= 4:
-            distinct = df.select(col(f)).distinct().limit(q["k"] + 1).count()
-            k = max(3, min(q["k"], distinct - 1))
-            low, high = df.agg(F.min(col(f).cast("double")), F.max(col(f).cast("double"))).first()
-            columns += _spline(f, _knots(df, f, max(1, k - 3)), low, high)
-        else:
-            columns += [c for n, c in encoding.columns() if n == f or n.startswith(f"{f}=")]
-    return _basis_fit(df, task, columns, 1e-3 * q["gamma"] * (1.0 if q["select"] else 0.1)), {"complexity": float(len(columns) + 1)}
-
-
-def _mars(df, task, encoding, q, seed):
-    """Forward choice of hinges on one Gram matrix, backward pruning by a penalised error, then the final fit."""
-    hinges: list[tuple[Column, str]] = []
-    for f in encoding.features:
-        if encoding.kinds[f] == "numeric":
-            for k in _knots(df, f, 8):
-                hinges += [(F.greatest(col(f).cast("double") - k, F.lit(0.0)), f), (F.greatest(k - col(f).cast("double"), F.lit(0.0)), f)]
-            hinges.append((col(f).cast("double"), f))
-        else:
-            hinges += [(c, f) for n, c in encoding.columns() if n == f or n.startswith(f"{f}=")]
-    if q["degree"] == 2:
-        numbers = [f for f in encoding.features if encoding.kinds[f] == "numeric"]
-        hinges += [(col(a).cast("double") * col(b).cast("double"), f"{a}*{b}") for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
-    width = len(hinges) + 2
-    rows = df.select(F.array(F.lit(1.0), *[h for h, _ in hinges], task.label().cast("double")).alias("x"))
-
-    def gram(batches):
-        total, n = np.zeros((width, width)), 0
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
-            total += x.T @ x
-            n += len(x)
-        yield pd.DataFrame({"g": [total.ravel().tolist()], "n": [n]})
-
-    parts = rows.mapInPandas(gram, "g array<double>, n long").toPandas()  # a matrix of fixed size from each task
-    g = sum(np.array(x).reshape(width, width) for x in parts["g"])
-    n, y = int(parts["n"].sum()), width - 1
-    scale = np.sqrt(np.maximum(np.diag(g), 1e-12))
-
-    def error(chosen: list[int]) -> float:
-        a = (g[np.ix_(chosen, chosen)] / np.outer(scale[chosen], scale[chosen])) + 1e-8 * np.eye(len(chosen))
-        b = g[chosen, y] / scale[chosen]
-        return float(g[y, y] - b @ np.linalg.solve(a, b))
-
-    def gcv(chosen: list[int]) -> float:
-        effective = len(chosen) + 1.5 * (len(chosen) - 1)
-        return max(error(chosen), 0.0) / n / max(1e-3, 1 - effective / max(n, 2)) ** 2
-
-    chosen, left = [0], list(range(1, width - 1))
-    while left and len(chosen) < q["nprune"] + 4:
-        best = min(left, key=lambda j: error([*chosen, j]))
-        if error(chosen) - error([*chosen, best]) <= 1e-6 * g[y, y]:
+#: Steps of Fisher scoring at most, and the change of the deviance that ends it.
+SCORING, SETTLED = 30, 1e-7
+
+
+def _additive(df, task, encoding, q, seed, shared=None):
+    names = encoding.names
+    numbers = [f for f in encoding.features if encoding.kinds[f] == "numeric"]
+
+    def ranges() -> dict[str, tuple[float, float, int]]:
+        """Ends of each number, and its distinct values as far as they matter."""
+        row = df.agg(*[x for f in numbers for x in (F.min(col(f).cast("double")), F.max(col(f).cast("double")))]).first() if numbers else ()
+        return {f: (row[2 * i], row[2 * i + 1], df.select(col(f)).distinct().limit(64).count()) for i, f in enumerate(numbers)}
+
+    smooths = []
+    for f, (low, high, distinct) in shared_of(shared, "ranges", ranges).items():
+        if distinct >= 4 and high > low:
+            smooths.append(grams.Smooth(names.index(f), max(3, min(q["k"], distinct - 1)), low, high))
+    if not smooths:
+        raise ContractError("the additive learner needs a number with at least four values")
+    straight = [j for j in range(len(names)) if j not in {t.at for t in smooths}]
+    make = grams.spline_columns(smooths, straight)
+    if task.kind == REGRESSION:
+        gram = shared_of(shared, ("splines", q["k"]), lambda: grams.grams(df, encoding.array(), task.label(), make=make)[0])
+        found, scans = grams.fit_splines(gram, smooths, len(straight), q["gamma"], q["select"]), 1
+    else:
+        found, scans = _scored_splines(df, task, encoding, smooths, straight, make, q)
+    about = {"intercept": found.intercept, "smooths": [(t.at, t.k, t.low, t.high) for t in smooths], "weights": [w.tolist() for w in found.weights], "straight": straight, "coefficients": found.straight.tolist()}
+    freedom = {names[t.at]: f for t, f in zip(smooths, found.freedom)}
+    return Formula("splines", encoding, task, about), {"complexity": 1 + len(straight) + sum(found.freedom), "freedom": freedom, "scans": scans}
+
+
+def _scored_splines(df, task, encoding, smooths, straight, make, q) -> tuple[grams.SplineFit, int]:
+    """Fisher scoring: a pass for each step, which sums the weighted Gram matrix of the working outcome and the deviance."""
+    mean = float(df.agg(F.avg(task.label())).first()[0])
+    rate = min(max(mean, 1e-6), 1 - 1e-6)
+    eta, found, before = F.lit(float(np.log(rate / (1 - rate)))), None, None
+    y = task.label().cast("double")
+    for scan in range(1, SCORING + 1):
+        p = F.least(F.greatest(1 / (1 + F.exp(-F.col("__eta"))), F.lit(1e-9)), F.lit(1 - 1e-9))
+        rows = df.withColumn("__eta", eta)
+        w = p * (1 - p)
+        gram = grams.grams(rows, encoding.array(), F.col("__eta") + (y - p) / w, make=make, weight=w, shifted=False)[0]
+        found = grams.fit_splines(gram, smooths, len(straight), q["gamma"], q["select"], None if found is None else found.penalties, variance=1.0)
+        about = {"intercept": found.intercept, "smooths": [(t.at, t.k, t.low, t.high) for t in smooths], "weights": [x.tolist() for x in found.weights], "straight": straight, "coefficients": found.straight.tolist()}
+        eta = Formula("splines", encoding, replace(task, kind=REGRESSION), about)._splines([c for _, c in encoding.columns()])
+        now = np.concatenate([[found.intercept], *found.weights, found.straight])
+        if before is not None and np.max(np.abs(now - before)) <= SETTLED * (1 + np.max(np.abs(now))):
             break
-        chosen.append(best)
-        left.remove(best)
-    best_set = list(chosen)
-    while len(chosen) > 2:
-        chosen = min(([c for c in chosen if c != d] for d in chosen if d), key=error)
-        if len(chosen) <= q["nprune"] and (len(best_set) > q["nprune"] or gcv(chosen) < gcv(best_set)):
-            best_set = list(chosen)
-    columns = [hinges[j - 1][0] for j in best_set if j]
-    return _basis_fit(df, task, columns or [F.lit(0.0)], 1e-6), {"complexity": float(len(best_set))}
-
-
-def _kernel(df, task, encoding, q, seed, features: int = 200):
+        before = now
+    return found, scan
+
+
+def _unit_scale(df: DataFrame, encoding: Encoding) -> tuple[np.ndarray, np.ndarray]:
+    columns = [c for _, c in encoding.columns()]
+    row = df.agg(*[x for c in columns for x in (F.min(c), F.max(c))]).first()
+    low, high = np.array(row[::2], float), np.array(row[1::2], float)
+    return low, np.where(high > low, high - low, 1.0)
+
+
+def _mars(df, task, encoding, q, seed, shared=None):
+    """Forward passes over interval sums, pruning on the Gram matrix they leave; a binary outcome's terms get a logistic fit."""
+    most = max(21, 2 * q["nprune"] + 1)
+
+    def search() -> tuple[mars.Forward, np.ndarray, np.ndarray]:
+        low, width = _unit_scale(df, encoding)
+        columns = {n: (c - F.lit(float(a))) / F.lit(float(w)) for (n, c), a, w in zip(encoding.columns(), low, width)}
+        numbers = {n: columns[n] for n in encoding.features if encoding.kinds[n] == "numeric"}
+        cuts = order_statistics(df, numbers, [i / (mars.KNOTS + 1) for i in range(mars.KNOTS + 1)]) if numbers else {}
+        knots = [np.array(sorted({c for c in cuts[n] if c is not None and c < 1})) if n in cuts else np.zeros(1) for n in encoding.names]
+        rows = df.select(F.array(*columns.values()).alias("x"), task.label().cast("double").alias("y")).persist()
+        try:
+            return mars.forward(rows, knots, q["degree"], most), low, width
+        finally:
+            rows.unpersist()
+
+    found, low, width = shared_of(shared, ("hinges", q["degree"], most), search)
+    chosen, beta = mars.prune(found, q["nprune"], q["degree"])
+    terms = [found.terms[j] for j in chosen]
+    about = {"complexity": float(len(terms)), "scans": found.scans, "terms": terms}
+    if task.kind == BINARY:
+        columns = [(c - F.lit(float(a))) / F.lit(float(w)) for (_, c), a, w in zip(encoding.columns(), low, width)]
+        beta = _logistic(df, task, [mars.expression(t, columns) for t in terms[1:]])
+    else:
+        beta = beta.copy()
+        beta[0] += float(df.agg(F.avg(task.label())).first()[0])  # the matrix is about the outcome's mean
+    numbers = {"terms": [[list(f) for f in t] for t in terms], "coefficients": beta.tolist(), "low": low.tolist(), "width": width.tolist()}
+    return Formula("hinges", encoding, task, numbers), about
+
+
+def _logistic(df: DataFrame, task: Task, columns: list[Column]) -> np.ndarray:
+    """Intercept and coefficients of a logistic fit on expressions."""
+    if not columns:
+        rate = float(df.agg(F.avg(task.label())).first()[0])
+        return np.array([np.log(rate / (1 - rate))])
+    data = df.select(array_to_vector(F.array(*columns)).alias("__features"), task.label().cast("double").alias("__label"))
+    model = _common(C.LogisticRegression, regParam=1e-8, maxIter=200).fit(data)
+    return np.concatenate(([model.intercept], model.coefficients.toArray()))
+
+
+def _kernel(df, task, encoding, q, seed, shared=None, features: int = 200):
     """Random Fourier features of the standardised encoding and a penalised fit."""
     p = max(1, len(encoding.names))
     rng = np.random.default_rng(seed)
@@ -287,57 +362,40 @@ def _kernel(df, task, encoding, q, seed, features: int = 200):
     return _basis_fit(df, task, basis(encoding.array()), 1.0 / (q["cost"] * max(n, 1))), {"complexity": float(features)}
 
 
-def _sampled(df: DataFrame, task: Task, encoding: Encoding, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(encoding.array().alias("x"), task.label().cast("double").alias("y"))
-    keyed = rows.withColumn("k", hash_key(seed, "fit", F.to_json("x"), F.col("y"))).orderBy("k").limit(SAMPLE).drop("k").toPandas()
-    return np.stack(keyed["x"].to_numpy()), keyed["y"].to_numpy()
-
-
-def _array_scorer(encoding: Encoding, task: Task, predict: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
-    kind = "array<double>" if task.kind == MULTICLASS else "double"
-
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        found = predict(np.stack(x.to_numpy())) if len(x) else np.zeros(0)
-        return pd.Series(list(found))
+@dataclass
+class NetScorer:
+    """Scores by a network's weights, in Arrow batches."""
 
-    return lambda d: d.withColumn("score", run(encoding.array()))
+    encoding: Encoding
+    task: Task
+    net: neural.Net
+    weights: np.ndarray
 
+    def __call__(self, df: DataFrame) -> DataFrame:
+        net, w = self.net, self.weights
 
-def _neural(df, task, encoding, q, seed, rounds: int = 400):
-    """One hidden layer with weight decay, Adam on all sampled rows."""
-    x, y = _sampled(df, task, encoding, seed)
-    rng, size = np.random.default_rng(seed), q["size"]
-    outputs = len(task.levels) if task.kind == MULTICLASS else 1
-    centre, scale = (y.mean(), y.std() or 1.0) if task.kind == REGRESSION else (0.0, 1.0)
-    target = np.eye(outputs)[y.astype(int)] if task.kind == MULTICLASS else ((y - centre) / scale)[:, None]
-    w = [rng.uniform(-0.5, 0.5, (x.shape[1], size)), np.zeros(size), rng.uniform(-0.5, 0.5, (size, outputs)), np.zeros(outputs)]
+        @F.pandas_udf("array<double>" if self.task.kind == MULTICLASS else "double")
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(net.predict(w, np.stack(x.to_numpy()))) if len(x) else [])
 
-    def forward(z, w):
-        h = np.tanh(z @ w[0] + w[1])
-        o = h @ w[2] + w[3]
-        if task.kind == BINARY:
-            o = 1 / (1 + np.exp(-np.clip(o, -500, 500)))
-        elif task.kind == MULTICLASS:
-            e = np.exp(o - o.max(axis=1, keepdims=True))
-            o = e / e.sum(axis=1, keepdims=True)
-        return h, o
+        return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
 
-    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    for t in range(1, rounds + 1):
-        h, o = forward(x, w)
-        d = (o - target) / len(x)
-        back = (d @ w[2].T) * (1 - h * h)
-        grads = [x.T @ back + q["decay"] * w[0] / len(x), back.sum(0), h.T @ d + q["decay"] * w[2] / len(x), d.sum(0)]
-        for k, g in enumerate(grads):
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            w[k] = w[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    def state(self) -> dict:
+        return {"net": asdict(self.net), "weights": self.weights.tolist()}
 
-    def predict(z):
-        o = forward(z, w)[1]
-        return o if task.kind == MULTICLASS else o[:, 0] * scale + centre
 
-    return _array_scorer(encoding, task, predict), {"complexity": float(sum(a.size for a in w))}
+def _neural(df, task, encoding, q, seed, shared=None):
+    """One hidden layer with weight decay, on all rows."""
+    y = task.label().cast("double")
+    centre, scale = 0.0, 1.0
+    if task.kind == REGRESSION:
+        centre, scale = df.agg(F.avg(y), F.stddev_samp(y)).first()
+        if not scale:
+            raise ContractError("the outcome doesn't vary")
+    net = neural.Net(len(encoding.names), q["size"], len(task.levels) if task.kind == MULTICLASS else 1, task.kind, q["decay"], float(centre), float(scale))
+    weights, about = neural.fit(df, encoding.array(), y, net, seed)
+    notes = () if about["converged"] else ("the cap on passes was reached",)
+    return NetScorer(encoding, task, net, weights), {"complexity": float(net.size), "notes": notes} | about
 
 
 def _weights(kernel: str, d: np.ndarray, k: int) -> np.ndarray:
@@ -350,70 +408,79 @@ def _weights(kernel: str, d: np.ndarray, k: int) -> np.ndarray:
     }[kernel]()
 
 
-def _neighbors(df, task, encoding, q, seed):
-    """Exact weighted neighbours: training rows as packed blocks, each row keeps the best of every block."""
-    k = min(q["k"], max(1, df.count() - 1))
-    data = df.select(encoding.array().alias("x"), task.label().cast("double").alias("y"))
-
-    def pack(batches):
-        for pdf in batches:
-            for s in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[s : s + BLOCK]
-                yield pd.DataFrame({"xs": [np.stack(part["x"].to_numpy()).tobytes()], "ys": [part["y"].to_numpy(np.float64).tobytes()], "n": [len(part)]})
-
-    blocks = data.mapInPandas(pack, "xs binary, ys binary, n int")
-    width, order = len(encoding.names), q["distance"]
-
-    @F.pandas_udf("array<struct<d:double,y:double>>")
-    def nearest(x: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for own, a, b in zip(x, xs, ys):
-            block, y = np.frombuffer(a).reshape(-1, width), np.frombuffer(b)
-            d = (np.abs(block - np.asarray(own)) ** order).sum(axis=1) ** (1 / order)
-            best = np.argsort(d, kind="stable")[: k + 1]
-            out.append([{"d": float(d[i]), "y": float(y[i])} for i in best])
-        return pd.Series(out)
-
-    classes, kernel = len(task.levels), q["kernel"]
-
-    @F.pandas_udf("array<double>" if task.kind == MULTICLASS else "double")
-    def combine(found: pd.Series) -> pd.Series:
-        out = []
-        for rows in found:
-            near = sorted(((r["d"], r["y"]) for r in rows))[: k + 1]
-            d, y = np.array([a for a, _ in near[:k]]), np.array([b for _, b in near[:k]])
-            reach = max(near[-1][0] if len(near) > k else d.max(), 1e-12)
-            w = _weights(kernel, np.clip(d / reach, 0, 1 - 1e-6)[None, :], k)[0]
-            w = w / w.sum() if w.sum() > 0 else np.full(len(d), 1 / len(d))
-            out.append([float(w[y == c].sum()) for c in range(classes)] if task.kind == MULTICLASS else float(w @ y))
-        return pd.Series(out)
+@dataclass
+class NeighborScorer:
+    """Weighted means of the nearest rows' outcomes; equal points are looked up once."""
 
-    def score(d: DataFrame) -> DataFrame:
-        kept = [c for c in d.columns if c != "score"]
-        keyed = d.select(*[col(c) for c in kept]).withColumn("__row", F.monotonically_increasing_id())
-        parts = keyed.withColumn("__x", encoding.array()).crossJoin(F.broadcast(blocks)).withColumn("__found", nearest("__x", "xs", "ys"))
-        best = parts.groupBy("__row", *[col(c) for c in kept]).agg(F.flatten(F.collect_list("__found")).alias("__found"))
-        return best.select(*[col(c) for c in kept], combine("__found").alias("score"))
+    encoding: Encoding
+    task: Task
+    cells: cells.Cells
+    k: int
+    kernel: str
 
-    return score, {"complexity": float(data.count() / k)}
+    def lookup(self, df: DataFrame) -> DataFrame:
+        """(id, check, near, compared): what is found for each distinct point of some rows."""
+        points = df.select(*self.keys(), self.encoding.array().alias("x")).dropDuplicates(["id", "check"])
+        return cells.nearest(points, self.cells, self.k + 1)  # the next one scales the weights
+
+    def keys(self) -> list[Column]:
+        x = self.encoding.array()
+        return [F.xxhash64(x).alias("id"), F.xxhash64(F.lit(1), x).alias("check")]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        k, kernel, classes = self.k, self.kernel, len(self.task.levels) if self.task.kind == MULTICLASS else 0
+
+        @F.pandas_udf("array<double>" if classes else "double")
+        def combine(found: pd.Series) -> pd.Series:
+            out = []
+            for rows in found:
+                d, y = np.array([r["d"] for r in rows]), np.array([r["y"] for r in rows])
+                reach = max(d[k] if len(d) > k else d.max(), 1e-12)
+                d, y = d[:k], y[:k]
+                w = _weights(kernel, np.clip(d / reach, 0, 1 - 1e-6)[None, :], k)[0]
+                w = w / w.sum() if w.sum() > 0 else np.full(len(d), 1 / len(d))
+                out.append([float(w[y == c].sum()) for c in range(classes)] if classes else float(w @ y))
+            return pd.Series(out)
+
+        df = self.encoding.guard(df)
+        found = self.lookup(df).select(F.col("id").alias("__id"), F.col("check").alias("__check"), combine("near").alias("score"))
+        kept = [c for c in df.columns if c != "score"]
+        id_, check = self.keys()
+        keyed = df.select(*[col(c) for c in kept], id_.alias("__own_id"), check.alias("__own_check"))
+        joined = keyed.join(found, (F.col("__own_id") == F.col("__id")) & (F.col("__own_check") == F.col("__check")))
+        return joined.select(*[col(c) for c in kept], "score")
+
+    def state(self) -> dict:
+        return {"k": self.k, "kernel": self.kernel, "order": self.cells.order}
+
+
+def _neighbors(df, task, encoding, q, seed, shared=None):
+    """Exact weighted neighbours, found through metric cells."""
+    found = cells.build(df, encoding.array(), task.label(), q["distance"], seed)
+    n = int(found.rows.sum())
+    k = min(q["k"], max(1, n - 1))
+    return NeighborScorer(encoding, task, found, k, q["kernel"]), {"complexity": n / k, "blocks": len(found.rows)}
 
 
 _FITS = {"linear": _linear, "regularized": _regularized, "additive": _additive, "tree": _tree, "mars": _mars, "neighbors": _neighbors, "forest": _forest, "kernel": _kernel, "neural": _neural, "boosting": _boosting}
-_SCALED = ("neighbors", "kernel", "neural")
+_SCALED, _ONE_HOT = ("neighbors", "kernel", "neural"), ("neighbors", "kernel")
 
 
-def fit_learner(df: DataFrame, task: Task, family: str, parameters: dict, features: list[str], seed: int = 123, model_id: str | None = None) -> Fitted:
-    """Fit one family on prepared training rows."""
+def fit_learner(df: DataFrame, task: Task, family: str, parameters: dict, features: list[str], seed: int = 123, model_id: str | None = None, shared: dict | None = None) -> Fitted:
+    """Fit one family on prepared training rows. shared: kept between fits of the same rows and features, so that they share scans."""
     if family not in FAMILIES or task.kind not in FAMILIES[family].tasks:
         raise ContractError(f"{family} does not fit a {task.kind} task")
     parameters = check_parameters(family, parameters)
     ship(df.sparkSession)
     started = time.perf_counter()
-    encoding = learn_encoding(df, features, "one_hot" if family in _SCALED else "treatment", standardize=family in _SCALED)
-    with warnings.catch_warnings(record=True) as caught:
-        warnings.simplefilter("always")
-        scorer, details = _FITS[family](df, task, encoding, parameters, int(seed % (2**31 - 1)))
-    if not isinstance(scorer, MlScorer):  # which guards itself
+    contrast, scaled = "one_hot" if family in _ONE_HOT else "treatment", family in _SCALED
+    encoding = shared_of(shared, ("encoding", contrast, scaled), lambda: learn_encoding(df, features, contrast, standardize=scaled))
+    alone = threading.current_thread() is threading.main_thread()  # warnings belong to the process, not to one of several fits
+    with warnings.catch_warnings(record=True) if alone else contextlib.nullcontext([]) as caught:
+        if alone:
+            warnings.simplefilter("always")
+        scorer, details = _FITS[family](df, task, encoding, parameters, int(seed % (2**31 - 1)), shared)
+    if not hasattr(scorer, "encoding"):  # these guard themselves
         inner = scorer
         scorer = lambda d: inner(encoding.guard(d))
     notes = (*details.pop("notes", ()), *[str(w.message) for w in caught if issubclass(w.category, (RuntimeWarning, UserWarning))])
@@ -421,30 +488,57 @@ def fit_learner(df: DataFrame, task: Task, family: str, parameters: dict, featur
 
 
 def save_fitted(fitted: Fitted, path: str) -> None:
-    """Write a Spark ML fit to a folder: the model, and as JSON what scoring it needs."""
-    held = fitted.scorer
-    if not isinstance(held, MlScorer):
+    """Write a fit to a folder: what scoring needs as JSON, and Spark ML models, or the rows that neighbours are looked up in, beside it."""
+    held, spark = fitted.scorer, SparkSession.active()
+    kind = type(held).__name__
+    if kind not in ("MlScorer", *_RESTORED):
         raise ContractError(f"a {fitted.family} fit can't be saved")
-    held.model.write().overwrite().save(f"{path}/model")
     about = {
-        "class": f"{type(held.model).__module__}.{type(held.model).__name__}", "encoding": asdict(held.encoding), "task": asdict(fitted.task),
+        "scorer": kind, "encoding": asdict(held.encoding) if held.encoding else None, "task": asdict(fitted.task),
         "fitted": {"model_id": fitted.model_id, "family": fitted.family, "features": fitted.features, "parameters": fitted.parameters, "complexity": fitted.complexity},
     }
-    SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    if kind == "MlScorer":
+        held.model.write().overwrite().save(f"{path}/model")
+        about["class"] = f"{type(held.model).__module__}.{type(held.model).__name__}"
+    else:
+        about["state"] = held.state()
+        if kind == "NeighborScorer":
+            held.cells.blocks.write.mode("overwrite").parquet(f"{path}/rows")
+            about["state"] |= {name: getattr(held.cells, name).tolist() for name in ("pivots", "cell", "part", "rows", "low", "high")}
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
 def load_fitted(path: str) -> Fitted:
-    about = json.loads(SparkSession.active().read.schema("about string").json(f"{path}/about").first()[0])
-    module, _, name = about["class"].rpartition(".")
-    if not module.startswith("pyspark.ml."):
-        raise ContractError("not a saved fit")
-    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
-    e = about["encoding"]
-    encoding = Encoding(tuple(e["features"]), e["kinds"], {k: tuple(v) for k, v in e["levels"].items()}, e["contrast"], e["centre"], e["scale"])
-    t = about["task"]
+    spark = SparkSession.active()
+    about = json.loads(spark.read.schema("about string").json(f"{path}/about").first()[0])
+    e, t, f = about["encoding"], about["task"], about["fitted"]
+    encoding = e and Encoding(tuple(e["features"]), e["kinds"], {k: tuple(v) for k, v in e["levels"].items()}, e["contrast"], e["centre"], e["scale"])
     task = Task(t["kind"], t["target"], tuple(t["levels"]), t["positive"], tuple(t["notes"]))
-    f = about["fitted"]
-    return Fitted(f["model_id"], f["family"], task, tuple(f["features"]), MlScorer(model, encoding, task), f["parameters"], f["complexity"])
+    if about["scorer"] == "MlScorer":
+        module, _, name = about["class"].rpartition(".")
+        if not module.startswith("pyspark.ml."):
+            raise ContractError("not a saved fit")
+        scorer = MlScorer(getattr(importlib.import_module(module), name).load(f"{path}/model"), encoding, task)
+    elif about["scorer"] in _RESTORED:
+        ship(spark)
+        scorer = _RESTORED[about["scorer"]](encoding, task, about["state"], path)
+    else:
+        raise ContractError("not a saved fit")
+    return Fitted(f["model_id"], f["family"], task, tuple(f["features"]), scorer, f["parameters"], f["complexity"])
+
+
+def _restored_neighbors(encoding, task, state, path) -> NeighborScorer:
+    blocks = SparkSession.active().read.parquet(f"{path}/rows")
+    known = (np.array(state[name]) for name in ("pivots", "cell", "part", "rows", "low", "high"))
+    return NeighborScorer(encoding, task, cells.Cells(blocks, *known, state["order"]), state["k"], state["kernel"])
+
+
+#: How saved scorers come back.
+_RESTORED: dict[str, Callable] = {
+    "Formula": lambda encoding, task, state, path: Formula(state["form"], encoding, task, state["numbers"]),
+    "NetScorer": lambda encoding, task, state, path: NetScorer(encoding, task, neural.Net(**state["net"]), np.array(state["weights"])),
+    "NeighborScorer": _restored_neighbors,
+}
 
 
 def check_scores(df: DataFrame, task: Task, score: str = "score") -> None:

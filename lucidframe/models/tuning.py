@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, REGRESSION, ContractError, Task
 from lucidframe.functions.expr import clamp, col
-from lucidframe.models.fit import Fitted, check_scores, fit_learner
+from lucidframe.models.fit import Fitted, Formula, check_scores, fit_learner
+from lucidframe.models.grams import Gram, grams
 from lucidframe.models.registry import FAMILIES, check_parameters, portfolio
 from lucidframe.operators import prep, selection, split
 from lucidframe.operators.metrics import evaluate, first_argmax
+from lucidframe.shipping import ship
 
 SCHEMA_VERSION = 4
+#: Folds that are worked on at once.
+POOL = 4
+#: What a configuration may fail with on its data; anything else is a fault of the program and ends the search.
+FAILURES = (ValueError, ArithmeticError, np.linalg.LinAlgError, PySparkException, Py4JError)
 
 
 @dataclass(frozen=True)
@@ -127,12 +137,21 @@ def search_plan(budget: int, n: int, p: int, task: Task, learners: Sequence[str]
 
 @dataclass
 class Fold:
+    """shared: what fits on its training rows have in common; held: the Gram matrix of its validation rows, if one scan served all folds."""
+
     number: int
     training: DataFrame
     validation: DataFrame
     features: list[str]
     rows: int
     omitted: int
+    recipe: prep.Recipe | None = None
+    shared: dict = field(default_factory=dict)
+    held: Gram | None = None
+
+    def release(self) -> None:
+        self.training.unpersist()
+        self.validation.unpersist()
 
 
 def prepare_fold(df: DataFrame, task: Task, row_id: str, number: int, options: dict) -> Fold:
@@ -150,7 +169,28 @@ def prepare_fold(df: DataFrame, task: Task, row_id: str, number: int, options: d
     ready, held = recipe.apply(training, keep=(row_id,)).persist(), recipe.apply(validation, keep=(row_id,)).persist()
     prep.check_finite(ready.drop(row_id), task.target)
     rows = held.count()
-    return Fold(number, ready, held, [c for c in recipe.columns if c != task.target], rows, before - rows)
+    return Fold(number, ready, held, [c for c in recipe.columns if c != task.target], rows, before - rows, recipe)
+
+
+def share_grams(dealt: DataFrame, folds: list[Fold], task: Task) -> None:
+    """One scan for the Gram matrices of all folds, if their recipes and encodings agree: training on all but one is a subtraction.
+
+    Where they don't agree, as with imputed medians that differ, every fold makes its own on its first linear fit.
+    """
+    recipe, features = folds[0].recipe, folds[0].features
+    # With equal levels no row of a fold is new to another, so what new levels would turn into doesn't matter.
+    if any(replace(f.recipe, fallback={}) != replace(recipe, fallback={}) or f.features != features for f in folds):
+        return
+    encodings = [prep.learn_encoding(f.training, features, "treatment") for f in folds]
+    if any(e != encodings[0] for e in encodings):
+        return
+    rows = recipe.apply(dealt, keep=("fold",))
+    found = grams(rows, encodings[0].array(), task.label(), F.col("fold"))
+    total = reduce(Gram.__add__, found.values())
+    for f in folds:
+        f.held = found[f.number]
+        f.shared[("encoding", "treatment", False)] = encodings[0]
+        f.shared[("gram", "treatment")] = total - f.held
 
 
 def oof_rows(scored: DataFrame, task: Task, configuration: str, fold: int, row_id: str) -> DataFrame:
@@ -190,40 +230,60 @@ class TuningRecord:
 
 def _fold_score(fold: Fold, task: Task, c: dict, metric: str, row_id: str) -> tuple[float, DataFrame]:
     q = effective_parameters(c["family"], c["parameters"], fold.rows, len(fold.features))
-    model = fit_learner(fold.training, task, c["family"], q, fold.features, configuration_seed(c["seed"], c["family"], q))
+    model = fit_learner(fold.training, task, c["family"], q, fold.features, configuration_seed(c["seed"], c["family"], q), shared=fold.shared)
     scored = model.score(fold.validation).withColumn("y", task.label().cast("double" if task.kind == REGRESSION else "int"))
-    check_scores(scored, task)
-    value = evaluate(scored, task).first()[metric]
-    if value is None or value != value:
+    if fold.held is not None and metric == "rmse" and isinstance(model.scorer, Formula) and model.scorer.form == "linear":
+        numbers = model.scorer.numbers
+        value = (fold.held.squared_error(numbers["intercept"], np.array(numbers["coefficients"])) / fold.held.n) ** 0.5
+    else:
+        check_scores(scored, task)
+        value = evaluate(scored, task).first()[metric]
+    if value is None or not np.isfinite(value):
         raise ContractError("the fold has no finite score")
     return float(value), oof_rows(scored, task, c["configuration_id"], fold.number, row_id)
 
 
+def _fold_scores(fold: Fold, task: Task, plan: list[dict], metric: str, row_id: str, policy: str) -> list[tuple[dict, DataFrame | None]]:
+    """Every configuration on one fold, in the order of the plan."""
+    out = []
+    for c in plan:
+        row, evidence = {"configuration_id": c["configuration_id"], "fold": fold.number, "rows": fold.rows, "score": None, "error": ""}, None
+        try:
+            row["score"], evidence = _fold_score(fold, task, c, metric, row_id)
+        except FAILURES as e:
+            if policy == "raise":
+                raise
+            row["error"] = str(e)[:500]
+        out.append((row, evidence))
+    return out
+
+
 def tune(df: DataFrame, task: Task, row_id: str, learners: Sequence[str], budget: int, *, folds: int = 5, rule: str = "one_se", seed: int = 123, control: TuningControl | None = None, options: dict | None = None) -> TuningRecord:
-    """Score every configuration of the plan on every fold of the raw training rows and select one."""
+    """Score every configuration of the plan on every fold of the raw training rows and select one. POOL folds are worked on at once."""
     control, options = control or TuningControl(), options or {}
     if rule not in ("one_se", "best"):
         raise ContractError("the rule must be one_se or best")
     metric = tuning_metric(task, control.metric)
+    ship(df.sparkSession)
     stratum = task.target if task.kind != REGRESSION else None
     dealt = split.supplied_folds(df, control.fold_column, row_id, stratum).drop(control.fold_column) if control.fold_column else split.folds(df, row_id, folds, seed, stratum)
-    dealt = dealt.persist()
-    numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())
-    prepared = [prepare_fold(dealt, task, row_id, k, options) for k in numbers]
-    n, p = dealt.count(), max(len(f.features) for f in prepared)
-    plan = search_plan(sum(control.family_budgets.values()) if control.family_budgets else budget, n, p, task, learners, seed, control.grids, control.family_budgets)
-    scores, oof = [], []
-    for c in plan:
-        for fold in prepared:
-            row = {"configuration_id": c["configuration_id"], "fold": fold.number, "rows": fold.rows, "score": None, "error": ""}
-            try:
-                row["score"], evidence = _fold_score(fold, task, c, metric, row_id)
-                oof.append(evidence)
-            except Exception as e:
-                if control.failure_policy == "raise":
-                    raise
-                row["error"] = str(e)[:500]
-            scores.append(row)
+    dealt, prepared = dealt.persist(), []
+    try:
+        numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())
+        for k in numbers:
+            prepared.append(prepare_fold(dealt, task, row_id, k, options))
+        n, p = dealt.count(), max(len(f.features) for f in prepared)
+        plan = search_plan(sum(control.family_budgets.values()) if control.family_budgets else budget, n, p, task, learners, seed, control.grids, control.family_budgets)
+        if task.kind == REGRESSION and {"linear", "regularized"} & {c["family"] for c in plan}:
+            share_grams(dealt, prepared, task)
+        with ThreadPoolExecutor(POOL) as pool:
+            by_fold = list(pool.map(lambda f: _fold_scores(f, task, plan, metric, row_id, control.failure_policy), prepared))
+    finally:
+        for f in prepared:
+            f.release()
+        dealt.unpersist()
+    each = [by_fold[k][i] for i in range(len(plan)) for k in range(len(prepared))]
+    scores, oof = [row for row, _ in each], [rows for _, rows in each if rows is not None]
     found = _summaries(df, scores, metric)
     candidates = [c | found[c["configuration_id"]] for c in plan]
     usable = [c for c in candidates if c["cv_score"] is not None]
@@ -235,6 +295,23 @@ def tune(df: DataFrame, task: Task, row_id: str, learners: Sequence[str], budget
     return TuningRecord(plan, candidates, scores, rows, metric, rule, best["configuration_id"], len(numbers), omissions)
 
 
+def paired_oof(record: TuningRecord, a: str, b: str) -> DataFrame:
+    """The out-of-fold rows of two configurations side by side, joined by fold and row; unequal sets of rows are an error."""
+    if record.oof is None:
+        raise ContractError("out-of-fold rows weren't retained")
+    unknown = {a, b} - {c["configuration_id"] for c in record.plan}
+    if unknown:
+        raise ContractError(f"not searched: {', '.join(sorted(unknown))}")
+    key, values = ["fold", "row_id"], ["truth", "estimate", "class", "p_truth", "loss"]
+    left, right = (record.oof.where(F.col("configuration_id") == c).select(*key, *[F.col(v).alias(f"{v}_{side}") for v in values]) for c, side in ((a, "a"), (b, "b")))
+    both = left.join(right, key, "full")
+    truth = F.col("truth_a").eqNullSafe(F.col("truth_b")) & F.col("loss_a").isNotNull() & F.col("loss_b").isNotNull()
+    wrong, rows, distinct = both.agg(F.count(F.when(~truth, 1)), F.count(F.lit(1)), F.count_distinct("fold", "row_id")).first()
+    if wrong or rows != distinct:
+        raise ContractError(f"{a} and {b} weren't scored on the same rows of the same folds")
+    return both.drop("truth_b").withColumnRenamed("truth_a", "truth").withColumn("loss_difference", F.col("loss_a") - F.col("loss_b"))
+
+
 def _summaries(df: DataFrame, scores: list[dict], metric: str) -> dict[str, dict]:
     rows = df.sparkSession.createDataFrame([(s["configuration_id"], s["fold"], s["score"], s["rows"]) for s in scores], "configuration_id string, fold int, score double, rows long")
     return {r["configuration_id"]: {"cv_score": r["cv_score"], "cv_sd": r["cv_sd"], "cv_se": r["cv_se"]} for r in selection.fold_uncertainty(rows, metric).collect()}
@@ -252,7 +329,7 @@ def refit(record: TuningRecord, training: DataFrame, task: Task, features: list[
             model = fitter(training, task, c["family"], q, features, configuration_seed(c["seed"], c["family"], q), "main_model" if role == "primary" else f"{c['family']}_model")
             attempts.append({"configuration_id": c["configuration_id"], "role": role, "status": "ok", "error": ""})
             return model
-        except Exception as e:
+        except FAILURES as e:
             attempts.append({"configuration_id": c["configuration_id"], "role": role, "status": "failed", "error": str(e)[:500]})
             return None
 

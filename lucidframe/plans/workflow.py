@@ -196,6 +196,8 @@ def guided_fit(
         raise ContractError("model_set must be quick, comparison or tuned")
     if control is not None and model_set != "tuned":
         raise ContractError("a tuning control needs the tuned model set")
+    if control is not None and control.family_budgets and max_models is not None:
+        raise ContractError("family budgets and a number of models exclude each other")
     labels = None
     if control is not None and control.fold_column:
         if test is None:

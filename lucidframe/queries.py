@@ -6,16 +6,19 @@ Scores are fixed expressions, so that any engine can replay them; doubles are ro
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
 from lucidframe.functions.expr import col, hash_key, rounded
 from lucidframe.functions.stats import t_quantile
-from lucidframe.models import fit, registry, tuning
+from lucidframe.models import fit, grams, neural, registry, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
 from lucidframe.plans import workflow
+from lucidframe.shipping import ship
 from lucidframe.sources.tables import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,10 +334,11 @@ def prediction_pairs(spark, folder):
 
 
 @query("pareto", """
-WITH m(model_id, rmse, complexity) AS (VALUES ('a', 1.0, 9.0), ('b', 2.0, 4.0), ('c', 1.0, 9.0), ('d', 2.5, 5.0), ('e', 3.0, 1.0))
-SELECT model_id, CAST(rmse AS DOUBLE) AS rmse, CAST(complexity AS DOUBLE) AS complexity, NOT EXISTS (SELECT 1 FROM m q WHERE q.rmse <= m.rmse AND q.complexity <= m.complexity AND (q.rmse < m.rmse OR q.complexity < m.complexity)) AS pareto FROM m""")
+WITH m AS (SELECT c_mktsegment AS model_id, avg(c_acctbal) AS rmse, CAST(count(DISTINCT c_nationkey) * 10 + count(*) % 7 AS DOUBLE) AS complexity FROM customer GROUP BY 1)
+SELECT model_id, round(rmse, 6) AS rmse, complexity, NOT EXISTS (SELECT 1 FROM m q WHERE q.rmse <= m.rmse AND q.complexity <= m.complexity AND (q.rmse < m.rmse OR q.complexity < m.complexity)) AS pareto FROM m""")
 def pareto(spark, folder):
-    rows = spark.createDataFrame([("a", 1.0, 9.0), ("b", 2.0, 4.0), ("c", 1.0, 9.0), ("d", 2.5, 5.0), ("e", 3.0, 1.0)], "model_id string, rmse double, complexity double")
+    size = (F.count_distinct("c_nationkey") * 10 + F.count(F.lit(1)) % 7).cast("double")
+    rows = dataset(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("model_id")).agg(F.avg("c_acctbal").alias("rmse"), size.alias("complexity"))
     return diagnostics.pareto_frame(rows, "rmse", "complexity")
 
 
@@ -479,17 +483,18 @@ def ale(spark, folder):
     return explain.ale(lines(spark, folder), explain.expression_scorer(curve), REG, "l_quantity", points=5).frame
 
 
-CURVES = [("a", 0, 1.0, 2.0, 1.0), ("a", 1, 2.0, 3.0, 0.8), ("a", 2, 3.0, 5.0, 0.5), ("a", 3, 4.0, 4.0, 0.05), ("b", 0, 1.0, 1.0, 1.0), ("b", 1, 2.0, 2.5, 0.8), ("b", 2, 3.0, 2.0, 0.5), ("b", 3, 4.0, 9.0, 0.05)]
-
-
-@query("effect_pairs", f"""
-WITH c(model_id, grid_index, value, effect, support) AS (VALUES {', '.join(map(str, CURVES))}),
-  p AS (SELECT a.value::DOUBLE AS value, a.effect::DOUBLE AS ea, b.effect::DOUBLE AS eb FROM c a JOIN c b ON a.grid_index = b.grid_index AND a.model_id = 'a' AND b.model_id = 'b' WHERE a.support >= 0.1 AND b.support >= 0.1),
+@query("effect_pairs", """
+WITH g AS (SELECT l_linestatus AS model_id, CAST(floor(l_quantity / 5) AS INT) AS grid_index, avg(l_extendedprice / 1000.0) AS effect, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  c AS (SELECT *, grid_index * 5.0::DOUBLE AS value, n / max(n) OVER (PARTITION BY model_id)::DOUBLE AS support FROM g),
+  p AS (SELECT a.value, a.effect AS ea, b.effect AS eb FROM c a JOIN c b ON a.grid_index = b.grid_index AND a.model_id = 'F' AND b.model_id = 'O' WHERE a.support >= 0.1 AND b.support >= 0.1),
   d AS (SELECT *, ea - avg(ea) OVER () - eb + avg(eb) OVER () AS shape, ea - lag(ea) OVER (ORDER BY value) AS da, eb - lag(eb) OVER (ORDER BY value) AS db, rank() OVER (ORDER BY ea) AS ra, rank() OVER (ORDER BY eb) AS rb FROM p)
-SELECT 'a' AS model_a, 'b' AS model_b, count(*) AS n_overlap, round(avg(abs(ea - eb)), 6) AS mean_absolute_level_gap, round(sqrt(avg(shape * shape)), 6) AS centered_shape_rmse, round(max(abs(ea - eb)), 6) AS max_absolute_gap,
+SELECT 'F' AS model_a, 'O' AS model_b, count(*) AS n_overlap, round(avg(abs(ea - eb)), 6) AS mean_absolute_level_gap, round(sqrt(avg(shape * shape)), 6) AS centered_shape_rmse, round(max(abs(ea - eb)), 6) AS max_absolute_gap,
   round(corr(ra, rb), 6) AS effect_rank_correlation, round(avg(CASE WHEN da IS NOT NULL THEN CAST(sign(da) = sign(db) AS DOUBLE) END), 6) AS direction_agreement FROM d""")
 def effect_pairs(spark, folder):
-    return compare.effect_pairs(spark.createDataFrame(CURVES, "model_id string, grid_index int, value double, effect double, support double"))
+    place = F.floor(F.col("l_quantity") / 5).cast("int")
+    rows = dataset(spark, folder, "lineitem").groupBy(F.col("l_linestatus").alias("model_id"), place.alias("grid_index")).agg(F.avg(F.col("l_extendedprice") / 1000.0).alias("effect"), F.count(F.lit(1)).alias("n"))
+    most = F.max("n").over(Window.partitionBy("model_id"))
+    return compare.effect_pairs(rows.select("model_id", "grid_index", (F.col("grid_index") * 5.0).alias("value"), "effect", (F.col("n") / most).alias("support")))
 
 
 @query("rank_agreement", f"""
@@ -501,41 +506,44 @@ def rank_agreement(spark, folder):
 
 # Tuning statistics
 
-FOLDS = [("a", 1, 1.0, 90), ("a", 2, 3.0, 10), ("b", 1, 2.0, 50), ("b", 2, 2.5, 50), ("c", 1, 1.5, 90), ("c", 2, None, 10)]
-
-
-@query("fold_uncertainty", f"""
-WITH s(configuration_id, fold, score, rows) AS (VALUES {', '.join(str(f).replace('None', 'NULL') for f in FOLDS)}),
+@query("fold_uncertainty", """
+WITH s AS (SELECT o_orderstatus AS configuration_id, month(o_orderdate) AS fold, CASE WHEN o_orderstatus <> 'P' OR month(o_orderdate) < 12 THEN stddev_pop(o_totalprice / 1000) END AS score, count(*) AS rows FROM orders GROUP BY 1, 2),
   w AS (SELECT *, rows / sum(rows) OVER (PARTITION BY configuration_id)::DOUBLE AS w FROM s),
   m AS (SELECT configuration_id, count(*) AS folds, count(score) AS scored, sum(w * score * score)::DOUBLE AS m, sum(w * w) AS ww FROM w GROUP BY 1),
   v AS (SELECT m.configuration_id, any_value(folds) AS folds, any_value(scored) AS scored, any_value(m) AS m, any_value(ww) AS ww, sum(w * (score * score - m) * (score * score - m)) / (1 - any_value(ww)) AS v FROM m JOIN w ON m.configuration_id = w.configuration_id GROUP BY 1)
 SELECT configuration_id, folds, round(CASE WHEN folds = scored THEN sqrt(m) END, 6) AS cv_score, round(CASE WHEN folds = scored THEN sqrt(v) / (2 * sqrt(m)) END, 6) AS cv_sd, round(CASE WHEN folds = scored THEN sqrt(v) * sqrt(ww) / (2 * sqrt(m)) END, 6) AS cv_se FROM v""")
 def fold_uncertainty(spark, folder):
-    return selection.fold_uncertainty(spark.createDataFrame(FOLDS, "configuration_id string, fold int, score double, rows long"), "rmse")
+    rows = dataset(spark, folder, "orders").groupBy(F.col("o_orderstatus").alias("configuration_id"), F.month("o_orderdate").alias("fold")).agg(F.stddev_pop(F.col("o_totalprice") / 1000).alias("score"), F.count(F.lit(1)).alias("rows"))
+    failed = (F.col("configuration_id") == "P") & (F.col("fold") == 12)
+    return selection.fold_uncertainty(rows.withColumn("score", F.when(~failed, F.col("score"))), "rmse")
 
 
-CANDIDATES = [("a_simple", "a", 1, 2.0, 1.05, 0.1, 0), ("a_complex", "a", 1, 9.0, 1.0, 0.1, 1), ("b_one", "b", 4, 1.0, 0.99, 0.1, 2), ("c_far", "c", 1, 1.0, 1.5, 0.1, 3)]
+CANDIDATES_SQL = """g AS (SELECT o_orderstatus || ' ' || o_orderpriority AS configuration_id, o_orderstatus AS family, count(*) AS n, stddev_pop(o_totalprice / 1000) AS cv_score FROM orders GROUP BY 1, 2),
+  c AS (SELECT *, ascii(family) AS simplicity_rank, n::DOUBLE AS complexity_proxy, cv_score / sqrt(n) AS cv_se, row_number() OVER (ORDER BY configuration_id) AS plan_order FROM g)"""
 
 
 @query("one_se_select", f"""
-WITH c(configuration_id, family, simplicity_rank, complexity_proxy, cv_score, cv_se, plan_order) AS (VALUES {', '.join(map(str, CANDIDATES))}),
+WITH {CANDIDATES_SQL},
   b AS (SELECT cv_score + cv_se AS l FROM c ORDER BY cv_score, plan_order LIMIT 1), e AS (SELECT * FROM c, b WHERE cv_score <= l),
   s AS (SELECT * FROM e WHERE simplicity_rank = (SELECT min(simplicity_rank) FROM e)), f AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY complexity_proxy, cv_score, configuration_id) AS r FROM s)
-SELECT configuration_id, family, CAST(cv_score AS DOUBLE) AS cv_score FROM f WHERE r = 1 ORDER BY cv_score, family, configuration_id LIMIT 1""")
+SELECT configuration_id, family, round(cv_score, 6) AS cv_score FROM f WHERE r = 1 ORDER BY cv_score, family, configuration_id LIMIT 1""")
 def one_se_select(spark, folder):
-    rows = spark.createDataFrame(CANDIDATES, "configuration_id string, family string, simplicity_rank int, complexity_proxy double, cv_score double, cv_se double, plan_order int")
+    rows = dataset(spark, folder, "orders").groupBy(F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("configuration_id"), F.col("o_orderstatus").alias("family"))
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col("o_totalprice") / 1000).alias("cv_score"))
+    order = F.row_number().over(Window.orderBy("configuration_id"))  # of a row for each configuration
+    rows = rows.select("*", F.ascii("family").alias("simplicity_rank"), F.col("n").cast("double").alias("complexity_proxy"), (F.col("cv_score") / F.sqrt("n")).alias("cv_se"), order.alias("plan_order"))
     return selection.select_one_se(rows).select("configuration_id", "family", "cv_score")
 
 
 # More of preparation, partitions and selection, over whole tables
 
 
-@query("identifiers", """
-SELECT * FROM (VALUES ('event_id', true), ('user_id', true), ('event_type', false), ('value', false), ('props', false)) AS t(name, removed)""")
+@query("identifiers", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, {gone} AS removed, count(DISTINCT {c}) AS levels FROM events" for c, gone in (("event_id", "true"), ("user_id", "true"), ("event_type", "false"), ("value", "false"))) + ")")
 def identifiers(spark, folder):
-    rows = dataset(spark, folder, "events").drop("ts")
+    rows = dataset(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
     gone = prep.id_columns(rows, "target")
-    return spark.createDataFrame([(c, c in gone) for c in rows.columns], "name string, removed boolean")
+    counts = rows.agg(*[F.count_distinct(c).alias(c) for c in rows.columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in gone).alias("removed"), F.col(c).alias("levels")) for c in rows.columns])))
 
 
 @query("drop_missing_rows", f"""
@@ -720,3 +728,92 @@ def tuned_core(spark, folder):
     record = tuning.tune(rows, TOXIC, "row_id", registry.portfolio("core", TOXIC.kind), registry.BUDGETS["core"], options={"missing": "impute", "novel": "mode"})
     found = [(c["configuration_id"], c["family"], c["cv_score"], c["cv_se"], c["configuration_id"] == record.selected) for c in record.candidates]
     return spark.createDataFrame(found, "configuration_id string, family string, cv_score double, cv_se double, selected boolean")
+
+
+# Learners by their parts, which SQL can replay
+
+
+@query("cv_linear", """
+WITH x AS (SELECT l_orderkey % 5 AS fold, l_extendedprice / 1000.0 AS y, l_quantity AS q FROM lineitem), f AS (SELECT DISTINCT fold FROM x),
+  t AS (SELECT f.fold, regr_slope(y, q) AS b, regr_intercept(y, q) AS a FROM x JOIN f ON x.fold <> f.fold GROUP BY f.fold)
+SELECT CAST(x.fold AS INT) AS fold, count(*) AS rows, round(any_value(a), 6) AS intercept, round(any_value(b), 6) AS slope, round(sqrt(avg((a + b * q - y) * (a + b * q - y))), 6) AS rmse FROM x JOIN t ON x.fold = t.fold GROUP BY x.fold""")
+def cv_linear(spark, folder):
+    rows = dataset(spark, folder, "lineitem")
+    found = grams.grams(rows, F.array(F.col("l_quantity").cast("double")), F.col("l_extendedprice") / 1000.0, (F.col("l_orderkey") % 5).cast("int"))
+    total, out = reduce(grams.Gram.__add__, found.values()), []
+    for fold, held in found.items():
+        intercept, beta = grams.least_squares(total - held)
+        out.append((fold, int(held.n), intercept, float(beta[0]), (held.squared_error(intercept, beta) / held.n) ** 0.5))
+    return spark.createDataFrame(out, "fold int, rows long, intercept double, slope double, rmse double")
+
+
+@query("penalty_path", """
+WITH x AS (SELECT l_quantity AS q, l_extendedprice / 1000.0 AS y FROM lineitem), m AS (SELECT avg(q) AS mq, avg(y) AS my, stddev_pop(q) AS s, covar_pop(q, y) / stddev_pop(q) AS c FROM x),
+  p AS (SELECT i AS step, abs(c) / 0.5::DOUBLE * power(0.001, i / 79.0::DOUBLE) AS penalty, mq, my, s, c FROM m, range(80) t(i)),
+  b AS (SELECT *, sign(c) * greatest(abs(c) - 0.5 * penalty, 0) / (1 + 0.5 * penalty) / s AS slope FROM p)
+SELECT CAST(step AS INT) AS step, round(penalty, 6) AS penalty, round(my - slope * mq, 6) AS intercept, round(slope, 6) + 0.0::DOUBLE AS slope FROM b""")
+def penalty_path(spark, folder):
+    gram = grams.grams(dataset(spark, folder, "lineitem"), F.array(F.col("l_quantity").cast("double")), F.col("l_extendedprice") / 1000.0)[0]
+    rows = [(i, penalty, intercept, float(beta[0])) for i, (penalty, intercept, beta) in enumerate(grams.elastic_net_path(gram, 0.5))]
+    return spark.createDataFrame(rows, "step int, penalty double, intercept double, slope double")
+
+
+@query("penalty_ends", """
+WITH x AS (SELECT l_quantity AS q, l_discount AS d, l_extendedprice / 1000.0 AS y FROM lineitem),
+  m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(y) AS my, var_pop(q) AS qq, var_pop(d) AS dd, covar_pop(q, d) AS qd, covar_pop(q, y) AS qy, covar_pop(d, y) AS dy FROM x),
+  b AS (SELECT *, (qy * dd - dy * qd) / (qq * dd - qd * qd) AS bq, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS bd FROM m)
+SELECT 'all zero' AS side, round(greatest(abs(qy) / sqrt(qq), abs(dy) / sqrt(dd)) / 0.5, 6) AS penalty, round(my, 6) AS intercept, 0.0::DOUBLE AS quantity, 0.0::DOUBLE AS discount FROM m
+UNION ALL SELECT 'none', 0.0::DOUBLE, round(my - bq * mq - bd * md, 6), round(bq, 6), round(bd, 6) FROM b""")
+def penalty_ends(spark, folder):
+    gram = grams.grams(dataset(spark, folder, "lineitem"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")), F.col("l_extendedprice") / 1000.0)[0]
+    ends = (("all zero", grams.elastic_net_path(gram, 0.5)[0]), ("none", grams.elastic_net_path(gram, 0.5, [0.0])[0]))
+    return spark.createDataFrame([(side, float(p), a, float(b[0]), float(b[1])) for side, (p, a, b) in ends], "side string, penalty double, intercept double, quantity double, discount double")
+
+
+#: Weights of a network of two inputs and two hidden units: biases and inputs of the hidden layer, then bias and weights of the output.
+NET = (0.1, -0.2, 0.5, 0.3, -0.4, 0.7, 0.05, 0.9, -0.6)
+
+
+@query("network_gradient", f"""
+WITH x AS (SELECT l_quantity / 50.0 AS q, l_discount * 10.0 AS d, l_extendedprice / 100000.0 AS t FROM lineitem),
+  h AS (SELECT *, 1 / (1 + exp(-({NET[0]} + {NET[2]} * q + {NET[4]} * d))) AS a, 1 / (1 + exp(-({NET[1]} + {NET[3]} * q + {NET[5]} * d))) AS b FROM x),
+  o AS (SELECT *, {NET[6]} + {NET[7]} * a + {NET[8]} * b - t AS e FROM h), g AS (SELECT *, 2 * e AS f, 2 * e * {NET[7]} * a * (1 - a) AS ga, 2 * e * {NET[8]} * b * (1 - b) AS gb FROM o),
+  s AS (SELECT [avg(e * e), avg(ga), avg(gb), avg(ga * q), avg(gb * q), avg(ga * d), avg(gb * d), avg(f), avg(f * a), avg(f * b)] AS v FROM g)
+SELECT CAST(i AS INT) AS place, round(v[i + 1], 6) AS value FROM s, range(10) t(i)""")
+def network_gradient(spark, folder):
+    rows = dataset(spark, folder, "lineitem")
+    x, y = F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0), F.col("l_extendedprice") / 100000.0
+    packed, n = neural.blocks(rows, x, y), rows.count()
+    ship(spark)
+    found = neural.evaluate(packed, neural.Net(2, 2, 1, REGRESSION, 0.0), np.array(NET)) / n
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "place int, value double")
+
+
+@query("nearest_parts", f"""
+WITH x AS (SELECT p_partkey, p_size AS y, CAST(p_retailprice AS DOUBLE) AS a, CAST(p_partkey % 977 AS DOUBLE) AS b, {EARLY.format('p_partkey')} AS training FROM part),
+  m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM x WHERE training),
+  z AS (SELECT p_partkey, y, training, (a - ma) / sa AS a, (b - mb) / sb AS b FROM x, m),
+  d AS (SELECT q.p_partkey, t.y, row_number() OVER (PARTITION BY q.p_partkey ORDER BY round(sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b)), 10), t.y) AS r FROM z q, z t WHERE t.training AND NOT q.training)
+SELECT p_partkey, round(avg(y), 6) AS score FROM d WHERE r <= 5 GROUP BY p_partkey""")
+def nearest_parts(spark, folder):
+    rows = dataset(spark, folder, "part").select("p_partkey", F.col("p_size").alias("y"), F.col("p_retailprice").cast("double").alias("a"), (F.col("p_partkey") % 977).cast("double").alias("b"))
+    model = fit.fit_learner(rows.where(early("p_partkey")), REG, "neighbors", {"k": 5, "distance": 2.0, "kernel": "rectangular"}, ["a", "b"])
+    return model.score(rows.where(~early("p_partkey"))).select("p_partkey", "score")
+
+
+@query("fit_additive")
+def fit_additive(spark, folder):
+    rows = lines(spark, folder)
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "additive", registry.FAMILIES["additive"].grid(0, 3, REGRESSION, 2)[0], ["l_quantity", "l_discount", "l_tax", "l_returnflag"])
+
+
+@query("fit_mars")
+def fit_mars(spark, folder):
+    rows = lines(spark, folder)
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "mars", {"degree": 2, "nprune": 6}, ["l_quantity", "l_discount", "l_tax", "l_returnflag"])
+
+
+@query("fit_neural")
+def fit_neural(spark, folder):
+    rows = scored_docs(spark, folder).drop("score").withColumn("toxic", F.col("y").cast("string"))
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), TOXIC, "neural", {"size": 2, "decay": 0.03}, ["n_chars", "lang"])

@@ -1,8 +1,9 @@
 """Main text of web pages: markup as evidence of a page's parts, and a suffix array over each host for what it repeats.
 
-A page is read into blocks with a zone: `chrome` (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, by element or role, or by a class or id all of whose words say so), `article` (inside article, main or their
-role) or `plain`. Scripts, styles, heads and hidden parts are no text at all. Candidates for the main text are the article blocks
+A page is read into blocks with a zone: `chrome` (menus, headers, footers, notices, adverts, reader comments, by element or role, or by a
+class or id all of whose words say so), `frame` (forms, and parts called sidebar, widget or share: chrome, but they may stand round
+the whole page, so an article or main inside leaves them, and where a page has no other text they are plain), `article` (inside
+article, main or their role; main leaves all chrome) or `plain`. Scripts, styles, heads and hidden parts are no text at all. Candidates for the main text are the article blocks
 of a page that names its article, and the plain blocks of any other, of which article blocks that hold less than
 `TEASER` of the article and plain text are part.
 
@@ -22,7 +23,8 @@ sorted. If few pages lose anything, what they lose is broadcast and no html is s
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
-parent, an unclosed head with the first thing that can't stand in one; an unclosed tag, comment or script at the end of a cut-off page runs to its end. Whole pages are read, however
+parent, an unclosed head with the first thing that can't stand in one; an unclosed comment or script, or a tag with nothing but attributes, at the end of a cut-off page runs to its end,
+any other < that opens no tag is text; quotes in a tag only enclose a value behind =. Whole pages are read, however
 long. Only the three columns named are read.
 """
 
@@ -65,22 +67,29 @@ CHROME_NAMES = frozenset(
     "pagination pager toolbar header skip".split()
 )
 #: Words beside them that say nothing of what a part holds.
-NEUTRAL_NAMES = frozenset("area articles bar block bottom box button buttons column container form group inner item items left links list outer posts right section sections site slot stories top wrap wrapper".split())
+NEUTRAL_NAMES = frozenset("area articles bar block bottom box button buttons column container form group inner item items left links list outer posts right section sections site slot stories this top user users wrap wrapper".split())
+#: Parts by readers, whatever the label's other words; and what only lays a page out, so that an article inside is none the less one.
+READERS = frozenset("comments commentlist disqus".split())
+LAYOUT = frozenset("form fieldset".split())
+LAYOUT_NAMES = frozenset("sidebar sidebars widget widgets share sharing social".split())
 #: A new one of these ends an open one with the same parent.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table".split())
 #: What can stand in a head; anything else ends an open one.
 HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|(?P<other>[!?/])[^>]*+>)""")
+# A quoted value only stands behind =, as in browsers; any other quote is a character like others.
+_TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|(?P<other>[!?/])[^>]*+>)""")
+_COMMENT = re.compile(r"-?>|.*?--!?>", re.S)
+#: A tag that the end of a page cuts off: a name, then attributes.
+_CUT = re.compile(r"""<[/!?]?[a-zA-Z!?-]?[^\s<>"'=]*(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<]*))*\s*\Z""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z0-9]+")
-_OPEN = re.compile(r"<[a-zA-Z/!?]")
 
 
 def _zone(name: str, rest: str, outer: str) -> str:
-    """The zone that an element opens inside another; '' is no text."""
-    if outer in ("", "chrome"):
+    """The zone that an element opens inside another; '' is no text, `frame` is chrome that may only lay out what it encloses."""
+    if outer == "" or outer == "chrome" and name != "main" and "main" not in rest.lower() and name not in SKIPPED:
         return outer
     if name in SKIPPED:
         return ""
@@ -89,14 +98,23 @@ def _zone(name: str, rest: str, outer: str) -> str:
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return ""
     role = attrs.get("role", "").lower().strip()
-    if name in CHROME or role in CHROME_ROLES:
-        return "chrome"
+    main = name == "main" or role == "main"
     article = name in ARTICLE or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
-    if name not in ("html", "body") and not (article and outer == "plain" and name == "main"):
+    if outer == "chrome":
+        return "article" if main else outer
+    if outer == "frame" and not article:
+        return "chrome" if name in CHROME - LAYOUT or role in CHROME_ROLES else outer
+    if name in CHROME - LAYOUT or role in CHROME_ROLES - {"form"}:
+        return "chrome"
+    if name not in ("html", "body") and not (article and outer in ("plain", "frame") and name == "main"):
         for label in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
             words = [w for w in _NAME.findall(label) if not w.isdigit()]
-            if CHROME_NAMES.intersection(words) and CHROME_NAMES.union(NEUTRAL_NAMES).issuperset(words):
+            if READERS.intersection(words) and len(words) <= 3:
                 return "chrome"
+            if CHROME_NAMES.intersection(words) and CHROME_NAMES.union(NEUTRAL_NAMES).issuperset(words):
+                return "frame" if LAYOUT_NAMES.issuperset(CHROME_NAMES.intersection(words)) else "chrome"
+    if name in LAYOUT or role == "form":
+        return "frame"
     return "article" if article else outer
 
 
@@ -106,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     parts: list[str] = []
     stack: list[tuple[str, str]] = [("", "plain")]
     open_: dict[str, int] = {}  # how many of each element the stack holds
-    at, zone = 0, "plain"
+    at, zone, ends = 0, "plain", page.rfind(">")  # no tag is whole behind the last >
 
     def cut(k: int) -> None:
         for name, _ in stack[k:]:
@@ -131,9 +149,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
             parts.append(page[at:lt])
         if lt == len(page):
             break
-        m = _TAG.match(page, lt)
+        m = _TAG.match(page, lt) if lt < ends else None
         if m is None:
-            if _OPEN.match(page, lt):
+            if _CUT.match(page, lt):
                 break  # a tag that is cut off
             if zone:
                 parts.append("<")
@@ -141,8 +159,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         at = m.end()
         if m["comment"] is not None:
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
+            end = _COMMENT.match(page, at)
+            at = len(page) if end is None else end.end()
             continue
         if m["name"] is None:
             continue
@@ -195,6 +213,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
 def candidates(found: list[tuple[str, str]]) -> tuple[bool, list[list[str]]]:
     """Whether a page names its article, and the words of the blocks that may be its main text."""
     named, plain = (sum(len(t) for z, t in found if z == zone) for zone in ("article", "plain"))
+    if not named and not plain:  # all of the page stands in a form or a layout's part
+        found = [("plain" if z == "frame" else z, t) for z, t in found]
+        plain = sum(len(t) for z, t in found if z == "plain")
     article = bool(named) and named >= TEASER * (named + plain)
     return article, [t.split(" ") for z, t in found if z == "article" or z == "plain" and not article]
 

@@ -82,7 +82,7 @@ HEADED = frozenset("base basefont bgsound head html link meta noframes noscript
 _TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|(?P<other>[!?/])[^>]*+>)""")
 _COMMENT = re.compile(r"-?>|.*?--!?>", re.S)
 #: A tag that the end of a page cuts off: a name, then attributes.
-_CUT = re.compile(r"""<[/!?]?[a-zA-Z!?-]?[^\s<>"'=]*(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<]*))*\s*\Z""")
+_CUT = re.compile(r"""<(?:[/!?]|[a-zA-Z])[^\s<>"'=]*(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<]*))*\s*\Z""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z0-9]+")
 

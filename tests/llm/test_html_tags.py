@@ -31,7 +31,7 @@ def text(page):
         ("<p>1 < 2 and 3 > 2 <3 you", "1 < 2 and 3 > 2 <3 you"),
         ('text <a href="http://x', "text"),
         ("text <", "text <"),
-        ("text <!-->kept<!-- gone --> more<!--->end<!-- x --!>.", "text kept more end ."),
+        ("text <!-->kept<!-- gone --> more<!--->end<!-- x --!>.", "text kept moreend."),
         ('<article>Body <section class="user-comments">c1</section><div class="share-this">s</div> end</article>', "Body end"),
         ('<article><div class="article-comments">c</div><div class="article-header">Head</div> end</article>', "Head end"),
         ("", ""),

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
-from lucidframe.functions.expr import col, order_statistics
-from lucidframe.models import cells, grams, mars, neural
+from lucidframe.functions.expr import candidate_cuts, col
+from lucidframe.models import cells, grams, mars, neural, trees
 from lucidframe.models.registry import FAMILIES, check_parameters
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
@@ -195,38 +195,91 @@ def _regularized(df, task, encoding, q, seed, shared=None):
     return score, {"complexity": float(np.count_nonzero(model.coefficientMatrix.toArray()) + 1), "lambda": penalty}
 
 
+@dataclass
+class TreeScorer:
+    """Scores by trees in arrays, in Arrow batches: one tree, or boosted ones where start holds the margins that all begin with."""
+
+    encoding: Encoding
+    task: Task
+    rounds: list[list[trees.Tree]]
+    start: list[float] | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        kind, boosted = self.task.kind, None if self.start is None else trees.Boosted(self.task.kind, np.array(self.start), self.rounds)
+        alone = self.rounds[0][0] if boosted is None else None
+
+        @F.pandas_udf("array<double>" if kind == MULTICLASS else "double")
+        def run(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([])
+            rows = np.stack(x.to_numpy())
+            found = boosted.predict(rows) if boosted else alone.says(rows)
+            return pd.Series(list(found[:, 1] if alone and kind == BINARY else found))
+
+        return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
+
+    def state(self) -> dict:
+        return {"rounds": [[asdict(t) for t in r] for r in self.rounds], "start": self.start}
+
+
+def _scale(df: DataFrame, y: Column) -> tuple[float, float]:
+    """Mean and deviation to 12 digits, so that the order of summation doesn't show."""
+    mean, sd = (float(f"{v or 0.0:.12g}") for v in df.agg(F.avg(y), F.stddev_pop(y)).first())
+    return mean, sd or 1.0
+
+
 def _tree(df, task, encoding, q, seed, shared=None):
-    kind = R.DecisionTreeRegressor if task.kind == REGRESSION else C.DecisionTreeClassifier
-    leaf = max(1, q["minsplit"] // 3)
-    gain = q["cp"] * (df.agg(F.var_pop(task.label())).first()[0] or 0.0) if task.kind == REGRESSION else q["cp"] * 0.5
-    model, score = _spark_ml(_common(kind, maxDepth=min(30, q["maxdepth"]), minInfoGain=float(gain), minInstancesPerNode=leaf, seed=seed), encoding, task, _vectors(df, encoding, task))
-    return score, {"complexity": float((model.numNodes + 1) // 2)}
+    """One tree, grown to its depth and cut back by cost and complexity."""
+
+    def whole() -> trees.Grown:
+        y = task.label()
+        if task.kind == REGRESSION:  # on a scale of its own, so that sums are exact
+            scale = _scale(df, y)
+            y = (y - scale[0]) / scale[1]
+        else:
+            scale = (0.0, 1.0)
+        rows = trees.binned(df, dict(encoding.columns()), y, np.zeros(1))
+        try:
+            found = trees.grow(rows, task.kind, len(task.levels), min(30, q["maxdepth"]), q["minsplit"])
+        finally:
+            rows.release()
+        if task.kind == REGRESSION:
+            found.tree.value = [v * scale[1] + scale[0] for v in found.tree.value]
+        return found
 
+    cut = trees.pruned(shared_of(shared, ("tree", q["maxdepth"], q["minsplit"]), whole), q["cp"])
+    return TreeScorer(encoding, task, [[cut]]), {"complexity": float(cut.leaves)}
 
-def _forest(df, task, encoding, q, seed, shared=None, trees=None):
+
+def _forest(df, task, encoding, q, seed, shared=None):
     kind = R.RandomForestRegressor if task.kind == REGRESSION else C.RandomForestClassifier
     share = min(1.0, q["mtry"] / max(1, len(encoding.names)))
-    model, score = _spark_ml(_common(kind, numTrees=trees or q["num.trees"], maxDepth=12, featureSubsetStrategy=str(max(share, 1e-6)) if share < 1 else "all", minInstancesPerNode=q["min.node.size"], subsamplingRate=q["sample.fraction"], seed=seed), encoding, task, _vectors(df, encoding, task))
+    model, score = _spark_ml(_common(kind, numTrees=q["num.trees"], maxDepth=12, featureSubsetStrategy=str(max(share, 1e-6)) if share < 1 else "all", minInstancesPerNode=q["min.node.size"], subsamplingRate=q["sample.fraction"], seed=seed), encoding, task, _vectors(df, encoding, task))
     return score, {"complexity": float(model.totalNumNodes)}
 
 
 def _boosting(df, task, encoding, q, seed, shared=None):
-    settings = {"maxIter": q["nrounds"], "stepSize": q["eta"], "maxDepth": min(q["max_depth"], 30), "minInstancesPerNode": max(1, round(q["min_child_weight"])), "subsamplingRate": q["subsample"], "seed": seed}
-    data = _vectors(df, encoding, task)
-    if task.kind != MULTICLASS:
-        model, score = _spark_ml(_common(R.GBTRegressor if task.kind == REGRESSION else C.GBTClassifier, **settings), encoding, task, data)
-        return score, {"complexity": float(model.totalNumNodes)}
-    # One against the rest, the probabilities scaled to one.
-    models = [_common(C.GBTClassifier, **settings).fit(data.withColumn("__label", (F.col("__label") == k).cast("double"))) for k in range(len(task.levels))]
-
-    def score(d: DataFrame) -> DataFrame:
-        names, out = d.columns, encoding.assemble(d, "__features")
-        for k, m in enumerate(models):
-            out = m.transform(out).withColumn(f"__p{k}", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")
-        total = sum((F.col(f"__p{k}") for k in range(len(models))), F.lit(1e-300))
-        return out.select(*[col(c) for c in names if c != "score"], F.array(*[F.col(f"__p{k}") / total for k in range(len(models))]).alias("score"))
-
-    return score, {"complexity": float(sum(m.totalNumNodes for m in models))}
+    """Second-order boosting on histograms; several classes share one model of a tree for each in a round."""
+    y, mean, sd = task.label(), 0.0, 1.0
+    if task.kind == MULTICLASS:
+        counts = {r[0]: r[1] for r in df.groupBy(y.alias("y")).count().collect()}
+        start = np.log([max(counts.get(k, 0), 0.5) for k in range(len(task.levels))]) - np.log(sum(counts.values()))
+    else:
+        mean, sd = _scale(df, y)
+        if task.kind == REGRESSION:  # on a scale of its own, so that sums are exact
+            y, start, q = (y - mean) / sd, np.zeros(1), q | {"reg_alpha": q["reg_alpha"] / sd}
+        else:
+            start = np.log([mean / (1 - mean)])
+    rows = trees.binned(df, dict(encoding.columns()), y, start)
+    try:
+        found = trees.boost(rows, task.kind, start, q, seed)
+    finally:
+        rows.release()
+    if task.kind == REGRESSION:
+        found.start = np.array([mean])
+        for t in (t for r in found.rounds for t in r):
+            t.value = [v * sd for v in t.value]
+    return TreeScorer(encoding, task, found.rounds, found.start.tolist()), {"complexity": float(sum(len(t.column) for r in found.rounds for t in r))}
 
 
 # Learners on driver-made bases
@@ -315,8 +368,8 @@ def _mars(df, task, encoding, q, seed, shared=None):
         low, width = _unit_scale(df, encoding)
         columns = {n: (c - F.lit(float(a))) / F.lit(float(w)) for (n, c), a, w in zip(encoding.columns(), low, width)}
         numbers = {n: columns[n] for n in encoding.features if encoding.kinds[n] == "numeric"}
-        cuts = order_statistics(df, numbers, [i / (mars.KNOTS + 1) for i in range(mars.KNOTS + 1)]) if numbers else {}
-        knots = [np.array(sorted({c for c in cuts[n] if c is not None and c < 1})) if n in cuts else np.zeros(1) for n in encoding.names]
+        cuts = candidate_cuts(df, numbers, [i / (mars.KNOTS + 1) for i in range(mars.KNOTS + 1)])
+        knots = [np.array([c for c in cuts[n] if c < 1]) if n in cuts else np.zeros(1) for n in encoding.names]
         rows = df.select(F.array(*columns.values()).alias("x"), task.label().cast("double").alias("y")).persist()
         try:
             return mars.forward(rows, knots, q["degree"], most), low, width
@@ -537,6 +590,7 @@ def _restored_neighbors(encoding, task, state, path) -> NeighborScorer:
 _RESTORED: dict[str, Callable] = {
     "Formula": lambda encoding, task, state, path: Formula(state["form"], encoding, task, state["numbers"]),
     "NetScorer": lambda encoding, task, state, path: NetScorer(encoding, task, neural.Net(**state["net"]), np.array(state["weights"])),
+    "TreeScorer": lambda encoding, task, state, path: TreeScorer(encoding, task, [[trees.Tree(**t) for t in r] for r in state["rounds"]], state["start"]),
     "NeighborScorer": _restored_neighbors,
 }
 

@@ -718,7 +718,7 @@ def fit_forest(spark, folder):
 @query("fit_gbt")
 def fit_gbt(spark, folder):
     rows = lines(spark, folder)
-    settings = {"nrounds": 10, "eta": 0.1, "max_depth": 3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 1.0}
+    settings = registry.FAMILIES["boosting"].grid(0, 3, REGRESSION, 2)[0]
     return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "boosting", settings, ["l_quantity", "l_discount", "l_tax"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -178,6 +179,19 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], probs: Sequence[
     return found
 
 
+def row_sums(df: DataFrame) -> DataFrame:
+    """One row (rows, low, high): how many rows, and the sums of two 60-bit parts of each row's md5, which no order of rows changes."""
+    key = F.md5(F.to_json(F.struct(*[col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(key, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), part(1).alias("low"), part(17).alias("high"))
+
+
+def frame_digest(df: DataFrame) -> str:
+    """A digest of a frame's columns and rows that doesn't depend on the order of either; repeated rows count."""
+    row = row_sums(df).first()
+    return hashlib.sha256(repr((sorted(df.dtypes), row["rows"], int(row["low"]), int(row["high"]))).encode()).hexdigest()
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All floating columns rounded, minus zero made zero: what queries return, so that engines agree."""
     kinds = dict(df.dtypes)

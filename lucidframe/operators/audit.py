@@ -54,6 +54,7 @@ class Audit:
     findings: list[dict]
     summary: dict
     scope: str = field(default=diagnostics.SCOPE)
+    fingerprints: dict[str, str] = field(default_factory=dict)  # of the explainers, by model
 
     def __repr__(self) -> str:
         return f"<audit of {self.summary['n_models']} models: grade {self.summary['grade']}, {len(self.findings)} findings>"
@@ -95,7 +96,7 @@ def audit_explanations(explainers: Sequence, features: Sequence[str] | None = No
         "grade": overall_grade(grades, critical > 0), "n_models": len(explainers), "n_near_optimal": len(near), "stable_claim_rate": sum(g in "AB" for g in grades) / len(grades), "max_association": max(d["max_association"] for d in dependence),
         "mean_rank_agreement": agreement["mean_rank_correlation"], "prediction_agreement": prediction["score"], "critical_findings": critical, "warning_findings": sum(f["severity"] == "warning" for f in found),
     }
-    return Audit(name, importance, dependence, performance, agreement, prediction, found, summary)
+    return Audit(name, importance, dependence, performance, agreement, prediction, found, summary, fingerprints={e.model.model_id: e.fingerprint for e in explainers})
 
 
 def _prediction_agreement(explainers: Sequence) -> dict:

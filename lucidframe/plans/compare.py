@@ -43,6 +43,8 @@ def compare_behavior(result, models: list[str] | None = None, tolerance: float |
         by = {n: {r["feature"]: r["importance"] for r in audit.importance if r["model_id"] == n} for n in names}
         if any(not v for v in by.values()):
             raise ContractError("the audit does not cover these models")
+        if any(audit.fingerprints.get(e.model.model_id) != e.fingerprint for e in result.explainers(names)):
+            raise ContractError("the audit was made of other models or other rows")
         features = list(next(iter(by.values())))
         reliance = compare.importance_agreement(by, features) | {"top": {n: sorted(features, key=lambda f: -by[n][f])[:5] for n in names}}
     return Behavior(rows, compare.prediction_pairs(result.scores, result.task, names), result.ambiguity(names)[1], reliance, structural_contrast(rows), "Computed on common evaluation rows; not inferred from family names.")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.contract import BINARY, REGRESSION, ContractError, Task, make_task, predictor_kind, unsupported_predictors, validate_inputs
-from lucidframe.functions.expr import col
+from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, make_task, predictor_kind, unsupported_predictors, validate_inputs
+from lucidframe.functions.expr import col, frame_digest
 from lucidframe.models.fit import Fitted, baseline, check_features, check_scores, fit_learner, user_model
 from lucidframe.models.registry import default_budget, portfolio
 from lucidframe.models.tuning import TuningControl, TuningRecord, refit, refit_notes, tune
@@ -32,6 +33,13 @@ class Explainer:
     task: Task
     role: str = "unspecified"
 
+    @cached_property
+    def fingerprint(self) -> str:
+        """What the model says of which rows: a digest of the rows with their scores, to nine places, and of how the model is named."""
+        score = F.transform("score", lambda p: F.round(p, 9)) if self.task.kind == MULTICLASS else F.round("score", 9)
+        scored = frame_digest(self.predict(self.data).withColumn("score", score))
+        return hashlib.sha256(f"{self.model.model_id}|{self.model.family}|{self.task}|{scored}".encode()).hexdigest()[:16]
+
     @property
     def features(self) -> list[str]:
         return list(self.model.features) or [c for c in self.data.columns if c not in (ROW, "y")]

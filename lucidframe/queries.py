@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
-from lucidframe.functions.expr import col, hash_key, rounded
+from lucidframe.functions.expr import col, hash_key, rounded, row_sums
 from lucidframe.functions.stats import t_quantile
 from lucidframe.models import fit, grams, neural, registry, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
@@ -801,6 +801,26 @@ def nearest_parts(spark, folder):
     return model.score(rows.where(~early("p_partkey"))).select("p_partkey", "score")
 
 
+@query("boosting_split", f"""
+WITH {LINES_SQL}, c AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax])::DOUBLE AS v, y - (SELECT avg(y) FROM lines) AS d FROM lines),
+  s AS (SELECT feature, v, sum(d) AS d, count(*) AS n FROM c GROUP BY 1, 2),
+  r AS (SELECT feature, v, sum(d) OVER f AS dl, sum(n) OVER f AS nl, sum(d) OVER (PARTITION BY feature) AS da, sum(n) OVER (PARTITION BY feature) AS na FROM s WINDOW f AS (PARTITION BY feature ORDER BY v)),
+  g AS (SELECT *, dl * dl / (nl + 1) + (da - dl) * (da - dl) / (na - nl + 1) AS gain FROM r WHERE nl < na)
+SELECT feature, round(v, 6) AS cut, round(0.5 * dl / (nl + 1), 6) AS low_side, round(0.5 * (da - dl) / (na - nl + 1), 6) AS high_side FROM g ORDER BY gain DESC LIMIT 1""")
+def boosting_split(spark, folder):
+    settings = {"nrounds": 1, "eta": 0.5, "max_depth": 1, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 1.0}
+    names = ["l_quantity", "l_discount", "l_tax"]
+    tree = fit.fit_learner(lines(spark, folder), REG, "boosting", settings, names).scorer.rounds[0][0]
+    return spark.createDataFrame([(names[tree.column[0]], tree.cut[0], tree.value[tree.left[0]], tree.value[tree.right[0]])], "feature string, cut double, low_side double, high_side double")
+
+
+@query("row_digest", """
+WITH k AS (SELECT md5('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}') AS k FROM customer)
+SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(k, 1, 15) AS BIGINT)) AS VARCHAR) AS low, CAST(sum(CAST('0x' || substr(k, 17, 15) AS BIGINT)) AS VARCHAR) AS high FROM k""")
+def row_digest(spark, folder):
+    return row_sums(dataset(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")).select("rows", F.col("low").cast("string"), F.col("high").cast("string"))
+
+
 @query("fit_additive")
 def fit_additive(spark, folder):
     rows = lines(spark, folder)

@@ -59,6 +59,39 @@ def test_audit_report_and_memo(result, tmp_path):
     assert plots.agreement_cells(found.agreement)
 
 
+def test_foreign_audits_are_refused(result):
+    names = ["main_model", "flexible_tree"]
+    explainers = result.explainers(names)
+    assert explainers[0].fingerprint == result.explainers(names)[0].fingerprint != explainers[1].fingerprint
+    own = audit.audit_explanations(explainers, ["x", "z"], repeats=2)
+    assert compare.compare_behavior(result, names, audit=own).reliance["top"]
+    fewer = [type(e)(e.model, e.data.where("x > -10 AND row_id > 3"), e.task, e.role) for e in explainers]
+    with pytest.raises(ContractError, match="other rows"):
+        compare.compare_behavior(result, names, audit=audit.audit_explanations(fewer, ["x", "z"], repeats=2))
+
+
+def test_digests_ignore_order_and_see_every_change(spark):
+    from lucidframe.functions.expr import frame_digest
+
+    rows = [(i, None if i % 3 else float(i), "ab"[i % 2]) for i in range(50)]
+    df = spark.createDataFrame(rows, "i long, x double, s string")
+    same = frame_digest(df.orderBy(F.desc("i")).repartition(3).select("s", "x", "i"))
+    assert same == frame_digest(df)
+    changed = [df.where("i > 0"), df.unionByName(df.where("i = 1")), df.withColumn("x", F.coalesce("x", F.lit(0.0))), df.withColumnRenamed("s", "t"), df.withColumn("i", F.col("i").cast("int"))]
+    assert len({same, *map(frame_digest, changed)}) == 6 and frame_digest(df.limit(0)) != same
+
+
+def test_dashboards_and_rebinding(result, data, tmp_path):
+    paths = [html.dashboard(result, str(tmp_path / "a.html"), 1, 2, 2), html.simple_dashboard(result, str(tmp_path / "b.html"), 1, 2)]
+    for path in paths:
+        text = open(path).read()
+        assert text.startswith("<!doctype html>") and "main_model" in text
+    rows, role = result.rebind(data.drop("event").limit(10))
+    assert rows.count() == 10 and role == "user-supplied" and set(result.model().features) <= set(rows.columns)
+    again = result.explainers(["main_model"], data.drop("event").limit(10))[0]
+    assert again.predict(again.data).where("score IS NULL").count() == 0 and again.fingerprint != result.explainers(["main_model"])[0].fingerprint
+
+
 def test_binary_result(data):
     r = workflow.guided_fit(data.drop("y"), "event")
     assert r.task.positive == "yes" and r.calibration().count() <= 5 and r.thresholds().count() == 17

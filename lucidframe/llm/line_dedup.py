@@ -2,7 +2,7 @@
 
 A text is a sequence of lines; blank lines are kept and stand outside the sequence. A run of `RUN` equal lines that came
 earlier in the table (in a smaller id, or higher up in the same text) is deleted; so is a shorter run of more than `WORDS` words
-or `LETTERS` characters, such as a passage in one line. With long=False only runs of `RUN` lines are, as in op4's SQL.
+or `LETTERS` characters, such as a passage in one line. With long=False only runs of `RUN` lines are.
 
 1. Every line gets a fingerprint. In each window of `RUN` lines the least fingerprint is selected (the rightmost of
    equals); any common run of `RUN` lines or more shares a selected fingerprint at the same place of the run. Texts

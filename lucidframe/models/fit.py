@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
 from lucidframe.functions.expr import candidate_cuts, col
-from lucidframe.models import cells, grams, mars, neural, trees
+from lucidframe.models import cells, grams, margin, mars, neural, trees
 from lucidframe.models.registry import FAMILIES, check_parameters
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
@@ -285,22 +285,6 @@ def _boosting(df, task, encoding, q, seed, shared=None):
 # Learners on driver-made bases
 
 
-def _basis_fit(df: DataFrame, task: Task, basis: Column | list[Column], penalty: float) -> Callable[[DataFrame], DataFrame]:
-    """A penalised linear or logistic fit on expression columns, or on one array column."""
-    basis = F.array(*basis) if isinstance(basis, list) else basis
-    data = df.select(array_to_vector(basis).alias("__features"), task.label().cast("double").alias("__label"))
-    estimator = _common(R.LinearRegression, regParam=penalty, solver="normal") if task.kind == REGRESSION else _common(C.LogisticRegression, regParam=penalty, maxIter=200)
-    model = estimator.fit(data)
-
-    def score(d: DataFrame) -> DataFrame:
-        names = d.columns
-        out = model.transform(d.withColumn("__features", array_to_vector(basis)))
-        value = F.col("prediction") if task.kind == REGRESSION else _probabilities("probability", task)
-        return out.select(*[col(c) for c in names if c != "score"], value.alias("score"))
-
-    return score
-
-
 #: Steps of Fisher scoring at most, and the change of the deviance that ends it.
 SCORING, SETTLED = 30, 1e-7
 
@@ -400,19 +384,36 @@ def _logistic(df: DataFrame, task: Task, columns: list[Column]) -> np.ndarray:
     return np.concatenate(([model.intercept], model.coefficients.toArray()))
 
 
-def _kernel(df, task, encoding, q, seed, shared=None, features: int = 200):
-    """Random Fourier features of the standardised encoding and a penalised fit."""
-    p = max(1, len(encoding.names))
-    rng = np.random.default_rng(seed)
-    gamma = q["gamma_multiplier"] / p
-    w, b = rng.standard_normal((features, p)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, features)
-    n = df.count()
+@dataclass
+class MarginScorer:
+    """Scores by a margin machine's weights, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def basis(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.cos(np.stack(x.to_numpy()) @ w.T + b))) if len(x) else pd.Series([], dtype=object)
+    encoding: Encoding
+    task: Task
+    machine: margin.Machine
+    weights: np.ndarray
+    sigmoid: np.ndarray | None
 
-    return _basis_fit(df, task, basis(encoding.array()), 1.0 / (q["cost"] * max(n, 1))), {"complexity": float(features)}
+    def __call__(self, df: DataFrame) -> DataFrame:
+        machine, w, sigmoid = self.machine, self.weights, self.sigmoid
+
+        @F.pandas_udf("array<double>" if self.task.kind == MULTICLASS else "double")
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(machine.predict(w, sigmoid, np.stack(x.to_numpy()))) if len(x) else [])
+
+        return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
+
+    def state(self) -> dict:
+        return {"machine": asdict(self.machine), "weights": self.weights.tolist(), "sigmoid": None if self.sigmoid is None else self.sigmoid.tolist()}
+
+
+def _kernel(df, task, encoding, q, seed, shared=None):
+    """A radial margin machine on random features; numbers are standardised, classes get calibrated probabilities."""
+    centre, scale = _scale(df, task.label()) if task.kind == REGRESSION else (0.0, 1.0)
+    p = max(1, len(encoding.names))
+    machine = margin.Machine(p, len(task.levels) if task.kind == MULTICLASS else 1, task.kind, q["cost"], q["gamma_multiplier"] / p, q["epsilon"], seed, centre, scale)
+    w, sigmoid, about = margin.fit(df, encoding.array(), task.label(), machine)
+    return MarginScorer(encoding, task, machine, w, sigmoid), {"complexity": float(margin.FEATURES), "notes": () if about["converged"] else ("the cap on passes was reached",)} | about
 
 
 @dataclass
@@ -590,6 +591,7 @@ def _restored_neighbors(encoding, task, state, path) -> NeighborScorer:
 _RESTORED: dict[str, Callable] = {
     "Formula": lambda encoding, task, state, path: Formula(state["form"], encoding, task, state["numbers"]),
     "NetScorer": lambda encoding, task, state, path: NetScorer(encoding, task, neural.Net(**state["net"]), np.array(state["weights"])),
+    "MarginScorer": lambda encoding, task, state, path: MarginScorer(encoding, task, margin.Machine(**state["machine"]), np.array(state["weights"]), None if state["sigmoid"] is None else np.array(state["sigmoid"])),
     "TreeScorer": lambda encoding, task, state, path: TreeScorer(encoding, task, [[trees.Tree(**t) for t in r] for r in state["rounds"]], state["start"]),
     "NeighborScorer": _restored_neighbors,
 }

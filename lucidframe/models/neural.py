@@ -8,6 +8,7 @@ LOCAL distinct rows the same passes over the same blocks run on the driver, wher
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -99,54 +100,71 @@ def _unpacked(row, inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["x"]).reshape(-1, inputs), np.frombuffer(row["y"]), np.frombuffer(row["count"])
 
 
-def evaluate(packed: DataFrame, net: Net, w: np.ndarray) -> np.ndarray:
-    """Loss and gradient over all blocks, without decay."""
+Part = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([net.loss(w, *_unpacked(row, net.inputs)).tobytes()], pa.binary())], ["block", "sums"])
 
-    def together(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("block").to_numpy())
-        sums = table.column("sums").to_pylist()
-        total = np.zeros(net.size + 1)
-        for k in order:
-            total = total + np.frombuffer(sums[k])
-        return pa.table({"group": table.column("group")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+@dataclass
+class Source:
+    """Blocks that are summed over: in Spark, or held where they are few."""
 
-    parts = packed.mapInArrow(part, "block bigint, sums binary").withColumn("group", F.pmod("block", F.lit(GROUPS)))
-    found = parts.groupBy("group").applyInArrow(together, "group bigint, sums binary").collect()
-    return sum((np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["group"])), np.zeros(net.size + 1))
+    packed: DataFrame
+    inputs: int
+    held: list | None = None
+
+    def sums(self, part: Part, size: int) -> np.ndarray:
+        """The arrays of `size` numbers that part(block, x, y, count) makes of each block, added up in the order of blocks within groups, then of groups."""
+        if self.held is not None:
+            groups: dict[int, np.ndarray] = {}
+            for block in self.held:
+                groups[block[0] % GROUPS] = groups.get(block[0] % GROUPS, np.zeros(size)) + part(*block)
+            return sum((groups[g] for g in sorted(groups)), np.zeros(size))
+        inputs = self.inputs
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    found = np.ascontiguousarray(part(row["block"], *_unpacked(row, inputs)), np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["block", "sums"])
+
+        def together(table: pa.Table) -> pa.Table:
+            order, sums, total = np.argsort(table.column("block").to_numpy()), table.column("sums").to_pylist(), np.zeros(size)
+            for k in order:
+                total = total + np.frombuffer(sums[k])
+            return pa.table({"group": table.column("group")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        parts = self.packed.mapInArrow(each, "block bigint, sums binary").withColumn("group", F.pmod("block", F.lit(GROUPS)))
+        found = parts.groupBy("group").applyInArrow(together, "group bigint, sums binary").collect()
+        return sum((np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["group"])), np.zeros(size))
+
+
+@contextlib.contextmanager
+def opened(df: DataFrame, x: Column, y: Column, inputs: int) -> Iterator[Source]:
+    """The rows as blocks, kept while they are summed over."""
+    ship(df.sparkSession)
+    packed = blocks(df, x, y).persist()
+    try:
+        held = None
+        if (packed.agg(F.sum("rows")).first()[0] or 0) <= LOCAL:
+            held = sorted(((r["block"], *_unpacked(r, inputs)) for r in packed.collect()), key=lambda b: b[0])
+        yield Source(packed, inputs, held)
+    finally:
+        packed.unpersist()
 
 
-def local_evaluate(held: list, net: Net, w: np.ndarray) -> np.ndarray:
-    """The same of blocks on the driver, added up in the same order."""
-    groups: dict[int, np.ndarray] = {}
-    for block, x, y, count in held:
-        groups[block % GROUPS] = groups.get(block % GROUPS, np.zeros(net.size + 1)) + net.loss(w, x, y, count)
-    return sum((groups[g] for g in sorted(groups)), np.zeros(net.size + 1))
+def evaluate(packed: DataFrame, net: Net, w: np.ndarray) -> np.ndarray:
+    """Loss and gradient over all blocks, without decay."""
+    return Source(packed, net.inputs).sums(lambda block, x, y, count: net.loss(w, x, y, count), net.size + 1)
 
 
 def fit(df: DataFrame, x: Column, y: Column, net: Net, seed: int) -> tuple[np.ndarray, dict]:
     """The weights, and how the search went."""
-    ship(df.sparkSession)
-    packed = blocks(df, x, y).persist()
-    try:
-        if (packed.agg(F.sum("rows")).first()[0] or 0) <= LOCAL:
-            held = sorted(((r["block"], *_unpacked(r, net.inputs)) for r in packed.collect()), key=lambda b: b[0])
-            evaluated = lambda w: local_evaluate(held, net, w)
-        else:
-            evaluated = lambda w: evaluate(packed, net, w)
+    with opened(df, x, y, net.inputs) as source:
 
         def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-            found = evaluated(w)
+            found = source.sums(lambda block, x, y, count: net.loss(w, x, y, count), net.size + 1)
             return found[0] + net.decay * float(w @ w), found[1:] + 2 * net.decay * w
 
-        start = np.random.default_rng(seed).uniform(-0.1, 0.1, net.size)
-        w, value, passes, ended = minimise(objective, start)
-    finally:
-        packed.unpersist()
+        w, value, passes, ended = minimise(objective, np.random.default_rng(seed).uniform(-0.1, 0.1, net.size))
     return w, {"loss": value, "passes": passes, "converged": ended}
 
 

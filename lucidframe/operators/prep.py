@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.contract import ContractError, predictor_kind
@@ -40,7 +40,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
         return {}
     items = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("x")) for i, c in enumerate(columns)]))
     counts = df.select(items.alias("v")).where("v.x IS NOT NULL").groupBy("v.i", "v.x").count()
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("count"), "x"))).where("r = 1").collect()
+    best = counts.groupBy("i").agg(F.min_by("x", F.struct(-F.col("count"), "x")).alias("x")).collect()  # partial sums, no sort of the levels
     found = {r["i"]: r["x"] for r in best}
     return {c: found.get(i) for i, c in enumerate(columns)}
 

@@ -181,6 +181,40 @@ def test_networks_do_not_depend_on_partitions(data, monkeypatch):
     assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2]) and np.allclose(found[0], local, atol=1e-6)
 
 
+def test_margin_machines(data):
+    settings = {"cost": 4.0, "gamma_multiplier": 1.0, "epsilon": 0.1}
+    wave = fit.fit_learner(data, WAVE, "kernel", settings, ["a", "b"])
+    wide = fit.fit_learner(data, WAVE, "kernel", settings | {"epsilon": 1.0}, ["a", "b"])
+    assert error(wave, data, "wave") < 0.15 < error(wide, data, "wave")
+    scaled = data.withColumn("wave", F.col("wave") * 1000 + 5)  # the outcome is standardised
+    assert error(fit.fit_learner(scaled, WAVE, "kernel", settings, ["a", "b"]), scaled, "wave") == pytest.approx(1000 * error(wave, data, "wave"), rel=1e-2)
+    # On rows that weren't trained on, calibrated probabilities lose less than margins do, as they are or through a plain sigmoid.
+    side = fit.fit_learner(data.where("id < 600"), SIDE, "kernel", {"cost": 64.0, "gamma_multiplier": 4.0, "epsilon": 0.1}, ["a", "b"])
+    rows = side.score(data.where("id >= 600")).select("score", (F.col("side") == "yes").cast("double").alias("t"), "a", "b").toPandas()
+    enc = side.scorer.encoding
+    f = side.scorer.machine.margins(side.scorer.weights, np.column_stack([(rows[c] - enc.centre[c]) / enc.scale[c] for c in ("a", "b")]))[:, 0]
+    loss = lambda p: -np.mean(rows.t * np.log(p) + (1 - rows.t) * np.log(1 - p))
+    found, plain, sigmoid = loss(rows.score.to_numpy()), loss(np.clip((f + 1) / 2, 1e-3, 1 - 1e-3)), loss(1 / (1 + np.exp(-f)))
+    assert found < plain and found < sigmoid
+    assert abs(rows.score.mean() - rows.t.mean()) < 0.06
+    kind = fit.fit_learner(data, KIND, "kernel", settings, ["a", "g"])
+    assert kind.score(data).agg(F.avg((F.get("score", F.array_position(F.array(*map(F.lit, "abc")), F.col("kind")).cast("int") - 1) > 0.8).cast("double"))).first()[0] > 0.95
+
+
+@pytest.mark.parametrize("kind,outputs", [(REGRESSION, 1), (BINARY, 1), (MULTICLASS, 3)])
+def test_margin_gradients_are_those_of_the_loss(kind, outputs, monkeypatch):
+    from lucidframe.models import margin
+
+    monkeypatch.setattr(margin, "FEATURES", 5)
+    rng = np.random.default_rng(2)
+    machine = margin.Machine(3, outputs, kind, 2.0, 0.4, 0.3, 7, 0.3, 1.7)
+    x, count = rng.normal(size=(20, 3)), rng.integers(1, 4, 20).astype(float)
+    y = rng.normal(size=20) if kind == REGRESSION else rng.integers(0, 2 if kind == BINARY else 3, 20).astype(float)
+    w, step = rng.normal(size=machine.size), 1e-6
+    slopes = [(machine.loss(w + step * e, x, y, count)[0] - machine.loss(w - step * e, x, y, count)[0]) / (2 * step) for e in np.eye(machine.size)]
+    assert np.allclose(machine.loss(w, x, y, count)[1:], slopes, rtol=1e-5, atol=1e-5)
+
+
 @pytest.mark.parametrize("kind,outputs", [(REGRESSION, 1), (BINARY, 1), (MULTICLASS, 3)])
 def test_gradients_are_those_of_the_loss(kind, outputs):
     rng = np.random.default_rng(2)
@@ -204,7 +238,7 @@ def test_networks_learn_waves_and_classes(data):
 def test_own_learners_survive_a_round_trip(spark, data, tmp_path):
     settings = {
         "linear": {}, "regularized": {"alpha": 0.5, "path_fraction": 0.5}, "additive": {"k": 5, "gamma": 1.0, "select": True}, "mars": {"degree": 2, "nprune": 6},
-        "neighbors": {"k": 3, "distance": 2.0, "kernel": "optimal"}, "neural": {"size": 2, "decay": 0.1},
+        "neighbors": {"k": 3, "distance": 2.0, "kernel": "optimal"}, "neural": {"size": 2, "decay": 0.1}, "kernel": {"cost": 1.0, "gamma_multiplier": 1.0, "epsilon": 0.1},
     }
     some = data.limit(200)
     models = [fit.fit_learner(some, WAVE, f, q, ["a", "b", "g"]) for f, q in settings.items()] + [fit.baseline(some, WAVE), fit.baseline(some, KIND)]

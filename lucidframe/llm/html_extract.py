@@ -1,7 +1,7 @@
 """Main text of web pages: markup as evidence of a page's parts, and a suffix array over each host for what it repeats.
 
 A page is read into blocks with a zone: `chrome` (menus, headers, footers, notices, adverts, reader comments, by element or role, or by a
-class or id all of whose words say so), `frame` (forms, and parts called sidebar, widget or share: chrome, but they may stand round
+class or id all of whose words say so), `frame` (forms, and parts called sidebar or widget: chrome, but they may stand round
 the whole page, so an article or main inside leaves them, and where a page has no other text they are plain), `article` (inside
 article, main or their role; main leaves all chrome) or `plain`. Scripts, styles, heads and hidden parts are no text at all. Candidates for the main text are the article blocks
 of a page that names its article, and the plain blocks of any other, of which article blocks that hold less than
@@ -23,7 +23,7 @@ sorted. If few pages lose anything, what they lose is broadcast and no html is s
 
 Defined results: a null html is empty and gives an empty text; a null address belongs to a host of its own with other
 null addresses; repeated rows each get a result; an empty table gives an empty result; an unclosed element ends with its
-parent, an unclosed head with the first thing that can't stand in one; an unclosed comment or script, or a tag with nothing but attributes, at the end of a cut-off page runs to its end,
+parent, an unclosed head with the first thing that can't stand in one; an unclosed comment or script, or a tag with nothing but attributes and one word more, at the end of a cut-off page runs to its end,
 any other < that opens no tag is text; quotes in a tag only enclose a value behind =. Whole pages are read, however
 long. Only the three columns named are read.
 """
@@ -68,10 +68,11 @@ CHROME_NAMES = frozenset(
 )
 #: Words beside them that say nothing of what a part holds.
 NEUTRAL_NAMES = frozenset("area articles bar block bottom box button buttons column container form group inner item items left links list outer posts right section sections site slot stories this top user users wrap wrapper".split())
-#: Parts by readers, whatever the label's other words; and what only lays a page out, so that an article inside is none the less one.
+#: Parts by readers, also beside words for what they are about; and what only lays a page out, so that an article inside is none the less one.
 READERS = frozenset("comments commentlist disqus".split())
+ABOUT = frozenset("article blog entry page post reader readers story".split())
 LAYOUT = frozenset("form fieldset".split())
-LAYOUT_NAMES = frozenset("sidebar sidebars widget widgets share sharing social".split())
+LAYOUT_NAMES = frozenset("sidebar sidebars widget widgets".split())
 #: A new one of these ends an open one with the same parent.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table".split())
@@ -82,7 +83,7 @@ HEADED = frozenset("base basefont bgsound head html link meta noframes noscript
 _TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|(?P<other>[!?/])[^>]*+>)""")
 _COMMENT = re.compile(r"-?>|.*?--!?>", re.S)
 #: A tag that the end of a page cuts off: a name, then attributes.
-_CUT = re.compile(r"""<(?:[/!?]|[a-zA-Z])[^\s<>"'=]*(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<]*))*\s*\Z""")
+_CUT = re.compile(r"""<(?:[/!?]|[a-zA-Z])[^\s<>"'=]*(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<]*))*(?:\s+[^\s=<>"']+)?\s*\Z""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -109,7 +110,7 @@ def _zone(name: str, rest: str, outer: str) -> str:
     if name not in ("html", "body") and not (article and outer in ("plain", "frame") and name == "main"):
         for label in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
             words = [w for w in _NAME.findall(label) if not w.isdigit()]
-            if READERS.intersection(words) and len(words) <= 3:
+            if READERS.intersection(words) and READERS.union(ABOUT, NEUTRAL_NAMES).issuperset(words):
                 return "chrome"
             if CHROME_NAMES.intersection(words) and CHROME_NAMES.union(NEUTRAL_NAMES).issuperset(words):
                 return "frame" if LAYOUT_NAMES.issuperset(CHROME_NAMES.intersection(words)) else "chrome"

@@ -176,18 +176,20 @@ def permutation_scores(df: DataFrame, score: Score, task: Task, metric: str, gro
     columns = df.columns
     if within is not None:
         df, strata = df.withColumn("__stratum", strata_key(df, [within] if isinstance(within, str) else list(within))), ["__stratum"]
-    packed = random_blocks(df, columns, strata, seed, row_id)
-    names = list(groups)
+    names, place = list(groups), {c: i for i, c in enumerate(columns)}
+    # Of each block, the rows as they are, and of each row what it may give to another.
+    cut = lambda which: F.transform("rows", lambda r: F.struct(*[r[f"c{place[c]}"].alias(f"c{place[c]}") for c in which]))
+    given = [c for c in columns if any(c in groups[g] for g in names)]
+    packed = random_blocks(df, columns, strata, seed, row_id).select(*strata, "__block", cut(columns).alias("own"), cut(given).alias("given"))
     turns = F.explode(F.array(*[F.struct(F.lit(k).alias("group"), F.lit(r).alias("repeat"), F.lit(turn_key(seed, g, r)).alias("key")) for k, g in enumerate(names) for r in range(1, repeats + 1)]))
     digest = F.md5(F.concat_ws("|", F.concat(F.col("turn.key"), F.col("__stratum") if strata else F.lit("")), F.col("__block")))
     part = lambda k: F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long").alias(f"k{k}")
     # An exploded struct is worked out once for each order, not once a row.
-    dealt = packed.select("rows", *strata, "__block", turns.alias("turn")).select("rows", "turn", F.explode(F.array(F.struct(*[part(k) for k in range(ROUNDS)]))).alias("keys"))
-    order = dealt_order(F.size("rows").cast("long"), [F.col(f"keys.k{i}") for i in range(ROUNDS)])
+    dealt = packed.select("own", "given", *strata, "__block", turns.alias("turn")).select("own", "given", "turn", F.explode(F.array(F.struct(*[part(k) for k in range(ROUNDS)]))).alias("keys"))
+    order = dealt_order(F.size("own").cast("long"), [F.col(f"keys.k{i}") for i in range(ROUNDS)])
     # Each order makes its pairs of rows in one array, so that nothing of the block is carried along behind them.
-    pairs = F.transform(order, lambda giver, at: F.struct(F.get("rows", at).alias("own"), F.get("rows", giver).alias("other")))
+    pairs = F.transform(order, lambda giver, at: F.struct(F.get("own", at).alias("own"), F.get("given", giver).alias("other")))
     dealt = dealt.select("turn.group", "turn.repeat", F.inline(pairs))
-    place = {c: i for i, c in enumerate(columns)}
     moved = {c: [k for k, g in enumerate(names) if c in groups[g]] for c in columns}
     value = lambda c: F.when(F.col("group").isin(*moved[c]), F.col(f"other.c{place[c]}")).otherwise(F.col(f"own.c{place[c]}")) if moved[c] else F.col(f"own.c{place[c]}")
     scored = score(dealt.select(F.col("group").alias("__group"), F.col("repeat").alias("__repeat"), *[value(c).alias(c) for c in columns]))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.contract import BINARY, MULTICLASS, REGRESSION
+from lucidframe.contract import BINARY, REGRESSION
 from lucidframe.functions.expr import candidate_cuts
 from lucidframe.models.sums import Named, matrix, summed
 from lucidframe.shipping import ship

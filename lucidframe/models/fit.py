@@ -18,14 +18,13 @@ from dataclasses import asdict, dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark.ml import classification as C
-from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task, predictor_kind
 from lucidframe.functions.expr import candidate_cuts, col
-from lucidframe.models import cells, grams, margin, mars, neural, trees
+from lucidframe.models import cells, forest, grams, margin, mars, neural, trees
 from lucidframe.models.registry import FAMILIES, check_parameters
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
@@ -51,6 +50,8 @@ class Fitted:
         """Let go of what the scorer keeps in the executors' memory; it can't score any more."""
         if isinstance(self.scorer, NeighborScorer):
             self.scorer.cells.blocks.unpersist()
+        if isinstance(self.scorer, ForestScorer) and self.scorer.sent is not None:
+            self.scorer.sent.unpersist()
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         out = self.scorer(df)
@@ -251,11 +252,48 @@ def _tree(df, task, encoding, q, seed, shared=None):
     return TreeScorer(encoding, task, [[cut]]), {"complexity": float(cut.leaves)}
 
 
+@dataclass
+class ForestScorer:
+    """Scores by a forest's trees, in Arrow batches; the trees are broadcast once."""
+
+    encoding: Encoding
+    task: Task
+    forest: forest.Forest
+    sent: object = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        kind = self.task.kind
+        if self.sent is None:
+            self.sent = df.sparkSession.sparkContext.broadcast(self.forest)
+        sent = self.sent
+
+        @F.pandas_udf("array<double>" if kind == MULTICLASS else "double")
+        def run(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([])
+            found = sent.value.predict(np.stack(x.to_numpy()))
+            return pd.Series(list(found[:, 1] if kind == BINARY else found))
+
+        return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
+
+    def state(self) -> dict:
+        return {"cuts": [c.tolist() for c in self.forest.cuts]}
+
+
 def _forest(df, task, encoding, q, seed, shared=None):
-    kind = R.RandomForestRegressor if task.kind == REGRESSION else C.RandomForestClassifier
-    share = min(1.0, q["mtry"] / max(1, len(encoding.names)))
-    model, score = _spark_ml(_common(kind, numTrees=q["num.trees"], maxDepth=12, featureSubsetStrategy=str(max(share, 1e-6)) if share < 1 else "all", minInstancesPerNode=q["min.node.size"], subsamplingRate=q["sample.fraction"], seed=seed), encoding, task, _vectors(df, encoding, task))
-    return score, {"complexity": float(model.totalNumNodes)}
+    """Trees of full depth on Poisson weights; cut points are the best, or drawn where the split rule is extratrees."""
+    y, scale = task.label(), (0.0, 1.0)
+    if task.kind == REGRESSION:  # on a scale of its own, so that sums are exact
+        scale = _scale(df, y)
+        y = (y - scale[0]) / scale[1]
+    rows = trees.binned(df, dict(encoding.columns()), y, np.zeros(1), local=0)
+    try:
+        found = forest.plant(rows, forest.plan_of(rows, task.kind, len(task.levels), q, seed))
+    finally:
+        rows.release()
+    if task.kind == REGRESSION:
+        found.nodes.value = found.nodes.value * scale[1] + scale[0]
+    return ForestScorer(encoding, task, found), {"complexity": float(len(found.nodes.column))}
 
 
 def _boosting(df, task, encoding, q, seed, shared=None):
@@ -556,6 +594,9 @@ def save_fitted(fitted: Fitted, path: str) -> None:
         about["class"] = f"{type(held.model).__module__}.{type(held.model).__name__}"
     else:
         about["state"] = held.state()
+        if kind == "ForestScorer":
+            table = spark.createDataFrame(held.forest.rows(), "tree int, column binary, bin binary, left binary, value binary")
+            table.write.mode("overwrite").parquet(f"{path}/trees")
         if kind == "NeighborScorer":
             held.cells.blocks.write.mode("overwrite").parquet(f"{path}/rows")
             about["state"] |= {name: getattr(held.cells, name).tolist() for name in ("pivots", "cell", "part", "rows", "low", "high")}
@@ -587,6 +628,12 @@ def _restored_neighbors(encoding, task, state, path) -> NeighborScorer:
     return NeighborScorer(encoding, task, cells.Cells(blocks, *known, state["order"]), state["k"], state["kernel"])
 
 
+def _restored_forest(encoding, task, state, path) -> ForestScorer:
+    rows = sorted(SparkSession.active().read.parquet(f"{path}/trees").collect(), key=lambda r: r["tree"])
+    found = [forest.Part.of(r["column"], r["bin"], r["left"], r["value"]) for r in rows]
+    return ForestScorer(encoding, task, forest.Forest.of(task.kind, [np.array(c) for c in state["cuts"]], found))
+
+
 #: How saved scorers come back.
 _RESTORED: dict[str, Callable] = {
     "Formula": lambda encoding, task, state, path: Formula(state["form"], encoding, task, state["numbers"]),
@@ -594,6 +641,7 @@ _RESTORED: dict[str, Callable] = {
     "MarginScorer": lambda encoding, task, state, path: MarginScorer(encoding, task, margin.Machine(**state["machine"]), np.array(state["weights"]), None if state["sigmoid"] is None else np.array(state["sigmoid"])),
     "TreeScorer": lambda encoding, task, state, path: TreeScorer(encoding, task, [[trees.Tree(**t) for t in r] for r in state["rounds"]], state["start"]),
     "NeighborScorer": _restored_neighbors,
+    "ForestScorer": _restored_forest,
 }
 
 

@@ -84,6 +84,7 @@ class Rows:
     n: float
     packed: DataFrame | None
     held: list | None = None
+    distinct: int = 0
 
     def sums(self, part: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Named]) -> Named:
         """The arrays that part(block, bins, y, count, margin) makes of each block, added up by name."""
@@ -137,8 +138,8 @@ def unpacked(row: dict, inputs: int) -> tuple[int, np.ndarray, np.ndarray, np.nd
     return row["block"], np.frombuffer(row["x"], np.uint8).reshape(-1, inputs), y, np.frombuffer(row["count"]), np.frombuffer(row["margin"]).reshape(len(y), -1)
 
 
-def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarray) -> Rows:
-    """Rows of some columns in bins, with the margins that all begin with."""
+def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarray, local: int | None = None) -> Rows:
+    """Rows of some columns in bins, with the margins that all begin with. Up to `local` distinct ones (LOCAL) are held on the driver."""
     ship(df.sparkSession)
     cuts = [np.array(c) for c in candidate_cuts(df, columns, [i / BINS for i in range(1, BINS)]).values()]
     begin = np.asarray(start, float)
@@ -165,12 +166,12 @@ def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarr
         parts = max(1, -(-different // BLOCK))
         dealt = distinct.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
         packed = dealt.groupBy("block").applyInArrow(pack, "block bigint, x binary, y binary, count binary, margin binary").persist()
-        if different > LOCAL:
+        if different > (LOCAL if local is None else local):
             packed.count()
-            return Rows(cuts, float(n), packed)
+            return Rows(cuts, float(n), packed, distinct=different)
         held = sorted((unpacked(r.asDict(), len(cuts)) for r in packed.collect()), key=lambda b: b[0])
         packed.unpersist()
-        return Rows(cuts, float(n), None, held)
+        return Rows(cuts, float(n), None, held, different)
     finally:
         distinct.unpersist()
 

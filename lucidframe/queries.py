@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, Task, detect_kind
 from lucidframe.functions.expr import col, hash_key, rounded, row_sums
 from lucidframe.functions.stats import t_quantile
-from lucidframe.models import fit, grams, neural, registry, tuning
+from lucidframe.models import fit, forest, grams, neural, registry, trees, tuning
 from lucidframe.operators import compare, diagnostics, explain, metrics, prep, selection, split
 from lucidframe.plans import workflow
 from lucidframe.shipping import ship
@@ -712,7 +712,8 @@ def fit_tree(spark, folder):
 @query("fit_forest")
 def fit_forest(spark, folder):
     rows = lines(spark, folder)
-    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "forest", {"num.trees": 20, "mtry": 2, "min.node.size": 10, "sample.fraction": 0.632, "splitrule": "default"}, ["l_quantity", "l_discount", "l_tax"])
+    settings = registry.FAMILIES["forest"].grid(0, 3, REGRESSION, 2)[0]
+    return _board(rows.where(early("row_id")), rows.where(~early("row_id")), REG, "forest", settings, ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("fit_gbt")
@@ -814,6 +815,36 @@ def boosting_split(spark, folder):
     return spark.createDataFrame([(names[tree.column[0]], tree.cut[0], tree.value[tree.left[0]], tree.value[tree.right[0]])], "feature string, cut double, low_side double, high_side double")
 
 
+def _best_cuts(source: str) -> str:
+    """The best cut of each node by squared errors, from (node, feature, v, y)."""
+    return f"""(WITH d AS (SELECT node, feature, v, y, y - avg(y) OVER (PARTITION BY node) AS d FROM {source}),
+    s AS (SELECT node, feature, v, sum(y) AS y, sum(d) AS d, count(*) AS n FROM d GROUP BY 1, 2, 3),
+    r AS (SELECT node, feature, v, sum(d) OVER f AS dl, sum(n) OVER f AS nl, sum(d) OVER a AS da, sum(n) OVER a AS na, sum(y) OVER a AS ya FROM s
+      WINDOW f AS (PARTITION BY node, feature ORDER BY v), a AS (PARTITION BY node, feature))
+  SELECT node, feature, v AS cut, ya / na AS mean FROM r WHERE nl < na QUALIFY row_number() OVER (PARTITION BY node ORDER BY dl * dl / nl + (da - dl) * (da - dl) / (na - nl) DESC, feature, v) = 1)"""
+
+
+@query("forest_splits", f"""
+WITH {LINES_SQL}, c AS (SELECT 0 AS node, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax])::DOUBLE AS v, y FROM lines),
+  root AS {_best_cuts("c")},
+  side AS (SELECT CASE WHEN CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END <= cut THEN 1 ELSE 2 END AS node, l_quantity, l_discount, l_tax, y FROM lines, root),
+  below AS (SELECT node, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax])::DOUBLE AS v, y FROM side), next AS {_best_cuts("below")}
+SELECT node, feature, round(cut, 6) AS cut, round(mean, 6) AS mean FROM (SELECT * FROM root UNION ALL SELECT * FROM next)""")
+def forest_splits(spark, folder):
+    """The three upper splits of a tree that takes every row once and may split on every column."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    training = lines(spark, folder)
+    scale = training.agg(F.avg("y"), F.stddev_pop("y")).first()
+    settings = {"num.trees": 1, "mtry": 3, "min.node.size": 1000, "sample.fraction": 1.0, "splitrule": "default"}
+    rows = trees.binned(training, {n: F.col(n).cast("double") for n in names}, (F.col("y") - scale[0]) / scale[1], np.zeros(1), local=0)
+    try:
+        nodes = forest.plant(rows, forest.plan_of(rows, REGRESSION, 0, settings, 1, resample=False)).nodes
+    finally:
+        rows.release()
+    found = [(i, names[nodes.column[k]], float(rows.cuts[nodes.column[k]][nodes.bin[k]]), float(nodes.value[k, 0]) * scale[1] + scale[0]) for i, k in enumerate((0, nodes.left[0], nodes.left[0] + 1))]
+    return spark.createDataFrame(found, "node int, feature string, cut double, mean double")
+
+
 @query("row_digest", """
 WITH k AS (SELECT md5('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}') AS k FROM customer)
 SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(k, 1, 15) AS BIGINT)) AS VARCHAR) AS low, CAST(sum(CAST('0x' || substr(k, 17, 15) AS BIGINT)) AS VARCHAR) AS high FROM k""")

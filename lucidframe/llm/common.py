@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only below these; both are counted on the written table first.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: A key is heavy if more than one in so many rows holds it.
+HEAVY = 10_000
 
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,12 +81,37 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1024")
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Mark a written frame for broadcast if its counted rows and bytes are small; else leave the join to shuffle."""
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a written frame's counted rows and bytes are small."""
     flexible = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
     width = sum(flexible, F.lit(16 * len(df.columns)))
     rows, used = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Mark a written frame for broadcast if it is small; else leave the join to shuffle."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """Rows joined, inner or left, with a written frame of one row for each key, whose `weight` is how many rows hold the key.
+
+    Small facts are broadcast. Of larger ones the heavy keys are, those that more than one in HEAVY rows hold, which are fewer than HEAVY; so a
+    heavy key's rows stay where they are, and no key that is shuffled holds more than one in HEAVY rows. Rows without a key aren't shuffled either.
+    """
+    plain = facts.drop(weight)
+    if fits_broadcast(plain):
+        return rows.join(F.broadcast(plain), keys, how)
+    total = facts.agg(F.sum(weight)).first()[0]
+    heavy = F.col(weight) * HEAVY > total
+    hot = bounded_broadcast(materialize(facts.where(heavy).drop(weight), "heavy"))
+    nothing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    held = rows.where(~nothing)
+    parts = [held.join(hot, keys), held.join(hot.select(*keys), keys, "left_anti").join(facts.where(~heavy).drop(weight), keys, how)]
+    if how == "left":
+        parts.append(rows.where(nothing).withColumns({c: F.lit(None).cast(kind) for c, kind in plain.dtypes if c not in keys}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def running_sum(df: DataFrame, order: list[Column], size: Column, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import WORD, bounded_broadcast, empty_text, has_columns, materialize, numbered, unused
+from lucidframe.llm.common import WORD, bounded_broadcast, empty_text, has_columns, looked_up, materialize, numbered, unused
 
 #: Lines of a run, and of the window from which a fingerprint is selected.
 RUN = 3
@@ -60,8 +60,8 @@ def _later(windows: DataFrame, run: int) -> DataFrame:
     """(row, begin, end) of the windows of (row, none, id, start, window, twin) that came earlier."""
     windows = materialize(windows, "windows")
     firsts = windows.groupBy("window", "twin").agg(F.min(F.struct("none", "id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = bounded_broadcast(materialize(firsts.select("window", "twin", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first-windows"))
-    later = windows.join(firsts, ["window", "twin"]).where("NOT (row = first_row AND start = first_start)")
+    firsts = materialize(firsts.select("window", "twin", "n", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first-windows")
+    later = looked_up(windows, firsts, ["window", "twin"], "n", "inner").where("NOT (row = first_row AND start = first_start)")
     begin = F.when(F.col("row") == F.col("first_row"), F.greatest("start", F.col("first_start") + run)).otherwise(F.col("start"))
     return later.select("row", begin.alias("begin"), (F.col("start") + run).alias("end")).where("begin < end")
 
@@ -89,9 +89,8 @@ def repeated_windows(rows: DataFrame, run: int = RUN) -> DataFrame:
         )
     )
     places = usable.select("row", F.explode(F.transform(picked, lambda p: F.struct(F.get("prints", p).alias("print"), F.get("checks", p).alias("check"), p.alias("place")))).alias("x")).select("row", "x.*")
-    shared = places.groupBy("print", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "check")
-    shared = bounded_broadcast(materialize(shared, "shared-lines"))
-    hits = places.join(shared, ["print", "check"]).groupBy("row").agg(F.collect_list("place").alias("hits"))
+    shared = places.groupBy("print", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hits = looked_up(places, materialize(shared, "shared-lines"), ["print", "check"], "n", "inner").groupBy("row").agg(F.collect_list("place").alias("hits"))
     found = usable.join(hits, "row")
     # Windows that contain a shared place: they extend a match to both sides.
     near = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - (run - 1)), F.least(p, F.size("prints") - run)))))

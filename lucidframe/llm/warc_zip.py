@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.llm.common import bounded_broadcast, empty_text, has_columns, materialize, scratch_path
+from lucidframe.llm.common import empty_text, has_columns, looked_up, materialize, scratch_path
 from lucidframe.shipping import ship
 
 #: A task starts a new package beyond this many bytes; neighbouring records are fetched together up to WINDOW bytes.
@@ -202,13 +202,13 @@ class PackageReader:
 
 def _typed(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """page_id, url, payload, digest, refers_to and revisit of each row."""
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), empty_text(F.col(payload_col)).alias("payload"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), empty_text(F.col(f"`{payload_col}`")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     big = F.octet_length("payload") >= min_bytes
-    several = rows.where(big).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    several = bounded_broadcast(materialize(several.withColumnRenamed("digest", "several"), "payload-winners"))
-    joined = rows.join(several, (F.col("digest") == F.col("several")) & big, "left")
-    revisit = F.col("several").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
+    rows = rows.withColumn("several", F.when(big, F.col("digest")))
+    several = rows.where(big).groupBy("several").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = looked_up(rows, materialize(several, "payload-winners"), ["several"], "n")
+    revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("keep")).alias("refers_to"), revisit.alias("revisit"))
 
 

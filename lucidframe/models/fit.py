@@ -12,7 +12,7 @@ import json
 import threading
 import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -209,13 +209,14 @@ class TreeScorer:
         kind, boosted = self.task.kind, None if self.start is None else trees.Boosted(self.task.kind, np.array(self.start), self.rounds)
         alone = self.rounds[0][0] if boosted is None else None
 
+        cuts = boosted.cuts(len(self.encoding.names)) if boosted else []
+
         @F.pandas_udf("array<double>" if kind == MULTICLASS else "double")
-        def run(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([])
-            rows = np.stack(x.to_numpy())
-            found = boosted.predict(rows) if boosted else alone.says(rows)
-            return pd.Series(list(found[:, 1] if alone and kind == BINARY else found))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            score = trees.Remembered(cuts, lambda bins, x: boosted.predict(x)) if boosted else alone.says
+            for x in batches:
+                found = score(np.stack(x.to_numpy())) if len(x) else np.empty((0, 2))
+                yield pd.Series(list(found[:, 1] if alone and kind == BINARY else found), dtype=None if len(x) else object)
 
         return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
 
@@ -268,11 +269,11 @@ class ForestScorer:
         sent = self.sent
 
         @F.pandas_udf("array<double>" if kind == MULTICLASS else "double")
-        def run(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([])
-            found = sent.value.predict(np.stack(x.to_numpy()))
-            return pd.Series(list(found[:, 1] if kind == BINARY else found))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            score = trees.Remembered(sent.value.cuts, lambda bins, x: sent.value.of_bins(bins))
+            for x in batches:
+                found = score(np.stack(x.to_numpy())) if len(x) else np.empty((0, 2))
+                yield pd.Series(list(found[:, 1] if kind == BINARY else found), dtype=None if len(x) else object)
 
         return self.encoding.guard(df).withColumn("score", run(self.encoding.array()))
 

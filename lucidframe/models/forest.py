@@ -1,7 +1,9 @@
 """Forests of full depth: every tree takes each row a Poisson number of times, every node draws its columns, and cut points are the best or drawn.
 
-Rows lie binned in blocks (`trees.binned`). A node of more than SMALL rows gets its split from histograms that a pass over all blocks adds
-up; a pass serves nodes of many trees, as many as PASS bytes of histograms hold. The rows of a smaller node go to one task by (tree, node), which
+Rows lie binned in blocks (`trees.binned`). Rows of equal bins can't be told apart by any split, so a tree needs only what its weights add up to in
+each cell of bins. Of a table of up to SMALL cells each tree's sums by cell go to one task, which grows it, however many rows the cells hold.
+Of others, a node of more than SMALL rows gets its split from histograms that a pass over all blocks adds
+up; a pass serves nodes of many trees, as many as PASS bytes of histograms hold. The cells of a smaller node go to one task by (tree, node), which
 grows all that is below. Weights are drawn for (seed, tree, block), columns and cuts for a node's place in its tree, and sums are exact; so neither the
 partitioning nor SMALL shows in a forest. A model of more than MODEL bytes is refused: it has up to twice as many nodes as rows of the sample divided
 by the least node size, for each tree.
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.contract import REGRESSION, ContractError
-from lucidframe.models.trees import BINS, Rows, Tree, unit, unpacked
+from lucidframe.models.trees import BINS, Rows, Tree, in_bins, unit, unpacked
 
-#: Rows of a node that one task grows by itself; bytes of a pass's histograms, and of those that a task holds; bytes of rows that a job sends to tasks, and to each; bytes of a forest.
-SMALL, PASS, HELD, SENT, EACH, MODEL = 65_536, 1 << 26, 1 << 23, 1 << 35, 1 << 26, 1 << 30
+#: Rows of a node, or cells of a table, that one task grows by itself; bytes of a pass's histograms, and of those that a task holds; bytes of rows that a job sends to tasks, and to each; bytes of a forest; bytes of sums by cell that a task holds.
+SMALL, PASS, HELD, SENT, EACH, MODEL, SUMS = 65_536, 1 << 26, 1 << 23, 1 << 35, 1 << 26, 1 << 30, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ class Plan:
             return count
         return np.random.default_rng([self.seed, tree, block]).poisson(count * self.share).astype(float)
 
+    def sums(self, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(row, channel): what rows add to histograms, whole numbers: weights and weighted outcomes, or weights by class."""
+        if self.kind == REGRESSION:
+            return np.column_stack([w, np.rint(y / self.step) * w])
+        return np.where(y[:, None] == np.arange(self.classes), w[:, None], 0.0)
+
     def root_key(self, tree: int) -> np.uint64:
         return mixed(mixed(np.array([self.seed], np.uint64)) + np.uint64(tree))[0]
 
@@ -91,20 +99,30 @@ def child_keys(keys: np.ndarray) -> np.ndarray:
     return mixed(keys[:, None] ^ mixed(np.array([[1, 2]], np.uint64)))
 
 
-def histograms(plan: Plan, number: np.ndarray, drawn: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+def histograms(plan: Plan, number: np.ndarray, drawn: np.ndarray, x: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """(node, drawn column, bin, channel) sums of rows whose node is number."""
     nodes, slots = drawn.shape
     out = np.empty((nodes, slots, BINS, plan.channels))
     for s in range(slots):
         place = number * BINS + x[np.arange(len(x)), drawn[number, s]]
-        if plan.kind == REGRESSION:
-            for c, values in enumerate((w, np.rint(y / plan.step) * w)):
-                out[:, s, :, c] = np.bincount(place, values, nodes * BINS).reshape(nodes, BINS)
-        else:
-            out[:, s] = np.bincount(place * plan.classes + y.astype(np.int64), w, nodes * BINS * plan.classes).reshape(nodes, BINS, plan.classes)
+        for c in range(plan.channels):
+            out[:, s, :, c] = np.bincount(place, sums[:, c], nodes * BINS).reshape(nodes, BINS)
     return out
 
 
+def first_of_equal(x: np.ndarray) -> np.ndarray:
+    """Where another cell begins in rows that are in the order of their bins."""
+    return np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))) if len(x) else np.empty(0, np.int64)
+
+
+def by_cell(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal bins added up."""
+    order = np.lexsort(x.T[::-1])
+    x, sums = x[order], sums[order]
+    first = first_of_equal(x)
+    return x[first], np.add.reduceat(sums, first, axis=0) if len(first) else sums
+
+
 def splits(plan: Plan, keys: np.ndarray, drawn: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(splits at all, column, bin, sums of what goes left) of each node; ties go to the first column and bin."""
     nodes = np.arange(len(sums))
@@ -153,7 +171,7 @@ class Part:
         return cls(np.frombuffer(column, np.int16), np.frombuffer(bin_, np.uint8), np.frombuffer(left, np.int64), np.frombuffer(value).reshape(len(bin_), -1))
 
 
-def grown(plan: Plan, key: np.uint64, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Part:
+def grown(plan: Plan, key: np.uint64, x: np.ndarray, sums: np.ndarray) -> Part:
     """All that grows from one node's rows, level by level, for all open nodes at once in chunks of HELD bytes of histograms."""
     levels, keys, number, size = [], np.array([key], np.uint64), np.zeros(len(x), np.int64), 1
     chunk = max(1, HELD // plan.node_bytes)
@@ -162,17 +180,17 @@ def grown(plan: Plan, key: np.uint64, x: np.ndarray, y: np.ndarray, w: np.ndarra
         for first in range(0, len(keys), chunk):
             own = slice(first, first + chunk)
             rows = slice(*np.searchsorted(number, [first, first + chunk]))  # rows are in the order of their nodes
-            sums = histograms(plan, number[rows] - first, drawn[own], x[rows], y[rows], w[rows])
-            found.append((*splits(plan, keys[own], drawn[own], sums)[:3], plan.says(sums[:, 0].sum(axis=1))))
+            table = histograms(plan, number[rows] - first, drawn[own], x[rows], sums[rows])
+            found.append((*splits(plan, keys[own], drawn[own], table)[:3], plan.says(table[:, 0].sum(axis=1))))
         worth, column, bins, value = (np.concatenate(a) for a in zip(*found))
         left = np.where(worth, size + 2 * (np.cumsum(worth) - 1), 0)
         levels.append(Part(np.where(worth, column, -1).astype(np.int16), np.where(worth, bins, 0).astype(np.uint8), left, value))
         live = worth[number]
-        x, y, w, number = x[live], y[live], w[live], number[live]
+        x, sums, number = x[live], sums[live], number[live]
         goes = x[np.arange(len(x)), column[number]] > bins[number]
         number = 2 * (np.cumsum(worth) - 1)[number] + goes
         order = np.argsort(number, kind="stable")
-        x, y, w, number = x[order], y[order], w[order], number[order]
+        x, sums, number = x[order], sums[order], number[order]
         keys = child_keys(keys[worth]).ravel()
         size += len(keys)
     return Part(*(np.concatenate([getattr(p, name) for p in levels]) for name in ("column", "bin", "left", "value")))
@@ -188,7 +206,10 @@ class Forest:
     nodes: Part
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
+        return self.of_bins(in_bins(self.cuts, x))
+
+    def of_bins(self, bins: np.ndarray) -> np.ndarray:
+        x = bins
         total, nodes = np.zeros((len(x), self.nodes.value.shape[1])), self.nodes
         for start in self.starts:
             node = np.full(len(x), start)
@@ -234,14 +255,19 @@ def plan_of(rows: Rows, kind: str, classes: int, q: dict, seed: int, resample: b
 
 
 def plant(rows: Rows, plan: Plan) -> Forest:
-    """Grow all trees: upper nodes by passes over all rows, the rest in tasks. Trees that took no row (of very small tables) are left out."""
+    """Grow all trees: of few cells each in a task; else upper nodes by passes over all rows, the rest in tasks. Trees that took no row (of very small tables) are left out."""
     tops = [Top(Tree(), {0: plan.root_key(t)}, {}, []) for t in range(plan.trees)]
-    _upper(rows, plan, tops)
+    cells = cells_of(rows)
+    if cells is None:
+        _upper(rows, plan, tops)
+        each = max(1, int(SENT // max(1, rows.distinct * (len(rows.cuts) + 8 * plan.channels))))
+    else:
+        each = max(1, SUMS // (8 * plan.channels * len(cells)))
     found: dict[int, dict[int, Part]] = {t: {} for t in range(plan.trees)}
-    each = max(1, int(SENT // max(1, rows.distinct * (len(rows.cuts) + 16))))
     used = 0
     for first in range(0, plan.trees, each):
-        parts = _lower(rows, plan, tops, range(first, min(first + each, plan.trees))).persist()
+        now = range(first, min(first + each, plan.trees))
+        parts = (_lower(rows, plan, tops, now) if cells is None else _whole(rows, plan, cells, now)).persist()
         try:
             used += (parts.agg(F.sum("nodes")).first()[0] or 0) * (11 + 8 * (1 if plan.kind == REGRESSION else plan.classes))
             if used > MODEL:
@@ -256,12 +282,60 @@ def plant(rows: Rows, plan: Plan) -> Forest:
     return Forest.of(plan.kind, rows.cuts, trees)
 
 
+def cells_of(rows: Rows) -> np.ndarray | None:
+    """The distinct bins of all rows, in order; none if there are more than SMALL of them. A task sends one more at most."""
+    inputs, most = len(rows.cuts), SMALL
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, inputs), np.uint8)
+        for batch in batches:
+            for row in batch.to_pylist() if len(held) <= most else ():
+                x = unpacked(row, inputs)[1]
+                held = np.unique(np.concatenate([held, x[first_of_equal(x)]]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in held[: most + 1]], pa.binary())], ["x"])
+
+    found = rows.packed.mapInArrow(own, "x binary").distinct().limit(most + 1).collect()
+    return None if len(found) > most else np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in found)), np.uint8).reshape(-1, inputs)
+
+
+PARTS = "tree int, node int, nodes bigint, column binary, bin binary, left binary, value binary"
+
+
+def _part_table(tree: int, node: int, found: Part) -> pa.Table:
+    return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()), "nodes": [len(found.column)], **{k: pa.array([v], pa.binary()) for k, v in zip(("column", "bin", "left", "value"), found.parts())}})
+
+
+def _whole(rows: Rows, plan: Plan, cells: np.ndarray, trees: range) -> DataFrame:
+    """What _lower returns, for trees over few cells: a task adds up its blocks' draws by tree and cell, and a tree's sums meet in the task that grows it."""
+    inputs, shape = len(rows.cuts), (len(cells), plan.channels)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = {v.tobytes(): i for i, v in enumerate(cells)}, np.zeros((len(trees), *shape))
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, x, y, count, _ = unpacked(row, inputs)
+                first = first_of_equal(x)
+                at, own = np.array([number[v.tobytes()] for v in x[first]]), plan.sums(y, np.ones(len(y)))
+                for k, t in enumerate(trees):
+                    held[k, at] += np.add.reduceat(own * plan.weights(t, block, count)[:, None], first, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(trees), pa.int32()), pa.array([v.tobytes() for v in held], pa.binary())], ["tree", "sums"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        t, total = table.column("tree")[0].as_py(), np.zeros(shape)
+        for v in table.column("sums"):
+            total += np.frombuffer(v.as_buffer()).reshape(shape)
+        took = plan.sizes(total) > 0
+        found = _part_table(t, 0, grown(plan, plan.root_key(t), cells[took], total[took])) if took.any() else None
+        return found or _part_table(t, 0, Part(*(np.empty(0),) * 4)).slice(1)
+
+    tasks = rows.packed.sparkSession.sparkContext.defaultParallelism
+    # Every task sends all trees' sums, so their number must not grow with the rows.
+    sent = rows.packed.coalesce(2 * tasks).mapInArrow(draw, "tree int, sums binary").repartition(min(4 * tasks, len(trees)), "tree")
+    return sent.groupBy("tree").applyInArrow(finish, PARTS)
+
+
 def _upper(rows: Rows, plan: Plan, tops: list[Top]) -> None:
-    """Split nodes of more than SMALL rows. A table of fewer distinct rows has none."""
-    if rows.distinct <= SMALL:
-        for top in tops:
-            top.small.append(0)
-        return
+    """Split nodes of more than SMALL rows."""
     open_ = [(t, 0) for t in range(plan.trees)]
     at_once = max(1, PASS // plan.node_bytes)
     while open_:
@@ -272,13 +346,14 @@ def _upper(rows: Rows, plan: Plan, tops: list[Top]) -> None:
         walked = {t: (tops[t].tree, nodes, plan.columns_of(np.array([tops[t].keys[k] for k in nodes], np.uint64))) for t, nodes in of_tree.items()}
 
         def part(block, x, y, count, margin, walked=walked):
-            out = {}
+            out, first = {}, first_of_equal(x)
+            x, own = x[first], plan.sums(y, np.ones(len(y)))
             for t, (tree, nodes, drawn) in walked.items():
                 number = np.full(len(tree.column), -1)
                 number[nodes] = np.arange(len(nodes))
-                node, w = number[tree.nodes(x, True)], plan.weights(t, block, count)
-                at = (node >= 0) & (w > 0)
-                sums = histograms(plan, node[at], drawn, x[at], y[at], w[at])
+                node, drew = number[tree.nodes(x, True)], np.add.reduceat(own * plan.weights(t, block, count)[:, None], first, axis=0)
+                at = (node >= 0) & (plan.sizes(drew) > 0)
+                sums = histograms(plan, node[at], drawn, x[at], drew[at])
                 out |= {(t, k): s.ravel() for k, s in zip(nodes, sums)}
             return out
 
@@ -310,28 +385,30 @@ def _lower(rows: Rows, plan: Plan, tops: list[Top], trees: range) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block, x, y, count, _ = unpacked(row, inputs)
+                first = first_of_equal(x)
+                x, each = x[first], plan.sums(y, np.ones(len(y)))
                 for t, (tree, nodes, _) in upper.items():
                     number = np.full(len(tree.column), -1)
                     number[nodes] = np.arange(len(nodes))
-                    node, w = number[tree.nodes(x, True)], plan.weights(t, block, count)
-                    at = np.flatnonzero((node >= 0) & (w > 0))
+                    node, drew = number[tree.nodes(x, True)], np.add.reduceat(each * plan.weights(t, block, count)[:, None], first, axis=0)
+                    at = np.flatnonzero((node >= 0) & (plan.sizes(drew) > 0))
                     at = at[np.argsort(node[at], kind="stable")]
                     ends = np.searchsorted(node[at], np.arange(len(nodes) + 1))
                     own = [at[a:b] for a, b in zip(ends[:-1], ends[1:])]
                     sent = [k for k, rows_ in enumerate(own) if len(rows_)]
-                    packed = [pa.array([np.ascontiguousarray(v[own[k]]).tobytes() for k in sent], pa.binary()) for v in (x, y, w)]
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(sent), pa.int32()), pa.array([nodes[k] for k in sent], pa.int32()), *packed], ["tree", "node", "x", "y", "w"])
+                    packed = [pa.array([np.ascontiguousarray(v[own[k]]).tobytes() for k in sent], pa.binary()) for v in (x, drew)]
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(sent), pa.int32()), pa.array([nodes[k] for k in sent], pa.int32()), *packed], ["tree", "node", "x", "sums"])
 
     def finish(table: pa.Table) -> pa.Table:
         t, node = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
-        x, y, w = (np.concatenate([np.frombuffer(v, kind) for v in table.column(name).to_pylist()]) for name, kind in (("x", np.uint8), ("y", float), ("w", float)))
-        found = grown(plan, upper[t][2][node], x.reshape(-1, inputs), y, w)
-        return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "nodes": [len(found.column)], **{k: pa.array([v], pa.binary()) for k, v in zip(("column", "bin", "left", "value"), found.parts())}})
+        x, sums = (np.concatenate([np.frombuffer(v, kind) for v in table.column(name).to_pylist()]) for name, kind in (("x", np.uint8), ("sums", float)))
+        found = grown(plan, upper[t][2][node], *by_cell(x.reshape(-1, inputs), sums.reshape(-1, plan.channels)))
+        return _part_table(t, node, found)
 
     spark = rows.packed.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(len(trees) * rows.distinct * (inputs + 16) // EACH))
-    sent = rows.packed.mapInArrow(deal, "tree int, node int, x binary, y binary, w binary").repartition(parts, "tree", "node")
-    return sent.groupBy("tree", "node").applyInArrow(finish, "tree int, node int, nodes bigint, column binary, bin binary, left binary, value binary")
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(len(trees) * rows.distinct * (inputs + 8 * plan.channels) // EACH))
+    sent = rows.packed.mapInArrow(deal, "tree int, node int, x binary, sums binary").repartition(parts, "tree", "node")
+    return sent.groupBy("tree", "node").applyInArrow(finish, PARTS)
 
 
 def _joined(top: Top, below: dict[int, Part]) -> Part:

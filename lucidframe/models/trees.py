@@ -25,6 +25,8 @@ from lucidframe.shipping import ship
 
 #: Bins of a column, distinct rows of a block, distinct rows up to which no Spark job is made for a pass, trees after which rows' margins are written down again.
 BINS, BLOCK, LOCAL, PENDING = 128, 16_384, 200_000, 8
+#: Cells whose scores a task keeps in mind.
+KEPT = 200_000
 
 
 @dataclass
@@ -148,7 +150,7 @@ def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarr
         for batch in batches:
             x = matrix(batch.column(0))
             if batch.num_rows:
-                place_ = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)]).astype(np.int32)
+                place_ = in_bins(cuts, x).astype(np.int32)
                 lists = pa.ListArray.from_arrays(np.arange(0, place_.size + 1, place_.shape[1], dtype=np.int32), pa.array(place_.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["x", "y"])
 
@@ -176,6 +178,44 @@ def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarr
         distinct.unpersist()
 
 
+def in_bins(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """(row, column): how many of a column's cuts lie below a value."""
+    return np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
+
+
+class Remembered:
+    """Scores of rows, each cell of bins scored once: a model of cuts says the same of all that a cell holds. Up to KEPT cells stay in mind.
+
+    scores(bins, some rows of these bins) -> an array by row.
+    """
+
+    def __init__(self, cuts: list[np.ndarray], scores: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.cuts, self.scores = cuts, scores
+        self.keys, self.known = np.empty(0, np.uint64), None
+        sizes = [len(c) + 1 for c in cuts]
+        self.digits = np.cumprod([1, *sizes[:-1]], dtype=object)
+        self.fits = int(self.digits[-1]) * sizes[-1] < 2**63
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        bins = in_bins(self.cuts, x)
+        if not self.fits:  # too many cells for a number: equal ones won't be many
+            return self.scores(bins, x)
+        key, first, back = np.unique(bins.astype(np.uint64) @ self.digits.astype(np.uint64), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, key)
+        new = np.ones(len(key), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != key[inside]
+        fresh = self.scores(bins[first[new]], x[first[new]]) if new.any() else self.known[:0]
+        out = np.empty((len(key), *fresh.shape[1:]))
+        out[new] = fresh
+        out[~new] = self.known[at[~new]] if self.known is not None else out[~new]
+        if new.any() and len(self.keys) + len(fresh) <= KEPT:
+            keys = np.concatenate([self.keys, key[new]])
+            order = np.argsort(keys)
+            self.keys, self.known = keys[order], (fresh if self.known is None else np.concatenate([self.known, fresh]))[order]
+        return out[back]
+
+
 def unit(n: float) -> float:
     """The part of 1 of which sums over n rows are whole multiples below 2^52."""
     return 2.0 ** -max(4, min(26, 48 - int(np.ceil(np.log2(max(n, 2))))))
@@ -204,6 +244,11 @@ class Boosted:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return linked(self.start + added(x, self.rounds, len(self.start), False), self.kind)
 
+    def cuts(self, inputs: int) -> list[np.ndarray]:
+        """The values that some tree splits at, of each column."""
+        every = [(c, v) for trees in self.rounds for t in trees for c, v in zip(t.column, t.cut) if c >= 0]
+        return [np.array(sorted({v for c, v in every if c == j})) for j in range(inputs)]
+
 
 def added(x: np.ndarray, rounds: list[list[Tree]], outputs: int, binned_: bool = True) -> np.ndarray:
     """What rounds of trees add to the margins of rows."""

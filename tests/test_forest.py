@@ -155,3 +155,35 @@ def test_very_small_tables(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0.0, 5.0), (2.0, 1.0, 0.0, 7.0), (2.0, 1.0, 0.0, 7.0)], "a double, b double, c double, y double")
     scored = fit.fit_learner(df, REG, "forest", Q | {"num.trees": 30}, INPUTS).score(df).collect()
     assert all(5 <= r.score <= 7 for r in scored)
+
+
+def test_trees_over_few_cells_grow_in_one_job_without_passes(data, monkeypatch):
+    first = planted(data)
+    with monkeypatch.context() as m:
+        m.setattr(forest, "SMALL", 60)  # more cells than that: passes over rows
+        passes = planted(data)
+    many = data.select((F.round(F.col("a"), 1)).alias("a"), F.lit(0.5).alias("b"), (F.col("c") > 0.5).cast("double").alias("c"), "y")
+    with monkeypatch.context() as m:
+        m.setattr(forest, "SMALL", 60)  # some 22 cells of 800 rows: no pass, though every root has more rows than SMALL
+        m.setattr(forest, "_upper", None)
+        m.setattr(forest, "SUMS", 22 * 2 * 8 * 4)  # several jobs
+        found = planted(many)
+    assert walked(first) == walked(passes)
+    assert same(found, planted(many))
+
+
+@pytest.mark.parametrize("kept", [0, 5, 10_000])
+def test_cells_are_scored_once(data, monkeypatch, kept):
+    monkeypatch.setattr(trees, "KEPT", kept)
+    found, rng, asked = planted(data), np.random.default_rng(3), []
+    x = np.round(rng.random((400, 3)), 1)
+
+    def scores(bins, rows):
+        asked.append(len(bins))
+        return found.of_bins(bins)
+
+    score = trees.Remembered(found.cuts, scores)
+    for part in (x[:150], x[150:], x):
+        assert np.array_equal(score(part), found.predict(part))
+    cells = len(np.unique(trees.in_bins(found.cuts, x), axis=0))
+    assert sum(asked) == cells if kept == 10_000 else sum(asked) > cells

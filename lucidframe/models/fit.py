@@ -26,6 +26,7 @@ from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, T
 from lucidframe.functions.expr import candidate_cuts, col
 from lucidframe.models import cells, forest, grams, margin, mars, neural, trees
 from lucidframe.models.registry import FAMILIES, check_parameters
+from lucidframe.operators import metrics
 from lucidframe.operators.prep import Encoding, learn_encoding
 from lucidframe.shipping import ship
 
@@ -240,11 +241,12 @@ def _tree(df, task, encoding, q, seed, shared=None):
             y = (y - scale[0]) / scale[1]
         else:
             scale = (0.0, 1.0)
-        rows = trees.binned(df, dict(encoding.columns()), y, np.zeros(1))
+        rows = shared_of(shared, "binned", lambda: trees.binned(df, dict(encoding.columns()), y, np.zeros(1)))
         try:
             found = trees.grow(rows, task.kind, len(task.levels), min(30, q["maxdepth"]), q["minsplit"])
         finally:
-            rows.release()
+            if shared is None:  # else whoever shares it lets go of it
+                rows.release()
         if task.kind == REGRESSION:
             found.tree.value = [v * scale[1] + scale[0] for v in found.tree.value]
         return found
@@ -486,7 +488,13 @@ def _neural(df, task, encoding, q, seed, shared=None):
         if not scale:
             raise ContractError("the outcome doesn't vary")
     net = neural.Net(len(encoding.names), q["size"], len(task.levels) if task.kind == MULTICLASS else 1, task.kind, q["decay"], float(centre), float(scale))
-    weights, about = neural.fit(df, encoding.array(), y, net, seed)
+    # A search over settings says which nets it will ask for, and they are fitted together.
+    nets = [(replace(net, hidden=p["size"], decay=p["decay"]), s) for p, s in (shared or {}).get("nets asked for", [])]
+    if (net, seed) in nets:
+        weights, about = shared_of(shared, "nets", lambda: dict(zip(nets, neural.fit_several(df, encoding.array(), y, nets))))[net, seed]
+    else:
+        weights, about = neural.fit(df, encoding.array(), y, net, seed)
+    about = dict(about)
     notes = () if about["converged"] else ("the cap on passes was reached",)
     return NetScorer(encoding, task, net, weights), {"complexity": float(net.size), "notes": notes} | about
 
@@ -646,8 +654,8 @@ _RESTORED: dict[str, Callable] = {
 }
 
 
-def check_scores(df: DataFrame, task: Task, score: str = "score") -> None:
-    """Scores must be there and finite, probabilities in [0, 1] and, for several classes, add up to one."""
+def wrong_scores(task: Task, score: str = "score") -> Column:
+    """How many scores break the contract: they must be there and finite, probabilities in [0, 1] and, for several classes, add up to one."""
     p = F.col(score)
     if task.kind == MULTICLASS:
         bad = p.isNull() | (F.size(p) != len(task.levels)) | F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1)) | (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-6)
@@ -656,7 +664,22 @@ def check_scores(df: DataFrame, task: Task, score: str = "score") -> None:
         bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
         if task.kind == BINARY:
             bad = bad | (x < 0) | (x > 1)
-    wrong = df.agg(F.count(F.when(bad, 1))).first()[0]
+    return F.count(F.when(bad, 1))
+
+
+def check_scores(df: DataFrame, task: Task, score: str = "score") -> None:
+    """An error if scores break the contract."""
+    _refuse(df.agg(wrong_scores(task, score)).first()[0], task)
+
+
+def checked_loss(df: DataFrame, task: Task, metric: str) -> float | None:
+    """A metric of y and score and the check of the scores, in one pass that makes nothing else."""
+    wrong, value = df.agg(wrong_scores(task), metrics.aggregates(task, F.col("y"), F.col("score"))[metric]).first()
+    _refuse(wrong, task)
+    return value
+
+
+def _refuse(wrong: int, task: Task) -> None:
     if wrong:
         raise ContractError(f"{wrong} predictions break the contract of a {task.kind} task")
 

@@ -9,7 +9,7 @@ LOCAL distinct rows the same passes over the same blocks run on the driver, wher
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ from lucidframe.shipping import ship
 
 #: Distinct rows of a block, groups in which blocks' gradients are added up, distinct rows up to which no Spark job is made for a pass.
 BLOCK, GROUPS, LOCAL = 8192, 64, 20_000
+#: Bytes of groups' sums that a task makes.
+ADDED = 1 << 20
 #: Passes at most, and the relative gain below which the search ends.
 PASSES, GAIN = 500, 1e-9
 
@@ -110,6 +112,7 @@ class Source:
     packed: DataFrame
     inputs: int
     held: list | None = None
+    tasks: int | None = None  # of a pass
 
     def sums(self, part: Part, size: int) -> np.ndarray:
         """The arrays of `size` numbers that part(block, x, y, count) makes of each block, added up in the order of blocks within groups, then of groups."""
@@ -132,8 +135,10 @@ class Source:
                 total = total + np.frombuffer(sums[k])
             return pa.table({"group": table.column("group")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-        parts = self.packed.mapInArrow(each, "block bigint, sums binary").withColumn("group", F.pmod("block", F.lit(GROUPS)))
-        found = parts.groupBy("group").applyInArrow(together, "group bigint, sums binary").collect()
+        packed = self.packed.coalesce(self.tasks) if self.tasks else self.packed
+        parts = packed.mapInArrow(each, "block bigint, sums binary").withColumn("group", F.pmod("block", F.lit(GROUPS)))
+        # Few numbers come from a block, so few tasks add them up: what tasks report to the driver outweighs the sums.
+        found = parts.repartition(min(GROUPS, self.tasks or GROUPS, max(1, size * 8 * GROUPS // ADDED)), "group").groupBy("group").applyInArrow(together, "group bigint, sums binary").collect()
         return sum((np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["group"])), np.zeros(size))
 
 
@@ -143,10 +148,10 @@ def opened(df: DataFrame, x: Column, y: Column, inputs: int) -> Iterator[Source]
     ship(df.sparkSession)
     packed = blocks(df, x, y).persist()
     try:
-        held = None
+        held, tasks = None, 2 * df.sparkSession.sparkContext.defaultParallelism
         if (packed.agg(F.sum("rows")).first()[0] or 0) <= LOCAL:
             held = sorted(((r["block"], *_unpacked(r, inputs)) for r in packed.collect()), key=lambda b: b[0])
-        yield Source(packed, inputs, held)
+        yield Source(packed, inputs, held, tasks)
     finally:
         packed.unpersist()
 
@@ -158,19 +163,44 @@ def evaluate(packed: DataFrame, net: Net, w: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, x: Column, y: Column, net: Net, seed: int) -> tuple[np.ndarray, dict]:
     """The weights, and how the search went."""
-    with opened(df, x, y, net.inputs) as source:
-
-        def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-            found = source.sums(lambda block, x, y, count: net.loss(w, x, y, count), net.size + 1)
-            return found[0] + net.decay * float(w @ w), found[1:] + 2 * net.decay * w
-
-        w, value, passes, ended = minimise(objective, np.random.default_rng(seed).uniform(-0.1, 0.1, net.size))
-    return w, {"loss": value, "passes": passes, "converged": ended}
+    return fit_several(df, x, y, [(net, seed)])[0]
+
+
+def fit_several(df: DataFrame, x: Column, y: Column, nets: list[tuple[Net, int]]) -> list[tuple[np.ndarray, dict]]:
+    """What fit returns for each net and seed. Their searches go side by side: a pass over the rows serves all that aren't at an end."""
+    memory, passes, gain = minimise.__defaults__
+    with opened(df, x, y, nets[0][0].inputs) as source:
+        searches = [searched(np.random.default_rng(seed).uniform(-0.1, 0.1, net.size), memory, passes, gain) for net, seed in nets]
+        asked, found = {k: next(s) for k, s in enumerate(searches)}, {}
+        while asked:
+            now = [(nets[k][0], w) for k, w in asked.items()]
+            ends = np.cumsum([net.size + 1 for net, _ in now])
+            sums = source.sums(lambda block, x, y, count, now=now: np.concatenate([net.loss(w, x, y, count) for net, w in now]), int(ends[-1]))
+            for (k, w), own in zip(list(asked.items()), np.split(sums, ends[:-1])):
+                decay = nets[k][0].decay
+                try:
+                    asked[k] = searches[k].send((own[0] + decay * float(w @ w), own[1:] + 2 * decay * w))
+                except StopIteration as end:
+                    best, value, used, ended = end.value
+                    found[k] = best, {"loss": value, "passes": used, "converged": ended}
+                    del asked[k]
+    return [found[k] for k in range(len(nets))]
 
 
 def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, memory: int = 12, passes: int = PASSES, gain: float = GAIN) -> tuple[np.ndarray, float, int, bool]:
     """L-BFGS with a line search that doubles or halves: (weights, value, evaluations, whether the gain ended it)."""
-    value, gradient = objective(w)
+    search = searched(w, memory, passes, gain)
+    at = next(search)
+    while True:
+        try:
+            at = search.send(objective(at))
+        except StopIteration as end:
+            return end.value
+
+
+def searched(w: np.ndarray, memory: int, passes: int, gain: float) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple[np.ndarray, float, int, bool]]:
+    """The search of minimise: it asks for the value and gradient at some weights, is sent them, and returns what minimise does."""
+    value, gradient = yield w
     used, steps, small = 1, [], 0
     while used < passes:
         d = gradient.copy()
@@ -194,7 +224,7 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.
             continue
         low, high, length, found = 0.0, np.inf, 1.0, None
         for _ in range(30):  # weak Wolfe conditions by bisection
-            next_value, next_gradient = objective(w - length * d)
+            next_value, next_gradient = yield w - length * d
             used += 1
             if not next_value <= value + 1e-4 * length * slope:
                 high = length

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from py4j.protocol import Py4JError
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, REGRESSION, ContractError, Task
 from lucidframe.functions.expr import clamp, col
-from lucidframe.models.fit import Fitted, Formula, check_scores, fit_learner
+from lucidframe.models.fit import Fitted, Formula, checked_loss, fit_learner
 from lucidframe.models.grams import Gram, grams
 from lucidframe.models.registry import FAMILIES, check_parameters, portfolio
 from lucidframe.operators import prep, selection, split
-from lucidframe.operators.metrics import evaluate, first_argmax
+from lucidframe.operators.metrics import first_argmax
 from lucidframe.shipping import ship
 
 SCHEMA_VERSION = 4
@@ -152,6 +152,8 @@ class Fold:
     def release(self) -> None:
         self.training.unpersist()
         self.validation.unpersist()
+        if "binned" in self.shared:
+            self.shared.pop("binned").release()
 
 
 def prepare_fold(df: DataFrame, task: Task, row_id: str, number: int, options: dict) -> Fold:
@@ -214,7 +216,7 @@ class TuningRecord:
     plan: list[dict]
     candidates: list[dict]
     fold_scores: list[dict]
-    oof: DataFrame | None
+    evidence: list[Callable[[], DataFrame]] | None
     metric: str
     rule: str
     selected: str
@@ -224,28 +226,39 @@ class TuningRecord:
     refit: dict = field(default_factory=dict)
     schema_version: int = SCHEMA_VERSION
 
+    @cached_property
+    def oof(self) -> DataFrame | None:
+        """Out-of-fold rows of all configurations; put together when asked for, as a plan of all fits is long."""
+        return reduce(DataFrame.unionByName, [rows() for rows in self.evidence]) if self.evidence else None
+
     def __repr__(self) -> str:
         return f"<tuning of {len(self.plan)} configurations on {self.folds} folds by {self.metric}, {self.rule}: {self.selected}>"
 
 
-def _fold_score(fold: Fold, task: Task, c: dict, metric: str, row_id: str) -> tuple[float, DataFrame]:
+def fit_seed(c: dict, q: dict) -> int:
+    """The seed of a fit: that of its configuration and what the data left of its setting, below 2^31 - 1."""
+    return configuration_seed(c["seed"], c["family"], q)
+
+
+def _fold_score(fold: Fold, task: Task, c: dict, metric: str, row_id: str) -> tuple[float, Callable[[], DataFrame]]:
     q = effective_parameters(c["family"], c["parameters"], fold.rows, len(fold.features))
-    model = fit_learner(fold.training, task, c["family"], q, fold.features, configuration_seed(c["seed"], c["family"], q), shared=fold.shared)
+    model = fit_learner(fold.training, task, c["family"], q, fold.features, fit_seed(c, q), shared=fold.shared)
     scored = model.score(fold.validation).withColumn("y", task.label().cast("double" if task.kind == REGRESSION else "int"))
     if fold.held is not None and metric == "rmse" and isinstance(model.scorer, Formula) and model.scorer.form == "linear":
         numbers = model.scorer.numbers
         value = (fold.held.squared_error(numbers["intercept"], np.array(numbers["coefficients"])) / fold.held.n) ** 0.5
     else:
-        check_scores(scored, task)
-        value = evaluate(scored, task).first()[metric]
+        value = checked_loss(scored, task, metric)
     if value is None or not np.isfinite(value):
         raise ContractError("the fold has no finite score")
-    return float(value), oof_rows(scored, task, c["configuration_id"], fold.number, row_id)
+    return float(value), lambda: oof_rows(scored, task, c["configuration_id"], fold.number, row_id)
 
 
-def _fold_scores(fold: Fold, task: Task, plan: list[dict], metric: str, row_id: str, policy: str) -> list[tuple[dict, DataFrame | None]]:
+def _fold_scores(fold: Fold, task: Task, plan: list[dict], metric: str, row_id: str, policy: str) -> list[tuple[dict, Callable[[], DataFrame] | None]]:
     """Every configuration on one fold, in the order of the plan."""
     out = []
+    asked = [(effective_parameters(c["family"], c["parameters"], fold.rows, len(fold.features)), c) for c in plan if c["family"] == "neural"]
+    fold.shared["nets asked for"] = [(q, fit_seed(c, q)) for q, c in asked]
     for c in plan:
         row, evidence = {"configuration_id": c["configuration_id"], "fold": fold.number, "rows": fold.rows, "score": None, "error": ""}, None
         try:
@@ -291,8 +304,7 @@ def tune(df: DataFrame, task: Task, row_id: str, learners: Sequence[str], budget
         raise ContractError("no configuration has a score on every fold")
     best = min(usable, key=lambda c: c["cv_score"]) if rule == "best" else selection.one_se(usable)
     omissions = [{"fold": f.number, "omitted": f.omitted} for f in prepared if f.omitted]
-    rows = reduce(DataFrame.unionByName, oof) if oof and control.retain_oof else None
-    return TuningRecord(plan, candidates, scores, rows, metric, rule, best["configuration_id"], len(numbers), omissions)
+    return TuningRecord(plan, candidates, scores, oof if control.retain_oof else None, metric, rule, best["configuration_id"], len(numbers), omissions)
 
 
 def paired_oof(record: TuningRecord, a: str, b: str) -> DataFrame:

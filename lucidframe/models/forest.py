@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.contract import REGRESSION, ContractError
-from lucidframe.models.trees import BINS, Rows, Tree, in_bins, unit, unpacked
+from lucidframe.models.trees import BINS, Rows, Tree, first_of_equal, in_bins, unit, unpacked
 
 #: Rows of a node, or cells of a table, that one task grows by itself; bytes of a pass's histograms, and of those that a task holds; bytes of rows that a job sends to tasks, and to each; bytes of a forest; bytes of sums by cell that a task holds.
 SMALL, PASS, HELD, SENT, EACH, MODEL, SUMS = 65_536, 1 << 26, 1 << 23, 1 << 35, 1 << 26, 1 << 30, 1 << 26
@@ -110,11 +110,6 @@ def histograms(plan: Plan, number: np.ndarray, drawn: np.ndarray, x: np.ndarray,
     return out
 
 
-def first_of_equal(x: np.ndarray) -> np.ndarray:
-    """Where another cell begins in rows that are in the order of their bins."""
-    return np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))) if len(x) else np.empty(0, np.int64)
-
-
 def by_cell(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of equal bins added up."""
     order = np.lexsort(x.T[::-1])

@@ -87,6 +87,7 @@ class Rows:
     packed: DataFrame | None
     held: list | None = None
     distinct: int = 0
+    cells: bool = False  # y holds sums of outcomes by cell
 
     def sums(self, part: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Named]) -> Named:
         """The arrays that part(block, bins, y, count, margin) makes of each block, added up by name."""
@@ -136,8 +137,8 @@ class Rows:
 
 
 def unpacked(row: dict, inputs: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    y = np.frombuffer(row["y"])
-    return row["block"], np.frombuffer(row["x"], np.uint8).reshape(-1, inputs), y, np.frombuffer(row["count"]), np.frombuffer(row["margin"]).reshape(len(y), -1)
+    count = np.frombuffer(row["count"])
+    return row["block"], np.frombuffer(row["x"], np.uint8).reshape(-1, inputs), np.frombuffer(row["y"]), count, np.frombuffer(row["margin"]).reshape(len(count), -1)
 
 
 def binned(df: DataFrame, columns: dict[str, Column], y: Column, start: np.ndarray, local: int | None = None) -> Rows:
@@ -270,12 +271,73 @@ def linked(margin: np.ndarray, kind: str) -> np.ndarray:
 
 def gradients(margin: np.ndarray, y: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the loss by each output's margin."""
+    p, h = expected(margin, kind)
+    return p - outcomes(y, kind, margin.shape[1]), h
+
+
+def expected(margin: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, output): what outcomes the margins expect, of which gradients are a difference; and second derivatives."""
     p = linked(margin, kind)
     if kind == REGRESSION:
-        return (p - y)[:, None], np.ones((len(y), 1))
-    if kind == BINARY:
-        return (p - y)[:, None], np.maximum(p * (1 - p), 1e-16)[:, None]
-    return p - np.eye(margin.shape[1])[y.astype(int)], np.maximum(2 * p * (1 - p), 1e-16)
+        return p[:, None], np.ones((len(p), 1))
+    return (p[:, None], np.maximum(p * (1 - p), 1e-16)[:, None]) if kind == BINARY else (p, np.maximum(2 * p * (1 - p), 1e-16))
+
+
+def outcomes(y: np.ndarray, kind: str, outputs: int) -> np.ndarray:
+    """(row, output): outcomes as numbers, or as one at the class."""
+    return y[:, None] if kind in (REGRESSION, BINARY) else np.eye(outputs)[y.astype(int)]
+
+
+def first_of_equal(x: np.ndarray) -> np.ndarray:
+    """Where another cell begins in rows that are in the order of their bins."""
+    return np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))) if len(x) else np.empty(0, np.int64)
+
+
+def collapsed(rows: Rows, kind: str, start: np.ndarray) -> Rows:
+    """Rows of equal bins as one, y being the sums of their outcomes in units: all that gradients need where every round takes every row."""
+    inputs, outputs, step = len(rows.cuts), len(start), unit(rows.n)
+    names = [f"s{i}" for i in range(outputs + 1)]
+
+    def own(x, y, count):
+        first = first_of_equal(x)
+        return x[first], np.add.reduceat(np.column_stack([count, np.rint(outcomes(y, kind, outputs) / step) * count[:, None]]), first, axis=0)
+
+    def block(number, x, sums):
+        return number, x, np.ascontiguousarray(sums[:, 1:]).ravel(), np.ascontiguousarray(sums[:, 0]), np.tile(start, (len(x), 1))
+
+    if rows.held is not None:
+        found = [own(x, y, c) for _, x, y, c, _ in rows.held]
+        x, sums = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort(x.T[::-1])
+        first = first_of_equal(x[order])
+        return Rows(rows.cuts, rows.n, None, [block(0, x[order][first], np.add.reduceat(sums[order], first, axis=0))], len(first), True)
+
+    def each(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, x, y, count, _ = unpacked(row, inputs)
+                x, sums = own(x, y, count)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), *map(pa.array, sums.T)], ["x", *names])
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint8).reshape(-1, inputs)
+        order, sums = np.lexsort(x.T[::-1]), np.column_stack([table.column(n).to_numpy() for n in names])
+        parts = zip(("x", "y", "count", "margin"), block(0, x[order], sums[order])[1:])
+        return pa.table({"block": table.column("block")[:1], **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in parts}})
+
+    cells = rows.packed.mapInArrow(each, "x binary, " + ", ".join(f"{n} double" for n in names)).groupBy("x").agg(*[F.sum(n).alias(n) for n in names]).persist()
+    try:
+        different = cells.count()
+        dealt = cells.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(max(1, -(-different // BLOCK)))))
+        packed = dealt.groupBy("block").applyInArrow(pack, rows.packed.schema).persist()
+        packed.count()
+    finally:
+        cells.unpersist()
+    if different > LOCAL:
+        return Rows(rows.cuts, rows.n, packed, None, different, True)
+    held = sorted((unpacked(r.asDict(), inputs) for r in packed.collect()), key=lambda b: b[0])
+    packed.unpersist()
+    return Rows(rows.cuts, rows.n, None, held, different, True)
 
 
 def shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
@@ -305,9 +367,19 @@ def kept_rows(block: int, size: int, count: np.ndarray, share: float, seed: int,
 
 
 def boost(rows: Rows, kind: str, start: np.ndarray, q: dict, seed: int) -> Boosted:
-    """Rounds of one tree for each output, grown level by level on gradient and curvature histograms."""
+    """Rounds of one tree for each output, grown level by level on gradient and curvature histograms. Where rounds take all rows, cells of equal bins stand for them."""
+    if q["subsample"] < 1 or rows.cells:
+        return _boosted(rows, kind, start, q, seed)
+    rows = collapsed(rows, kind, start)
+    try:
+        return _boosted(rows, kind, start, q, seed)
+    finally:
+        rows.release()
+
+
+def _boosted(rows: Rows, kind: str, start: np.ndarray, q: dict, seed: int) -> Boosted:
     found, inputs, outputs = Boosted(kind, start, []), len(rows.cuts), len(start)
-    step, pending = unit(rows.n), []
+    step, pending, cells = unit(rows.n), [], rows.cells
     for r in range(q["nrounds"]):
         order = sorted(range(inputs), key=lambda j: xxhash.xxh64_intdigest(f"{seed}|{r}|{j}"))
         columns = sorted(order[: max(1, int(np.ceil(q["colsample_bytree"] * inputs - 1e-9)))])
@@ -317,8 +389,9 @@ def boost(rows: Rows, kind: str, start: np.ndarray, q: dict, seed: int) -> Boost
             last = depth == q["max_depth"]
 
             def part(block, x, y, count, margin, r=r, trees=trees, open_=open_, columns=columns, pending=tuple(pending)):
-                g, h = gradients(margin + added(x, pending, outputs), y, kind)
-                w = kept_rows(block, len(y), count, q["subsample"], seed, r)
+                p, h = expected(margin + added(x, pending, outputs), kind)
+                w = kept_rows(block, len(count), count, q["subsample"], seed, r)
+                told = y.reshape(-1, outputs) if cells else np.rint(outcomes(y, kind, outputs) / step) * w[:, None]
                 out = {}
                 for k, tree in enumerate(trees):
                     if not open_[k]:
@@ -327,7 +400,7 @@ def boost(rows: Rows, kind: str, start: np.ndarray, q: dict, seed: int) -> Boost
                     number[open_[k]] = np.arange(len(open_[k]))
                     node = number[tree.nodes(x, True)]
                     at = node >= 0
-                    weights = [np.rint(g[at, k] / step) * w[at], np.rint(h[at, k] / step) * w[at]]
+                    weights = [np.rint(p[at, k] / step) * w[at] - told[at, k], np.rint(h[at, k] / step) * w[at]]
                     for j, sums in zip(columns, _histogram(node[at], x[at], weights, len(open_[k]), columns)):
                         out[k, j] = sums
                 return out

@@ -1,10 +1,12 @@
 """Searches and scores that share their passes say what each says alone."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, ContractError, Task
-from lucidframe.models import fit, neural, tuning
+from lucidframe.models import fit, neural, trees, tuning
+from lucidframe.operators import explain
 
 BIN = Task(BINARY, "side", ("no", "yes"), "yes")
 
@@ -55,3 +57,44 @@ def test_checked_loss_refuses_what_is_no_probability(spark):
     except ContractError:
         return
     raise AssertionError("a score of 1.5 was taken")
+
+
+@pytest.mark.parametrize("task", ["regression", "binary", "multiclass"])
+def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch, task):
+    df = spark.range(500).select(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(7)) / 7.0).alias(n) for k, n in enumerate("ab")], F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1000)).alias("r"))
+    y = {"regression": F.col("a") + F.col("r") / 1000, "binary": (F.col("r") > 600).cast("int"), "multiclass": (F.col("r") % 3).cast("int")}[task]
+    start, q = np.zeros(3 if task == "multiclass" else 1), {"nrounds": 4, "eta": 0.3, "max_depth": 3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 1.0}
+    columns = {n: F.col(n) for n in "ab"}
+    plain = trees._boosted(trees.binned(df, columns, y, start), task, start, q, 3)
+    passes, own = [], trees.Rows.sums
+    monkeypatch.setattr(trees.Rows, "sums", lambda self, part: passes.append((self.distinct, self.cells)) or own(self, part))
+    for local in (None, 0):  # rows held on the driver, or in Spark
+        found = trees.boost(trees.binned(df, columns, y, start, local), task, start, q, 3)
+        assert [[(t.column, t.bin) for t in r] for r in found.rounds] == [[(t.column, t.bin) for t in r] for r in plain.rounds]
+        assert np.allclose([v for r in found.rounds for t in r for v in t.value], [v for r in plain.rounds for t in r for v in t.value], atol=1e-6)
+    assert set(passes) == {(49, True)}
+
+
+def test_orders_are_those_of_the_cubes():
+    keys = np.array([[5, 2**28 - 1, 77], [123, 4, 2**27]], np.uint64)
+    for row, order in zip(keys.tolist(), explain.dealt_orders(300, keys)):
+        x = [row[0] + i for i in range(300)]
+        for key in (*row[1:], 0):
+            x = [v**3 % explain.PRIME + key for v in x]
+        assert order.tolist() == sorted(range(300), key=x.__getitem__)
+
+
+def test_no_shuffle_by_stratum(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("row_id"), "id", F.when(F.col("id") < 1600, "a").when(F.col("id") < 2300, "b").when(F.col("id") < 2900, "c").otherwise("d").alias("__stratum"))
+
+    def dealt():
+        blocks = explain.random_blocks(df, ["id"], ["__stratum"], 1, "row_id")
+        return blocks, {(r["__stratum"], r["__block"]): [x["c0"] for x in r["rows"]] for r in blocks.collect()}
+
+    blocks, found = dealt()
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("hashpartitioning(") == plan.count("hashpartitioning(__stratum") and "hashpartitioning(__stratum#" in plan
+    assert "__block" in plan[plan.index("hashpartitioning(__stratum") :].split("\n")[0]
+    assert len({b for s, b in found if s == "a"}) == 4 and len({b for s, b in found if s == "d"}) == 1
+    monkeypatch.setattr(explain, "LARGE", 1)  # some large strata meet their blocks by a join
+    assert dealt()[1] == found

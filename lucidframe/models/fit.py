@@ -311,7 +311,8 @@ def _boosting(df, task, encoding, q, seed, shared=None):
             y, start, q = (y - mean) / sd, np.zeros(1), q | {"reg_alpha": q["reg_alpha"] / sd}
         else:
             start = np.log([mean / (1 - mean)])
-    rows = trees.binned(df, dict(encoding.columns()), y, start)
+    columns = dict(encoding.columns())
+    rows = trees.binned(df, columns, y, start) if q["subsample"] < 1 else trees.celled(df, columns, y, task.kind, start)
     try:
         found = trees.boost(rows, task.kind, start, q, seed)
     finally:

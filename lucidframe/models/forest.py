@@ -1,7 +1,7 @@
 """Forests of full depth: every tree takes each row a Poisson number of times, every node draws its columns, and cut points are the best or drawn.
 
 Rows lie binned in blocks (`trees.binned`). Rows of equal bins can't be told apart by any split, so a tree needs only what its weights add up to in
-each cell of bins. Of a table of up to SMALL cells each tree's sums by cell go to one task, which grows it, however many rows the cells hold.
+each cell of bins; where every tree takes every row once, blocks hold cells at once (`trees.celled`). Of a table of up to SMALL cells each tree's sums by cell go to one task, which grows it, however many rows the cells hold.
 Of others, a node of more than SMALL rows gets its split from histograms that a pass over all blocks adds
 up; a pass serves nodes of many trees, as many as PASS bytes of histograms hold. The cells of a smaller node go to one task by (tree, node), which
 grows all that is below. Weights are drawn for (seed, tree, block), columns and cuts for a node's place in its tree, and sums are exact; so neither the
@@ -11,7 +11,7 @@ by the least node size, for each tree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidframe.contract import REGRESSION, ContractError
-from lucidframe.models.trees import BINS, Rows, Tree, first_of_equal, in_bins, unit, unpacked
+from lucidframe.contract import MULTICLASS, REGRESSION, ContractError
+from lucidframe.models.trees import BINS, Rows, Tree, by_cell, first_of_equal, in_bins, unit, unpacked
 
 #: Rows of a node, or cells of a table, that one task grows by itself; bytes of a pass's histograms, and of those that a task holds; bytes of rows that a job sends to tasks, and to each; bytes of a forest; bytes of sums by cell that a task holds.
 SMALL, PASS, HELD, SENT, EACH, MODEL, SUMS = 65_536, 1 << 26, 1 << 23, 1 << 35, 1 << 26, 1 << 30, 1 << 26
@@ -63,6 +63,16 @@ class Plan:
             return np.column_stack([w, np.rint(y / self.step) * w])
         return np.where(y[:, None] == np.arange(self.classes), w[:, None], 0.0)
 
+    def adds(self, cells: bool, block: int, first: np.ndarray, y: np.ndarray, count: np.ndarray) -> Callable[[int], np.ndarray]:
+        """What a tree's weights add up to in each cell of a block, by tree; cells: y already holds sums by cell, in units."""
+        if not cells:
+            own = self.sums(y, np.ones(len(y)))
+            return lambda tree: np.add.reduceat(own * self.weights(tree, block, count)[:, None], first, axis=0)
+        told = y.reshape(len(count), -1) * (1.0 if self.kind == REGRESSION else self.step)
+        if self.kind != MULTICLASS:
+            told = np.column_stack([count if self.kind == REGRESSION else count - told[:, 0], told])
+        return lambda tree: told
+
     def root_key(self, tree: int) -> np.uint64:
         return mixed(mixed(np.array([self.seed], np.uint64)) + np.uint64(tree))[0]
 
@@ -110,14 +120,6 @@ def histograms(plan: Plan, number: np.ndarray, drawn: np.ndarray, x: np.ndarray,
     return out
 
 
-def by_cell(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal bins added up."""
-    order = np.lexsort(x.T[::-1])
-    x, sums = x[order], sums[order]
-    first = first_of_equal(x)
-    return x[first], np.add.reduceat(sums, first, axis=0) if len(first) else sums
-
-
 def splits(plan: Plan, keys: np.ndarray, drawn: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(splits at all, column, bin, sums of what goes left) of each node; ties go to the first column and bin."""
     nodes = np.arange(len(sums))
@@ -251,6 +253,8 @@ def plan_of(rows: Rows, kind: str, classes: int, q: dict, seed: int, resample: b
 
 def plant(rows: Rows, plan: Plan) -> Forest:
     """Grow all trees: of few cells each in a task; else upper nodes by passes over all rows, the rest in tasks. Trees that took no row (of very small tables) are left out."""
+    if rows.cells and plan.resample:
+        raise ContractError("a draw of rows needs rows, not their sums by cell")
     tops = [Top(Tree(), {0: plan.root_key(t)}, {}, []) for t in range(plan.trees)]
     cells = cells_of(rows)
     if cells is None:
@@ -302,7 +306,7 @@ def _part_table(tree: int, node: int, found: Part) -> pa.Table:
 
 def _whole(rows: Rows, plan: Plan, cells: np.ndarray, trees: range) -> DataFrame:
     """What _lower returns, for trees over few cells: a task adds up its blocks' draws by tree and cell, and a tree's sums meet in the task that grows it."""
-    inputs, shape = len(rows.cuts), (len(cells), plan.channels)
+    inputs, celled, shape = len(rows.cuts), rows.cells, (len(cells), plan.channels)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = {v.tobytes(): i for i, v in enumerate(cells)}, np.zeros((len(trees), *shape))
@@ -310,9 +314,9 @@ def _whole(rows: Rows, plan: Plan, cells: np.ndarray, trees: range) -> DataFrame
             for row in batch.to_pylist():
                 block, x, y, count, _ = unpacked(row, inputs)
                 first = first_of_equal(x)
-                at, own = np.array([number[v.tobytes()] for v in x[first]]), plan.sums(y, np.ones(len(y)))
+                at, drew = np.array([number[v.tobytes()] for v in x[first]]), plan.adds(celled, block, first, y, count)
                 for k, t in enumerate(trees):
-                    held[k, at] += np.add.reduceat(own * plan.weights(t, block, count)[:, None], first, axis=0)
+                    held[k, at] += drew(t)
         yield pa.RecordBatch.from_arrays([pa.array(list(trees), pa.int32()), pa.array([v.tobytes() for v in held], pa.binary())], ["tree", "sums"])
 
     def finish(table: pa.Table) -> pa.Table:
@@ -331,7 +335,7 @@ def _whole(rows: Rows, plan: Plan, cells: np.ndarray, trees: range) -> DataFrame
 
 def _upper(rows: Rows, plan: Plan, tops: list[Top]) -> None:
     """Split nodes of more than SMALL rows."""
-    open_ = [(t, 0) for t in range(plan.trees)]
+    celled, open_ = rows.cells, [(t, 0) for t in range(plan.trees)]
     at_once = max(1, PASS // plan.node_bytes)
     while open_:
         now, open_ = open_[:at_once], open_[at_once:]
@@ -342,11 +346,11 @@ def _upper(rows: Rows, plan: Plan, tops: list[Top]) -> None:
 
         def part(block, x, y, count, margin, walked=walked):
             out, first = {}, first_of_equal(x)
-            x, own = x[first], plan.sums(y, np.ones(len(y)))
+            x, adds = x[first], plan.adds(celled, block, first, y, count)
             for t, (tree, nodes, drawn) in walked.items():
                 number = np.full(len(tree.column), -1)
                 number[nodes] = np.arange(len(nodes))
-                node, drew = number[tree.nodes(x, True)], np.add.reduceat(own * plan.weights(t, block, count)[:, None], first, axis=0)
+                node, drew = number[tree.nodes(x, True)], adds(t)
                 at = (node >= 0) & (plan.sizes(drew) > 0)
                 sums = histograms(plan, node[at], drawn, x[at], drew[at])
                 out |= {(t, k): s.ravel() for k, s in zip(nodes, sums)}
@@ -373,7 +377,7 @@ def _upper(rows: Rows, plan: Plan, tops: list[Top]) -> None:
 
 def _lower(rows: Rows, plan: Plan, tops: list[Top], trees: range) -> DataFrame:
     """(tree, node, nodes, column, bin, left, value): what grows below the small nodes of some trees."""
-    inputs = len(rows.cuts)
+    inputs, celled = len(rows.cuts), rows.cells
     upper = {t: (tops[t].tree, sorted(tops[t].small), {k: tops[t].keys[k] for k in tops[t].small}) for t in trees if tops[t].small}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,11 +385,11 @@ def _lower(rows: Rows, plan: Plan, tops: list[Top], trees: range) -> DataFrame:
             for row in batch.to_pylist():
                 block, x, y, count, _ = unpacked(row, inputs)
                 first = first_of_equal(x)
-                x, each = x[first], plan.sums(y, np.ones(len(y)))
+                x, adds = x[first], plan.adds(celled, block, first, y, count)
                 for t, (tree, nodes, _) in upper.items():
                     number = np.full(len(tree.column), -1)
                     number[nodes] = np.arange(len(nodes))
-                    node, drew = number[tree.nodes(x, True)], np.add.reduceat(each * plan.weights(t, block, count)[:, None], first, axis=0)
+                    node, drew = number[tree.nodes(x, True)], adds(t)
                     at = np.flatnonzero((node >= 0) & (plan.sizes(drew) > 0))
                     at = at[np.argsort(node[at], kind="stable")]
                     ends = np.searchsorted(node[at], np.arange(len(nodes) + 1))

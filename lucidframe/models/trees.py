@@ -1,7 +1,7 @@
 """Trees on binned columns: second-order boosting, and single trees pruned by cost and complexity.
 
 Columns are cut once into at most BINS bins, at values near quantiles of all rows. Rows that are then equal are counted together and dealt by a hash of their content into
-packed blocks. A level of a tree is one pass: every block walks its rows down the tree so far and adds up, for each open node, column and bin, a few
+packed blocks; where every row counts once, tasks add them up by cell of bins instead, and only cells move. A level of a tree is one pass: every block walks its rows down the tree so far and adds up, for each open node, column and bin, a few
 sums; the driver sees these histograms, whose size depends on nodes, columns and bins, and picks the splits. Sums are of whole multiples
 of a small unit, so they are exact, and a tree is the same however the table is partitioned. Up to LOCAL distinct rows the same passes over
 the same blocks run on the driver, where they take no Spark job each.
@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucidframe.contract import BINARY, REGRESSION
-from lucidframe.functions.expr import candidate_cuts
+from lucidframe.functions.expr import candidate_cuts, counted_cuts
 from lucidframe.models.sums import Named, matrix, summed
 from lucidframe.shipping import ship
 
 #: Bins of a column, distinct rows of a block, distinct rows up to which no Spark job is made for a pass, trees after which rows' margins are written down again.
 BINS, BLOCK, LOCAL, PENDING = 128, 16_384, 200_000, 8
-#: Cells whose scores a task keeps in mind.
-KEPT = 200_000
+#: Cells whose scores a task keeps in mind; cells whose sums it holds before it sends them on.
+KEPT, FULL = 200_000, 200_000
 
 
 @dataclass
@@ -293,51 +293,100 @@ def first_of_equal(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))) if len(x) else np.empty(0, np.int64)
 
 
+def by_cell(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal bins added up."""
+    order = np.lexsort(x.T[::-1])
+    x, sums = x[order], sums[order]
+    first = first_of_equal(x)
+    return x[first], np.add.reduceat(sums, first, axis=0) if len(first) else sums
+
+
 def collapsed(rows: Rows, kind: str, start: np.ndarray) -> Rows:
     """Rows of equal bins as one, y being the sums of their outcomes in units: all that gradients need where every round takes every row."""
     inputs, outputs, step = len(rows.cuts), len(start), unit(rows.n)
-    names = [f"s{i}" for i in range(outputs + 1)]
 
     def own(x, y, count):
         first = first_of_equal(x)
         return x[first], np.add.reduceat(np.column_stack([count, np.rint(outcomes(y, kind, outputs) / step) * count[:, None]]), first, axis=0)
 
-    def block(number, x, sums):
-        return number, x, np.ascontiguousarray(sums[:, 1:]).ravel(), np.ascontiguousarray(sums[:, 0]), np.tile(start, (len(x), 1))
-
     if rows.held is not None:
         found = [own(x, y, c) for _, x, y, c, _ in rows.held]
-        x, sums = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.lexsort(x.T[::-1])
-        first = first_of_equal(x[order])
-        return Rows(rows.cuts, rows.n, None, [block(0, x[order][first], np.add.reduceat(sums[order], first, axis=0))], len(first), True)
+        x, sums = by_cell(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        return Rows(rows.cuts, rows.n, None, [(0, x, *_cell_parts(sums, start))], len(x), True)
 
     def each(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 _, x, y, count, _ = unpacked(row, inputs)
-                x, sums = own(x, y, count)
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), *map(pa.array, sums.T)], ["x", *names])
+                yield _cell_batch(*own(x, y, count))
+
+    return _cells(rows.cuts, rows.n, rows.packed.mapInArrow(each, _cell_schema(outputs)), start, LOCAL)
+
+
+def celled(df: DataFrame, columns: dict[str, Column], y: Column, kind: str, start: np.ndarray, local: int | None = None) -> Rows:
+    """What collapsed(binned(...)) is, without moving rows: each task adds up its own by cell. Up to `local` cells (LOCAL) are held on the driver."""
+    ship(df.sparkSession)
+    found, n = counted_cuts(df, columns, [i / BINS for i in range(1, BINS)])
+    cuts, outputs, step, full = [np.array(c) for c in found.values()], len(start), unit(n), FULL
+
+    def own(batches):
+        parts, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *x, told = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sums = np.column_stack([np.ones(len(told)), np.rint(outcomes(told, kind, outputs) / step)])
+            parts.append(by_cell(in_bins(cuts, np.column_stack(x)).astype(np.uint8), sums))
+            size += len(parts[-1][0])
+            if size > 2 * full:
+                parts = [by_cell(*map(np.concatenate, zip(*parts)))]
+                size = len(parts[0][0])
+            if size > full and len(parts) == 1:
+                yield _cell_batch(*parts[0])
+                parts, size = [], 0
+        if parts:
+            yield _cell_batch(*by_cell(*map(np.concatenate, zip(*parts))))
+
+    values = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())], y.cast("double").alias("y"))
+    return _cells(cuts, float(n), values.mapInArrow(own, _cell_schema(outputs)), start, LOCAL if local is None else local)
+
+
+def _cell_schema(outputs: int) -> str:
+    return "x binary, " + ", ".join(f"s{i} double" for i in range(outputs + 1))
+
+
+def _cell_batch(x: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), *map(pa.array, sums.T)], ["x", *(f"s{i}" for i in range(sums.shape[1]))])
+
+
+def _cell_parts(sums: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y, count and margin of a block of cells."""
+    return np.ascontiguousarray(sums[:, 1:]).ravel(), np.ascontiguousarray(sums[:, 0]), np.tile(start, (len(sums), 1))
+
+
+def _cells(cuts: list[np.ndarray], n: float, parts: DataFrame, start: np.ndarray, local: int) -> Rows:
+    """Cells from what tasks added up, in blocks."""
+    inputs, begin, names = len(cuts), np.asarray(start, float), parts.columns[1:]
 
     def pack(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint8).reshape(-1, inputs)
         order, sums = np.lexsort(x.T[::-1]), np.column_stack([table.column(n).to_numpy() for n in names])
-        parts = zip(("x", "y", "count", "margin"), block(0, x[order], sums[order])[1:])
-        return pa.table({"block": table.column("block")[:1], **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in parts}})
+        packed = zip(("x", "y", "count", "margin"), (x[order], *_cell_parts(sums[order], begin)))
+        return pa.table({"block": table.column("block")[:1], **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in packed}})
 
-    cells = rows.packed.mapInArrow(each, "x binary, " + ", ".join(f"{n} double" for n in names)).groupBy("x").agg(*[F.sum(n).alias(n) for n in names]).persist()
+    cells = parts.groupBy("x").agg(*[F.sum(n).alias(n) for n in names]).persist()
     try:
         different = cells.count()
         dealt = cells.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(max(1, -(-different // BLOCK)))))
-        packed = dealt.groupBy("block").applyInArrow(pack, rows.packed.schema).persist()
+        packed = dealt.groupBy("block").applyInArrow(pack, "block bigint, x binary, y binary, count binary, margin binary").persist()
         packed.count()
     finally:
         cells.unpersist()
-    if different > LOCAL:
-        return Rows(rows.cuts, rows.n, packed, None, different, True)
+    if different > local:
+        return Rows(cuts, n, packed, None, different, True)
     held = sorted((unpacked(r.asDict(), inputs) for r in packed.collect()), key=lambda b: b[0])
     packed.unpersist()
-    return Rows(rows.cuts, rows.n, None, held, different, True)
+    return Rows(cuts, n, None, held, different, True)
 
 
 def shrunk(g: np.ndarray, alpha: float) -> np.ndarray:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lucidframe import queries
 from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task
 from lucidframe.models import fit, forest, trees
 from lucidframe.operators.prep import learn_encoding
@@ -172,6 +173,37 @@ def test_trees_over_few_cells_grow_in_one_job_without_passes(data, monkeypatch):
     assert same(found, planted(many))
 
 
+@pytest.mark.parametrize("task", [REG, BIN, MULTI])
+@pytest.mark.parametrize("small", [65_536, 60])
+def test_a_tree_of_all_rows_grows_from_cells(data, monkeypatch, task, small):
+    """The same tree as from rows, by a task and by passes; without draws rows aren't grouped, and draws need rows."""
+    q, columns = Q | {"num.trees": 1}, dict(learn_encoding(data, INPUTS).columns())
+    y, start = F.col("y") if task is REG else task.label(), np.zeros(3 if task is MULTI else 1)
+    plan = lambda rows, **more: forest.plan_of(rows, task.kind, len(task.levels), q, 7, **more)
+    wanted = planted(data, q, task, resample=False)
+    monkeypatch.setattr(forest, "SMALL", small)
+    monkeypatch.setattr(trees, "FULL", 50)  # tasks send several times
+    rows = trees.celled(data.repartition(5), columns, y, task.kind, start, local=0)
+    try:
+        assert walked(forest.plant(rows, plan(rows, resample=False))) == walked(wanted)
+        with pytest.raises(ContractError):
+            forest.plant(rows, plan(rows))
+    finally:
+        rows.release()
+
+
+def test_forest_splits_moves_cells_not_rows(spark, tmp_path, monkeypatch):
+    """Of 20,000 different rows in 20 cells the tree sees the cells only."""
+    rows = spark.range(20_000, numPartitions=4).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "1L AS l_partkey", "1L AS l_suppkey", "double(id % 10) AS l_quantity", "100.0D * (id % 10) + id / 7 AS l_extendedprice",
+                                                           "double(id % 4) AS l_discount", "double(id % 2) AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    own, seen = forest.plant, []
+    monkeypatch.setattr(trees, "binned", None)
+    monkeypatch.setattr(forest, "plant", lambda rows, plan: seen.append((rows.n, rows.distinct)) or own(rows, plan))
+    assert queries.QUERIES["forest_splits"](spark, str(tmp_path)).count() == 3
+    assert seen == [(20_000.0, 20)]
+
+
 @pytest.mark.parametrize("kept", [0, 5, 10_000])
 def test_cells_are_scored_once(data, monkeypatch, kept):
     monkeypatch.setattr(trees, "KEPT", kept)

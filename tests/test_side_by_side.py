@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lucidframe.contract import BINARY, ContractError, Task
+from lucidframe.contract import BINARY, MULTICLASS, REGRESSION, ContractError, Task
 from lucidframe.models import fit, neural, trees, tuning
 from lucidframe.operators import explain
 
 BIN = Task(BINARY, "side", ("no", "yes"), "yes")
+CELL_TASKS = [Task(REGRESSION, "y"), Task(BINARY, "y", ("no", "yes"), "yes"), Task(MULTICLASS, "y", ("p", "q", "r"))]
 
 
 def rows(spark):
@@ -75,6 +76,22 @@ def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch, task):
     assert set(passes) == {(49, True)}
 
 
+@pytest.mark.parametrize("task", CELL_TASKS)
+def test_boosting_of_all_rows_reads_cells_and_groups_no_rows(spark, monkeypatch, task):
+    df = spark.range(500).select(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(7)) / 7.0).alias(n) for k, n in enumerate("ab")], F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1000)).alias("r"))
+    df = df.withColumn("y", F.col("a") + F.col("r") / 1000 if task.kind == REGRESSION else F.element_at(F.array(*map(F.lit, task.levels)), (1 + F.col("r") % len(task.levels)).cast("int")))
+    q = {"nrounds": 4, "eta": 0.3, "max_depth": 3, "min_child_weight": 1.0, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 1.0}
+    rows, cells = trees.binned, trees.celled
+    with monkeypatch.context() as m:  # from rows
+        m.setattr(trees, "celled", lambda df, columns, y, kind, start: rows(df, columns, y, start))
+        wanted = fit.fit_learner(df, task, "boosting", q, ["a", "b"]).scorer.state()
+    monkeypatch.setattr(trees, "binned", None)
+    monkeypatch.setattr(trees, "FULL", 20)
+    for local in (None, 0):  # cells held on the driver, or in Spark
+        monkeypatch.setattr(trees, "celled", lambda *a, local=local: cells(*a, local=local))
+        assert fit.fit_learner(df, task, "boosting", q, ["a", "b"]).scorer.state() == wanted
+
+
 def test_orders_are_those_of_the_cubes():
     keys = np.array([[5, 2**28 - 1, 77], [123, 4, 2**27]], np.uint64)
     for row, order in zip(keys.tolist(), explain.dealt_orders(300, keys)):
